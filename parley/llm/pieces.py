@@ -23,6 +23,9 @@ SPACE = "▁"
 #: Chunks whose encoding is sent to every executor: the most frequent ones (bound).
 FREQUENT = 100_000
 UNKNOWN_PENALTY = 10.0
+#: Chunks in a partition of the lattice: their edges are grouped in memory, some 20 for each chunk.
+CHUNKS_PER_PARTITION = 15_000
+GROUPS_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -102,9 +105,17 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = rows.select(F.explode(chunks()).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
     counts = checkpoint(counts)
-    lexicon = checkpoint(counts.join(encode_chunks(counts.select("chunk"), pieces), "chunk"))
+    # Small partitions, so that grouping needs neither a sort nor a spill; the setting holds for this step alone.
+    spark = docs.sparkSession
+    parts, before = counts.count() // CHUNKS_PER_PARTITION + 1, spark.conf.get(GROUPS_IN_MEMORY)
+    spark.conf.set(GROUPS_IN_MEMORY, str(4 * CHUNKS_PER_PARTITION))
+    try:
+        best = checkpoint(encode_chunks(counts.select("chunk").repartition(parts, "chunk"), pieces))
+    finally:
+        spark.conf.set(GROUPS_IN_MEMORY, before)
+    lexicon = counts.join(best, "chunk")
     word = lexicon.select("chunk", F.size("ids").alias("pieces"), "score", F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("code"))
-    often = lexicon.orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk")
+    often = counts.orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk")
     # Bounded by FREQUENT rows of one chunk each: most places are settled without a shuffle.
     near = F.broadcast(word.join(often, "chunk", "left_semi"))
     places = rows.select("doc_id", F.posexplode(chunks()).alias("pos", "chunk"))
