@@ -1,6 +1,319 @@
-def queries():
-    return {}
+"""Registered queries of the conversation operators, each with the same result as plain SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.operators import identity, intervals, language, library, speech, transcript
+from parley.sources.fixtures import oracle, view
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+P, T, V, L, E, R, N, H = (oracle(n) for n in ("passages", "turns", "vad_frames", "lang_probes", "edits", "recordings", "audio_notices", "people"))
+CLIPS = oracle("clips")
+#: Length of a recording with passages: half a minute after the last end.
+LENGTH = f"(SELECT recording_id, max(end_sample) + 480000 AS duration FROM {P} GROUP BY recording_id)"
+TURN_LENGTH = f"(SELECT recording_id, max(end_sample) - 20000 AS duration FROM {T} GROUP BY recording_id)"
+
+
+def query(name: str, sql: str):
+    def register(f: Query) -> Query:
+        QUERIES[name], ORACLE[name] = f, sql
+        return f
+
+    return register
+
+
+def durations(spans: DataFrame, more: int) -> DataFrame:
+    return spans.groupBy("recording_id").agg((F.max("end_sample") + more).alias("duration"))
+
+
+# Intervals
+
+
+@query("p19_normalized_turns", f"""SELECT recording_id, turn_id, speaker, greatest(0, least(start_sample, duration)) AS start_sample, greatest(0, least(end_sample, duration)) AS end_sample
+FROM {T} t JOIN {TURN_LENGTH} d USING (recording_id) WHERE greatest(0, least(start_sample, duration)) < greatest(0, least(end_sample, duration)) AND speaker IN ('speaker_0', 'speaker_1', 'speaker_2')""")
+def _(s, d):
+    t = view(s, d, "turns")
+    return intervals.normalize_turns(t, durations(t, -20000))
+
+
+@query("u1_boundaries", f"SELECT recording_id, start_sample AS sample FROM {T} UNION SELECT recording_id, end_sample FROM {T}")
+def _(s, d):
+    return intervals.boundaries(view(s, d, "turns"))
+
+
+CELLS = f"""(WITH t AS {T}, b AS (SELECT recording_id, start_sample AS edge FROM t UNION SELECT recording_id, end_sample FROM t),
+c AS (SELECT * FROM (SELECT recording_id, edge AS start_sample, lead(edge) OVER (PARTITION BY recording_id ORDER BY edge) AS end_sample FROM b) x WHERE end_sample IS NOT NULL)
+SELECT c.recording_id, c.start_sample, c.end_sample, coalesce(string_agg(DISTINCT t.speaker, ',' ORDER BY t.speaker), '') AS owners
+FROM c LEFT JOIN t ON t.recording_id = c.recording_id AND t.start_sample < c.end_sample AND t.end_sample > c.start_sample GROUP BY 1, 2, 3)"""
+
+
+@query("j1_g10_elementary", f"SELECT * FROM {CELLS} q")
+def _(s, d):
+    return intervals.elementary(view(s, d, "turns"))
+
+
+@query("w4_coalesced", f"""WITH c AS {CELLS}, m AS (SELECT *, CASE WHEN lag(end_sample) OVER w = start_sample AND lag(owners) OVER w = owners THEN 0 ELSE 1 END AS n FROM c WINDOW w AS (PARTITION BY recording_id ORDER BY start_sample)),
+i AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY start_sample) AS island FROM m)
+SELECT recording_id, min(start_sample) AS start_sample, max(end_sample) AS end_sample, min(owners) AS owners FROM i GROUP BY recording_id, island""")
+def _(s, d):
+    return intervals.coalesce_equal(intervals.elementary(view(s, d, "turns")))
+
+
+ISLANDS = f"""(WITH t AS {T}, m AS (SELECT *, CASE WHEN start_sample <= max(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM t),
+i AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT recording_id, min(start_sample) AS start_sample, max(end_sample) AS end_sample FROM i GROUP BY recording_id, island)"""
+
+
+@query("w4_islands", f"SELECT * FROM {ISLANDS} q")
+def _(s, d):
+    return intervals.islands(view(s, d, "turns"))
+
+
+@query("g1_chunks", f"SELECT recording_id, unnest(generate_series(start_sample, end_sample - 1, 288000)) AS start_sample, least(unnest(generate_series(start_sample, end_sample - 1, 288000)) + 288000, end_sample) AS end_sample FROM {ISLANDS} q")
+def _(s, d):
+    return intervals.chunk(intervals.islands(view(s, d, "turns")), intervals.PIECE)
+
+
+@query("w6_crop_padding", f"""WITH i AS {ISLANDS} SELECT recording_id, start_sample, end_sample,
+CAST(greatest(start_sample - 3520, CASE WHEN lag(end_sample) OVER w IS NULL THEN 0 ELSE floor((lag(end_sample) OVER w + start_sample) / 2.0) END) AS BIGINT) AS audio_start,
+CAST(least(end_sample + 3520, CASE WHEN lead(start_sample) OVER w IS NULL THEN duration ELSE floor((end_sample + lead(start_sample) OVER w) / 2.0) END) AS BIGINT) AS audio_end
+FROM i JOIN (SELECT recording_id, max(end_sample) + 1000 AS duration FROM {T} GROUP BY 1) d USING (recording_id) WINDOW w AS (PARTITION BY recording_id ORDER BY start_sample)""")
+def _(s, d):
+    t = view(s, d, "turns")
+    return intervals.crop_padding(intervals.islands(t), durations(t, 1000))
+
+
+@query("g4_probe_edges", f"""SELECT recording_id, start_sample, i, CAST(start_sample + floor((end_sample - start_sample) * i / (n * 1.0)) AS BIGINT) AS part_start, CAST(start_sample + floor((end_sample - start_sample) * (i + 1) / (n * 1.0)) AS BIGINT) AS part_end
+FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT *, CAST(ceil((end_sample - start_sample) / 48000.0) AS BIGINT) AS n FROM {ISLANDS} q) x) y""")
+def _(s, d):
+    return intervals.probe_edges(intervals.islands(view(s, d, "turns")))
+
+
+UNCOVERED = f"""(WITH p AS {P}, m AS (SELECT *, CASE WHEN start_sample <= max(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM p),
+i AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample ROWS UNBOUNDED PRECEDING) AS island FROM m),
+s AS (SELECT recording_id, min(start_sample) AS a, max(end_sample) AS b FROM i GROUP BY recording_id, island)
+SELECT * FROM (SELECT recording_id, lag(b, 1, 0) OVER (PARTITION BY recording_id ORDER BY a) AS start_sample, a AS end_sample FROM s
+  UNION ALL SELECT recording_id, max(b), max(b) + 480000 FROM s GROUP BY recording_id) g WHERE end_sample - start_sample > 16)"""
+
+
+@query("u7_complement", f"SELECT * FROM {UNCOVERED} q")
+def _(s, d):
+    p = view(s, d, "passages")
+    return intervals.complement(p, durations(p, 480000))
+
+
+@query("w3_g2_uncovered", f"""SELECT recording_id, 'unassigned-' || CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_sample) AS VARCHAR) AS passage_id, start_sample, end_sample FROM (
+SELECT recording_id, a AS start_sample, least(a + 480000, b) AS end_sample FROM (SELECT recording_id, end_sample AS b, unnest(generate_series(start_sample, end_sample - 1, 480000)) AS a FROM {UNCOVERED} q) x) y""")
+def _(s, d):
+    p = view(s, d, "passages")
+    return intervals.uncovered_rows(p, durations(p, 480000))
+
+
+@query("w13_running_end", f"SELECT recording_id, pos, start_sample, end_sample, max(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, pos ROWS UNBOUNDED PRECEDING) AS running_end FROM {P} q")
+def _(s, d):
+    return intervals.running_end(view(s, d, "passages"))
+
+
+@query("j15_stabbing", f"SELECT a.recording_id, a.sample, p.passage_id FROM (SELECT DISTINCT recording_id, start_sample + 1000 AS sample FROM {P} x) a JOIN {P} p ON a.recording_id = p.recording_id AND p.start_sample <= a.sample AND a.sample < p.end_sample")
+def _(s, d):
+    p = view(s, d, "passages")
+    return intervals.stabbing(p.select("recording_id", "passage_id", "start_sample", "end_sample"), p.select("recording_id", (F.col("start_sample") + 1000).alias("sample")).distinct())
+
+
+# Speech
+
+STATE = f"""(SELECT recording_id, start_sample, end_sample, p100, constant_block, NOT constant_block AND coalesce(last_value(CASE WHEN constant_block THEN NULL WHEN p100 >= 50 THEN true WHEN p100 < 35 THEN false END IGNORE NULLS)
+OVER (PARTITION BY recording_id ORDER BY start_sample ROWS UNBOUNDED PRECEDING), false) AS speaking FROM {V} f)"""
+
+
+@query("w1_hysteresis", f"SELECT * FROM {STATE} q")
+def _(s, d):
+    return speech.hysteresis(view(s, d, "vad_frames"))
+
+
+@query("w2_utterances", f"""WITH f AS {STATE}, t AS (SELECT *, CASE WHEN start_sample - lag(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample) < 8000 THEN 0 ELSE 1 END AS new FROM f WHERE speaking),
+i AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY start_sample) AS n FROM t)
+SELECT recording_id, CAST(n AS BIGINT) AS n, greatest(0, min(start_sample) - 3200) AS start_sample, least((SELECT max(end_sample) FROM f WHERE f.recording_id = i.recording_id), max(end_sample) + 3200) AS end_sample FROM i GROUP BY recording_id, n""")
+def _(s, d):
+    return speech.utterances(view(s, d, "vad_frames"))
+
+
+@query("a1_inspection", f"""SELECT *, CASE WHEN speech > 0 THEN 'speech' WHEN uncertain > 0 THEN 'uncertain' WHEN constant > 0 THEN 'constant' ELSE 'no_speech' END AS decision FROM (SELECT recording_id,
+CAST(sum(CASE WHEN NOT constant_block AND speaking THEN 512 ELSE 0 END) AS BIGINT) AS speech, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 >= 35 THEN 512 ELSE 0 END) AS BIGINT) AS uncertain,
+CAST(sum(CASE WHEN constant_block THEN 512 ELSE 0 END) AS BIGINT) AS constant, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 < 35 THEN 512 ELSE 0 END) AS BIGINT) AS negative FROM {STATE} q GROUP BY recording_id) x""")
+def _(s, d):
+    return speech.inspection(view(s, d, "vad_frames"))
+
+
+# Language
+
+DECIDED = f"""(SELECT *, CASE WHEN reason IN ('detected', 'best_effort') THEN top_code END AS language, reason <> 'detected' AS review FROM (SELECT *, CASE WHEN top_code <> 'sw' AND confident THEN 'detected' WHEN top_code <> 'sw' THEN 'best_effort' WHEN confident THEN 'unsupported' ELSE 'needs_language' END AS reason
+FROM (SELECT *, top_pct * 10 - second_permille AS margin, top_pct >= 90 AND top_pct * 10 - second_permille >= 200 AS confident FROM {L} p) x) y)"""
+
+
+@query("l1_language_decision", f"SELECT * FROM {DECIDED} q")
+def _(s, d):
+    return language.decide(view(s, d, "lang_probes"))
+
+
+@query("w11_l3_rescue", f"""WITH d AS {DECIDED}, c AS (SELECT a.recording_id, a.probe_id, a.reason, a.language, a.start_sample,
+  (SELECT max(b.start_sample) FROM d b WHERE b.recording_id = a.recording_id AND b.start_sample < a.start_sample AND (b.reason = 'unsupported' OR b.reason = 'detected' AND b.text_ok)) AS since FROM d a)
+SELECT c.recording_id, c.probe_id, c.reason, c.language, CASE WHEN c.reason IN ('best_effort', 'needs_language') AND e.reason = 'detected' AND c.start_sample - e.end_sample BETWEEN 0 AND 960000
+  AND NOT EXISTS (SELECT 1 FROM d f WHERE f.recording_id = c.recording_id AND f.start_sample > c.since AND f.start_sample < c.start_sample AND f.reason = 'detected' AND NOT f.text_ok AND f.language <> e.language) THEN e.language END AS rescued
+FROM c LEFT JOIN d e ON e.recording_id = c.recording_id AND e.start_sample = c.since""")
+def _(s, d):
+    return language.rescue(view(s, d, "lang_probes"))
+
+
+@query("a5_language_summary", f"""SELECT recording_id, count(DISTINCT language) > 1 AS mixed, bool_or(language IS NULL) AS "unknown", bool_or(review) AS review,
+arg_min(probe_id, (CASE WHEN language IS NULL THEN 0 ELSE 1000000 END) + (CASE WHEN review THEN 0 ELSE 100000 END) + top_pct + probe_id / 1e9) AS chosen FROM {DECIDED} q GROUP BY recording_id""")
+def _(s, d):
+    return language.summary(view(s, d, "lang_probes"))
+
+
+# Transcript
+
+
+def _time(c: str, mark: str) -> str:
+    ms = f"CAST(round_even({c} * 1000 / 16000.0, 0) AS BIGINT)"
+    return f"(lpad(CAST({ms} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({ms} // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST({ms} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ms} // 1000 % 60 AS VARCHAR), 2, '0') || '{mark}' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0'))"
+
+
+LABEL = "(CASE speaker WHEN 'speaker_0' THEN 'Speaker 1' WHEN 'speaker_1' THEN 'Speaker 2' ELSE 'Unknown speaker' END)"
+CLEAN = r"translate(replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '-->', '→'), '<>', '‹›')"
+
+
+@query("transcript", f"""SELECT recording_id, body, CAST(octet_length(encode(body)) AS BIGINT) AS bytes FROM (SELECT recording_id, string_agg('[' || {_time('start_sample', '.')} || ' – ' || {_time('end_sample', '.')} || '] ' || {LABEL} || ': ' || {CLEAN}, chr(10) ORDER BY start_sample, end_sample, passage_id) AS body FROM {P} q GROUP BY recording_id) x""")
+def _(s, d):
+    return transcript.render(view(s, d, "passages"))
+
+
+@query("f4_w19_cues", f"""SELECT recording_id, cue, CAST(cue AS VARCHAR) || chr(10) || {_time('start_sample', ',')} || ' --> ' || {_time('end_sample', ',')} || chr(10) || {LABEL} || ': ' || {CLEAN} || chr(10) AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, passage_id) AS cue FROM {P} q) x""")
+def _(s, d):
+    return transcript.cues(view(s, d, "passages"))
+
+
+@query("p1_validation", f"""SELECT recording_id, passage_id, array_to_string(list_sort(list_filter([CASE WHEN start_sample < 0 OR start_sample >= end_sample THEN 'bad_range' END, CASE WHEN end_sample > duration + 16 THEN 'past_end' END,
+CASE WHEN count(*) OVER (PARTITION BY recording_id, passage_id) > 1 THEN 'duplicate_id' END, CASE WHEN length(text) > 20000 THEN 'long_text' END, CASE WHEN trim(text) = '' THEN 'empty_text' END], lambda x: x IS NOT NULL)), ',') AS violations
+FROM {P} p LEFT JOIN (SELECT recording_id, max(end_sample) - 4000 AS duration FROM {P} GROUP BY 1) d USING (recording_id)""")
+def _(s, d):
+    p = view(s, d, "passages")
+    return transcript.validate(p, durations(p, -4000))
+
+
+@query("p2_p4_review", f"""SELECT recording_id, passage_id, reason, CASE WHEN reason IS NULL THEN text ELSE text || ' [Needs review: ' || reason || ']' END AS marked FROM (SELECT *, CASE WHEN speaker = 'unassigned' THEN 'Speaker not confirmed' WHEN trim(text) = '' THEN 'No words' WHEN end_sample - start_sample < 8000 THEN 'Very short' END AS reason FROM {P} q) x""")
+def _(s, d):
+    return transcript.review(view(s, d, "passages"))
+
+
+@query("w10_continuation", f"SELECT recording_id, passage_id, coalesce(lag(speaker) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, passage_id) = speaker AND speaker <> 'unassigned', false) AS continues FROM {P} q")
+def _(s, d):
+    return transcript.continuation(view(s, d, "passages"))
+
+
+@query("p10_passage_search", f"SELECT recording_id, passage_id FROM {P} q WHERE contains(lower(text || ' ' || {LABEL}), 'the th')")
+def _(s, d):
+    return transcript.search(view(s, d, "passages"), "the th")
+
+
+@query("w7_f5_introductions", f"""SELECT recording_id, speaker, passage_id, name FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker ORDER BY start_sample, pos) AS n FROM
+(SELECT *, regexp_extract(text, '^(?:(?:Hello|Hi|Hey)[ ,]+)?(?:I''m|I am|[Mm]y name is) ((?:\\p{{Lu}}[\\p{{L}}''-]*)(?: \\p{{Lu}}[\\p{{L}}''-]*){{0,2}})', 1) AS name FROM {P} q WHERE speaker <> 'unassigned') x WHERE name <> '') y WHERE n = 1""")
+def _(s, d):
+    return transcript.introductions(view(s, d, "passages"))
+
+
+# Library and changes
+
+
+@query("s1_library", f"SELECT recording_id, name, kind, status, CAST(created AS DATE) AS day, revision, duration_s FROM {R} q")
+def _(s, d):
+    return library.library(view(s, d, "recordings"))
+
+
+@query("a10_status_counts", f"SELECT status, count(*) AS n FROM {R} q GROUP BY status")
+def _(s, d):
+    return library.status_counts(view(s, d, "recordings"))
+
+
+@query("w18_day_groups", f"SELECT recording_id, CAST(created AS DATE) AS day, NOT coalesce(lag(CAST(created AS DATE)) OVER (PARTITION BY date_trunc('month', created) ORDER BY CAST(created AS DATE) DESC, recording_id DESC) = CAST(created AS DATE), false) AS heading FROM {R} q")
+def _(s, d):
+    return library.day_groups(view(s, d, "recordings"))
+
+
+@query("p11_library_search", f"SELECT recording_id, name FROM {R} q WHERE contains(lower(name), '12')")
+def _(s, d):
+    return library.name_search(view(s, d, "recordings"), "12")
+
+
+@query("j6_v12_people", f"SELECT person_id, name, CASE WHEN NOT has_profile THEN 'none' WHEN model_id = 'model_a' THEN 'compatible' ELSE 'incompatible_runtime' END AS state FROM {H} q")
+def _(s, d):
+    return library.people_with_profiles(view(s, d, "people"), "model_a")
+
+
+GUARDED = f"""(SELECT edit_id, recording_id, pos, field, CASE WHEN field = 'machine' THEN 'refused' WHEN given_revision = (recording_id + pos) % 4 THEN 'applied' ELSE 'conflict' END AS outcome FROM {E} e JOIN (SELECT recording_id, pos FROM {P} q) p USING (recording_id, pos))"""
+
+
+@query("e1_guarded_edits", f"SELECT * FROM {GUARDED} q")
+def _(s, d):
+    return library.guarded_edits(view(s, d, "edits"), view(s, d, "passages"))
+
+
+@query("u3_e4_protected", f"SELECT recording_id, pos, string_agg(DISTINCT field, ',' ORDER BY field) AS protected, count(*) AS edits FROM {GUARDED} q WHERE outcome = 'applied' GROUP BY recording_id, pos")
+def _(s, d):
+    return library.protected_fields(view(s, d, "edits"), view(s, d, "passages"))
+
+
+@query("st1_notice_ranges", f"""WITH t AS (SELECT *, CASE WHEN lag(start_sample + frames) OVER w = start_sample AND lag(language_epoch) OVER w = language_epoch THEN 0 ELSE 1 END AS n FROM {N} q WHERE NOT late WINDOW w AS (PARTITION BY recording_id ORDER BY start_sample)),
+i AS (SELECT *, sum(n) OVER (PARTITION BY recording_id ORDER BY start_sample) AS part FROM t)
+SELECT recording_id, language_epoch, min(start_sample) AS start_sample, max(start_sample + frames) AS end_sample, count(*) AS notices FROM i GROUP BY recording_id, language_epoch, part""")
+def _(s, d):
+    return library.coalesced_notices(view(s, d, "audio_notices"))
+
+
+@query("st7_late_repairs", f"SELECT recording_id, count(*) AS late, min(start_sample) AS repaired_from FROM {N} q WHERE late GROUP BY recording_id")
+def _(s, d):
+    return library.late_repairs(view(s, d, "audio_notices"))
+
+
+# Voices
+
+RANKED = f"""(WITH c AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM {CLIPS} q),
+u AS (SELECT person_id, track_id, enrolled, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS unit FROM c WHERE sqrt(list_dot_product(v, v)) >= 1e-12),
+d AS (SELECT person_id, i, avg(unit[i]) AS x, count(*) AS n FROM (SELECT person_id, unit, unnest(generate_series(1, len(unit))) AS i FROM u WHERE enrolled) z GROUP BY person_id, i HAVING count(*) >= 2),
+m AS (SELECT person_id, list(x ORDER BY i) AS c FROM d GROUP BY person_id),
+k AS (SELECT person_id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS centroid FROM m),
+s AS (SELECT u.track_id, k.person_id, greatest(-1.0, least(1.0, list_dot_product(u.unit, k.centroid))) AS s FROM u CROSS JOIN k WHERE NOT u.enrolled),
+g AS (SELECT track_id, person_id, round(avg(s), 6) AS mean, round(min(s), 6) AS least, count(*) AS clips FROM s GROUP BY track_id, person_id)
+SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mean DESC, person_id) AS place FROM g)"""
+
+
+def _ranked(s, d):
+    c = view(s, d, "clips")
+    return identity.ranking(c, identity.profiles(c))
+
+
+@query("v6_a7_voice_ranking", f"SELECT * FROM {RANKED} q")
+def _(s, d):
+    return _ranked(s, d)
+
+
+@query("v7_voice_decision", f"""SELECT track_id, CASE WHEN outcome = 'matched' THEN person_id END AS person_id, outcome FROM (SELECT b.*, CASE WHEN b.clips < 2 THEN 'few_clips' WHEN b.mean < 0.2 THEN 'below_threshold' WHEN round(b.mean - coalesce(n.mean, 0), 6) < 0.05 THEN 'small_margin' ELSE 'matched' END AS outcome
+FROM (SELECT * FROM {RANKED} q WHERE place = 1) b LEFT JOIN (SELECT * FROM {RANKED} q WHERE place = 2) n ON b.track_id = n.track_id) x""")
+def _(s, d):
+    return identity.decide(_ranked(s, d))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
