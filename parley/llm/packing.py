@@ -29,8 +29,8 @@ from .common import bounded_batches, checkpoint
 CAPACITY = 4096
 #: Id put behind each document (fixed value).
 END_ID = 1
-#: Entries of a Python worker's cache that aren't words of SPLIT, and that are; some 250 MB when it is full.
-CHUNKS, WORDS = 300_000, 1_000_000
+#: Entries of a Python worker's cache that aren't words of SPLIT, and that are; some 90 MB when it is full.
+CHUNKS, WORDS = 100_000, 350_000
 #: The tokenizer's own split of a chunk (fixed value).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with any of these go to the tokenizer whole: Python takes the first four for white space,

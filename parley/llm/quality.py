@@ -123,7 +123,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, part: np.ndarray)
     balance = np.where(y[judge] == 1, 1.0, 1.0) if classes.min() == 0 else (classes.sum() / 2 / classes)[y[judge]]
 
     def text_model(target, weight):
-        up, down = ((text * (weight * (target == c))[:, None]).sum(axis=0) / max(1e-9, (weight * (target == c)).sum()) for c in (1, 0))
+        up, down = ((weight * (target == c)).astype(np.float32) @ text / max(1e-9, (weight * (target == c)).sum()) for c in (1, 0))
         return np.log((up + 1e-5) / (down + 1e-5))
 
     def meta_model(target, weight):
@@ -137,7 +137,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, part: np.ndarray)
     text_weight, meta_weight = learn.astype(float), learn.astype(float)
     for k in range(ROUNDS + 1):
         a, b = text_model(text_target, text_weight), meta_model(meta_target, meta_weight)
-        za, zb = text @ a, sum(m[meta[:, i]] for i, m in enumerate(b))
+        za, zb = (text @ a.astype(np.float32)).astype(float), sum(m[meta[:, i]] for i, m in enumerate(b))
         scale = tuple(max(1e-9, float(z[judge].std())) for z in (za, zb))
         za, zb = za / scale[0], zb / scale[1]
         fits = [logistic(z[judge, None], y[judge].astype(float), balance) for z in (za, zb)]
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED, pool: int
     y = got["y"].to_numpy(dtype=np.int64)
     if not ((y == 0).any() and (y == 1).any()):
         return Model(np.zeros(FEATURES), (), (1.0, 1.0), np.zeros(2), np.zeros(2), np.zeros(3), prior=0.5)
-    text = np.frombuffer(b"".join(got["text"]), dtype=np.float16).reshape(-1, FEATURES).astype(np.float32)
+    text = np.empty((len(got), FEATURES), dtype=np.float32)
+    for i, row in enumerate(got.pop("text")):
+        text[i] = np.frombuffer(row, dtype=np.float16)
     part = np.array([zlib.crc32(str(x).encode()) % 10 < 4 for x in got["doc_id"]])
     for c in (0, 1):  # each class on both sides, or calibration on what was learned
         if not (part & (y == c)).any() or not (~part & (y == c)).any():
