@@ -1,13 +1,20 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is cut into chunks (a run of spaces and what follows up to the next
-space); spaces are written as U+2581. No piece of the vocabulary goes across a
-chunk's start, so each distinct chunk is encoded once: its substrings up to the
-longest piece are exploded and equi-joined to the piece table, the edges are
+Spaces are written as U+2581 and a text is cut into chunks wherever no piece of
+the vocabulary can reach across: before a run of spaces, and between characters
+of different classes. Classes follow from the vocabulary: characters that stand
+next to each other in some piece share one (letters of a script, marks), and a
+character that no longer piece holds is alone. So each distinct chunk is encoded
+once: its substrings, bounded by the longest piece that begins with the same two
+characters, are exploded and equi-joined to the piece table, the edges are
 grouped by chunk, and an ordered fold finds the path with the highest sum of
 scores (Viterbi). A character without a piece costs the lowest score less 10
 and is written as byte pieces.
 
+A piece whose own characters have a better path without it is on no best path;
+the lattice of the pieces themselves finds these, and they are left out of the
+joins. Results are the same with and without them.
+
 This is the model's vocabulary read as a unigram lattice, with the scores it
 stores; greedy pair merging can choose another path.
 """
@@ -23,6 +30,7 @@ SPACE = "▁"
 #: Chunks whose encoding is sent to every executor: the most frequent ones (bound).
 FREQUENT = 100_000
 UNKNOWN_PENALTY = 10.0
+MOD = 1 << 31
 #: Chunks in a partition of the lattice: their edges are grouped in memory, some 20 for each chunk.
 CHUNKS_PER_PARTITION = 15_000
 GROUPS_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -42,10 +50,52 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, kind string")
 
 
-def chunks(text: str = "text"):
+def _run(codes: list[int]) -> str:
+    """One or more of these characters. Those below 256 are tested apart, as the expression has a table for them."""
+    low, high = ("".join(rf"\x{{{n:x}}}" for n in sorted(codes) if (n < 256) == side) for side in (True, False))
+    if low and high:
+        return f"[{low}]++(?:[{high}]++[{low}]*+)*+|[{high}]++(?:[{low}]++[{high}]*+)*+"
+    return f"[{low or high}]++"
+
+
+def cut_pattern(pieces: DataFrame) -> str:
+    """The regular expression of a chunk: spaces, then characters of one class.
+
+    The vocabulary is read on the driver (tens of thousands of pieces, whatever the corpus).
+    """
+    words = [r.piece for r in pieces.where("kind = 'piece'").select("piece").collect()]
+    if any(SPACE in w.lstrip(SPACE) for w in words):
+        return "(?s).+"  # pieces go across spaces: a text is one chunk
+    parent: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    for w in (w.lstrip(SPACE) for w in words):
+        for a, b in zip(w, w[1:]):
+            parent[root(a)] = root(b)
+    classes: dict[str, list[int]] = {}
+    for c in parent:
+        classes.setdefault(root(c), []).append(ord(c))
+    ordered = sorted((x for x in classes.values() if len(x) > 1), key=lambda x: (-len(x), min(x)))
+    runs = "".join(_run(x) + "|" for x in ordered)
+    return f"{SPACE}*+(?:{runs}[^{SPACE}])|{SPACE}++"
+
+
+def chunks(pattern: str, text: str = "text"):
     """The chunks of a text in order: with a space put before it, spaces as U+2581; null has none."""
-    marked = F.translate(F.concat(F.lit(" "), F.col(text)), " ", SPACE)
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), 0)).otherwise(F.array().cast("array<string>"))
+    marked = F.replace(F.concat(F.lit(" "), F.col(text)), F.lit(" "), F.lit(SPACE))
+    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
+
+
+def needed_pieces(pieces: DataFrame) -> DataFrame:
+    """The pieces that can be on a best path: those that no other path over their own characters beats."""
+    own = pieces.where("kind = 'piece'")
+    best = encode_chunks(own.select(F.col("piece").alias("chunk")), pieces).select(F.col("chunk").alias("piece"), F.col("score").alias("path"))
+    beaten = own.join(best, "piece").where("path > score + 1e-9").select("piece")
+    return pieces.join(beaten, "piece", "left_anti")
 
 
 def encode_chunks(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -53,16 +103,17 @@ def encode_chunks(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
 
     On equal sums the path whose last piece starts earlier wins at each place.
     """
-    info = pieces.where("kind = 'piece'").agg(F.max(F.length("piece")), F.min("score")).first()
-    longest, unknown = info[0] or 1, (info[1] or 0.0) - UNKNOWN_PENALTY
-    table = F.broadcast(pieces.where("kind = 'piece'").select("piece", "id", "score"))
+    own = pieces.where("kind = 'piece'")
+    unknown = (own.agg(F.min("score")).first()[0] or 0.0) - UNKNOWN_PENALTY
+    table = F.broadcast(own.select("piece", "id", "score"))
+    longest = F.broadcast(own.where(F.length("piece") > 1).groupBy(F.substring("piece", 1, 2).alias("lead")).agg(F.max(F.length("piece")).alias("longest")))
     places = F.explode(F.expr("sequence(1, length(chunk))")).alias("start")
-    spans = distinct.select("chunk", F.length("chunk").alias("n"), places)
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start") + 1))).alias("len")
-    spans = spans.select("chunk", "start", lengths).withColumn("piece", F.expr("substring(chunk, start, len)"))
+    starts = distinct.select("chunk", F.length("chunk").alias("n"), places).withColumn("lead", F.expr("substring(chunk, start, 2)")).join(longest, "lead", "left")
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.coalesce("longest", F.lit(1)), F.col("n") - F.col("start") + 1))).alias("len")
+    spans = starts.select("chunk", "start", lengths).withColumn("piece", F.expr("substring(chunk, start, len)"))
     edges = spans.join(table, "piece", "left").where("id IS NOT NULL OR len = 1")
     edge = F.struct((F.col("start") + F.col("len") - 1).alias("stop"), (F.col("start") - 1).alias("begin"), F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    grouped = edges.groupBy("chunk").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     # State: the best way to each place so far; edges come by their stop, then begin.
     fold = """aggregate(edges,
       array(named_struct('score', 0.0D, 'begin', -1, 'id', -1)),
@@ -99,32 +150,40 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     lexicon has chunk, n (places in the corpus), ids, score. documents has
     doc_id, n_chunks, n_pieces, score (sum over chunks), ids_digest: the sum
     over chunks of (xxhash64(ids) mod 2**31) times the chunk's number from 1,
-    each mod 2**31, so that it tells order and content apart. Null and empty texts have no
+    mod 2**31, so that it tells order and content apart. Null and empty texts have no
     chunks. Rows of one doc_id are one document only if they are the same row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counts = rows.select(F.explode(chunks()).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+    pattern, needed = cut_pattern(pieces), checkpoint(needed_pieces(pieces))
+    counts = rows.select(F.explode(chunks(pattern)).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
     counts = checkpoint(counts)
     # Small partitions, so that grouping needs neither a sort nor a spill; the setting holds for this step alone.
     spark = docs.sparkSession
     parts, before = counts.count() // CHUNKS_PER_PARTITION + 1, spark.conf.get(GROUPS_IN_MEMORY)
     spark.conf.set(GROUPS_IN_MEMORY, str(4 * CHUNKS_PER_PARTITION))
     try:
-        best = checkpoint(encode_chunks(counts.select("chunk").repartition(parts, "chunk"), pieces))
+        best = checkpoint(encode_chunks(counts.select("chunk").repartition(parts, "chunk"), needed))
     finally:
         spark.conf.set(GROUPS_IN_MEMORY, before)
-    lexicon = counts.join(best, "chunk")
-    word = lexicon.select("chunk", F.size("ids").alias("pieces"), "score", F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("code"))
-    often = counts.orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk")
+    word = best.select("chunk", F.size("ids").alias("pieces"), "score", F.pmod(F.xxhash64("ids"), F.lit(MOD)).alias("code"))
+    often = F.broadcast(counts.orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk"))
     # Bounded by FREQUENT rows of one chunk each: most places are settled without a shuffle.
     near = F.broadcast(word.join(often, "chunk", "left_semi"))
-    places = rows.select("doc_id", F.posexplode(chunks()).alias("pos", "chunk"))
-    met = places.join(near, "chunk", "left")
-    total = [F.count("*").alias("n_chunks"), F.sum("pieces").alias("n_pieces"), F.sum("score").alias("score"), F.sum(F.expr(f"code * (pos + 1) % {1 << 31}")).alias("digest")]
-    again = [F.sum(c).alias(c) for c in ("n_chunks", "n_pieces", "score", "digest")]
-    first = met.where("code IS NOT NULL").groupBy("doc_id").agg(*total)
-    rest = met.where("code IS NULL").select("doc_id", "pos", "chunk").join(word, "chunk").groupBy("doc_id").agg(*total)
-    sums = first.unionByName(rest).groupBy("doc_id").agg(*again)
+    places = rows.select("doc_id", F.posexplode(chunks(pattern)).alias("pos", "chunk"))
+    # One row a document for its settled places, and one for each other chunk that it has.
+    rare, place = F.when(F.col("code").isNull(), F.col("chunk")).alias("chunk"), F.col("pos") + 1
+    settled = F.sum(F.col("code") * place % MOD)
+    parts = places.join(near, "chunk", "left").groupBy("doc_id", rare).agg(F.count("*").alias("times"), F.sum(place.cast("long")).alias("places"), F.sum("pieces").alias("n_pieces"), F.sum("score").alias("total"), settled.alias("digest"))
+    # Settled rows have no chunk to look up; their document's number spreads them over the partitions.
+    spread = F.coalesce("chunk", F.concat(F.lit("\n"), F.col("doc_id").cast("string"), F.lit("\n")), F.lit("\n")).alias("chunk")
+    joined = parts.select(spread, *(c for c in parts.columns if c != "chunk")).join(word, "chunk", "left")
+    times, code = F.col("times"), F.col("code")
+    sums = joined.groupBy("doc_id").agg(
+        F.sum("times").alias("n_chunks"),
+        F.sum(F.coalesce("n_pieces", times * F.col("pieces"))).alias("n_pieces"),
+        F.sum(F.coalesce("total", times * F.col("score"))).alias("score"),
+        (F.sum(F.coalesce("digest", code * (F.col("places") % MOD) % MOD)) % MOD).alias("digest"),
+    )
     ids = rows.select("doc_id").distinct()
     found = ids.join(sums, ids["doc_id"].eqNullSafe(sums["doc_id"]), "left").select(ids["doc_id"], *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_chunks", "n_pieces")), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("digest", F.lit(0)).cast("long").alias("ids_digest"))
-    return found, lexicon
+    return found, counts.join(best, "chunk")
