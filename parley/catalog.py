@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from parley.operators import identity, intervals, language, library, speech, transcript
 from parley.sources.fixtures import oracle, view
+from parley.streaming import utterances
+from parley.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,13 +140,27 @@ def _(s, d):
     return speech.hysteresis(view(s, d, "vad_frames"))
 
 
-@query("w2_utterances", f"""WITH f AS {STATE}, t AS (SELECT *, CASE WHEN start_sample - lag(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample) < 8000 THEN 0 ELSE 1 END AS new FROM f WHERE speaking),
+UTTERANCES = f"""WITH f AS {STATE}, t AS (SELECT *, CASE WHEN start_sample - lag(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample) < 8000 THEN 0 ELSE 1 END AS new FROM f WHERE speaking),
 i AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY start_sample) AS n FROM t)
-SELECT recording_id, CAST(n AS BIGINT) AS n, greatest(0, min(start_sample) - 3200) AS start_sample, least((SELECT max(end_sample) FROM f WHERE f.recording_id = i.recording_id), max(end_sample) + 3200) AS end_sample FROM i GROUP BY recording_id, n""")
+SELECT recording_id, CAST(n AS BIGINT) AS n, greatest(0, min(start_sample) - 3200) AS start_sample, least((SELECT max(end_sample) FROM f WHERE f.recording_id = i.recording_id), max(end_sample) + 3200) AS end_sample FROM i GROUP BY recording_id, n"""
+
+
+@query("w2_utterances", UTTERANCES)
 def _(s, d):
     return speech.utterances(view(s, d, "vad_frames"))
 
 
+@query("st3_live_utterances", UTTERANCES)
+def _(s, d):
+    """The same frames as a stream in three steps, state kept in between; each recording is ended in the last."""
+    frames = view(s, d, "vad_frames").withColumn("p100", F.col("p100").cast("long"))
+    third = F.floor(F.col("start_sample") * 3 / F.col("observed"))
+    cut = frames.join(frames.groupBy("recording_id").agg(F.max("end_sample").alias("observed")), "recording_id").withColumn("third", third)
+    steps = [cut.where(F.col("third") == k).select(*frames.columns, F.lit(False).alias("ended")) for k in range(3)]
+    steps[2] = steps[2].unionByName(utterances.end_rows(frames))
+    return replay(steps, utterances.live_utterances).where("kind = 'sealed'").select("recording_id", "n", "start_sample", "end_sample")
+
+
 @query("a1_inspection", f"""SELECT *, CASE WHEN speech > 0 THEN 'speech' WHEN uncertain > 0 THEN 'uncertain' WHEN constant > 0 THEN 'constant' ELSE 'no_speech' END AS decision FROM (SELECT recording_id,
 CAST(sum(CASE WHEN NOT constant_block AND speaking THEN 512 ELSE 0 END) AS BIGINT) AS speech, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 >= 35 THEN 512 ELSE 0 END) AS BIGINT) AS uncertain,
 CAST(sum(CASE WHEN constant_block THEN 512 ELSE 0 END) AS BIGINT) AS constant, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 < 35 THEN 512 ELSE 0 END) AS BIGINT) AS negative FROM {STATE} q GROUP BY recording_id) x""")
