@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import identity, intervals, language, library, speech, transcript
+from parley.functions import scalars
+from parley.operators import identity, intervals, language, library, ranges, speech, transcript
 from parley.sources.fixtures import oracle, view
 from parley.streaming import utterances
 from parley.streaming.replay import replay
@@ -327,6 +328,96 @@ def _(s, d):
     return identity.decide(_ranked(s, d))
 
 
+# Ranges
+
+
+def spans(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "lang_probes").select("recording_id", F.col("probe_id").alias("span_id"), "start_sample", "end_sample")
+
+
+CLIPPED = f"""(SELECT t.recording_id, p.probe_id AS span_id, t.speaker, greatest(t.start_sample, p.start_sample) AS start_sample, least(t.end_sample, p.end_sample) AS end_sample
+FROM {T} t JOIN {L} p ON t.recording_id = p.recording_id AND t.start_sample < p.end_sample AND p.start_sample < t.end_sample AND t.start_sample < t.end_sample)"""
+
+
+@query("j20_clipped_turns", f"SELECT * FROM {CLIPPED} q")
+def _(s, d):
+    return ranges.clipped(view(s, d, "turns"), spans(s, d))
+
+
+@query("a16_p27_span_speakers", f"""SELECT p.recording_id, p.probe_id AS span_id, coalesce(string_agg(DISTINCT speaker, ',' ORDER BY speaker), '') AS candidates,
+CASE count(DISTINCT speaker) WHEN 0 THEN 'unassigned' WHEN 1 THEN min(speaker) ELSE 'multiple_speakers' END AS speaker
+FROM {L} p LEFT JOIN {CLIPPED} c ON p.recording_id = c.recording_id AND p.probe_id = c.span_id GROUP BY 1, 2""")
+def _(s, d):
+    return ranges.span_speakers(view(s, d, "turns"), spans(s, d))
+
+
+EPOCHS = f"(SELECT recording_id, language_epoch, min(start_sample) AS start_sample FROM {N} n WHERE NOT late GROUP BY 1, 2)"
+
+
+@query("j4_epoch_at", f"SELECT t.recording_id, t.turn_id, t.start_sample, e.language_epoch FROM {T} t ASOF LEFT JOIN {EPOCHS} e ON t.recording_id = e.recording_id AND t.start_sample >= e.start_sample")
+def _(s, d):
+    epochs = view(s, d, "audio_notices").where("NOT late").groupBy("recording_id", "language_epoch").agg(F.min("start_sample").alias("start_sample"))
+    return ranges.epoch_at(view(s, d, "turns"), epochs)
+
+
+@query("g3_clip_windows", f"""SELECT recording_id, a AS start_sample, CASE WHEN whole THEN z ELSE least(a + 96000, z) END AS end_sample, whole FROM (
+SELECT recording_id, end_sample AS z, end_sample - start_sample <= 160000 AS whole, unnest(CASE WHEN end_sample - start_sample <= 160000 THEN [start_sample] ELSE generate_series(start_sample, end_sample - 32000, 96000) END) AS a
+FROM {ISLANDS} q WHERE end_sample - start_sample >= 32000) x""")
+def _(s, d):
+    return ranges.clip_windows(intervals.islands(view(s, d, "turns")))
+
+
+@query("w15_withdrawn_times", f"""SELECT recording_id, pos, CASE WHEN NOT bad THEN start_sample END AS start_sample, CASE WHEN NOT bad THEN end_sample END AS end_sample FROM (
+SELECT *, coalesce(lag(end_sample) OVER w > start_sample, false) OR coalesce(end_sample > lead(start_sample) OVER w, false) AS bad FROM {P} q WINDOW w AS (PARTITION BY recording_id ORDER BY pos)) x""")
+def _(s, d):
+    return ranges.withdraw_overlapping(view(s, d, "passages"))
+
+
+@query("w14_contiguous", f"""SELECT recording_id, bool_and(touch) AND max(end_sample) = max(duration) AS contiguous FROM (
+SELECT c.*, c.recording_id AS r, (SELECT max(end_sample) FROM {T} t WHERE t.recording_id = c.recording_id) AS duration, coalesce(lag(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample) = start_sample, true) AS touch FROM {ISLANDS} c) x GROUP BY recording_id""")
+def _(s, d):
+    t = view(s, d, "turns")
+    return ranges.contiguous(intervals.islands(t), durations(t, 0))
+
+
+@query("w20_last_edits", f"SELECT * FROM {E} q QUALIFY row_number() OVER (PARTITION BY recording_id, pos ORDER BY edit_id DESC) <= 8")
+def _(s, d):
+    return ranges.last_n(view(s, d, "edits"), ["recording_id", "pos"], "edit_id", 8)
+
+
+INCOMING = "SELECT recording_id, pos, passage_id, CASE WHEN pos % 5 = 2 THEN 'speaker_2' ELSE speaker END AS speaker, CASE WHEN recording_id % 3 = 0 THEN concat(text, '!') ELSE text END AS text, CASE WHEN pos % 4 = 1 THEN start_sample + 160 ELSE start_sample END AS start_sample, end_sample FROM %s q WHERE pos % 7 <> 6 UNION ALL SELECT recording_id, 1000 + pos, concat('new-', passage_id), speaker, text, start_sample, end_sample FROM %s q WHERE pos = 0".replace("% ", "%% ")
+
+
+@query("j10_u6_edited_keys", f"""SELECT coalesce(a.recording_id, b.recording_id) AS recording_id, coalesce(a.passage_id, b.passage_id) AS passage_id,
+CASE WHEN a.pos IS NULL THEN 'new' WHEN b.pos IS NULL THEN 'removed' WHEN a.text IS DISTINCT FROM b.text OR a.speaker IS DISTINCT FROM b.speaker OR a.start_sample IS DISTINCT FROM b.start_sample OR a.end_sample IS DISTINCT FROM b.end_sample THEN 'edited' ELSE 'same' END AS status,
+CASE WHEN a.pos IS NULL OR b.pos IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.text IS DISTINCT FROM b.text THEN 'text' END, CASE WHEN a.speaker IS DISTINCT FROM b.speaker THEN 'speaker' END, CASE WHEN a.start_sample IS DISTINCT FROM b.start_sample THEN 'start' END, CASE WHEN a.end_sample IS DISTINCT FROM b.end_sample THEN 'end' END) END AS edited_keys
+FROM {P} a FULL JOIN ({INCOMING % (P, P)}) b ON a.recording_id = b.recording_id AND a.passage_id = b.passage_id""")
+def _(s, d):
+    p = view(s, d, "passages")
+    return ranges.compare(p, s.sql(INCOMING % ("{p}", "{p}"), p=p))
+
+
+# Scalar rules
+
+
+@query("f9_utterance_ids", f"SELECT recording_id, start_sample, 'utterance-' || substr(sha256(concat_ws(':', CAST(recording_id AS VARCHAR), '0', CAST(start_sample AS VARCHAR))), 1, 24) AS utterance_id FROM ({UTTERANCES}) q")
+def _(s, d):
+    u = speech.utterances(view(s, d, "vad_frames"))
+    return u.select("recording_id", "start_sample", scalars.utterance_id(F.col("recording_id"), F.lit(0), F.col("start_sample")).alias("utterance_id"))
+
+
+@query("f14_quiet_gain", f"SELECT recording_id, start_sample, CASE WHEN p100 = 0 THEN 1.0::DOUBLE ELSE least(256.0::DOUBLE, greatest(1.0::DOUBLE, 0.25::DOUBLE / (p100 / 100.0::DOUBLE))) END AS gain FROM {V} q")
+def _(s, d):
+    return view(s, d, "vad_frames").select("recording_id", "start_sample", scalars.quiet_gain(F.col("p100") / 100.0).alias("gain"))
+
+
+@query("f11_colors", f"""SELECT DISTINCT id, CASE WHEN id = 'unassigned' THEN -1 ELSE CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(id, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8 AS INTEGER) END AS color
+FROM (SELECT speaker AS id FROM {P} p UNION SELECT track_id FROM {CLIPS} c) x""")
+def _(s, d):
+    ids = view(s, d, "passages").select(F.col("speaker").alias("id")).unionByName(view(s, d, "clips").select(F.col("track_id").alias("id"))).distinct()
+    return ids.select("id", scalars.color(F.col("id")).alias("color"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
