@@ -11,7 +11,7 @@ from parley.functions import scalars
 from parley.operators import identity, intervals, language, library, ranges, speech, transcript
 from parley.sources.fixtures import oracle, view
 from parley.streaming import utterances
-from parley.streaming.replay import replay
+from parley.streaming.replay import current, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,17 +151,34 @@ def _(s, d):
     return speech.utterances(view(s, d, "vad_frames"))
 
 
-@query("st3_live_utterances", UTTERANCES)
-def _(s, d):
-    """The same frames as a stream in three steps, state kept in between; each recording is ended in the last."""
+def thirds(s: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
+    """All frames, and the first, second and last third of each recording as stream rows."""
     frames = view(s, d, "vad_frames").withColumn("p100", F.col("p100").cast("long"))
     third = F.floor(F.col("start_sample") * 3 / F.col("observed"))
     cut = frames.join(frames.groupBy("recording_id").agg(F.max("end_sample").alias("observed")), "recording_id").withColumn("third", third)
-    steps = [cut.where(F.col("third") == k).select(*frames.columns, F.lit(False).alias("ended")) for k in range(3)]
+    return frames, [cut.where(F.col("third") == k).select(*frames.columns, F.lit(False).alias("ended")) for k in range(3)]
+
+
+@query("st3_live_utterances", UTTERANCES)
+def _(s, d):
+    """The same frames as a stream in three steps, state kept in between; each recording is ended in the last."""
+    frames, steps = thirds(s, d)
     steps[2] = steps[2].unionByName(utterances.end_rows(frames))
     return replay(steps, utterances.live_utterances).where("kind = 'sealed'").select("recording_id", "n", "start_sample", "end_sample")
 
 
+TWO_THIRDS = f"(SELECT f.* FROM {V} f JOIN (SELECT recording_id, max(end_sample) AS observed FROM {V} g GROUP BY 1) o ON f.recording_id = o.recording_id WHERE f.start_sample * 3 < 2 * o.observed)"
+
+
+@query("st8_current_utterances", f"""SELECT u.*, CASE WHEN end_sample < observed AND observed - (end_sample - 3200) >= 8000 THEN 'sealed' ELSE 'open' END AS kind FROM ({UTTERANCES.replace(V, TWO_THIRDS)}) u
+JOIN (SELECT recording_id, max(end_sample) AS observed FROM {TWO_THIRDS} v GROUP BY 1) o USING (recording_id)""".replace("SELECT u.*,", "SELECT u.recording_id, n, start_sample, end_sample,"))
+def _(s, d):
+    """After two of the three steps: sealed utterances, and the open one of each recording as it then stands."""
+    _, steps = thirds(s, d)
+    found = replay(steps[:2], utterances.live_utterances).where("kind <> 'rejected'")
+    return current(found, ["recording_id", "n"]).select("recording_id", "n", "start_sample", "end_sample", "kind")
+
+
 @query("a1_inspection", f"""SELECT *, CASE WHEN speech > 0 THEN 'speech' WHEN uncertain > 0 THEN 'uncertain' WHEN constant > 0 THEN 'constant' ELSE 'no_speech' END AS decision FROM (SELECT recording_id,
 CAST(sum(CASE WHEN NOT constant_block AND speaking THEN 512 ELSE 0 END) AS BIGINT) AS speech, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 >= 35 THEN 512 ELSE 0 END) AS BIGINT) AS uncertain,
 CAST(sum(CASE WHEN constant_block THEN 512 ELSE 0 END) AS BIGINT) AS constant, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 < 35 THEN 512 ELSE 0 END) AS BIGINT) AS negative FROM {STATE} q GROUP BY recording_id) x""")

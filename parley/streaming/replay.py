@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def replay(steps: list[DataFrame], stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Append each step to a source folder and let the stream take what is new; returns all rows that it put out.
+    """Append each step to a source folder and let the stream take what is new; returns all rows that it put out, with ``batch``.
 
     Every run resumes from the checkpoint of the one before, so state and
     offsets live in the shared folder and not in a process. The sink writes a
@@ -34,3 +35,9 @@ def replay(steps: list[DataFrame], stream: Callable[[DataFrame], DataFrame]) ->
         query = stream(source).writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     return spark.read.parquet(f"{home}/out")
+
+
+def current(found: DataFrame, keys: list[str]) -> DataFrame:
+    """What stands after the last micro-batch: the newest row of each key, so provisional rows give way to final ones."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank", "batch")
