@@ -17,6 +17,8 @@ from parley.operators.speech import KEY, LEAD, OFF, ON, SILENCE
 
 FRAMES = f"{KEY} long, start_sample long, end_sample long, p100 long, constant_block boolean, ended boolean"
 OUT = f"{KEY} long, kind string, n long, start_sample long, end_sample long, reason string"
+#: Longest frame in samples.
+LONGEST = 512
 #: cursor: samples observed so far; first and last: the open utterance (first is -1 when there is none).
 STATE = "cursor long, speaking boolean, n long, first long, last long, closed boolean"
 
@@ -26,7 +28,7 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
     A micro-batch holds a bounded part of a recording (the source's files a trigger), and state is six values.
     Rows: each sealed utterance once, the open one as it now stands, and each
-    rejected frame with its reason (closed, probability, late, gap or endpoint).
+    rejected frame with its reason (closed, probability, length, late, gap or endpoint).
     """
     cursor, speaking, n, first, last, closed = state.get if state.exists else (0, False, 0, -1, -1, False)
     out = []
@@ -39,6 +41,8 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
             reason = "endpoint" if ended else "late" if a < cursor else "gap"
         elif not ended and (pd.isna(p) or not 0 <= p <= 100 or b <= a):
             reason = "probability"
+        elif not ended and b - a > LONGEST:
+            reason = "length"
         if reason:
             out.append((key[0], "rejected", None, a, b, reason))
             continue

@@ -33,11 +33,11 @@ def test_any_cut_gives_the_batch_result(spark, seed):
 
 def test_rejected_frames_change_nothing(spark):
     good = [(1, 0, 512, 90, False, False), (1, 512, 1024, 90, False, False)]
-    bad = [(1, 0, 512, 90, False, False), (1, 4096, 4608, 90, False, False), (1, 1024, 1536, 300, False, False), (1, 9999, 9999, 0, False, True), (None, 0, 512, 90, False, False), (1, None, 512, 90, False, False)]
+    bad = [(1, 0, 512, 90, False, False), (1, 4096, 4608, 90, False, False), (1, 1024, 1536, 300, False, False), (1, 1024, 1537, 90, False, False), (1, 9999, 9999, 0, False, True), (None, 0, 512, 90, False, False), (1, None, 512, 90, False, False)]
     end, after = [(1, 1024, 1024, 0, False, True)], [(1, 1024, 1536, 90, False, False)]  # within one micro-batch a frame goes before an end at its start
     found = replay([spark.createDataFrame(x, utterances.FRAMES) for x in (good, bad, end, after)], utterances.live_utterances)
     rejected = sorted((x.start_sample, x.reason) for x in found.where("kind = 'rejected'").collect())
-    assert rejected == [(0, "late"), (1024, "closed"), (1024, "probability"), (4096, "gap"), (9999, "endpoint")]
+    assert rejected == [(0, "late"), (1024, "closed"), (1024, "length"), (1024, "probability"), (4096, "gap"), (9999, "endpoint")]
     sealed = found.where("kind = 'sealed'").select("n", "start_sample", "end_sample").collect()
     assert [tuple(x) for x in sealed] == [(1, 0, 1024)]
 
