@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import bounded_batches, checkpoint, connected_components
+from .common import bounded_batches, checkpoint, connected_components, hashed_share
 
 #: Seed of the shingle hash (fixed value).
 SEED = 42
@@ -101,7 +101,8 @@ def wide_families(bits: int = 256, exact: int = 8, count: int = 32) -> list[tupl
 
 
 def with_keys(prints: DataFrame, families: list[tuple[list[int], list[int]]]) -> DataFrame:
-    """(node, f0, key): a row for each key (long) of each fingerprint, with its first 64 bits for verification."""
+    """(node, f0, key): a row for each key (long) of each fingerprint, with its first 64 bits for verification; and component, if given."""
+    more = [c for c in ("component",) if c in prints.columns]
     names = [c for c in prints.columns if c[0] == "f" and c[1:].isdigit()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,9 +113,9 @@ def with_keys(prints: DataFrame, families: list[tuple[list[int], list[int]]]) ->
                 near = golay.keys(number(fuzzy))
                 key = (f << 40) | (number(same) << golay.MESSAGE)
                 row, at = np.nonzero(near >= 0)
-                yield pd.DataFrame({"node": b["node"].to_numpy()[row], "f0": b["f0"].to_numpy()[row], "key": key[row] | near[row, at]})
+                yield pd.DataFrame({"node": b["node"].to_numpy()[row], "f0": b["f0"].to_numpy()[row], **{c: b[c].to_numpy()[row] for c in more}, "key": key[row] | near[row, at]})
 
-    return prints.mapInPandas(run, "node long, f0 long, key long")
+    return prints.mapInPandas(run, "node long, f0 long, " + "".join(f"{c} long, " for c in more) + "key long")
 
 
 #: Bits in which two joined fingerprints differ among their first 64.
@@ -133,16 +134,50 @@ def near_fingerprints(prints: DataFrame, families=None, distance: int = 3) -> Da
     return a.join(b, close).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
 
 
-def leaders(prints: DataFrame, families, distance: int) -> DataFrame:
-    """(src, dst): each fingerprint with the smallest node under each of its keys, if within ``distance``.
+def leaders(prints: DataFrame, families, distance: int, seed: int = 0) -> DataFrame:
+    """(src, dst): each fingerprint with one node under each of its keys, if within ``distance`` and of another component.
 
-    Its rows grow with the fingerprints, however many of them are alike.
+    That node is the smallest for seed 0, else the smallest by a hash. The
+    rows grow with the fingerprints, however many of them are alike.
     """
     keyed = with_keys(prints, families)
-    first = keyed.groupBy("key").agg(F.min(F.struct("node", "f0")).alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low.*")
+    rank = F.xxhash64(F.lit(seed), "node") if seed else F.col("node")
+    first = keyed.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "component", "f0")).alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low.*")
     a, b = keyed.alias("a"), first.alias("b")
-    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & F.expr(f"{DIFFERING} <= {distance}")
-    return a.join(b, close).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
+    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"{DIFFERING} <= {distance}")
+    return a.join(b, close).select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
+
+
+#: Share of the nodes in which keys with many rows are looked for, and the rows there from which a key is one.
+HOT_SHARE, HOT_ROWS = 1 / 16, 16
+
+
+def across(prints: DataFrame, families, distance: int) -> DataFrame:
+    """(src, dst): all nodes of different components with a common key and within ``distance``.
+
+    Keys with many rows are joined by pairs of components, so that members of
+    one component are never set against each other. Which keys those are is
+    estimated on a sample; it decides the way only, not the result.
+    """
+    sample = with_keys(prints.where(hashed_share(F.col("node"), HOT_SHARE, 3)), families)
+    hot = checkpoint(sample.groupBy("key").count().where(F.col("count") >= HOT_ROWS).select("key"))
+    keyed = with_keys(prints, families)
+    src, dst = F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")
+    some = hot.limit(1).count() > 0
+    cold = keyed.join(F.broadcast(hot), "key", "left_anti") if some else keyed
+    a, b = cold.alias("a"), cold.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"{DIFFERING} <= {distance}")
+    found = a.join(b, apart).select(src, dst)
+    if some:
+        rows = checkpoint(keyed.join(F.broadcast(hot), "key", "left_semi"))
+        groups = rows.select("key", "component").distinct()
+        x, y = groups.alias("x"), groups.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select("x.key", F.col("x.component").alias("one"), F.col("y.component").alias("other"))
+        a, b = rows.alias("a"), rows.alias("b")
+        left = pairs.alias("p").join(a, (F.col("p.key") == F.col("a.key")) & (F.col("p.one") == F.col("a.component"))).select("p.key", "p.other", F.struct("a.node", "a.f0").alias("a"))
+        close = (F.col("key") == F.col("b.key")) & (F.col("other") == F.col("b.component")) & F.expr(f"{DIFFERING} <= {distance}")
+        found = found.unionByName(left.join(b, close).select(src, dst))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +204,7 @@ WIDE_DISTANCE = 19
 SKETCH = 128
 
 
-def verified(links: DataFrame, sketches: DataFrame, similarity: float = 0.8) -> DataFrame:
+def verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: float = 0.8) -> DataFrame:
     """The links whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Exact where both sketches hold all shingles; else the estimate may be one
@@ -186,21 +221,31 @@ def verified(links: DataFrame, sketches: DataFrame, similarity: float = 0.8) ->
 def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: int = WIDE_DISTANCE, first: int = 8, count: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for documents alike at a Jaccard similarity of 0.8 or more.
 
-    256-bit fingerprints of 5-word shingles find candidates: round one links
-    each fingerprint to the smallest under each key of ``first`` families and
-    merges, which folds large groups of near copies in linear work; round two
-    joins the groups' smallest members over all families. Links are verified
-    on shingle sketches. Null, empty or blank texts have fingerprint zero and
-    form one group. Repeated ids are one document.
+    256-bit fingerprints of 5-word shingles find candidates. Two rounds link
+    each fingerprint to one other under each key of ``first`` families and
+    merge, which folds large groups of near copies in linear work. The last
+    round joins all fingerprints over all families but for pairs that are
+    already connected. Links are verified on shingle sketches.
+    Documents of the same fingerprint and sketch are one node. Null, empty or
+    blank texts have fingerprint zero and form one group. Repeated ids are one
+    document; rows with a null id have no component unless
+    they are a copy of another.
     """
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = [f"f{i}" for i in range(longs)]
     families = wide_families(64 * longs, count=count)
-    prints = checkpoint(fingerprints(docs, words, longs, SKETCH, id_col, text_col))
-    nodes = checkpoint(prints.select("doc_id", *names).groupBy(*names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
+    prints = checkpoint(fingerprints(docs, words, longs, SKETCH).withColumn("own", F.xxhash64("sketch")))
+    nodes = checkpoint(prints.select("doc_id", "own", *names).groupBy("own", *names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
     sketches = prints.select(F.col("doc_id").alias("node"), "sketch").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    folded = checkpoint(connected_components(verified(leaders(nodes, families[:first], distance), sketches)))
-    left = nodes.join(folded.where("node <> component"), "node", "left_anti")
-    links = verified(checkpoint(near_fingerprints(left, families, distance).distinct()), sketches)
-    component = connected_components(links.unionByName(folded.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
-    best = nodes.join(component, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", *names).join(best, names, "left").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    texts = docs.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
+    known = nodes.select("node", F.col("node").alias("component"))
+    links = None
+    for find in (lambda x: leaders(x, families[:first], distance), lambda x: leaders(x, families[:first], distance, 1), lambda x: across(x, families, distance)):
+        now = nodes.select("node", *names).join(known, "node")
+        found = verified(checkpoint(find(now)), sketches, texts, words)
+        links = connected_components(found if links is None else found.unionByName(links)).select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        links = checkpoint(links)
+        known = nodes.select("node").join(links.select(F.col("src").alias("node"), F.col("dst").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    best = nodes.join(known, "node").select("own", *names, F.col("component").alias("component_id"))
+    return prints.select("doc_id", "own", *names).join(best, ["own", *names], "left").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
