@@ -199,23 +199,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Bits of the first 64 in which documents at a similarity of 0.8 differ: 10 on average, 19 three deviations above.
 #: Unrelated documents are as close once in a thousand; sketches decide.
 WIDE_DISTANCE = 19
-#: Shingle hashes kept for verification. Documents of no more shingles are compared exactly;
-#: for longer ones the estimate's standard error is at most 0.035.
+#: Shingle hashes kept of each document. Documents of fewer shingles are compared by them exactly.
 SKETCH = 128
+#: Estimates below this are clear misses: over four standard errors (0.035) under the limit of 0.8.
+CLEAR_MISS = 0.65
 
 
-def verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: float = 0.8) -> DataFrame:
-    """The links whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of all word shingles of a text."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+
 
-    Exact where both sketches hold all shingles; else the estimate may be one
-    standard error lower, so that pairs at the limit are found.
+def plausible(links: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, sure): the links without those that the sketches rule out.
+
+    Where both sketches hold all shingles the similarity is exact and the link
+    is sure; else only clear misses are left out.
     """
     a = sketches.select(F.col("node").alias("src"), F.col("sketch").alias("a"))
     b = sketches.select(F.col("node").alias("dst"), F.col("sketch").alias("b"))
-    low = F.slice(F.array_sort(F.array_union("a", "b")), 1, F.when((F.size("a") < SKETCH) & (F.size("b") < SKETCH), 2 * SKETCH).otherwise(SKETCH))
+    sure = (F.size("a") < SKETCH) & (F.size("b") < SKETCH)
+    low = F.slice(F.array_sort(F.array_union("a", "b")), 1, F.when(sure, 2 * SKETCH).otherwise(SKETCH))
     share = F.size(F.array_intersect(F.array_intersect(low, "a"), F.col("b"))) / F.greatest(F.size(low), F.lit(1))
-    least = F.when((F.size("a") < SKETCH) & (F.size("b") < SKETCH), similarity).otherwise(similarity - 0.035)
-    return links.join(a, "src").join(b, "dst").where(share >= least).select("src", "dst")
+    return links.join(a, "src").join(b, "dst").where(share >= F.when(sure, similarity).otherwise(CLEAR_MISS)).select("src", "dst", sure.alias("sure"))
+
+
+def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links whose whole shingle sets have a Jaccard similarity of ``similarity`` or more; texts has (node, text)."""
+    own = texts.join(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
+    pairs = links.join(own.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(own.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, of = None, None
+        for batch in batches:
+            kept = []
+            for dst, a, b in zip(batch["dst"], batch["a"], batch["b"], strict=True):
+                if dst != last:  # a sort-merge join sorts pairs by dst, so a leader's shingles are made once
+                    last, of = dst, shingles(b, words)
+                x = shingles(a, words)
+                both = len(np.intersect1d(x, of, assume_unique=True))
+                kept.append(both >= similarity * (len(x) + len(of) - both))
+            yield batch.loc[kept, ["src", "dst"]]
+
+    return pairs.select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
+
+
+def verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: float = 0.8) -> DataFrame:
+    """(src, dst): the links of an exact Jaccard similarity of ``similarity`` or more; sketches only rule out."""
+    left = checkpoint(plausible(links, sketches, similarity))
+    return left.where("sure").select("src", "dst").unionByName(alike(left.where("NOT sure").select("src", "dst"), texts, words, similarity))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: int = WIDE_DISTANCE, first: int = 8, count: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +259,7 @@ def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: in
     each fingerprint to one other under each key of ``first`` families and
     merge, which folds large groups of near copies in linear work. The last
     round joins all fingerprints over all families but for pairs that are
-    already connected. Links are verified on shingle sketches.
+    already connected. Every link is verified on the whole shingle sets.
     Documents of the same fingerprint and sketch are one node. Null, empty or
     blank texts have fingerprint zero and form one group. Repeated ids are one
     document; rows with a null id have no component unless

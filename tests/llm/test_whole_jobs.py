@@ -59,3 +59,19 @@ def test_large_group_of_edited_copies(spark):
     far = edited(r, texts[7], 2)
     texts |= {1000: far, 1001: edited(r, far, 2)}
     assert groups(spark, texts) == components(texts, [(i, j) for i in texts for j in texts if i < j])
+
+
+def test_similarity_is_exact_at_the_limit(spark):
+    r, texts, among = random.Random(13), {}, []
+    for n in range(60):
+        base = r.choices(WORDS, k=400)
+        texts |= {2 * n: base, 2 * n + 1: edited(r, base, 7 + n % 6)}
+        among.append((2 * n, 2 * n + 1))
+    assert {similarity(texts[i], texts[j]) >= 0.8 for i, j in among} == {True, False}
+    assert groups(spark, texts) == components(texts, among)
+
+
+def test_text_decides_not_the_commonest_shingle(spark):
+    base = ["same"] * 60
+    texts = {0: base, 1: [*base, *(f"a{i}" for i in range(20))], 2: [*base, *(f"b{i}" for i in range(20))]}
+    assert groups(spark, texts) == {0: 0, 1: 1, 2: 2}
