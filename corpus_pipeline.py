@@ -13,8 +13,11 @@ from parley.llm import langid, packing, quality, simhash
 from parley.llm.common import checkpoint
 from parley.llm.queries import tokenizer_path
 
-#: Below this the language of a document is not clear enough; clean prose in one language scores close to 1.
-SURE_LANGUAGE = 0.3
+#: How far the mean log-likelihood of an n-gram may be below that of the language's learning texts: a part for all
+#: texts, and one over the root of the number of n-grams for short ones. Random letters are about 5 below.
+LEAST_FIT, SHORT_TEXTS = -0.8, 6.0
+#: Share of a text that must be in passages of the text's own language. Fixed with LEAST_FIT on held-out texts of sf0.1.
+LEAST_AGREEMENT = 0.75
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +26,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, quality.fit(docs, labels)).where(F.col("_quality.score") >= quality.KEEP_FROM).select(*docs.columns)
 
 
+def one_language(found: F.Column) -> F.Column:
+    """Whether langid.examiner found a text to be in one of the languages, and in one alone."""
+    fits = found["fit"] >= LEAST_FIT - SHORT_TEXTS / F.sqrt(found["n"])
+    return (found["lang_pred"] != langid.UNKNOWN) & fits & (found["agreement"] >= LEAST_AGREEMENT)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no letters) or with none that stands out. Learns as the query does."""
+    """Drops documents without letters, of letters that are no known language, or of mixed languages. Learns as the query does."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
     langid.bounded_batches(spark)
-    found = langid.predictor(spark, model)(F.col("text"))
-    kept = (F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= SURE_LANGUAGE)
-    return docs.withColumn("_found", found).where(kept).select(*docs.columns)
+    found = langid.examiner(spark, model)(F.col("text"))
+    return docs.withColumn("_found", found).where(one_language(F.col("_found"))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches
-from .ngrams import blocks, buckets, code_points
+from .ngrams import SPACE, blocks, buckets, code_points
 
 BITS, ORDERS = 16, (1, 2, 3)
 #: About so many labelled texts of each language are learned from.
@@ -27,6 +27,8 @@ TEXTS_PER_LANGUAGE = 4000
 LANGUAGES = 200
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Characters of a passage, whose own language is compared with the text's, and passages taken at once.
+PASSAGE, PASSAGES = 200, 80
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -40,6 +42,10 @@ class Model:
     log_probability: np.ndarray  # (2 ** BITS, languages), float32
     prior: np.ndarray
 
+    def __post_init__(self) -> None:
+        #: Mean log-likelihood of an n-gram of each language's learning texts.
+        self.own = np.array([np.exp(p) @ p for p in self.log_probability.T.astype(float)])
+
     def score(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and how sure that is: 1 / number of languages up to 1.
 
@@ -60,6 +66,37 @@ class Model:
         best = int(p.argmax())
         return self.languages[best], float(p[best] / p.sum())
 
+    def evidence(self, text: str | None) -> tuple[str, float, float, int]:
+        """The likeliest language, its fit, agreement, and the number of n-grams.
+
+        fit is the mean log-likelihood of an n-gram less that of the language's
+        own learning texts: about 0 for its prose. agreement is the share of
+        n-grams in passages for which the same language is the likeliest.
+        Neither depends on the number of languages.
+        """
+        if not text or not self.languages or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, 0.0, 0
+        c, sums, sizes = code_points(text, True), [], []
+        for at in range(0, max(1, len(c) - max(ORDERS) + 1), PASSAGE * PASSAGES):
+            some = c[at : at + PASSAGE * PASSAGES + max(ORDERS) - 1]
+            cuts = np.arange(0, PASSAGE * PASSAGES + 1, PASSAGE)
+            total, size = np.zeros((PASSAGES, len(self.languages))), np.zeros(PASSAGES, dtype=np.int64)
+            for n in ORDERS:
+                found = buckets(some, BITS, (n,), False)
+                second = min(1, n - 1)
+                own = np.flatnonzero(~((some[: len(found)] == SPACE) & (some[second : len(found) + second] == SPACE)))
+                own = own[own < PASSAGE * PASSAGES]
+                bounds = np.searchsorted(own, cuts)
+                rows = np.zeros((len(own) + 1, len(self.languages)))
+                np.cumsum(self.log_probability[found[own]], axis=0, dtype=np.float64, out=rows[1:])
+                total += rows[bounds[1:]] - rows[bounds[:-1]]
+                size += np.diff(bounds)
+            sums.append(total[size > 0])
+            sizes.append(size[size > 0])
+        passages, n = np.concatenate(sums), np.concatenate(sizes)
+        best = int((passages.sum(axis=0) + self.prior).argmax())
+        return self.languages[best], float(passages[:, best].sum() / n.sum() - self.own[best]), float(n[passages.argmax(axis=1) == best].sum() / n.sum()), int(n.sum())
+
 
 def bounded_sample(labelled: DataFrame, label: str, per_label: int, labels: int, id_col: str) -> tuple[DataFrame, list]:
     """About ``per_label`` rows of each of the ``labels`` most frequent labels, chosen by a hash of the id; and the labels."""
@@ -111,6 +148,18 @@ def predictor(spark, model: Model):
     return predict
 
 
+def examiner(spark, model: Model):
+    """A column function: text -> struct(lang_pred, fit, agreement, n) of Model.evidence."""
+    sent = spark.sparkContext.broadcast(model)
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("fit", T.DoubleType()), T.StructField("agreement", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    @F.pandas_udf(kind)
+    def examine(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sent.value.evidence(t) for t in text], columns=["lang_pred", "fit", "agreement", "n"])
+
+    return examine
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row.
 

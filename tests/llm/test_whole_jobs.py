@@ -75,3 +75,22 @@ def test_text_decides_not_the_commonest_shingle(spark):
     base = ["same"] * 60
     texts = {0: base, 1: [*base, *(f"a{i}" for i in range(20))], 2: [*base, *(f"b{i}" for i in range(20))]}
     assert groups(spark, texts) == {0: 0, 1: 1, 2: 2}
+
+
+def test_language_stage_drops_junk_and_mixtures(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(14)
+    by = {}
+    for x in d.where("length(text) BETWEEN 700 AND 5000").orderBy("doc_id").limit(300).collect():
+        by.setdefault(x.lang, []).append(x.text[:600])
+    names = sorted(by)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(r.choice([100, 2000]))) for _ in range(40)]
+    mixed = ["\n".join(r.choice(by[x]) for x in r.sample(names, r.choice([2, 3]))) for _ in range(40)]
+    added = spark.createDataFrame([(10**7 + i, t, None) for i, t in enumerate(junk)] + [(2 * 10**7 + i, t, None) for i, t in enumerate(mixed)], d.schema)
+    kept = [x.doc_id for x in corpus_pipeline.language_stage(spark, d.unionByName(added), sf).select("doc_id").collect()]
+    assert sum(i < 10**7 for i in kept) >= 0.97 * d.count()
+    assert sum(10**7 <= i < 2 * 10**7 for i in kept) == 0
+    assert sum(i >= 2 * 10**7 for i in kept) <= 4
