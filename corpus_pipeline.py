@@ -45,11 +45,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies.
 
-    Rows with a null id stay; repeated rows of one id are reduced to one.
+    Rows with a null id all stay; rows of one id are reduced to the first by the text's hash.
     """
-    kept = simhash.similar_groups(docs).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    own = docs.dropDuplicates(["doc_id"]) if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
-    return own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    own = simhash.one_row_per_id(docs)
+    dropped = simhash.similar_groups(own).where("doc_id <> component_id").select("doc_id")
+    return own.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

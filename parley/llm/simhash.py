@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import golay
@@ -252,6 +252,17 @@ def verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, words: int
     return left.where("sure").select("src", "dst").unionByName(alike(left.where("NOT sure").select("src", "dst"), texts, words, similarity))
 
 
+def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, but of those that share an id the first by the text's hash, then the text. Rows with a null id all stay."""
+    repeated = checkpoint(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    if not repeated.limit(1).count():
+        return docs
+    others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and not kind.startswith(("map", "variant"))]
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col, *others)
+    first = docs.join(repeated, id_col, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    return docs.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(first)
+
+
 def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: int = WIDE_DISTANCE, first: int = 8, count: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for documents alike at a Jaccard similarity of 0.8 or more.
 
@@ -262,17 +273,17 @@ def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: in
     already connected. Every link is verified on the whole shingle sets.
     Documents of the same fingerprint and sketch are one node. Null, empty or
     blank texts have fingerprint zero and form one group. Repeated ids are one
-    document; rows with a null id have no component unless
+    document (one_row_per_id); rows with a null id have no component unless
     they are a copy of another.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = one_row_per_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     names = [f"f{i}" for i in range(longs)]
     families = wide_families(64 * longs, count=count)
     prints = checkpoint(fingerprints(docs, words, longs, SKETCH).withColumn("own", F.xxhash64("sketch")))
     nodes = checkpoint(prints.select("doc_id", "own", *names).groupBy("own", *names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    sketches = prints.select(F.col("doc_id").alias("node"), "sketch").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    texts = docs.select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"])
+    sketches = prints.select(F.col("doc_id").alias("node"), "sketch").join(nodes.select("node"), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
     known = nodes.select("node", F.col("node").alias("component"))
     links = None
     for find in (lambda x: leaders(x, families[:first], distance), lambda x: leaders(x, families[:first], distance, 1), lambda x: across(x, families, distance)):

@@ -94,3 +94,14 @@ def test_language_stage_drops_junk_and_mixtures(spark):
     assert sum(i < 10**7 for i in kept) >= 0.97 * d.count()
     assert sum(10**7 <= i < 2 * 10**7 for i in kept) == 0
     assert sum(i >= 2 * 10**7 for i in kept) <= 4
+def test_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    t = lambda seed: " ".join(random.Random(seed).choices(WORDS, k=30))
+    rows = [(None, t(1)), (None, t(2)), (None, t(2)), (5, t(3)), (5, t(4)), (5, t(5)), (6, t(6)), (6, t(6)), (7, t(7)), (8, t(7))]
+    got = []
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got.append(sorted(((x.doc_id or 0, x.text) for x in corpus_pipeline.near_duplicate_stage(spark, d, "").collect())))
+    assert got[0] == got[1]
+    assert [i for i, _ in got[0]] == [0, 0, 0, 5, 6, 7] and [x for i, x in got[0] if not i] == sorted([t(1), t(2), t(2)])
