@@ -9,7 +9,9 @@ once: its substrings, bounded by the longest piece that begins with the same two
 characters, are exploded and equi-joined to the piece table, the edges are
 grouped by chunk, and an ordered fold finds the path with the highest sum of
 scores (Viterbi). A character without a piece costs the lowest score less 10
-and is written as byte pieces.
+and is written as byte pieces. Documents are put together from the lexicon: places
+of frequent chunks by a broadcast table, those of others by a join, in order under
+a number of the row.
 
 A piece whose own characters have a better path without it is on no best path;
 the lattice of the pieces themselves finds these, and they are left out of the
@@ -21,16 +23,22 @@ stores; greedy pair merging can choose another path.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import bounded_batches, checkpoint
 
 SPACE = "▁"
 #: Chunks whose encoding is sent to every executor: the most frequent ones (bound).
 FREQUENT = 100_000
 UNKNOWN_PENALTY = 10.0
-MOD = 1 << 31
+#: Chunks of a document that are handled at once; a longer document is cut into such parts.
+PART = 8192
 #: Chunks in a partition of the lattice: their edges are grouped in memory, some 20 for each chunk.
 CHUNKS_PER_PARTITION = 15_000
 GROUPS_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -144,15 +152,41 @@ def decode_chunks(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     return joined.select("chunk", F.decode(F.unhex(F.array_join(F.transform("codes", lambda x: x["code"]), "")), "UTF-8").alias("decoded"))
 
 
+def decoder(pieces: DataFrame):
+    """A column function: the ids of a whole document -> its text.
+
+    The table is broadcast. Byte pieces become their bytes, bytes that aren't
+    UTF-8 and unknown ids U+FFFD, U+2581 a space; the space put before the text goes.
+    """
+    rows = pieces.select("id", "piece", "kind").collect()  # a vocabulary
+    table = np.full(max((r.id for r in rows), default=0) + 2, "\ufffd".encode(), dtype=object)  # the last is for id -1
+    for r in rows:
+        table[r.id] = bytes([int(r.piece[3:5], 16)]) if r.kind == "byte" else r.piece.encode("utf-8")
+    sent = pieces.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("string")
+    def decode_ids(ids: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(sent.value[np.asarray(x, dtype=np.int64)]).decode("utf-8", "replace").replace(SPACE, " ")[1:] for x in ids], dtype=object)
+
+    return decode_ids
+
+
+def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(doc_id, text) for every row of encoded documents (doc_id, ids)."""
+    bounded_batches(encoded.sparkSession)
+    return encoded.select("doc_id", decoder(pieces)(F.col("ids")).alias("text"))
+
+
 def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, lexicon) for whole texts.
 
-    lexicon has chunk, n (places in the corpus), ids, score. documents has
-    doc_id, n_chunks, n_pieces, score (sum over chunks), ids_digest: the sum
-    over chunks of (xxhash64(ids) mod 2**31) times the chunk's number from 1,
-    mod 2**31, so that it tells order and content apart. Null and empty texts have no
-    chunks. Rows of one doc_id are one document only if they are the same row.
+    lexicon has chunk, n (places in the corpus), ids, score. documents has a
+    row for each row of ``docs``: doc_id, n_chunks, n_pieces, score (sum over
+    chunks), ids (all pieces in order), ids_crc32 (of the ids as little-endian
+    32-bit numbers) and source, xxhash64 of the text. Null and empty texts have
+    no chunks.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pattern, needed = cut_pattern(pieces), checkpoint(needed_pieces(pieces))
     counts = rows.select(F.explode(chunks(pattern)).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
@@ -165,25 +199,80 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
         best = checkpoint(encode_chunks(counts.select("chunk").repartition(parts, "chunk"), needed))
     finally:
         spark.conf.set(GROUPS_IN_MEMORY, before)
-    word = best.select("chunk", F.size("ids").alias("pieces"), "score", F.pmod(F.xxhash64("ids"), F.lit(MOD)).alias("code"))
-    often = F.broadcast(counts.orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk"))
-    # Bounded by FREQUENT rows of one chunk each: most places are settled without a shuffle.
-    near = F.broadcast(word.join(often, "chunk", "left_semi"))
-    places = rows.select("doc_id", F.posexplode(chunks(pattern)).alias("pos", "chunk"))
-    # One row a document for its settled places, and one for each other chunk that it has.
-    rare, place = F.when(F.col("code").isNull(), F.col("chunk")).alias("chunk"), F.col("pos") + 1
-    settled = F.sum(F.col("code") * place % MOD)
-    parts = places.join(near, "chunk", "left").groupBy("doc_id", rare).agg(F.count("*").alias("times"), F.sum(place.cast("long")).alias("places"), F.sum("pieces").alias("n_pieces"), F.sum("score").alias("total"), settled.alias("digest"))
-    # Settled rows have no chunk to look up; their document's number spreads them over the partitions.
-    spread = F.coalesce("chunk", F.concat(F.lit("\n"), F.col("doc_id").cast("string"), F.lit("\n")), F.lit("\n")).alias("chunk")
-    joined = parts.select(spread, *(c for c in parts.columns if c != "chunk")).join(word, "chunk", "left")
-    times, code = F.col("times"), F.col("code")
-    sums = joined.groupBy("doc_id").agg(
-        F.sum("times").alias("n_chunks"),
-        F.sum(F.coalesce("n_pieces", times * F.col("pieces"))).alias("n_pieces"),
-        F.sum(F.coalesce("total", times * F.col("score"))).alias("score"),
-        (F.sum(F.coalesce("digest", code * (F.col("places") % MOD) % MOD)) % MOD).alias("digest"),
-    )
-    ids = rows.select("doc_id").distinct()
-    found = ids.join(sums, ids["doc_id"].eqNullSafe(sums["doc_id"]), "left").select(ids["doc_id"], *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_chunks", "n_pieces")), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("digest", F.lit(0)).cast("long").alias("ids_digest"))
-    return found, counts.join(best, "chunk")
+    # At most FREQUENT rows of one chunk each: most places are settled without a shuffle.
+    often = best.join(F.broadcast(counts.orderBy(F.desc("n"), "chunk").limit(FREQUENT)), "chunk").orderBy(F.desc("n"), "chunk").select("chunk", "ids", "score").collect()
+    number = spark.sparkContext.broadcast({r.chunk: i for i, r in enumerate(often)})
+    sizes = np.array([len(r.ids) for r in often] + [0], dtype=np.int64)  # the last is for places of other chunks
+    flat = np.array([x for r in often for x in r.ids], dtype=np.int32)
+    known = spark.sparkContext.broadcast((flat, np.cumsum(sizes) - sizes, sizes, np.array([r.score for r in often] + [0.0])))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each part of a document: the numbers of its frequent chunks, -1 for others, and those others."""
+        of = number.value.get
+        for b in batches:
+            found = []
+            for row, doc_id, source, words in zip(b["row"], b["doc_id"], b["source"], b["chunks"], strict=True):
+                for part, at in enumerate(range(0, max(1, len(words)), PART)):
+                    some = words[at : at + PART]
+                    codes = np.fromiter((of(w, -1) for w in some), dtype="<i4", count=len(some))
+                    found.append((row, part, doc_id, source, zlib.compress(codes.tobytes(), 1), some[np.flatnonzero(codes < 0)]))
+            yield pd.DataFrame(found, columns=["row", "part", "doc_id", "source", "codes", "others"])
+
+    # Rows are numbered once; the checkpoint keeps the numbers. Longs beside nulls would become doubles in pandas, so some travel as text.
+    whole = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string").alias("source"), chunks(pattern).alias("chunks"))
+    whole = checkpoint(whole.mapInPandas(cut, "row long, part int, doc_id string, source string, codes binary, others array<string>"))
+    none = lambda t: F.lit(None).cast(t)
+    others = whole.select("row", "part", F.posexplode("others").alias("k", "chunk")).join(best, "chunk")
+    others = others.select("row", "part", "k", none("string").alias("doc_id"), none("string").alias("source"), none("binary").alias("codes"), "ids", "score")
+    parts_of = whole.select("row", "part", F.lit(-1).alias("k"), "doc_id", "source", "codes", none("array<int>").alias("ids"), none("double").alias("score"))
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by document, part and place: a part first, then the ids of its other chunks in order."""
+        flat, starts, sizes, scores = known.value
+        doc: list = []  # row, doc_id, source, n_chunks, score, arrays of ids
+
+        def close_part(codes, fills: list) -> None:
+            own = sizes[codes]  # -1 takes the last
+            at_others = np.flatnonzero(codes < 0)
+            assert len(at_others) == len(fills), "a chunk is missing in the lexicon"
+            place = np.repeat(starts[codes] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            ids = flat[place]
+            if fills:
+                before = (np.cumsum(own) - own)[at_others]
+                ids = np.insert(ids, np.repeat(before, [len(x) for x in fills]), np.concatenate(fills)).astype(np.int32)
+            doc[3] += len(codes)
+            doc[4] += float(scores[codes].sum())
+            doc[5].append(ids)
+
+        def finished() -> tuple:
+            _, doc_id, source, n, score, arrays = doc
+            ids = np.concatenate(arrays)
+            return doc_id, n, len(ids), score, ids, zlib.crc32(ids.astype("<i4").tobytes()), source
+
+        names = ["doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", "source"]
+        codes, fills = None, []
+        for b in batches:
+            out = []
+            for row, k, doc_id, source, packed, ids, score in zip(*(b[c].astype(object) for c in ("row", "k", "doc_id", "source", "codes", "ids", "score")), strict=True):
+                if k >= 0:
+                    fills.append(np.asarray(ids, dtype=np.int32))
+                    doc[4] += score
+                    continue
+                if codes is not None:
+                    close_part(codes, fills)
+                if doc and doc[0] != row:
+                    out.append(finished())
+                    doc.clear()
+                if not doc:
+                    doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, 0.0, []])
+                codes, fills = np.frombuffer(zlib.decompress(packed), dtype="<i4"), []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if codes is not None:
+            close_part(codes, fills)
+            yield pd.DataFrame([finished()], columns=names)
+
+    ordered = parts_of.unionByName(others).repartition("row").sortWithinPartitions("row", "part", "k")
+    found = ordered.mapInPandas(put_together, "doc_id string, n_chunks long, n_pieces long, score double, ids array<int>, ids_crc32 long, source string")
+    return found.withColumns({"doc_id": F.col("doc_id").cast(kind), "source": F.col("source").cast("long")}), counts.join(best, "chunk")

@@ -59,8 +59,10 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = pieces.encode(table(spark, sf_dir, "documents"), pieces.piece_table(spark, tokenizer_path("piece_bpe_32k.model")))
-    return found
+    vocabulary = pieces.piece_table(spark, tokenizer_path("piece_bpe_32k.model"))
+    found, _ = pieces.encode(table(spark, sf_dir, "documents"), vocabulary)
+    decodes = F.xxhash64(pieces.decoder(vocabulary)(F.col("ids"))) == F.col("source")
+    return found.select("doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", decodes.alias("decodes"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
