@@ -35,7 +35,6 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 #: The writer's stream: MPEG-1, Layer III, checksum, 44,100 samples a second, one channel.
 SIDE, RATE, OWN = 17, 44100, 1152
-SEEK_EVERY = 64
 
 
 @lru_cache(maxsize=1)
@@ -154,8 +153,7 @@ def decode(data: bytes) -> dict:
             if flags & 4:
                 out["toc"] = main[p : p + 100]
         else:
-            if out["frames"] % SEEK_EVERY == 0:
-                out["seek"].append(at)
+            out["seek"].append(at)
             out["frames"] += 1
             out["samples"] += SAMPLES[version, layer]
             out["rate"] = out["rate"] or rate
@@ -198,7 +196,7 @@ def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"),
     """The columns ``keep`` and what the streams hold (MEDIA_SCHEMA).
 
     duration_s is samples over rate; seek_offsets has the byte offset of every
-    64th frame; vbr_agrees tells if the table's frame and byte counts are what
+    frame; vbr_agrees tells if the table's frame and byte counts are what
     was found. With ``digests`` the payload is replaced by payload_bytes,
     payload_sha256, tail_crc32 and media_sha256. A null stream counts as empty.
     """
