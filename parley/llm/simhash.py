@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import bounded_batches, checkpoint, connected_components, hashed_share
+from .common import by_text, connected_components, hashed_share, stored
 
 #: Seed of the shingle hash (fixed value).
 SEED = 42
@@ -72,7 +72,6 @@ def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1, sketch: int =
     text of fewer words than a shingle is one shingle; null, empty or blank
     texts get zero. Repeated rows give repeated rows.
     """
-    bounded_batches(docs.sparkSession)
     names = [f"f{i}" for i in range(longs)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,8 +80,7 @@ def fingerprints(docs: DataFrame, words: int = 3, longs: int = 1, sketch: int =
             rows = np.array([f for f, _ in found], dtype=np.int64).reshape(-1, longs)
             yield pd.DataFrame({"doc_id": b["doc_id"], **{n: rows[:, i] for i, n in enumerate(names)}, **({"sketch": [x for _, x in found]} if sketch else {})})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + (", sketch array<long>" if sketch else ""))
+    return by_text(docs, run, ", ".join(f"{n} long" for n in names) + (", sketch array<long>" if sketch else ""), id_col, text_col)
 
 
 def exact_families() -> list[tuple[list[int], list[int]]]:
@@ -101,8 +99,7 @@ def wide_families(bits: int = 256, exact: int = 8, count: int = 32) -> list[tupl
 
 
 def with_keys(prints: DataFrame, families: list[tuple[list[int], list[int]]]) -> DataFrame:
-    """(node, f0, key): a row for each key (long) of each fingerprint, with its first 64 bits for verification; and component, if given."""
-    more = [c for c in ("component",) if c in prints.columns]
+    """(node, f0, key): a row for each key (long) of each fingerprint (node long, f0, ...), with its first 64 bits for verification."""
     names = [c for c in prints.columns if c[0] == "f" and c[1:].isdigit()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,87 +110,67 @@ def with_keys(prints: DataFrame, families: list[tuple[list[int], list[int]]]) ->
                 near = golay.keys(number(fuzzy))
                 key = (f << 40) | (number(same) << golay.MESSAGE)
                 row, at = np.nonzero(near >= 0)
-                yield pd.DataFrame({"node": b["node"].to_numpy()[row], "f0": b["f0"].to_numpy()[row], **{c: b[c].to_numpy()[row] for c in more}, "key": key[row] | near[row, at]})
+                yield pd.DataFrame({"node": b["node"].to_numpy()[row], "f0": b["f0"].to_numpy()[row], "key": key[row] | near[row, at]})
 
-    return prints.mapInPandas(run, "node long, f0 long, " + "".join(f"{c} long, " for c in more) + "key long")
+    return prints.select("node", *names).mapInPandas(run, "node long, f0 long, key long")
 
 
 #: Bits in which two joined fingerprints differ among their first 64.
 DIFFERING = "bit_count(a.f0 ^ b.f0)"
 
 
-def near_fingerprints(prints: DataFrame, families=None, distance: int = 3) -> DataFrame:
+def near_fingerprints(prints: DataFrame, families=None, distance: int = 3, crowded: DataFrame | None = None) -> DataFrame:
     """(src, dst): nodes with a common key whose first 64 bits differ in at most ``distance``.
 
     ``prints`` (node long, f0, ...) holds each fingerprint once. With 64 bits
-    and the default families all pairs at distance 3 or less are found.
+    and the default families all pairs at distance 3 or less are found. Pairs
+    of two ``crowded`` nodes (node), if given, are left out.
     """
-    keyed = with_keys(prints, families or exact_families())
+    families = families or exact_families()
+    few = prints if crowded is None else prints.join(crowded, "node", "left_anti")
+    keyed = with_keys(few, families)
     a, b = keyed.alias("a"), keyed.alias("b")
-    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & F.expr(f"{DIFFERING} <= {distance}")
-    return a.join(b, close).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    close = (F.col("a.key") == F.col("b.key")) & F.expr(f"{DIFFERING} <= {distance}")
+    found = a.join(b, close & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    if crowded is None:
+        return found
+    c = with_keys(prints.join(crowded, "node", "left_semi"), families).alias("b")
+    return found.unionByName(a.join(c, close).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")))
 
 
-def leaders(prints: DataFrame, families, distance: int, seed: int = 0) -> DataFrame:
-    """(src, dst): each fingerprint with one node under each of its keys, if within ``distance`` and of another component.
+#: Share of the nodes in which crowded keys are looked for, and the rows there from which a key is one.
+SAMPLE, CROWD = 1 / 4, 8
 
-    That node is the smallest for seed 0, else the smallest by a hash. The
-    rows grow with the fingerprints, however many of them are alike.
-    """
-    keyed = with_keys(prints, families)
-    rank = F.xxhash64(F.lit(seed), "node") if seed else F.col("node")
-    first = keyed.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "component", "f0")).alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low.*")
-    a, b = keyed.alias("a"), first.alias("b")
-    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"{DIFFERING} <= {distance}")
-    return a.join(b, close).select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
-
-
-#: Share of the nodes in which keys with many rows are looked for, and the rows there from which a key is one.
-HOT_SHARE, HOT_ROWS = 1 / 16, 16
 
+def crowded_nodes(prints: DataFrame, families) -> DataFrame | None:
+    """(node): nodes under a key that many nodes have, or None.
 
-def across(prints: DataFrame, families, distance: int) -> DataFrame:
-    """(src, dst): all nodes of different components with a common key and within ``distance``.
-
-    Keys with many rows are joined by pairs of components, so that members of
-    one component are never set against each other. Which keys those are is
-    estimated on a sample; it decides the way only, not the result.
+    Which keys those are is estimated on a sample. It decides by which way
+    links are found, not which.
     """
-    sample = with_keys(prints.where(hashed_share(F.col("node"), HOT_SHARE, 3)), families)
-    hot = checkpoint(sample.groupBy("key").count().where(F.col("count") >= HOT_ROWS).select("key"))
-    keyed = with_keys(prints, families)
-    src, dst = F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")
-    some = hot.limit(1).count() > 0
-    cold = keyed.join(F.broadcast(hot), "key", "left_anti") if some else keyed
-    a, b = cold.alias("a"), cold.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & F.expr(f"{DIFFERING} <= {distance}")
-    found = a.join(b, apart).select(src, dst)
-    if some:
-        rows = checkpoint(keyed.join(F.broadcast(hot), "key", "left_semi"))
-        groups = rows.select("key", "component").distinct()
-        x, y = groups.alias("x"), groups.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select("x.key", F.col("x.component").alias("one"), F.col("y.component").alias("other"))
-        a, b = rows.alias("a"), rows.alias("b")
-        left = pairs.alias("p").join(a, (F.col("p.key") == F.col("a.key")) & (F.col("p.one") == F.col("a.component"))).select("p.key", "p.other", F.struct("a.node", "a.f0").alias("a"))
-        close = (F.col("key") == F.col("b.key")) & (F.col("other") == F.col("b.component")) & F.expr(f"{DIFFERING} <= {distance}")
-        found = found.unionByName(left.join(b, close).select(src, dst))
-    return found.distinct()
+    sample = with_keys(prints.where(hashed_share(F.col("node"), SAMPLE, 3)), families)
+    hot = stored(sample.groupBy("key").count().where(F.col("count") >= CROWD).select("key"))
+    if hot.isEmpty():
+        return None
+    return stored(with_keys(prints, families).join(hot, "key", "left_semi").select("node").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint hex, component_id) by 3-word shingles, 64 bits and distance 3.
 
     Documents of one fingerprint are one node, so exact copies never make
-    pairs. component_id is the smallest doc_id reachable over links. Documents
-    without words have fingerprint zero and link like any other. Rows with a
-    null id keep a null component unless their fingerprint has other rows.
-    An empty table gives an empty result.
+    pairs. component_id is the smallest doc_id reachable over links, ids of
+    any type. Documents without words have fingerprint zero and link like any
+    other. Rows with a null id get the component of their fingerprint; it is
+    null if nothing linked has an id. An empty table gives an empty result.
     """
-    prints = checkpoint(fingerprints(docs, 3, 1, 0, id_col, text_col))
-    nodes = checkpoint(prints.groupBy("f0").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    component = connected_components(near_fingerprints(nodes))
-    best = nodes.join(component, "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(best, "f0", "left").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    prints = stored(fingerprints(docs, 3, 1, 0, id_col, text_col))
+    nodes = stored(prints.groupBy("f0").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("f0")))
+    component = connected_components(near_fingerprints(nodes.select("node", "f0")))
+    named = nodes.join(component, "node", "left").select("f0", "low", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    best = named.join(lowest, "component").select("f0", "component_id")
+    return prints.join(best, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Bits of the first 64 in which documents at a similarity of 0.8 differ: 10 on average, 19 three deviations above.
@@ -232,15 +209,21 @@ def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     pairs = links.join(own.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(own.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, of = None, None
+        last: dict[int, np.ndarray] = {}  # a node with many links comes many times in a row
+
+        def of(node: int, text: str) -> np.ndarray:
+            if node not in last:
+                if len(last) == 8:
+                    del last[next(iter(last))]
+                last[node] = shingles(text, words)
+            return last[node]
+
         for batch in batches:
             kept = []
-            for dst, a, b in zip(batch["dst"], batch["a"], batch["b"], strict=True):
-                if dst != last:  # a sort-merge join sorts pairs by dst, so a leader's shingles are made once
-                    last, of = dst, shingles(b, words)
-                x = shingles(a, words)
-                both = len(np.intersect1d(x, of, assume_unique=True))
-                kept.append(both >= similarity * (len(x) + len(of) - both))
+            for src, dst, a, b in zip(batch["src"], batch["dst"], batch["a"], batch["b"], strict=True):
+                x, y = of(src, a), of(dst, b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.loc[kept, ["src", "dst"]]
 
     return pairs.select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
@@ -248,13 +231,13 @@ def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) ->
 
 def verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: float = 0.8) -> DataFrame:
     """(src, dst): the links of an exact Jaccard similarity of ``similarity`` or more; sketches only rule out."""
-    left = checkpoint(plausible(links, sketches, similarity))
+    left = stored(plausible(links, sketches, similarity))
     return left.where("sure").select("src", "dst").unionByName(alike(left.where("NOT sure").select("src", "dst"), texts, words, similarity))
 
 
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, but of those that share an id the first by the text's hash, then the text. Rows with a null id all stay."""
-    repeated = checkpoint(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    repeated = stored(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     if not repeated.limit(1).count():
         return docs
     others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and not kind.startswith(("map", "variant"))]
@@ -263,34 +246,91 @@ def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(first)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: int = WIDE_DISTANCE, first: int = 8, count: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for documents alike at a Jaccard similarity of 0.8 or more.
+def rarest_shingles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(token, node, place, size): of each text the rarest shingles that any text alike must share one of, from place 1 on.
 
-    256-bit fingerprints of 5-word shingles find candidates. Two rounds link
-    each fingerprint to one other under each key of ``first`` families and
-    merge, which folds large groups of near copies in linear work. The last
-    round joins all fingerprints over all families but for pairs that are
-    already connected. Every link is verified on the whole shingle sets.
-    Documents of the same fingerprint and sketch are one node. Null, empty or
-    blank texts have fingerprint zero and form one group. Repeated ids are one
-    document (one_row_per_id); rows with a null id have no component unless
-    they are a copy of another.
+    Shingles are ordered by how many of the texts have them, then by their
+    hash. Sets of sizes a and b alike at j share at least j / (1 + j) (a + b)
+    shingles, so the first shared one in that order lies within the first
+    a - ceil(j a) + 1 of each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, text in zip(b["node"], b["text"], strict=True):
+                own = shingles(text, words).view(np.int64)
+                yield pd.DataFrame({"node": np.full(len(own), node), "token": own, "size": np.full(len(own), len(own))})
+
+    tokens = stored(texts.select("node", "text").mapInPandas(run, "node long, token long, size long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
+    placed = tokens.join(often, "token").withColumn("place", place.cast("long"))
+    return stored(placed.where((F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)).select("token", "node", "place", "size"))
+
+
+def crowd_links(texts: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(src, dst): links that connect whatever is alike among ``texts`` (node, text), of which many are near copies.
+
+    All pairs of a large group are too many, so two rounds first link every
+    text to one other under each of its rarest shingles: to the one with the
+    fewest rarer ones, which is the original of edited copies, then to one by
+    a hash. What is connected is never compared again. All pairs of different
+    components with a common shingle that can still be alike by the places of
+    that shingle come last, so nothing is lost.
+    """
+    rare = rarest_shingles(texts, words, similarity)
+    known = texts.select("node", F.col("node").alias("component"))
+    every = None
+    left = lambda t: f"({t}size - {t}place + 1) * {1 + similarity} + 1e-6"
+    need = lambda a, b: f"{similarity} * ({a} + {b})"
+    can = F.expr(f"{left('a.')} >= {need('a.size', 'b.size')} AND {left('b.')} >= {need('a.size', 'b.size')} AND a.component <> b.component")
+    for order in (F.struct("place", "node"), F.struct(F.xxhash64(F.lit(1), "node"), "node"), None):
+        alive = rare.join(known, "node")
+        for _ in range(2):  # rows that can't be alike to anything in another component under their shingle
+            group = alive.groupBy("token").agg(F.min("size").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+            alive = alive.join(group, "token").where(f"low < high AND {left('')} >= {need('size', 'least')}").select(*rare.columns, "component")
+        alive = stored(alive)
+        if alive.isEmpty():
+            break
+        a, b = alive.alias("a"), alive.alias("b")
+        if order is None:
+            pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & can)
+        else:
+            first = alive.groupBy("token").agg(F.min_by(F.struct("node", "component", "place", "size"), order).alias("p")).select("token", "p.*")
+            pairs = a.join(first.alias("b"), (F.col("a.token") == F.col("b.token")) & can)
+        found = pairs.select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
+        links = stored(verified(stored(found), sketches, texts, words, similarity))
+        every = links if every is None else stored(every.unionByName(links))
+        joined = connected_components(every).withColumnRenamed("component", "root")
+        known = stored(texts.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("component")))
+    return texts.select(F.col("node").alias("src"), F.col("node").alias("dst")).limit(0) if every is None else every
+
+
+def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: int = WIDE_DISTANCE, count: int = 32, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for documents alike at a Jaccard similarity of 0.8 or more; ids of any type.
+
+    256-bit fingerprints of 5-word shingles meet under Golay keys, and every
+    link is verified on the whole shingle sets. Among documents under crowded
+    keys, of which most pairs would have to be written out, the keys are
+    lengthened by rare shingles (crowd_links), which is exact. Documents of
+    the same fingerprint and sketch are one node. Null, empty or blank texts
+    have fingerprint zero and form one group. Repeated ids are one document
+    (one_row_per_id); rows with a null id have no component unless they are a
+    copy of another.
     """
-    bounded_batches(docs.sparkSession)
     docs = one_row_per_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     names = [f"f{i}" for i in range(longs)]
     families = wide_families(64 * longs, count=count)
-    prints = checkpoint(fingerprints(docs, words, longs, SKETCH).withColumn("own", F.xxhash64("sketch")))
-    nodes = checkpoint(prints.select("doc_id", "own", *names).groupBy("own", *names).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    sketches = prints.select(F.col("doc_id").alias("node"), "sketch").join(nodes.select("node"), "node", "left_semi")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    known = nodes.select("node", F.col("node").alias("component"))
-    links = None
-    for find in (lambda x: leaders(x, families[:first], distance), lambda x: leaders(x, families[:first], distance, 1), lambda x: across(x, families, distance)):
-        now = nodes.select("node", *names).join(known, "node")
-        found = verified(checkpoint(find(now)), sketches, texts, words)
-        links = connected_components(found if links is None else found.unionByName(links)).select(F.col("node").alias("src"), F.col("component").alias("dst"))
-        links = checkpoint(links)
-        known = nodes.select("node").join(links.select(F.col("src").alias("node"), F.col("dst").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    best = nodes.join(known, "node").select("own", *names, F.col("component").alias("component_id"))
+    prints = stored(fingerprints(docs, words, longs, SKETCH).withColumn("own", F.xxhash64("sketch")))
+    lowest = prints.groupBy("own", *names).agg(F.min("doc_id").alias("low")).where("low IS NOT NULL")
+    nodes = stored(lowest.withColumn("node", F.monotonically_increasing_id()))
+    ids = nodes.select(F.col("low").alias("doc_id"), "node")
+    sketches = prints.join(ids, "doc_id").select("node", "sketch")
+    texts = docs.join(ids, "doc_id").select("node", "text")
+    crowded = crowded_nodes(nodes, families)
+    links = verified(stored(near_fingerprints(nodes, families, distance, crowded).distinct()), sketches, texts, words, similarity)
+    if crowded is not None:
+        links = links.unionByName(crowd_links(stored(texts.join(crowded, "node", "left_semi")), sketches, words, similarity))
+    named = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("own", *names, "component_id")
     return prints.select("doc_id", "own", *names).join(best, ["own", *names], "left").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
