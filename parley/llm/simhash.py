@@ -139,7 +139,7 @@ def near_fingerprints(prints: DataFrame, families=None, distance: int = 3, crowd
 
 
 #: Share of the nodes in which crowded keys are looked for, and the rows there from which a key is one.
-SAMPLE, CROWD = 1 / 4, 8
+SAMPLE, CROWD = 1 / 4, 16
 
 
 def crowded_nodes(prints: DataFrame, families) -> DataFrame | None:
@@ -190,7 +190,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def plausible(links: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst, sure): the links without those that the sketches rule out.
+    """(src, dst, sure): the links without those that the sketches (node, sketch) rule out.
 
     Where both sketches hold all shingles the similarity is exact and the link
     is sure; else only clear misses are left out.
@@ -205,8 +205,7 @@ def plausible(links: DataFrame, sketches: DataFrame, similarity: float) -> DataF
 
 def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links whose whole shingle sets have a Jaccard similarity of ``similarity`` or more; texts has (node, text)."""
-    own = texts.join(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi")
-    pairs = links.join(own.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(own.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+    pairs = links.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, np.ndarray] = {}  # a node with many links comes many times in a row
@@ -229,10 +228,17 @@ def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return pairs.select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
 
 
-def verified(links: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: float = 0.8) -> DataFrame:
-    """(src, dst): the links of an exact Jaccard similarity of ``similarity`` or more; sketches only rule out."""
-    left = stored(plausible(links, sketches, similarity))
-    return left.where("sure").select("src", "dst").unionByName(alike(left.where("NOT sure").select("src", "dst"), texts, words, similarity))
+def verified(links: DataFrame, ids: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float = 0.8) -> DataFrame:
+    """(src, dst): the links of an exact Jaccard similarity of ``similarity`` or more; sketches only rule out.
+
+    ``ids`` (node, doc_id) leads to the sketches in ``prints`` (doc_id,
+    sketch) and the texts in ``docs`` (doc_id, text), of linked nodes alone.
+    """
+    ends = lambda x: stored(x.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(ids, "node"))
+    left = stored(plausible(links, stored(prints.join(ends(links), "doc_id").select("node", "sketch")), similarity))
+    unsure = left.where("NOT sure").select("src", "dst")
+    texts = stored(docs.join(ends(unsure), "doc_id").select("node", "text"))
+    return stored(left.where("sure").select("src", "dst").unionByName(alike(unsure, texts, words, similarity)))
 
 
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,42 +274,33 @@ def rarest_shingles(texts: DataFrame, words: int, similarity: float) -> DataFram
     return stored(placed.where((F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)).select("token", "node", "place", "size"))
 
 
-def crowd_links(texts: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
+def crowd_links(texts: DataFrame, verify, words: int, similarity: float) -> DataFrame:
     """(src, dst): links that connect whatever is alike among ``texts`` (node, text), of which many are near copies.
 
-    All pairs of a large group are too many, so two rounds first link every
-    text to one other under each of its rarest shingles: to the one with the
-    fewest rarer ones, which is the original of edited copies, then to one by
-    a hash. What is connected is never compared again. All pairs of different
-    components with a common shingle that can still be alike by the places of
-    that shingle come last, so nothing is lost.
+    All pairs of a large group are too many, so each text is first linked to
+    one other under each of its rarest shingles: to the one with the fewest
+    rarer ones, which is the original of edited copies. What that connects is
+    not compared again. All pairs of different components with a common
+    shingle that can still be alike by the places of that shingle come last,
+    so nothing is lost. ``verify`` keeps the links that hold.
     """
     rare = rarest_shingles(texts, words, similarity)
-    known = texts.select("node", F.col("node").alias("component"))
-    every = None
     left = lambda t: f"({t}size - {t}place + 1) * {1 + similarity} + 1e-6"
     need = lambda a, b: f"{similarity} * ({a} + {b})"
-    can = F.expr(f"{left('a.')} >= {need('a.size', 'b.size')} AND {left('b.')} >= {need('a.size', 'b.size')} AND a.component <> b.component")
-    for order in (F.struct("place", "node"), F.struct(F.xxhash64(F.lit(1), "node"), "node"), None):
-        alive = rare.join(known, "node")
-        for _ in range(2):  # rows that can't be alike to anything in another component under their shingle
-            group = alive.groupBy("token").agg(F.min("size").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
-            alive = alive.join(group, "token").where(f"low < high AND {left('')} >= {need('size', 'least')}").select(*rare.columns, "component")
-        alive = stored(alive)
-        if alive.isEmpty():
-            break
-        a, b = alive.alias("a"), alive.alias("b")
-        if order is None:
-            pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & can)
-        else:
-            first = alive.groupBy("token").agg(F.min_by(F.struct("node", "component", "place", "size"), order).alias("p")).select("token", "p.*")
-            pairs = a.join(first.alias("b"), (F.col("a.token") == F.col("b.token")) & can)
-        found = pairs.select(F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")).distinct()
-        links = stored(verified(stored(found), sketches, texts, words, similarity))
-        every = links if every is None else stored(every.unionByName(links))
-        joined = connected_components(every).withColumnRenamed("component", "root")
-        known = stored(texts.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("component")))
-    return texts.select(F.col("node").alias("src"), F.col("node").alias("dst")).limit(0) if every is None else every
+    can = (F.col("a.token") == F.col("b.token")) & F.expr(f"{left('a.')} >= {need('a.size', 'b.size')} AND {left('b.')} >= {need('a.size', 'b.size')}")
+    src, dst = F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")
+    a = rare.alias("a")
+    first = rare.groupBy("token").agg(F.min_by(F.struct("node", "place", "size"), F.struct("place", "node")).alias("p")).select("token", "p.*").alias("b")
+    stars = verify(stored(a.join(first, can & (F.col("a.node") != F.col("b.node"))).select(src, dst).distinct()))
+    known = stored(texts.select("node").join(connected_components(stars), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    alive = rare.join(known, "node")
+    for _ in range(2):  # rows that can't be alike to anything in another component under their shingle
+        group = alive.groupBy("token").agg(F.min("size").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+        alive = alive.join(group, "token").where(f"low < high AND {left('')} >= {need('size', 'least')}").select(*rare.columns, "component")
+    alive = stored(alive)
+    a, b = alive.alias("a"), alive.alias("b")
+    pairs = a.join(b, can & F.expr("a.node < b.node AND a.component <> b.component")).select(src, dst).distinct()
+    return stars.unionByName(verify(stored(pairs)))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: int = WIDE_DISTANCE, count: int = 32, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,13 +321,13 @@ def similar_groups(docs: DataFrame, words: int = 5, longs: int = 4, distance: in
     prints = stored(fingerprints(docs, words, longs, SKETCH).withColumn("own", F.xxhash64("sketch")))
     lowest = prints.groupBy("own", *names).agg(F.min("doc_id").alias("low")).where("low IS NOT NULL")
     nodes = stored(lowest.withColumn("node", F.monotonically_increasing_id()))
-    ids = nodes.select(F.col("low").alias("doc_id"), "node")
-    sketches = prints.join(ids, "doc_id").select("node", "sketch")
-    texts = docs.join(ids, "doc_id").select("node", "text")
+    ids = stored(nodes.select(F.col("low").alias("doc_id"), "node"))
+    verify = lambda found: verified(found, ids, prints, docs, words, similarity)
     crowded = crowded_nodes(nodes, families)
-    links = verified(stored(near_fingerprints(nodes, families, distance, crowded).distinct()), sketches, texts, words, similarity)
+    links = verify(stored(near_fingerprints(nodes, families, distance, crowded).distinct()))
     if crowded is not None:
-        links = links.unionByName(crowd_links(stored(texts.join(crowded, "node", "left_semi")), sketches, words, similarity))
+        texts = stored(docs.join(ids.join(crowded, "node"), "doc_id").select("node", "text"))
+        links = links.unionByName(crowd_links(texts, verify, words, similarity))
     named = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("own", *names, "component_id")
     return prints.select("doc_id", "own", *names).join(best, ["own", *names], "left").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
