@@ -2,8 +2,9 @@
 
 Counts of n-grams by language come from a grouped sum over a bounded sample of
 labelled texts; their log-probabilities are a matrix of 65,536 rows and one
-column per language, which is broadcast (its size is fixed by the parameters).
-Scoring sums the rows of a text's n-grams in numpy.
+column per language, which is broadcast (its size is checked). The n-grams of a
+batch of texts are a sparse matrix by rows, which is multiplied by that matrix
+in numpy; priors are the shares of the languages among the labelled texts.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches
-from .ngrams import SPACE, blocks, buckets, code_points
+from .ngrams import BLOCK, SPACE, blocks, buckets, code_points
 
 BITS, ORDERS = 16, (1, 2, 3)
 #: About so many labelled texts of each language are learned from.
 TEXTS_PER_LANGUAGE = 4000
-#: Languages learned at most: the most frequent ones, by name on ties.
-LANGUAGES = 200
+#: Bytes of the matrix that may be broadcast; an error is raised for more languages than that allows (4,096).
+MOST_BYTES = 1 << 30
+#: Code points of short texts that are scored together.
+TOGETHER = 1 << 16
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Characters of a passage, whose own language is compared with the text's, and passages taken at once.
@@ -46,25 +49,61 @@ class Model:
         #: Mean log-likelihood of an n-gram of each language's learning texts.
         self.own = np.array([np.exp(p) @ p for p in self.log_probability.T.astype(float)])
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and how sure that is: 1 / number of languages up to 1.
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log-probabilities (texts, languages) and numbers of n-grams: a sparse matrix of the batch by the dense one.
+
+        The sparse matrix is given by its rows' bounds and column numbers; an
+        n-gram that a text has twice is there twice, each time as 1.
+        """
+        lap = max(ORDERS) - 1
+        points = [code_points(t, True) for t in texts]
+        bounds = np.cumsum([0, *(len(c) + lap for c in points)])
+        flat = np.full(bounds[-1] + lap, SPACE, dtype=np.uint32)
+        for at, c in zip(bounds, points):
+            flat[at : at + len(c)] = c
+        totals, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
+        left = np.repeat(bounds[:-1] + [len(c) for c in points], np.diff(bounds)) - np.arange(bounds[-1])  # up to the text's end
+        for n in ORDERS:
+            column = buckets(flat, BITS, (n,), False)
+            second = min(1, n - 1)
+            own = np.flatnonzero(~((flat[: bounds[-1]] == SPACE) & (flat[second : bounds[-1] + second] == SPACE)) & (left >= n))
+            row = np.searchsorted(own, bounds)
+            size, some = np.diff(row), np.flatnonzero(np.diff(row))
+            sizes += size
+            if len(some):
+                totals[some] += np.add.reduceat(self.log_probability[column[own]], row[:-1][some], axis=0, dtype=np.float64)
+        return totals, sizes
+
+    def score(self, texts) -> list[tuple[str, float]]:
+        """The likeliest language of each text and how sure that is: 1 / number of languages up to 1.
 
         Log-likelihoods are divided by the root of the number of n-grams, as
         neighbouring n-grams are far from independent.
         """
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for block in blocks(code_points(text, True), max(ORDERS) - 1):
-            b = buckets(block, BITS, ORDERS, True)
-            n += len(b)
-            total += self.log_probability[b].sum(axis=0, dtype=np.float64)
-        if not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        total = (total + self.prior) / max(1.0, n) ** 0.5
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        known = [i for i, t in enumerate(texts) if self.languages and t and any(map(str.isalpha, t))]
+        at = 0
+        while at < len(known):
+            stop, size = at + 1, len(texts[known[at]])
+            while stop < len(known) and size + len(texts[known[stop]]) <= TOGETHER:
+                size += len(texts[known[stop]])
+                stop += 1
+            some = known[at:stop]
+            if size <= BLOCK:
+                total, n = self.batch([texts[i] for i in some])
+            else:  # one long text, in parts whose n-grams don't overlap
+                total, n = np.zeros((1, len(self.languages))), np.zeros(1)
+                for block in blocks(code_points(texts[some[0]], True), max(ORDERS) - 1):
+                    b = buckets(block, BITS, ORDERS, True)
+                    total[0] += self.log_probability[b].sum(axis=0, dtype=np.float64)
+                    n += len(b)
+            total = (total + self.prior) / np.sqrt(np.maximum(1, n))[:, None]
+            p = np.exp(total - total.max(axis=1, keepdims=True))
+            best = p.argmax(axis=1)
+            for i, k, row in zip(some, best, p, strict=True):
+                out[i] = self.languages[k], float(row[k] / row.sum())
+            at = stop
+        return out
 
     def evidence(self, text: str | None) -> tuple[str, float, float, int]:
         """The likeliest language, its fit, agreement, and the number of n-grams.
@@ -98,21 +137,24 @@ class Model:
         return self.languages[best], float(passages[:, best].sum() / n.sum() - self.own[best]), float(n[passages.argmax(axis=1) == best].sum() / n.sum()), int(n.sum())
 
 
-def bounded_sample(labelled: DataFrame, label: str, per_label: int, labels: int, id_col: str) -> tuple[DataFrame, list]:
-    """About ``per_label`` rows of each of the ``labels`` most frequent labels, chosen by a hash of the id; and the labels."""
-    counts = labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(labels).collect()
+def bounded_sample(labelled: DataFrame, label: str, per_label: int, id_col: str) -> tuple[DataFrame, dict]:
+    """About ``per_label`` rows of each label, chosen by a hash of the id; and the number of rows of each label, sorted."""
+    counts = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return labelled.limit(0), []
-    share = F.create_map(*(x for r in counts for x in (F.lit(r[label]), F.lit(min(1.0, per_label / r["n"])))))
+        return labelled.limit(0), {}
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))))
     part = F.pmod(F.xxhash64(F.lit(4), F.col(id_col)), F.lit(1 << 30)) < share[F.col(label)] * (1 << 30)
-    return labelled.where(part), sorted(r[label] for r in counts)
+    return labelled.where(part), dict(sorted(counts.items()))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TEXTS_PER_LANGUAGE) -> Model:
     """Learn from rows with text and lang. Without any, the model answers ``und`` to everything."""
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sample, languages = bounded_sample(rows, "lang", per_language, LANGUAGES, "doc_id")
+    sample, number = bounded_sample(rows, "lang", per_language, "doc_id")
+    languages = list(number)
+    if len(languages) << BITS > MOST_BYTES // 4:
+        raise ValueError(f"{len(languages)} languages are more than the broadcast matrix allows")
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
 
@@ -133,7 +175,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     column = {x: i for i, x in enumerate(languages)}
     counts[summed["bucket"].to_numpy(dtype=np.int64), summed["lang"].map(column).to_numpy(dtype=np.int64)] = summed["n"].to_numpy(dtype=float)
     log_p = np.log(counts + SMOOTHING) - np.log((counts + SMOOTHING).sum(axis=0))
-    return Model(languages, log_p.astype(np.float32), np.zeros(len(languages)))
+    prior = np.array([number[x] for x in languages], dtype=float)
+    return Model(languages, log_p.astype(np.float32), np.log(prior / prior.sum()))
 
 
 def predictor(spark, model: Model):
@@ -143,7 +186,7 @@ def predictor(spark, model: Model):
 
     @F.pandas_udf(kind)
     def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.score(t) for t in text], columns=["lang_pred", "score"])
+        return pd.DataFrame(sent.value.score(list(text)), columns=["lang_pred", "score"])
 
     return predict
 

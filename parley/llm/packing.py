@@ -13,6 +13,7 @@ on". Spark ranks the pieces of a length and looks up their run.
 from __future__ import annotations
 
 import bisect
+import json
 import unicodedata
 import zlib
 from collections import Counter
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint
+from .common import by_text, checkpoint
 
 CAPACITY = 4096
 #: Id put behind each document (fixed value).
@@ -38,6 +39,11 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 UNUSUAL = regex.compile("[\x1c-\x1f\u0130\u03a3]|<\\|")
 
 
+#: What a tokenizer file must say for texts to be encoded word by word (fixed values); with any other they go to it whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 itself, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,6 +67,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        settings = json.loads(self.tokenizer.to_str())
+        self.known = (settings["normalizer"], settings["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
         self.letters = _byte_letters()
         self.others = 0
         self.words: dict[str, bytes] = {}
@@ -71,7 +79,8 @@ class WordEncoder:
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
+            # Visible ASCII characters are their own letters; control characters and all other bytes have others.
+            letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8")])
             found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
             if len(self.words) - self.others < WORDS:
                 self.words[word] = found
@@ -90,6 +99,8 @@ class WordEncoder:
         return found
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return self.whole(text)
         if not text.isascii() and not unicodedata.is_normalized("NFC", text) or UNUSUAL.search(text):
             return self.whole(text)
         chunks = text.lower().split()
@@ -118,7 +129,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     pieces of that many; the last may be shorter. Repeated rows are separate
     documents.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = END_ID.to_bytes(4, "little")
@@ -131,8 +141,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return by_text(docs, run, "piece int, start long, length long, ids_crc32 long", id_col, text_col)
 
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
