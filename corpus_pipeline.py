@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import langid, packing, quality, simhash
-from parley.llm.common import checkpoint
+from parley.llm.common import checkpoint, free_name
 from parley.llm.queries import tokenizer_path
 
 #: How far the mean log-likelihood of an n-gram may be below that of the language's learning texts: a part for all
@@ -23,7 +23,8 @@ LEAST_AGREEMENT = 0.75
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores below quality.KEEP_FROM."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.scored(docs, quality.fit(docs, labels)).where(F.col("_quality.score") >= quality.KEEP_FROM).select(*docs.columns)
+    name = free_name(docs, "quality")
+    return quality.scored(docs, quality.fit(docs, labels), name).where(F.col(f"{name}.score") >= quality.KEEP_FROM).select(*docs.columns)
 
 
 def one_language(found: F.Column) -> F.Column:
@@ -38,8 +39,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model.languages:
         return docs
     langid.bounded_batches(spark)
-    found = langid.examiner(spark, model)(F.col("text"))
-    return docs.withColumn("_found", found).where(one_language(F.col("_found"))).select(*docs.columns)
+    name, found = free_name(docs, "found"), langid.examiner(spark, model)(F.col("text"))
+    return docs.withColumn(name, found).where(one_language(F.col(name))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
