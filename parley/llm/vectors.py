@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import connected_components, stored
 
 THRESHOLD = 0.9
 #: Vectors that centres are fitted on (bound), and centres: one for each so many vectors, in these limits.
@@ -29,6 +29,8 @@ BLOCK = 2_000
 #: Out-edges, pruning factor, candidates for pruning, beam of the search.
 DEGREE, ALPHA, CANDIDATES, BEAM = 24, 1.2, 64, 32
 RECALL = 0.9
+#: Queries and rows that a task of the audit compares.
+QUERIES, ROWS = 2_000, 20_000
 
 
 def usable(vector) -> F.Column:
@@ -178,11 +180,11 @@ def search(vectors: DataFrame, threshold: float, beam: int, c: np.ndarray) -> Da
 
     ``vectors``: node, copies, dim, embedding; each embedding once.
     """
-    assigned = checkpoint(_assign(vectors, c))
+    assigned = stored(_assign(vectors, c))
     member = assigned.withColumn("centre", F.explode(F.array_distinct(F.filter(F.array("c0", "c1"), lambda x: x >= 0))))
     # Blocks of bounded size: the number of a centre's blocks follows its count; at most MOST + rare lengths rows.
     size = member.groupBy("dim", "centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    member = checkpoint(member.join(size, ["dim", "centre"]).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), "blocks")))
+    member = stored(member.join(size, ["dim", "centre"]).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), "blocks")))
 
     def build(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("node", kind="stable")
@@ -227,12 +229,13 @@ def search(vectors: DataFrame, threshold: float, beam: int, c: np.ndarray) -> Da
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> float:
-    """Links found over links there are, for the nodes divisible by 100, compared with all rows in blocks."""
-    picked = vectors.where(F.pmod("node", F.lit(100)) == 0).select(F.col("node").alias("q"), F.col("dim").alias("qdim"), F.col("embedding").alias("qv"))
-    salted = picked.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(16)))
-    # The stated query set against all rows: each of 16 query chunks meets each row block once.
-    rows = vectors.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(32))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    left = salted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    """Links found over links there are, for the nodes whose smallest id (or number, for other ids) is divisible by 100, compared with all rows in blocks."""
+    number = F.coalesce(F.expr("try_cast(low_id AS bigint)"), F.col("node"))
+    picked = stored(vectors.where(F.pmod(number, F.lit(100)) == 0).select(F.col("node").alias("q"), F.col("dim").alias("qdim"), F.col("embedding").alias("qv")))
+    # The stated query set against all rows: each chunk of queries meets each block of rows once; both are bounded.
+    chunks, parts = (max(1, -(-n // size)) for n, size in ((picked.count(), QUERIES), (vectors.count(), ROWS)))
+    rows = vectors.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    left = picked.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def count(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         total = []
@@ -250,37 +253,37 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept, recall) for every row.
+    """(vec_id, n_links, component_id, kept, recall) for every row; ids of any type.
 
     Equal vectors are one node with its number of copies. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing,
     nor do vectors of different lengths. recall is the audited share of links
     found (a constant column); below RECALL the search runs again with a beam
-    four times as wide, twice at most. Repeated ids count as rows of their
-    own. An empty table gives an empty result.
+    four times as wide, twice at most, and then an error is raised. Repeated
+    ids and rows without an id count as rows of their own; the component_id of
+    a component without any id is null. An empty table gives an empty result.
     """
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"))
     good = rows.where(usable(F.col("embedding")))
-    nodes = checkpoint(good.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where("node IS NOT NULL").withColumn("dim", F.size("embedding")))
-    # Ids may repeat: a node's id must be unique, so later vectors of one id take part under their hash.
-    nodes = checkpoint(nodes.withColumn("same", F.count("*").over(Window.partitionBy("node"))).select("embedding", F.when(F.col("same") == 1, F.col("node")).otherwise(F.xxhash64("embedding", "node")).alias("node"), F.col("node").alias("low_id"), "copies", "dim"))
+    distinct = good.groupBy("embedding").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("copies"))
+    nodes = stored(distinct.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("embedding")}))
     common = nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    alone = lambda x: x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
+        return alone(rows).select("vec_id", "n_links", "component_id", F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     c = centres(nodes.where(F.col("dim") == common["dim"]), int(min(MOST, max(FEWEST, common["n"] // PER_CENTRE))))
-    beam = BEAM
-    for _ in range(3):
-        found = checkpoint(search(nodes.select("node", "copies", "dim", "embedding"), threshold, beam, c))
+    for beam in (BEAM, 4 * BEAM, 16 * BEAM):
+        found = stored(search(nodes.select("node", "copies", "dim", "embedding"), threshold, beam, c))
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         recall = audit(nodes, links, threshold)
         if recall >= RECALL:
             break
-        beam *= 4
+    else:
+        raise RuntimeError(f"recall {recall:.3f} stays below {RECALL}")
     component = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    named = component.join(nodes.select("node", "low_id"), "node")
+    named = nodes.join(component, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    result = nodes.join(links, "node", "left").join(named.join(low, "component").select("node", "component_id"), "node", "left")
-    result = result.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "low_id").alias("component_id"))
+    result = named.join(low, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = good.join(result, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("recall"))
+    every = linked.unionByName(alone(rows.where(~usable(F.col("embedding")))))
+    return every.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("recall"))
