@@ -10,8 +10,8 @@ characters, are exploded and equi-joined to the piece table, the edges are
 grouped by chunk, and an ordered fold finds the path with the highest sum of
 scores (Viterbi). A character without a piece costs the lowest score less 10
 and is written as byte pieces. Documents are put together from the lexicon: places
-of frequent chunks by a broadcast table, those of others by a join, in order under
-a number of the row.
+of frequent chunks by a broadcast table of bounded size, those of others by a
+join, in order under a number of the row.
 
 A piece whose own characters have a better path without it is on no best path;
 the lattice of the pieces themselves finds these, and they are left out of the
@@ -23,7 +23,9 @@ stores; greedy pair merging can choose another path.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint
+from .common import bounded_batches, hashed_share, stored
 
 SPACE = "▁"
-#: Chunks whose encoding is sent to every executor: the most frequent ones (bound).
-FREQUENT = 100_000
+#: Chunks whose encoding is sent to every executor: the most frequent ones up to some length in a sample of documents
+#: (bounds). Which ones those are decides by which way a place is settled, not how.
+FREQUENT, SHORT, SAMPLED = 300_000, 32, 60_000
+#: Chunks that a task counts before it hands its counts on.
+COUNTED = 500_000
 UNKNOWN_PENALTY = 10.0
 #: Chunks of a document that are handled at once; a longer document is cut into such parts.
 PART = 8192
@@ -58,16 +63,8 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, kind string")
 
 
-def _run(codes: list[int]) -> str:
-    """One or more of these characters. Those below 256 are tested apart, as the expression has a table for them."""
-    low, high = ("".join(rf"\x{{{n:x}}}" for n in sorted(codes) if (n < 256) == side) for side in (True, False))
-    if low and high:
-        return f"[{low}]++(?:[{high}]++[{low}]*+)*+|[{high}]++(?:[{low}]++[{high}]*+)*+"
-    return f"[{low or high}]++"
-
-
 def cut_pattern(pieces: DataFrame) -> str:
-    """The regular expression of a chunk: spaces, then characters of one class.
+    """The regular expression (Python's) of a chunk: spaces, then characters of one class.
 
     The vocabulary is read on the driver (tens of thousands of pieces, whatever the corpus).
     """
@@ -88,14 +85,13 @@ def cut_pattern(pieces: DataFrame) -> str:
     for c in parent:
         classes.setdefault(root(c), []).append(ord(c))
     ordered = sorted((x for x in classes.values() if len(x) > 1), key=lambda x: (-len(x), min(x)))
-    runs = "".join(_run(x) + "|" for x in ordered)
+    runs = "".join("[" + "".join(rf"\U{n:08x}" for n in sorted(x)) + "]++|" for x in ordered)
     return f"{SPACE}*+(?:{runs}[^{SPACE}])|{SPACE}++"
 
 
-def chunks(pattern: str, text: str = "text"):
-    """The chunks of a text in order: with a space put before it, spaces as U+2581; null has none."""
-    marked = F.replace(F.concat(F.lit(" "), F.col(text)), F.lit(" "), F.lit(SPACE))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
+def chunks(pattern: re.Pattern, text: str | None) -> list[str]:
+    """The chunks of a text in order: with a space put before it, spaces as U+2581; null and empty texts have none."""
+    return pattern.findall((" " + text).replace(" ", SPACE)) if text else []
 
 
 def needed_pieces(pieces: DataFrame) -> DataFrame:
@@ -177,60 +173,85 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     return encoded.select("doc_id", decoder(pieces)(F.col("ids")).alias("text"))
 
 
-def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, lexicon) for whole texts.
+def frequent_chunks(rows: DataFrame, pattern: str) -> DataFrame:
+    """(chunk): the FREQUENT most frequent ones of up to SHORT characters in a sample of about SAMPLED rows (text)."""
 
-    lexicon has chunk, n (places in the corpus), ids, score. documents has a
-    row for each row of ``docs``: doc_id, n_chunks, n_pieces, score (sum over
-    chunks), ids (all pieces in order), ids_crc32 (of the ids as little-endian
-    32-bit numbers) and source, xxhash64 of the text. Null and empty texts have
-    no chunks.
-    """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    pattern, needed = cut_pattern(pieces), checkpoint(needed_pieces(pieces))
-    counts = rows.select(F.explode(chunks(pattern)).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
-    counts = checkpoint(counts)
-    # Small partitions, so that grouping needs neither a sort nor a spill; the setting holds for this step alone.
-    spark = docs.sparkSession
-    parts, before = counts.count() // CHUNKS_PER_PARTITION + 1, spark.conf.get(GROUPS_IN_MEMORY)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, seen = re.compile(pattern), Counter()
+        rows = lambda: pd.DataFrame([x for x in seen.items() if x[1] > 1 and len(x[0]) <= SHORT], columns=["chunk", "n"])
+        for b in batches:
+            for text in b["text"]:
+                seen.update(chunks(cut, text))
+                if len(seen) > COUNTED:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    share = min(1.0, SAMPLED / max(1, rows.count()))
+    counted = rows.where(hashed_share(F.col("text"), share, 11)).select("text").mapInPandas(count, "chunk string, n long")
+    return counted.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk")
+
+
+def lexicon(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
+    """encode_chunks in small partitions, so that grouping needs neither a sort nor a spill; the setting holds for this step alone."""
+    spark = distinct.sparkSession
+    distinct = stored(distinct)
+    parts, before = distinct.count() // CHUNKS_PER_PARTITION + 1, spark.conf.get(GROUPS_IN_MEMORY)
     spark.conf.set(GROUPS_IN_MEMORY, str(4 * CHUNKS_PER_PARTITION))
     try:
-        best = checkpoint(encode_chunks(counts.select("chunk").repartition(parts, "chunk"), needed))
+        return stored(encode_chunks(distinct.repartition(parts, "chunk"), pieces))
     finally:
         spark.conf.set(GROUPS_IN_MEMORY, before)
-    # At most FREQUENT rows of one chunk each: most places are settled without a shuffle.
-    often = best.join(F.broadcast(counts.orderBy(F.desc("n"), "chunk").limit(FREQUENT)), "chunk").orderBy(F.desc("n"), "chunk").select("chunk", "ids", "score").collect()
-    number = spark.sparkContext.broadcast({r.chunk: i for i, r in enumerate(often)})
-    sizes = np.array([len(r.ids) for r in often] + [0], dtype=np.int64)  # the last is for places of other chunks
-    flat = np.array([x for r in often for x in r.ids], dtype=np.int32)
-    known = spark.sparkContext.broadcast((flat, np.cumsum(sizes) - sizes, sizes, np.array([r.score for r in often] + [0.0])))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+
+
+def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, lexicon) for whole texts; ids of any type.
+
+    lexicon has chunk, ids, score: each chunk once. documents has a row for
+    each row of ``docs``, also for equal ones: doc_id, n_chunks, n_pieces,
+    score (sum over its pieces), ids (all pieces in order), ids_crc32 (of the
+    ids as little-endian 32-bit numbers) and source, xxhash64 of the text.
+    Null and empty texts have no chunks. An empty table gives an empty result.
+    """
+    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    pattern, needed = cut_pattern(pieces), stored(needed_pieces(pieces))
+    common = lexicon(frequent_chunks(rows, pattern), needed)
+    often = common.select("chunk", "ids").toPandas()  # at most FREQUENT rows of at most SHORT characters
+    number = spark.sparkContext.broadcast({c: i for i, c in enumerate(often["chunk"])})
+    sizes = np.array([*map(len, often["ids"]), 0], dtype=np.int64)  # the last is for places of other chunks
+    flat = np.concatenate([np.empty(0, dtype=np.int32), *often["ids"]]).astype(np.int32)
+    known = spark.sparkContext.broadcast((flat, np.cumsum(sizes) - sizes, sizes, _costs(pieces)))
+    del often
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each part of a document: the numbers of its frequent chunks, -1 for others, and those others."""
-        of = number.value.get
+        of, split = number.value.get, re.compile(pattern)
         for b in batches:
             found = []
-            for row, doc_id, source, words in zip(b["row"], b["doc_id"], b["source"], b["chunks"], strict=True):
+            for row, doc_id, source, text in zip(b["row"], b["doc_id"], b["source"], b["text"], strict=True):
+                words = chunks(split, text)
                 for part, at in enumerate(range(0, max(1, len(words)), PART)):
                     some = words[at : at + PART]
-                    codes = np.fromiter((of(w, -1) for w in some), dtype="<i4", count=len(some))
-                    found.append((row, part, doc_id, source, zlib.compress(codes.tobytes(), 1), some[np.flatnonzero(codes < 0)]))
+                    codes = np.array([of(w, -1) for w in some], dtype="<i4")
+                    found.append((row, part, doc_id, source, zlib.compress(codes.tobytes(), 1), [some[i] for i in np.flatnonzero(codes < 0)]))
             yield pd.DataFrame(found, columns=["row", "part", "doc_id", "source", "codes", "others"])
 
-    # Rows are numbered once; the checkpoint keeps the numbers. Longs beside nulls would become doubles in pandas, so some travel as text.
-    whole = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string").alias("source"), chunks(pattern).alias("chunks"))
-    whole = checkpoint(whole.mapInPandas(cut, "row long, part int, doc_id string, source string, codes binary, others array<string>"))
+    # Rows are numbered once; the table keeps the numbers. Longs beside nulls would become doubles in pandas, so some travel as text.
+    whole = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string").alias("source"), "text")
+    whole = stored(whole.mapInPandas(cut, "row long, part int, doc_id string, source string, codes binary, others array<string>"))
+    best = lexicon(whole.select(F.explode("others").alias("chunk")).distinct(), needed)
     none = lambda t: F.lit(None).cast(t)
-    others = whole.select("row", "part", F.posexplode("others").alias("k", "chunk")).join(best, "chunk")
-    others = others.select("row", "part", "k", none("string").alias("doc_id"), none("string").alias("source"), none("binary").alias("codes"), "ids", "score")
-    parts_of = whole.select("row", "part", F.lit(-1).alias("k"), "doc_id", "source", "codes", none("array<int>").alias("ids"), none("double").alias("score"))
+    others = whole.select("row", "part", F.posexplode("others").alias("k", "chunk")).join(best.select("chunk", "ids"), "chunk")
+    others = others.select("row", "part", "k", none("string").alias("doc_id"), none("string").alias("source"), none("binary").alias("codes"), "ids")
+    parts_of = whole.select("row", "part", F.lit(-1).alias("k"), "doc_id", "source", "codes", none("array<int>").alias("ids"))
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by document, part and place: a part first, then the ids of its other chunks in order."""
-        flat, starts, sizes, scores = known.value
-        doc: list = []  # row, doc_id, source, n_chunks, score, arrays of ids
+        flat, starts, sizes, costs = known.value
+        doc: list = []  # row, doc_id, source, n_chunks, arrays of ids
 
         def close_part(codes, fills: list) -> None:
             own = sizes[codes]  # -1 takes the last
@@ -242,22 +263,20 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                 before = (np.cumsum(own) - own)[at_others]
                 ids = np.insert(ids, np.repeat(before, [len(x) for x in fills]), np.concatenate(fills)).astype(np.int32)
             doc[3] += len(codes)
-            doc[4] += float(scores[codes].sum())
-            doc[5].append(ids)
+            doc[4].append(ids)
 
         def finished() -> tuple:
-            _, doc_id, source, n, score, arrays = doc
+            _, doc_id, source, n, arrays = doc
             ids = np.concatenate(arrays)
-            return doc_id, n, len(ids), score, ids, zlib.crc32(ids.astype("<i4").tobytes()), source
+            return doc_id, n, len(ids), float(costs[ids].sum()), ids, zlib.crc32(ids.astype("<i4").tobytes()), source
 
         names = ["doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", "source"]
         codes, fills = None, []
         for b in batches:
             out = []
-            for row, k, doc_id, source, packed, ids, score in zip(*(b[c].astype(object) for c in ("row", "k", "doc_id", "source", "codes", "ids", "score")), strict=True):
+            for row, k, doc_id, source, packed, ids in zip(*(b[c].astype(object) for c in ("row", "k", "doc_id", "source", "codes", "ids")), strict=True):
                 if k >= 0:
                     fills.append(np.asarray(ids, dtype=np.int32))
-                    doc[4] += score
                     continue
                 if codes is not None:
                     close_part(codes, fills)
@@ -265,7 +284,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                     out.append(finished())
                     doc.clear()
                 if not doc:
-                    doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, 0.0, []])
+                    doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, []])
                 codes, fills = np.frombuffer(zlib.decompress(packed), dtype="<i4"), []
             if out:
                 yield pd.DataFrame(out, columns=names)
@@ -275,4 +294,16 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
 
     ordered = parts_of.unionByName(others).repartition("row").sortWithinPartitions("row", "part", "k")
     found = ordered.mapInPandas(put_together, "doc_id string, n_chunks long, n_pieces long, score double, ids array<int>, ids_crc32 long, source string")
-    return found.withColumns({"doc_id": F.col("doc_id").cast(kind), "source": F.col("source").cast("long")}), counts.join(best, "chunk")
+    return found.withColumns({"doc_id": F.col("doc_id").cast(kind), "source": F.col("source").cast("long")}), common.unionByName(best)
+
+
+def _costs(pieces: DataFrame) -> np.ndarray:
+    """The score that each id adds to a path. An unknown character's penalty is at the first of its bytes, or at id -1 (the last)."""
+    rows = pieces.select("id", "piece", "score", "kind").collect()  # a vocabulary
+    unknown = min((r.score for r in rows if r.kind == "piece"), default=0.0) - UNKNOWN_PENALTY
+    costs = np.zeros(max((r.id for r in rows), default=0) + 2)
+    costs[-1] = unknown
+    for r in rows:
+        leads = r.kind == "byte" and int(r.piece[3:5], 16) & 0xC0 != 0x80
+        costs[r.id] = unknown if leads else r.score if r.kind == "piece" else 0.0
+    return costs

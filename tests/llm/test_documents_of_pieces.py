@@ -1,5 +1,6 @@
 """Documents as pieces: whole id sequences in order, a row each, and back."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -17,9 +18,12 @@ def test_documents_round_trip(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found, lexicon = pieces.encode(docs, table)
     got, ids = found.collect(), {x.chunk: x.ids for x in lexicon.collect()}
-    cut = {x.text: x.chunks for x in docs.select("text", pieces.chunks(pieces.cut_pattern(table)).alias("chunks")).collect()}
+    pattern = re.compile(pieces.cut_pattern(table))
+    cut = {t: pieces.chunks(pattern, t) for _, t in rows}
     want = Counter((i, tuple(p for c in cut[t] for p in ids[c]), len(cut[t])) for i, t in rows)
     assert Counter((x.doc_id, tuple(x.ids), x.n_chunks) for x in got) == want
+    best = {x.chunk: x.score for x in lexicon.collect()}
+    assert sorted(round(x.score, 6) for x in got) == sorted(round(sum(best[c] for c in cut[t]), 6) for _, t in rows)
     assert all(x.n_pieces == len(x.ids) and x.ids_crc32 == zlib.crc32(np.array(x.ids, "<i4").tobytes()) for x in got)
     assert Counter((x.doc_id, x.text) for x in pieces.decode(found, table).collect()) == Counter((i, t or "") for i, t in rows)
 
@@ -28,3 +32,44 @@ def test_query_decodes_every_document(spark):
     sf = "/root/testdata/sf0.001"
     r = queries.op10_sentencepiece(spark, sf)
     assert r.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and r.where("NOT decodes OR n_pieces <> size(ids)").count() == 0
+
+
+def test_documents_against_plain_dynamic_programming(spark):
+    """Every document of the smallest table: the best path over each of its chunks, by brute force over all substrings."""
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    byte = next(i for i in range(sp.get_piece_size()) if sp.is_byte(i))
+    lowest, longest = min(s for _, s in known.values()) - 10, max(map(len, known))
+
+    def best(chunk):
+        ways = [(0.0, None, None)]
+        for stop in range(1, len(chunk) + 1):
+            way = None
+            for a in range(max(0, stop - longest), stop):
+                piece = chunk[a:stop]
+                if piece in known or stop - a == 1:
+                    i, score = known.get(piece, (None, lowest))
+                    if way is None or ways[a][0] + score > way[0]:
+                        way = (ways[a][0] + score, a, [i] if i is not None else [byte + x for x in piece.encode()])
+            ways.append(way)
+        out, at = [], len(chunk)
+        while at:
+            out[:0] = ways[at][2]
+            at = ways[at][1]
+        return out
+
+    table = pieces.piece_table(spark, path)
+    pattern, cache = re.compile(pieces.cut_pattern(table)), {}
+    texts = {x.doc_id: x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {x.doc_id: x.ids for x in queries.op10_sentencepiece(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        want = []
+        for c in pieces.chunks(pattern, text):
+            if c not in cache:
+                cache[c] = best(c)
+            want += cache[c]
+        assert list(got[i]) == want
