@@ -252,26 +252,42 @@ def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(first)
 
 
+#: Bits of the table that says how common shingles are (bound of what is broadcast).
+COMMON = 18
+
+
 def rarest_shingles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(token, node, place, size): of each text the rarest shingles that any text alike must share one of, from place 1 on.
 
-    Shingles are ordered by how many of the texts have them, then by their
-    hash. Sets of sizes a and b alike at j share at least j / (1 + j) (a + b)
-    shingles, so the first shared one in that order lies within the first
-    a - ceil(j a) + 1 of each.
+    Shingles are ordered by how many shingles of the texts have the same first
+    COMMON bits of their hash, then by the hash: any order would do, this one
+    has the rare ones first. Sets of sizes a and b alike at j share at least
+    j / (1 + j) (a + b) shingles, so the first shared one in that order lies
+    within the first a - ceil(j a) + 1 of each.
     """
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(1 << COMMON, dtype=np.int64)
+        for b in batches:
+            for text in b["text"]:
+                seen += np.bincount((shingles(text, words) >> np.uint64(64 - COMMON)).astype(np.int64), minlength=1 << COMMON)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"bits": at, "n": seen[at]})
+
+    counted = texts.select("text").mapInPandas(count, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << COMMON, dtype=np.int64)
+    often[counted["bits"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for node, text in zip(b["node"], b["text"], strict=True):
-                own = shingles(text, words).view(np.int64)
-                yield pd.DataFrame({"node": np.full(len(own), node), "token": own, "size": np.full(len(own), len(own))})
-
-    tokens = stored(texts.select("node", "text").mapInPandas(run, "node long, token long, size long"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
-    placed = tokens.join(often, "token").withColumn("place", place.cast("long"))
-    return stored(placed.where((F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)).select("token", "node", "place", "size"))
+                own = shingles(text, words)
+                few = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                order = np.lexsort((own, sent.value[(own >> np.uint64(64 - COMMON)).astype(np.int64)]))[:few]
+                yield pd.DataFrame({"token": own[order].view(np.int64), "node": node, "place": np.arange(1, len(order) + 1), "size": len(own)})
+
+    return stored(texts.select("node", "text").mapInPandas(run, "token long, node long, place long, size long"))
 
 
 def crowd_links(texts: DataFrame, verify, words: int, similarity: float) -> DataFrame:
