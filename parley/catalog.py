@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import scalars
-from parley.operators import identity, intervals, language, library, ranges, speech, transcript
+from parley.operators import changes, identity, intervals, language, library, ranges, review, speech, transcript
 from parley.sources.fixtures import oracle, view
 from parley.streaming import utterances
 from parley.streaming.replay import current, replay
@@ -18,7 +18,9 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 P, T, V, L, E, R, N, H = (oracle(n) for n in ("passages", "turns", "vad_frames", "lang_probes", "edits", "recordings", "audio_notices", "people"))
-CLIPS = oracle("clips")
+CLIPS, S, NAMES = oracle("clips"), oracle("states"), oracle("doc_speakers")
+#: Passage states with the label of their speaker.
+NAMED = f"(SELECT p.*, coalesce(n.name, CASE WHEN p.speaker = 'unassigned' THEN 'Unknown speaker' ELSE 'Overlapping speakers' END) AS label FROM {S} p LEFT JOIN {NAMES} n ON p.recording_id = n.recording_id AND p.speaker = n.speaker)"
 #: Length of a recording with passages: half a minute after the last end.
 LENGTH = f"(SELECT recording_id, max(end_sample) + 480000 AS duration FROM {P} GROUP BY recording_id)"
 TURN_LENGTH = f"(SELECT recording_id, max(end_sample) - 20000 AS duration FROM {T} GROUP BY recording_id)"
@@ -85,8 +87,8 @@ def _(s, d):
 
 
 @query("w6_crop_padding", f"""WITH i AS {ISLANDS} SELECT recording_id, start_sample, end_sample,
-CAST(greatest(start_sample - 3520, CASE WHEN lag(end_sample) OVER w IS NULL THEN 0 ELSE floor((lag(end_sample) OVER w + start_sample) / 2.0) END) AS BIGINT) AS audio_start,
-CAST(least(end_sample + 3520, CASE WHEN lead(start_sample) OVER w IS NULL THEN duration ELSE floor((end_sample + lead(start_sample) OVER w) / 2.0) END) AS BIGINT) AS audio_end
+CAST(greatest(0, start_sample - 3520, floor((lag(end_sample, 1, 0) OVER w + start_sample) / 2.0)) AS BIGINT) AS audio_start,
+CAST(least(duration, end_sample + 3520, floor((end_sample + coalesce(lead(start_sample) OVER w, duration)) / 2.0)) AS BIGINT) AS audio_end
 FROM i JOIN (SELECT recording_id, max(end_sample) + 1000 AS duration FROM {T} GROUP BY 1) d USING (recording_id) WINDOW w AS (PARTITION BY recording_id ORDER BY start_sample)""")
 def _(s, d):
     t = view(s, d, "turns")
@@ -112,8 +114,9 @@ def _(s, d):
     return intervals.complement(p, durations(p, 480000))
 
 
-@query("w3_g2_uncovered", f"""SELECT recording_id, 'unassigned-' || CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_sample) AS VARCHAR) AS passage_id, start_sample, end_sample FROM (
-SELECT recording_id, a AS start_sample, least(a + 480000, b) AS end_sample FROM (SELECT recording_id, end_sample AS b, unnest(generate_series(start_sample, end_sample - 1, 480000)) AS a FROM {UNCOVERED} q) x) y""")
+@query("w3_g2_uncovered", f"""WITH g AS (SELECT recording_id, a AS start_sample, least(a + 480000, b) AS end_sample FROM (SELECT recording_id, end_sample AS b, unnest(generate_series(start_sample, end_sample - 1, 480000)) AS a FROM {UNCOVERED} q) x),
+n AS (SELECT g.*, (SELECT count(DISTINCT passage_id) FROM {P} p WHERE p.recording_id = g.recording_id) + row_number() OVER (PARTITION BY recording_id ORDER BY start_sample) - 1 AS n FROM g)
+SELECT recording_id, 'unassigned-' || CAST(n AS VARCHAR) || CASE WHEN EXISTS (SELECT 1 FROM {P} p WHERE p.recording_id = n.recording_id AND p.passage_id = 'unassigned-' || CAST(n.n AS VARCHAR)) THEN '-gap' ELSE '' END AS passage_id, start_sample, end_sample FROM n""")
 def _(s, d):
     p = view(s, d, "passages")
     return intervals.uncovered_rows(p, durations(p, 480000))
@@ -154,9 +157,9 @@ def _(s, d):
 def thirds(s: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
     """All frames, and the first, second and last third of each recording as stream rows."""
     frames = view(s, d, "vad_frames").withColumn("p100", F.col("p100").cast("long"))
-    third = F.floor(F.col("start_sample") * 3 / F.col("observed"))
-    cut = frames.join(frames.groupBy("recording_id").agg(F.max("end_sample").alias("observed")), "recording_id").withColumn("third", third)
-    return frames, [cut.where(F.col("third") == k).select(*frames.columns, F.lit(False).alias("ended")) for k in range(3)]
+    third = F.floor(F.col("start_sample") * 3 / F.col("until"))
+    cut = frames.join(frames.groupBy("recording_id").agg(F.max("end_sample").alias("until")), "recording_id").withColumn("third", third)
+    return frames, [cut.where(F.col("third") == k).select("recording_id", "start_sample", "end_sample", "p100", "constant_block", F.lit(False).alias("ended")) for k in range(3)]
 
 
 @query("st3_live_utterances", UTTERANCES)
@@ -179,13 +182,45 @@ def _(s, d):
     return current(found, ["recording_id", "n"]).select("recording_id", "n", "start_sample", "end_sample", "kind")
 
 
-@query("a1_inspection", f"""SELECT *, CASE WHEN speech > 0 THEN 'speech' WHEN uncertain > 0 THEN 'uncertain' WHEN constant > 0 THEN 'constant' ELSE 'no_speech' END AS decision FROM (SELECT recording_id,
-CAST(sum(CASE WHEN NOT constant_block AND speaking THEN 512 ELSE 0 END) AS BIGINT) AS speech, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 >= 35 THEN 512 ELSE 0 END) AS BIGINT) AS uncertain,
-CAST(sum(CASE WHEN constant_block THEN 512 ELSE 0 END) AS BIGINT) AS constant, CAST(sum(CASE WHEN NOT constant_block AND NOT speaking AND p100 < 35 THEN 512 ELSE 0 END) AS BIGINT) AS negative FROM {STATE} q GROUP BY recording_id) x""")
+@query("a1_inspection", f"""SELECT *, CASE WHEN speech > 0 THEN 'speech' WHEN uncertain > 0 THEN 'uncertain' ELSE 'no_speech' END AS decision FROM (SELECT q.recording_id,
+CAST(sum(CASE WHEN speaking THEN 512 ELSE 0 END) AS BIGINT) AS speech, CAST(sum(CASE WHEN NOT speaking AND NOT observed THEN 512 ELSE 0 END) AS BIGINT) AS uncertain,
+CAST(sum(CASE WHEN NOT speaking AND observed AND q.constant_block THEN 512 ELSE 0 END) AS BIGINT) AS negative_constant, CAST(sum(CASE WHEN NOT speaking AND observed AND NOT q.constant_block THEN 512 ELSE 0 END) AS BIGINT) AS model_negative
+FROM {STATE} q JOIN (SELECT recording_id, start_sample, observed FROM {V} z) f ON q.recording_id = f.recording_id AND q.start_sample = f.start_sample GROUP BY q.recording_id) x""")
 def _(s, d):
     return speech.inspection(view(s, d, "vad_frames"))
 
 
+SPANS = f"(SELECT recording_id, n AS span_id, least(n * 3000, 60000 + n * 700) AS start_sample, least(n * 3000, 60000 + n * 700) + 2000 + n * 40 AS end_sample FROM (SELECT DISTINCT recording_id, CAST(start_sample / 2048 AS BIGINT) AS n FROM {V} v WHERE start_sample % 2048 = 0) x)"
+
+
+@query("a2_j3_admission", f"""WITH r AS {SPANS}, f AS {STATE},
+m AS (SELECT r.recording_id, r.span_id, r.start_sample AS s0, r.end_sample AS e0, greatest(f.start_sample, r.start_sample) AS low, least(f.end_sample, r.end_sample) AS high, p100, speaking
+  FROM r JOIN f ON f.recording_id = r.recording_id AND f.start_sample < r.end_sample AND f.end_sample > r.start_sample),
+c AS (SELECT recording_id, span_id, sum(high - low) = max(e0 - s0) AS complete, max(p100) AS maximum FROM m GROUP BY 1, 2),
+t AS (SELECT *, CASE WHEN lag(high) OVER w = low THEN 0 ELSE 1 END AS new FROM m WHERE speaking WINDOW w AS (PARTITION BY recording_id, span_id ORDER BY low)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY recording_id, span_id ORDER BY low) AS island FROM t),
+g AS (SELECT recording_id, span_id, min(low) AS low, max(high) AS high FROM i GROUP BY recording_id, span_id, island),
+x AS (SELECT recording_id, span_id, string_agg(CAST(low AS VARCHAR) || '-' || CAST(high AS VARCHAR), ',' ORDER BY low) AS speech FROM g GROUP BY 1, 2)
+SELECT r.recording_id, r.span_id, coalesce(complete, false) AS complete, CASE WHEN complete THEN maximum END AS maximum, CASE WHEN complete THEN coalesce(speech, '') END AS speech,
+CASE WHEN NOT coalesce(complete, false) THEN 'pending' WHEN speech IS NOT NULL THEN 'speech' ELSE 'no_speech' END AS decision
+FROM r LEFT JOIN c ON r.recording_id = c.recording_id AND r.span_id = c.span_id LEFT JOIN x ON r.recording_id = x.recording_id AND r.span_id = x.span_id""")
+def _(s, d):
+    f = view(s, d, "vad_frames")
+    n = (F.col("start_sample") / 2048).cast("long")
+    start = F.least(F.col("span_id") * 3000, F.col("span_id") * 700 + 60000)
+    spans = f.where("start_sample % 2048 = 0").select("recording_id", n.alias("span_id")).distinct().withColumn("start_sample", start).withColumn("end_sample", F.col("start_sample") + 2000 + F.col("span_id") * 40)
+    return speech.admission(spans, f)
+
+
+@query("p22_block_routes", f"""SELECT recording_id, start_sample, CASE kind WHEN 'speech' THEN CASE WHEN low = high THEN 'insufficient_speech:' || CASE WHEN low = 0 THEN 'digital_silence' ELSE 'constant_signal' END END
+WHEN 'no_speech' THEN 'insufficient_speech:model_non_speech' WHEN 'uncertain' THEN 'speech_admission_uncertain:speech_evidence_pending' ELSE 'speech_evidence_pending:speech_evidence_pending' END AS route
+FROM (SELECT *, CASE WHEN p100 >= 50 THEN 'speech' WHEN p100 < 20 THEN 'no_speech' WHEN observed THEN 'pending' ELSE 'uncertain' END AS kind, p100 % 3 AS low, CASE WHEN constant_block THEN p100 % 3 ELSE 5 END AS high FROM {V} q) x""")
+def _(s, d):
+    kind = F.when(F.col("p100") >= 50, "speech").when(F.col("p100") < 20, "no_speech").when(F.col("observed"), "pending").otherwise("uncertain")
+    low = F.col("p100") % 3
+    return view(s, d, "vad_frames").select("recording_id", "start_sample", speech.block_route(kind, low, F.when(F.col("constant_block"), low).otherwise(5)).alias("route"))
+
+
 # Language
 
 DECIDED = f"""(SELECT *, CASE WHEN reason IN ('detected', 'best_effort') THEN top_code END AS language, reason <> 'detected' AS review FROM (SELECT *, CASE WHEN top_code <> 'sw' AND confident THEN 'detected' WHEN top_code <> 'sw' THEN 'best_effort' WHEN confident THEN 'unsupported' ELSE 'needs_language' END AS reason
@@ -206,12 +241,28 @@ def _(s, d):
     return language.rescue(view(s, d, "lang_probes"))
 
 
-@query("a5_language_summary", f"""SELECT recording_id, count(DISTINCT language) > 1 AS mixed, bool_or(language IS NULL) AS "unknown", bool_or(review) AS review,
-arg_min(probe_id, (CASE WHEN language IS NULL THEN 0 ELSE 1000000 END) + (CASE WHEN review THEN 0 ELSE 100000 END) + top_pct + probe_id / 1e9) AS chosen FROM {DECIDED} q GROUP BY recording_id""")
+@query("a5_language_summary", f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY CASE WHEN language IS NULL THEN 0 ELSE 1 END, CASE WHEN language IS NULL THEN start_sample ELSE 0 END, CASE WHEN review THEN 0 ELSE 1 END, top_pct, start_sample, probe_id) AS place FROM {DECIDED} q),
+g AS (SELECT recording_id, count(DISTINCT language) > 1 AS mixed, bool_or(language IS NULL) AS unknown, bool_or(review) AS any_review, min(language) AS one, max(CASE WHEN place = 1 THEN probe_id END) AS chosen, max(CASE WHEN place = 1 THEN reason END) AS reason, bool_or(detector_error) AS detector_error FROM d GROUP BY recording_id)
+SELECT recording_id, mixed, "unknown", mixed OR "unknown" OR any_review AS review, CASE WHEN NOT mixed AND NOT "unknown" THEN one END AS language, CASE WHEN mixed THEN 'mixed' ELSE reason END AS reason, chosen, detector_error FROM g""")
 def _(s, d):
     return language.summary(view(s, d, "lang_probes"))
 
 
+SCORES = f"(SELECT probe_id AS id, top_code, second_code, top_pct / 100.0::DOUBLE AS a, second_permille / 1000.0::DOUBLE AS b, CASE WHEN probe_id % 9 = 0 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE - top_pct / 100.0::DOUBLE - second_permille / 1000.0::DOUBLE END AS c FROM {L} q WHERE top_code <> second_code)"
+
+
+@query("l1_p20_w9_scores", f"""WITH s AS {SCORES}, o AS (SELECT *, a >= 0 AND a <= 1 AND b >= 0 AND b <= 1 AND c >= 0 AND c <= 1 AND a + b + c BETWEEN 0.98 AND 1.02 AS valid, list_sort([(-a, top_code), (-b, second_code), (-c, 'zz')]) AS best FROM s),
+r AS (SELECT *, -best[1][1] AS top, best[1][2] AS code, -best[2][1] AS second FROM o),
+t AS (SELECT *, top >= 0.9 AND round(top - second, 9) >= 0.2 AS sure, code IN ('en', 'fr', 'de', 'es') AS supported FROM r)
+SELECT id, valid, CASE WHEN valid THEN array_to_string(list_transform(best, lambda x: x[2] || ':' || printf('%.3f', -x[1])), ',') END AS candidates, CASE WHEN valid AND supported THEN code END AS language,
+CASE WHEN NOT valid THEN 'detector_error' WHEN supported AND sure THEN 'detected' WHEN supported THEN 'best_effort' WHEN sure THEN 'unsupported' ELSE 'needs_language' END AS reason, NOT (valid AND supported AND sure) AS review FROM t""")
+def _(s, d):
+    p = view(s, d, "lang_probes").where("top_code <> second_code")
+    a, b = F.col("top_pct") / F.lit(100.0), F.col("second_permille") / F.lit(1000.0)
+    rest = F.when(F.col("probe_id") % 9 == 0, F.lit(0.1)).otherwise(F.lit(1.0) - a - b)
+    return language.from_scores(p.select(F.col("probe_id").alias("id"), F.create_map("top_code", a, "second_code", b, F.lit("zz"), rest).alias("scores")))
+
+
 # Transcript
 
 
@@ -220,19 +271,33 @@ def _time(c: str, mark: str) -> str:
     return f"(lpad(CAST({ms} // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST({ms} // 3600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST({ms} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ms} // 1000 % 60 AS VARCHAR), 2, '0') || '{mark}' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0'))"
 
 
-LABEL = "(CASE speaker WHEN 'speaker_0' THEN 'Speaker 1' WHEN 'speaker_1' THEN 'Speaker 2' ELSE 'Unknown speaker' END)"
+LABEL = "label"
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    return transcript.named(view(s, d, "states"), view(s, d, "doc_speakers"))
+
+
 CLEAN = r"translate(replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '-->', '→'), '<>', '‹›')"
 
 
-@query("transcript", f"""SELECT recording_id, body, CAST(octet_length(encode(body)) AS BIGINT) AS bytes FROM (SELECT recording_id, string_agg('[' || {_time('start_sample', '.')} || ' – ' || {_time('end_sample', '.')} || '] ' || {LABEL} || ': ' || {CLEAN}, chr(10) ORDER BY start_sample, end_sample, passage_id) AS body FROM {P} q GROUP BY recording_id) x""")
+@query("transcript", f"""SELECT recording_id, body, CAST(octet_length(encode(body)) AS BIGINT) AS bytes FROM (SELECT recording_id, string_agg('[' || {_time('start_sample', '.')} || ' – ' || {_time('end_sample', '.')} || '] ' || {LABEL} || ': ' || {CLEAN}, chr(10) ORDER BY start_sample, end_sample, passage_id) AS body FROM {NAMED} q GROUP BY recording_id) x""")
+def _(s, d):
+    return transcript.render(labelled(s, d))
+
+
+CUES = """(SELECT recording_id, cue, CAST(cue AS VARCHAR) || chr(10) || %s || ' --> ' || %s || chr(10) || %s || ': ' || %s || chr(10) AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, passage_id) AS cue FROM %s q) x)"""
+
+
+@query("s10_a12_vtt", f"""SELECT recording_id, body, octet_length(encode(body)) <= 16777216 AS allowed FROM (SELECT recording_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY cue) AS body FROM {CUES % (_time('start_sample', '.'), _time('end_sample', '.'), LABEL, CLEAN, NAMED)} c GROUP BY recording_id) x""")
 def _(s, d):
-    return transcript.render(view(s, d, "passages"))
+    return transcript.subtitles(labelled(s, d), "vtt")
 
 
-@query("f4_w19_cues", f"""SELECT recording_id, cue, CAST(cue AS VARCHAR) || chr(10) || {_time('start_sample', ',')} || ' --> ' || {_time('end_sample', ',')} || chr(10) || {LABEL} || ': ' || {CLEAN} || chr(10) AS body
-FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, passage_id) AS cue FROM {P} q) x""")
+@query("f4_w19_cues", f"SELECT * FROM {CUES % (_time('start_sample', ','), _time('end_sample', ','), LABEL, CLEAN, NAMED)} c")
 def _(s, d):
-    return transcript.cues(view(s, d, "passages"))
+    return transcript.cues(labelled(s, d))
 
 
 @query("p1_validation", f"""SELECT recording_id, passage_id, array_to_string(list_sort(list_filter([CASE WHEN start_sample < 0 OR start_sample >= end_sample THEN 'bad_range' END, CASE WHEN end_sample > duration + 16 THEN 'past_end' END,
@@ -243,23 +308,57 @@ def _(s, d):
     return transcript.validate(p, durations(p, -4000))
 
 
-@query("p2_p4_review", f"""SELECT recording_id, passage_id, reason, CASE WHEN reason IS NULL THEN text ELSE text || ' [Needs review: ' || reason || ']' END AS marked FROM (SELECT *, CASE WHEN speaker = 'unassigned' THEN 'Speaker not confirmed' WHEN trim(text) = '' THEN 'No words' WHEN end_sample - start_sample < 8000 THEN 'Very short' END AS reason FROM {P} q) x""")
+REASON_SQL = "CASE %s " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items()) + " END"
+REVIEWED = f"""(SELECT *, CASE WHEN separated AND resolution IS DISTINCT FROM 'words_reviewed' THEN 'Separated voice estimate; check words and speaker'
+WHEN resolution = 'words_reviewed' AND trim(text) <> '' THEN CASE WHEN speaker LIKE 'overlap%' THEN '{review.OVERLAP}' WHEN speaker = 'unassigned' THEN 'Speaker uncertain' END
+WHEN review_code IN ('token_limit', 'transcription_failed', 'insufficient_speech', 'possible_non_speech') THEN {REASON_SQL % 'review_code'}
+WHEN speaker = 'multiple_speakers' THEN '{review.MULTIPLE}' WHEN speaker LIKE 'overlap%' THEN '{review.OVERLAP}'
+WHEN detection_mode = 'auto' AND detection_reason IN ('recent_context', 'best_effort') THEN {REASON_SQL % 'detection_reason'}
+WHEN detection_mode = 'auto' AND language IS NULL THEN coalesce({REASON_SQL % 'detection_reason'}, '{review.UNCERTAIN}')
+WHEN trim(text) = '' THEN '{review.EMPTY}' WHEN speaker = 'unassigned' THEN 'Speaker uncertain' END AS reason FROM {S} q)"""
+
+
+@query("p2_p4_review", f"SELECT recording_id, passage_id, reason, CASE WHEN reason IS NULL THEN text ELSE text || CASE WHEN trim(text) = '' THEN '' ELSE ' ' END || '[Needs review: ' || reason || ']' END AS marked FROM {REVIEWED} r")
+def _(s, d):
+    return review.review(view(s, d, "states"))
+
+
+PLACED = f"""(SELECT *, NOT deleted AND (coalesce(issue = 'accuracy', false) OR trim(text) <> '' OR blocked OR candidate OR touched) AS shown FROM
+(SELECT *, NOT touched AND (coalesce(issue = 'language', false) OR trim(text) = '' AND NOT placeholder AND detection_reason IN ('needs_language', 'unsupported', 'mixed')) AS blocked FROM
+(SELECT *, protected = 'text' OR state = 'edited' AS touched, trim(text) = '' AND NOT partial AND coalesce(review_code, 'insufficient_speech') = 'insufficient_speech' AND audio_state IS DISTINCT FROM 'insufficient_acoustic_context'
+  AND (coalesce(audio_state IN ('digital_silence', 'model_non_speech'), false) OR detection_reason = 'insufficient_speech' OR coalesce(review_code = 'insufficient_speech', false)) AS placeholder FROM {S} q) x) y)"""
+REFINABLE = "NOT separated AND canonical AND sealed AND protected = '' AND timing <> 'audio_coverage' AND coalesce(audio_state NOT IN ('digital_silence', 'model_non_speech'), true)"
+
+
+@query("p5_to_p9_visibility", f"""SELECT recording_id, passage_id, shown, blocked AS language_blocked, placeholder, NOT deleted AND NOT shown AND NOT placeholder AND (review_code IS NOT NULL OR detection_reason IN ('needs_language', 'unsupported', 'mixed', 'insufficient_speech') OR state = 'unresolved') AS retained,
+{REFINABLE} AS refinable FROM {PLACED} p""")
+def _(s, d):
+    return review.visibility(view(s, d, "states"))
+
+
+@query("p12_p13_voice_passages", f"""SELECT recording_id, passage_id, reason, reason IS NULL AND end_sample - start_sample BETWEEN 32000 AND 160000 AS eligible FROM (SELECT *, CASE WHEN separated THEN 'unverified_audio' WHEN speaker <> 'speaker_0' THEN 'different_speaker' WHEN audio_state IS NOT NULL THEN 'unverified_audio'
+WHEN NOT finalized THEN 'unfinished' WHEN n_candidates > 1 THEN 'overlap' WHEN NOT eligible THEN 'unverified_audio' END AS reason FROM {S} q) x""")
+def _(s, d):
+    return review.voice_eligible(view(s, d, "states"), F.lit("speaker_0"))
+
+
+@query("a9_a11_exceptions", f"""SELECT recording_id, count(*) FILTER (WHERE shown) AS shown, count(issue) AS issues, CASE WHEN bool_or({REFINABLE} AND issue IS NOT NULL) THEN 'complete_with_exceptions' ELSE 'complete' END AS status FROM {PLACED} p GROUP BY recording_id""")
 def _(s, d):
-    return transcript.review(view(s, d, "passages"))
+    return review.exception_counts(view(s, d, "states"))
 
 
-@query("w10_continuation", f"SELECT recording_id, passage_id, coalesce(lag(speaker) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, passage_id) = speaker AND speaker <> 'unassigned', false) AS continues FROM {P} q")
+@query("w10_continuation", f"SELECT recording_id, passage_id, coalesce(lag(speaker) OVER w = speaker AND speaker NOT IN ('unassigned', 'multiple_speakers') AND NOT separated AND NOT lag(separated) OVER w, false) AS continues FROM {S} q WINDOW w AS (PARTITION BY recording_id ORDER BY start_sample, end_sample, passage_id)")
 def _(s, d):
-    return transcript.continuation(view(s, d, "passages"))
+    return transcript.continuation(view(s, d, "states"))
 
 
-@query("p10_passage_search", f"SELECT recording_id, passage_id FROM {P} q WHERE contains(lower(text || ' ' || {LABEL}), 'the th')")
+@query("p10_passage_search", f"SELECT recording_id, passage_id FROM {NAMED} q WHERE contains(lower(text || ' ' || {LABEL}), 'the th')")
 def _(s, d):
-    return transcript.search(view(s, d, "passages"), "the th")
+    return transcript.search(labelled(s, d), "the th")
 
 
 @query("w7_f5_introductions", f"""SELECT recording_id, speaker, passage_id, name FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker ORDER BY start_sample, pos) AS n FROM
-(SELECT *, regexp_extract(text, '^(?:(?:Hello|Hi|Hey)[ ,]+)?(?:I''m|I am|[Mm]y name is) ((?:\\p{{Lu}}[\\p{{L}}''-]*)(?: \\p{{Lu}}[\\p{{L}}''-]*){{0,2}})', 1) AS name FROM {P} q WHERE speaker <> 'unassigned') x WHERE name <> '') y WHERE n = 1""")
+(SELECT *, regexp_replace(regexp_extract(regexp_extract(trim(text), '{transcript.INTRODUCTION.replace("'", "''")}', 1), '{transcript.LEADING}', 1), '\\s+', ' ', 'g') AS name FROM {P} q WHERE speaker <> 'unassigned') x WHERE name <> '') y WHERE n = 1""")
 def _(s, d):
     return transcript.introductions(view(s, d, "passages"))
 
@@ -320,13 +419,13 @@ def _(s, d):
 # Voices
 
 RANKED = f"""(WITH c AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM {CLIPS} q),
-u AS (SELECT person_id, track_id, enrolled, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS unit FROM c WHERE sqrt(list_dot_product(v, v)) >= 1e-12),
-d AS (SELECT person_id, i, avg(unit[i]) AS x, count(*) AS n FROM (SELECT person_id, unit, unnest(generate_series(1, len(unit))) AS i FROM u WHERE enrolled) z GROUP BY person_id, i HAVING count(*) >= 2),
-m AS (SELECT person_id, list(x ORDER BY i) AS c FROM d GROUP BY person_id),
-k AS (SELECT person_id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS centroid FROM m),
-s AS (SELECT u.track_id, k.person_id, greatest(-1.0, least(1.0, list_dot_product(u.unit, k.centroid))) AS s FROM u CROSS JOIN k WHERE NOT u.enrolled),
-g AS (SELECT track_id, person_id, round(avg(s), 6) AS mean, round(min(s), 6) AS least, count(*) AS clips FROM s GROUP BY track_id, person_id)
-SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY mean DESC, person_id) AS place FROM g)"""
+u AS (SELECT person_id, track_id, model_id, enrolled, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS unit FROM c WHERE sqrt(list_dot_product(v, v)) >= 1e-12),
+d AS (SELECT person_id, model_id, i, avg(unit[i]) AS x, count(*) AS n FROM (SELECT person_id, model_id, unit, unnest(generate_series(1, len(unit))) AS i FROM u WHERE enrolled) z GROUP BY person_id, model_id, i HAVING count(*) >= 2),
+m AS (SELECT person_id, model_id, list(x ORDER BY i) AS c FROM d GROUP BY person_id, model_id),
+k AS (SELECT person_id, model_id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS centroid FROM m),
+s AS (SELECT u.track_id, k.person_id, greatest(-1.0, least(1.0, list_dot_product(u.unit, k.centroid))) AS s FROM u JOIN k ON u.model_id = k.model_id WHERE NOT u.enrolled),
+g AS (SELECT track_id, person_id, avg(s) AS mean, min(s) AS least, count(*) AS clips FROM s GROUP BY track_id, person_id)
+SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY round(mean, 9) DESC, person_id) AS place FROM g)"""
 
 
 def _ranked(s, d):
@@ -334,12 +433,12 @@ def _ranked(s, d):
     return identity.ranking(c, identity.profiles(c))
 
 
-@query("v6_a7_voice_ranking", f"SELECT * FROM {RANKED} q")
+@query("v6_a7_voice_ranking", f"SELECT track_id, person_id, round(mean, 6) AS mean, round(least, 6) AS least, clips, place FROM {RANKED} q")
 def _(s, d):
-    return _ranked(s, d)
+    return _ranked(s, d).withColumns({"mean": F.round("mean", 6), "least": F.round("least", 6)})
 
 
-@query("v7_voice_decision", f"""SELECT track_id, CASE WHEN outcome = 'matched' THEN person_id END AS person_id, outcome FROM (SELECT b.*, CASE WHEN b.clips < 2 THEN 'few_clips' WHEN b.mean < 0.2 THEN 'below_threshold' WHEN round(b.mean - coalesce(n.mean, 0), 6) < 0.05 THEN 'small_margin' ELSE 'matched' END AS outcome
+@query("v7_voice_decision", f"""SELECT track_id, CASE WHEN outcome = 'matched' THEN person_id END AS person_id, outcome FROM (SELECT b.*, CASE WHEN b.clips < 2 THEN 'few_clips' WHEN b.least < 0.2 THEN 'below_threshold' WHEN b.mean - coalesce(n.mean, 0) < 0.05 THEN 'small_margin' ELSE 'matched' END AS outcome
 FROM (SELECT * FROM {RANKED} q WHERE place = 1) b LEFT JOIN (SELECT * FROM {RANKED} q WHERE place = 2) n ON b.track_id = n.track_id) x""")
 def _(s, d):
     return identity.decide(_ranked(s, d))
@@ -391,7 +490,7 @@ def _(s, d):
 
 
 @query("w14_contiguous", f"""SELECT recording_id, bool_and(touch) AND max(end_sample) = max(duration) AS contiguous FROM (
-SELECT c.*, c.recording_id AS r, (SELECT max(end_sample) FROM {T} t WHERE t.recording_id = c.recording_id) AS duration, coalesce(lag(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample) = start_sample, true) AS touch FROM {ISLANDS} c) x GROUP BY recording_id""")
+SELECT c.*, c.recording_id AS r, (SELECT max(end_sample) FROM {T} t WHERE t.recording_id = c.recording_id) AS duration, coalesce(lag(end_sample) OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample) = start_sample, start_sample = 0) AS touch FROM {ISLANDS} c) x GROUP BY recording_id""")
 def _(s, d):
     t = view(s, d, "turns")
     return ranges.contiguous(intervals.islands(t), durations(t, 0))
@@ -414,6 +513,131 @@ def _(s, d):
     return ranges.compare(p, s.sql(INCOMING % ("{p}", "{p}"), p=p))
 
 
+# Windows over spans
+
+
+@query("u7_windows", f"""WITH i AS {ISLANDS}, d AS (SELECT recording_id, max(end_sample) + 1000 AS duration FROM {T} GROUP BY 1), g AS (SELECT recording_id, lag(end_sample, 1, 0) OVER (PARTITION BY recording_id ORDER BY start_sample) AS start_sample, start_sample AS end_sample FROM i
+UNION ALL SELECT d.recording_id, max(end_sample), max(duration) FROM d JOIN i ON i.recording_id = d.recording_id GROUP BY 1)
+SELECT recording_id, start_sample, end_sample, true AS speech FROM i UNION ALL SELECT *, false FROM g WHERE end_sample > start_sample""")
+def _(s, d):
+    t = view(s, d, "turns")
+    return intervals.windows(t, durations(t, 1000))
+
+
+LONG = f"(SELECT recording_id, start_sample, end_sample + recording_id % 5 * 90000 AS end_sample FROM {ISLANDS} q)"
+
+
+def long_spans(s: SparkSession, d: str) -> DataFrame:
+    return intervals.islands(view(s, d, "turns")).withColumn("end_sample", F.col("end_sample") + F.col("recording_id") % 5 * 90000)
+
+
+WINDOWED = "SELECT recording_id, start_sample, end_sample, core_start, core_end, greatest(core_start - 48000, start_sample) AS window_start, least(core_end + 48000, end_sample) AS window_end FROM"
+
+
+@query("g5_context_windows", f"""{WINDOWED} (SELECT *, start_sample + (end_sample - start_sample) * i // n AS core_start, start_sample + (end_sample - start_sample) * (i + 1) // n AS core_end
+FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT *, (end_sample - start_sample + 223999) // 224000 AS n FROM {LONG} q) x) y) z""")
+def _(s, d):
+    return intervals.context_windows(long_spans(s, d))
+
+
+@query("g6_fixed_windows", f"""{WINDOWED} (SELECT *, least(core_start + step, end_sample) AS core_end FROM (SELECT *, unnest(generate_series(start_sample, end_sample - 1, step)) AS core_start
+FROM (SELECT *, CASE WHEN end_sample - start_sample > 320000 THEN 224000 ELSE end_sample - start_sample END AS step FROM {LONG} q) x) y) z""")
+def _(s, d):
+    return intervals.fixed_windows(long_spans(s, d))
+
+
+@query("g8_tiles", f"SELECT recording_id, tile, greatest(start_sample, tile * 4000) AS start_sample, least(end_sample, tile * 4000 + 4000) AS end_sample FROM (SELECT *, unnest(generate_series(start_sample // 4000, (end_sample - 1) // 4000)) AS tile FROM {ISLANDS} q) x")
+def _(s, d):
+    return intervals.tiles(intervals.islands(view(s, d, "turns")))
+
+
+@query("o4_best_range", f"SELECT recording_id, start_sample, least(end_sample, start_sample + 96000) AS end_sample FROM {ISLANDS} q WHERE end_sample - start_sample >= 32000 QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY end_sample - start_sample DESC, start_sample) = 1")
+def _(s, d):
+    return intervals.best_range(view(s, d, "turns"))
+
+
+# Changes of passages
+
+CANDIDATES = f"""(SELECT recording_id, passage_id, CASE WHEN pos % 6 = 1 THEN '' ELSE text || ' more' END AS text, CASE WHEN pos % 4 = 0 THEN 'speaker_9' ELSE speaker END AS speaker, start_sample + 160 AS start_sample, end_sample FROM {S} q WHERE pos % 5 <> 3
+UNION ALL SELECT recording_id, 'live-' || passage_id, text, speaker, start_sample, end_sample FROM {S} q WHERE pos = 0)"""
+
+
+def candidates(p: DataFrame) -> DataFrame:
+    text, speaker = F.when(F.col("pos") % 6 == 1, "").otherwise(F.concat("text", F.lit(" more"))), F.when(F.col("pos") % 4 == 0, "speaker_9").otherwise(F.col("speaker"))
+    moved = p.where("pos % 5 <> 3").select("recording_id", "passage_id", text.alias("text"), speaker.alias("speaker"), (F.col("start_sample") + 160).alias("start_sample"), "end_sample")
+    return moved.unionByName(p.where("pos = 0").select("recording_id", F.concat(F.lit("live-"), "passage_id").alias("passage_id"), "text", "speaker", "start_sample", "end_sample"))
+
+
+KEPT = "(a.deleted OR a.finalized = false OR b.speaker IS NULL)"
+
+
+@query("e8_live_merge", f"""SELECT coalesce(a.recording_id, b.recording_id) AS recording_id, coalesce(a.passage_id, b.passage_id) AS passage_id,
+CASE WHEN a.speaker IS NULL THEN b.text WHEN {KEPT} OR a.protected = 'text' OR trim(b.text) = '' AND trim(a.text) <> '' THEN a.text ELSE b.text END AS text,
+CASE WHEN a.speaker IS NULL THEN b.speaker WHEN {KEPT} OR a.protected = 'speaker,start' THEN a.speaker ELSE b.speaker END AS speaker,
+CASE WHEN a.speaker IS NULL THEN b.start_sample WHEN {KEPT} OR a.protected = 'speaker,start' THEN a.start_sample ELSE b.start_sample END AS start_sample,
+CASE WHEN a.speaker IS NULL OR NOT {KEPT} THEN b.end_sample ELSE a.end_sample END AS end_sample, CASE WHEN a.speaker IS NULL THEN 'new' WHEN {KEPT} THEN 'kept' ELSE 'merged' END AS origin
+FROM {S} a FULL JOIN {CANDIDATES} b ON a.recording_id = b.recording_id AND a.passage_id = b.passage_id""")
+def _(s, d):
+    p = view(s, d, "states")
+    return changes.live_merge(p.withColumn("refined", ~F.col("finalized")), candidates(p))
+
+
+@query("e3_e5_j18_whole_save", f"""SELECT b.recording_id, b.passage_id, b.text, b.speaker, a.audio_state, a.review_code, CASE WHEN a.passage_id IS NULL THEN 'manual' ELSE 'imported' END AS provenance FROM {CANDIDATES} b LEFT JOIN {S} a ON a.recording_id = b.recording_id AND a.passage_id = b.passage_id
+UNION ALL SELECT recording_id, passage_id, text, speaker, audio_state, review_code, 'imported' FROM {S} a WHERE deleted AND NOT EXISTS (SELECT 1 FROM {CANDIDATES} b WHERE a.recording_id = b.recording_id AND a.passage_id = b.passage_id)""")
+def _(s, d):
+    p = view(s, d, "states")
+    return changes.whole_save(p, candidates(p).select("recording_id", "passage_id", "text", "speaker"), ["audio_state", "review_code"])
+
+
+VERSION = "sha256(concat_ws(chr(31), '=' || text, '=' || speaker, '=' || CAST(start_sample AS VARCHAR), coalesce('=' || audio_state, '-')))"
+
+
+@query("j11_a18_current_candidates", f"""SELECT c.recording_id, c.passage_id, c.version FROM (SELECT recording_id, passage_id, {VERSION.replace('text', "CASE WHEN pos % 3 = 0 THEN text || '?' ELSE text END")} AS version FROM {S} q) c
+JOIN (SELECT recording_id, passage_id, {VERSION} AS version FROM {S} q) p ON c.recording_id = p.recording_id AND c.passage_id = p.passage_id AND c.version = p.version""")
+def _(s, d):
+    p = view(s, d, "states")
+    hashed = lambda x: x.select("recording_id", "passage_id", changes.version("text", "speaker", "start_sample", "audio_state").alias("version"))
+    return changes.current(hashed(p.withColumn("text", F.when(F.col("pos") % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")))), hashed(p))
+
+
+@query("e6_interpretation_changed", f"""SELECT recording_id, bool_or(changed) AS changed FROM (SELECT coalesce(a.recording_id, b.recording_id) AS recording_id, a.speaker IS DISTINCT FROM b.speaker OR a.language IS DISTINCT FROM b.language OR a.passage_id IS NULL OR b.passage_id IS NULL AS changed
+FROM {S} a FULL JOIN (SELECT recording_id, passage_id, language, CASE WHEN recording_id % 4 = 0 AND pos = 1 THEN 'speaker_9' ELSE speaker END AS speaker FROM {S} q WHERE recording_id % 5 <> 0 OR pos <> 0) b ON a.recording_id = b.recording_id AND a.passage_id = b.passage_id) x GROUP BY recording_id""")
+def _(s, d):
+    p = view(s, d, "states")
+    speaker = F.when((F.col("recording_id") % 4 == 0) & (F.col("pos") == 1), "speaker_9").otherwise(F.col("speaker"))
+    return changes.interpretation_changed(p, p.where("recording_id % 5 <> 0 OR pos <> 0").withColumn("speaker", speaker))
+
+
+@query("e16_invalidated", f"""SELECT recording_id, passage_id, CASE WHEN hit AND protected <> 'text' THEN '' ELSE text END AS text, revision + CASE WHEN hit THEN 1 ELSE 0 END AS revision, CASE WHEN NOT hit THEN audio_state END AS audio_state, hit AS review
+FROM (SELECT q.*, coalesce(end_sample > repaired_from, false) AS hit FROM {S} q LEFT JOIN (SELECT recording_id, min(start_sample) AS repaired_from FROM {N} n WHERE late GROUP BY 1) r ON q.recording_id = r.recording_id) x""")
+def _(s, d):
+    return changes.invalidated(view(s, d, "states"), library.late_repairs(view(s, d, "audio_notices")))
+
+
+@query("s11_j17_upsert", f"""SELECT recording_id, name, revision + 1 AS revision FROM {R} q WHERE recording_id % 2 = 0 UNION ALL SELECT recording_id, name, revision FROM {R} q WHERE recording_id % 3 <> 0 AND recording_id % 2 <> 0""")
+def _(s, d):
+    r = view(s, d, "recordings").select("recording_id", "name", "revision")
+    return changes.latest(r.where("recording_id % 3 <> 0"), r.where("recording_id % 2 = 0").withColumn("revision", F.col("revision") + 1), ["recording_id"])
+
+
+@query("s14_grown_checkpoints", f"SELECT recording_id, max(duration_s) AS duration_s FROM (SELECT recording_id, duration_s FROM {R} q UNION ALL SELECT recording_id, duration_s + recording_id % 7 - 3 FROM {R} q WHERE recording_id % 2 = 0) x GROUP BY recording_id")
+def _(s, d):
+    r = view(s, d, "recordings").select("recording_id", "duration_s")
+    return changes.grown(r, r.where("recording_id % 2 = 0").withColumn("duration_s", F.col("duration_s") + F.col("recording_id") % 7 - 3))
+
+
+@query("s13_capped_batch", f"""WITH b AS (SELECT recording_id, kind FROM {R} q WHERE status = 'ready'), a AS (SELECT kind, count(*) AS n FROM {R} q WHERE status = 'recording' AND kind = 'meeting' GROUP BY 1)
+SELECT * FROM b WHERE (SELECT count(*) FROM b c WHERE c.kind = b.kind) + coalesce((SELECT n FROM a WHERE a.kind = b.kind), 0) <= (SELECT count(*) * 2 // 5 FROM {R} q)""")
+def _(s, d):
+    r = view(s, d, "recordings")
+    return changes.within_limit(r.where("status = 'recording' AND kind = 'meeting'"), r.where("status = 'ready'").select("recording_id", "kind"), r.count() * 2 // 5)
+
+
+@query("e15_dismissed", f"SELECT recording_id, string_agg(CAST(edit_id AS VARCHAR), ',' ORDER BY edit_id) AS ids, count(*) AS n FROM (SELECT * FROM {E} q QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY edit_id DESC) <= 256) x GROUP BY recording_id")
+def _(s, d):
+    return changes.dismissed(view(s, d, "edits"))
+
+
 # Scalar rules
 
 
@@ -435,6 +659,40 @@ def _(s, d):
     return ids.select("id", scalars.color(F.col("id")).alias("color"))
 
 
+@query("f2_f13_clocks", f"""SELECT recording_id, passage_id, lpad(CAST(u // 600000 AS VARCHAR), CAST(greatest(2, length(CAST(u // 600000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(u % 600000 // 10000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(u % 10000 AS VARCHAR), 4, '0') AS clock,
+CAST(floor(x * 16000) AS BIGINT) AS low, CAST(ceil(x * 16000) AS BIGINT) AS high, CAST(round(x * 16000) AS BIGINT) AS nearest FROM (SELECT *, CAST(floor(start_sample * 10000 / 16000.0::DOUBLE + 0.5) AS BIGINT) AS u, start_sample / 48000.0::DOUBLE AS x FROM {P} q) z""")
+def _(s, d):
+    seconds = F.col("start_sample") / F.lit(48000.0)
+    return view(s, d, "passages").select("recording_id", "passage_id", scalars.review_clock(F.col("start_sample")).alias("clock"), *(scalars.to_samples(seconds, w).alias(n) for w, n in (("floor", "low"), ("ceil", "high"), ("round", "nearest"))))
+
+
+@query("f11_initials", f"""SELECT DISTINCT speaker, label, CASE WHEN speaker = 'multiple_speakers' THEN '…' WHEN speaker = 'unassigned' THEN '?' WHEN regexp_matches(label, '^Speaker [0-9]+$') THEN 'S' || regexp_extract(label, '[0-9]+') WHEN label = 'Unknown speaker' THEN '?'
+ELSE upper(substr(string_split_regex(trim(label), '\s+')[1], 1, 1) || coalesce(substr(string_split_regex(trim(label), '\s+')[2], 1, 1), '')) END AS initials FROM {NAMED} q""")
+def _(s, d):
+    return labelled(s, d).select("speaker", "label", scalars.initials(F.col("label"), F.col("speaker")).alias("initials")).distinct()
+
+
+NAMES_OF_FILES = "'../up/' || substr(text, 1, 24) || ' (v' || CAST(pos AS VARCHAR) || ').txt'"
+
+
+@query("f12_safe_file_names", f"""SELECT recording_id, passage_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract({NAMES_OF_FILES}, '([^/]*)/*$', 1), '[^A-Za-z0-9.\\s-]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s+', '_', 'g'), '^[._]+', '') AS file FROM {P} q""".replace("\\\\", "\\"))
+def _(s, d):
+    name = F.concat(F.lit("../up/"), F.substring("text", 1, 24), F.lit(" (v"), F.col("pos").cast("string"), F.lit(").txt"))
+    return view(s, d, "passages").select("recording_id", "passage_id", scalars.safe_file_name(name).alias("file"))
+
+
+@query("f10_namespaced", f"SELECT recording_id, turn_id, 'speaker_' || CAST(CAST(substr(speaker, 9) AS BIGINT) + 32 * (turn_id % 2) + 64 * (turn_id % 3) AS VARCHAR) AS speaker FROM {T} q")
+def _(s, d):
+    return view(s, d, "turns").select("recording_id", "turn_id", scalars.namespaced(F.col("speaker"), F.col("turn_id") % 2, F.col("turn_id") % 3).alias("speaker"))
+
+
+@query("f16_masked_softmax", f"""SELECT clip_id, list_transform(e, lambda x: round(x / list_sum(e), 9)) AS p FROM (SELECT clip_id, list_transform(own, lambda x: exp(x - list_max(own))) AS e FROM (SELECT clip_id, [embedding[1]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS own FROM {CLIPS} q) x) y""")
+def _(s, d):
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    p = scalars.masked_softmax(logits, F.array(*map(F.lit, (0, 2, 3))))
+    return view(s, d, "clips").select("clip_id", F.transform(p, lambda x: F.round(x, 9)).alias("p"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -79,6 +79,12 @@ def complement(spans: DataFrame, durations: DataFrame, tolerance: int = TOLERANC
     return gaps.unionByName(tail).where(F.col("b") - F.col("a") > tolerance).select(KEY, F.col("a").cast("long").alias("start_sample"), F.col("b").cast("long").alias("end_sample"))
 
 
+def windows(spans: DataFrame, durations: DataFrame) -> DataFrame:
+    """Work windows: speech spans and all gaps between them, up to the duration."""
+    speech = islands(spans).withColumn("speech", F.lit(True))
+    return speech.unionByName(complement(spans, durations, 0).withColumn("speech", F.lit(False)))
+
+
 def chunk(spans: DataFrame, longest: int) -> DataFrame:
     """Pieces of at most ``longest`` samples, cut from the start."""
     starts = F.explode(F.sequence(F.col("start_sample"), F.col("end_sample") - 1, F.lit(longest).cast("long")))
@@ -86,19 +92,71 @@ def chunk(spans: DataFrame, longest: int) -> DataFrame:
 
 
 def uncovered_rows(passages: DataFrame, durations: DataFrame) -> DataFrame:
-    """Coverage rows of at most 30 s for uncovered time, numbered ``unassigned-<n>`` in order of time."""
+    """Coverage rows of at most 30 s for uncovered time.
+
+    Ids are ``unassigned-<n>``, n being the number of ids so far; ``-gap`` is
+    put behind one as often as it is taken.
+    """
     pieces = chunk(complement(passages, durations), COVERAGE)
-    n = F.row_number().over(Window.partitionBy(KEY).orderBy("start_sample"))
-    return pieces.select(KEY, F.concat(F.lit("unassigned-"), n.cast("string")).alias("passage_id"), "start_sample", "end_sample")
+    pieces = pieces.withColumn("row", F.row_number().over(Window.partitionBy(KEY).orderBy("start_sample")))
+    ids = passages.select(KEY, "passage_id").distinct()
+    pieces = pieces.join(ids.groupBy(KEY).agg(F.count("*").alias("ids")), KEY, "left")
+    n = F.coalesce("ids", F.lit(0)) + F.col("row") - 1
+    # Taken ids of this form by their number, and how many of unassigned-n, unassigned-n-gap, ... are taken without a break.
+    form = r"^unassigned-([0-9]+)((?:-gap)*)$"
+    taken = ids.select(KEY, F.regexp_extract("passage_id", form, 1).alias("n"), (F.length(F.regexp_extract("passage_id", form, 2)) / 4).cast("long").alias("gaps")).where("n <> ''")
+    at = F.row_number().over(Window.partitionBy(KEY, "n").orderBy("gaps")) - 1
+    broken = taken.withColumn("at", at).groupBy(KEY, "n").agg(F.count_if(F.col("gaps") == F.col("at")).alias("more"))
+    named = pieces.withColumn("n", n.cast("string")).join(broken, [KEY, "n"], "left")
+    name = F.concat(F.lit("unassigned-"), "n", F.repeat(F.lit("-gap"), F.coalesce("more", F.lit(0)).cast("int")))
+    return named.select(KEY, name.alias("passage_id"), "start_sample", "end_sample")
 
 
 def crop_padding(regions: DataFrame, durations: DataFrame, padding: int = PADDING) -> DataFrame:
-    """Regions padded on both sides, never past the midpoint to a neighbour or the recording's bounds."""
+    """Regions padded on both sides, never past the midpoint to a neighbour or to the recording's bounds."""
     w = Window.partitionBy(KEY).orderBy("start_sample")
-    before, after = F.lag("end_sample").over(w), F.lead("start_sample").over(w)
-    low = F.when(before.isNull(), F.lit(0)).otherwise(F.floor((before + F.col("start_sample")) / 2))
-    high = F.when(after.isNull(), F.col("duration")).otherwise(F.floor((F.col("end_sample") + after) / 2))
-    return regions.join(durations, KEY).select(KEY, "start_sample", "end_sample", F.greatest(F.col("start_sample") - padding, low).cast("long").alias("audio_start"), F.least(F.col("end_sample") + padding, high).cast("long").alias("audio_end"))
+    before, after = F.coalesce(F.lag("end_sample").over(w), F.lit(0)), F.coalesce(F.lead("start_sample").over(w), F.col("duration"))
+    low, high = F.floor((before + F.col("start_sample")) / 2), F.floor((F.col("end_sample") + after) / 2)
+    start, end = F.greatest(F.lit(0), F.col("start_sample") - padding, low), F.least("duration", F.col("end_sample") + padding, high)
+    return regions.join(durations, KEY).select(KEY, "start_sample", "end_sample", start.cast("long").alias("audio_start"), end.cast("long").alias("audio_end"))
+
+
+#: Context windows: longest core (14 s), padding (3 s), longest range that stays whole (20 s); packets are cut at tiles.
+CORE, PAD, WHOLE, TILE = 224_000, 48_000, 320_000, 4_000
+
+
+def _padded(cores: DataFrame) -> DataFrame:
+    return cores.select(KEY, "start_sample", "end_sample", "core_start", "core_end", F.greatest(F.col("core_start") - PAD, "start_sample").alias("window_start"), F.least(F.col("core_end") + PAD, "end_sample").alias("window_end"))
+
+
+def context_windows(spans: DataFrame) -> DataFrame:
+    """Nearly equal cores of at most 14 s, padded by 3 s within the span."""
+    size = F.col("end_sample") - F.col("start_sample")
+    parts = spans.where("start_sample < end_sample").withColumn("n", F.ceil(size / CORE).cast("long")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    edge = lambda i: (F.col("start_sample") + F.floor(size * i / F.col("n"))).cast("long")
+    return _padded(parts.withColumns({"core_start": edge(F.col("i")), "core_end": edge(F.col("i") + 1)}))
+
+
+def fixed_windows(spans: DataFrame) -> DataFrame:
+    """Cores of 14 s from the start, only where a span exceeds 20 s, padded by 3 s within the span."""
+    size = F.col("end_sample") - F.col("start_sample")
+    step = F.when(size > WHOLE, CORE).otherwise(size).cast("long")
+    parts = spans.where("start_sample < end_sample").withColumn("core_start", F.explode(F.sequence("start_sample", F.col("end_sample") - 1, step)))
+    return _padded(parts.withColumn("core_end", F.least(F.col("core_start") + step, "end_sample")))
+
+
+def tiles(packets: DataFrame) -> DataFrame:
+    """Packets cut where tiles of 4,000 samples begin."""
+    first, last = F.floor(F.col("start_sample") / TILE), F.floor((F.col("end_sample") - 1) / TILE)
+    cut = packets.where("start_sample < end_sample").withColumn("tile", F.explode(F.sequence(first, last)))
+    return cut.select(KEY, "tile", F.greatest("start_sample", F.col("tile") * TILE).alias("start_sample"), F.least("end_sample", (F.col("tile") + 1) * TILE).alias("end_sample"))
+
+
+def best_range(spans: DataFrame) -> DataFrame:
+    """Per recording the longest of the spans, touching ones merged, of at least 2 s: the earliest on ties, cut to 6 s."""
+    solid = islands(spans).where("end_sample - start_sample >= 32000")
+    best = solid.groupBy(KEY).agg(F.max_by(F.struct("start_sample", "end_sample"), F.struct(F.col("end_sample") - F.col("start_sample"), -F.col("start_sample"))).alias("b"))
+    return best.select(KEY, "b.start_sample", F.least(F.col("b.end_sample"), F.col("b.start_sample") + 96_000).alias("end_sample"))
 
 
 def probe_edges(spans: DataFrame, length: int = 48_000) -> DataFrame:

@@ -65,10 +65,10 @@ def withdraw_overlapping(words: DataFrame) -> DataFrame:
 
 
 def contiguous(spans: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Per recording: does each span start where the last one ended, and the last end at the bound (recording_id, duration)?"""
+    """Per recording: does the first span start at 0, each start where the last one ended, and the last end at the bound (recording_id, duration)?"""
     w = Window.partitionBy(KEY).orderBy("start_sample", "end_sample")
-    touch = F.coalesce(F.lag("end_sample").over(w) == F.col("start_sample"), F.lit(True))
-    checked = spans.withColumn("touch", touch).groupBy(KEY).agg(F.every("touch").alias("touching"), F.max("end_sample").alias("stop"))
+    touch = F.coalesce(F.lag("end_sample").over(w), F.lit(0)) == F.col("start_sample")
+    checked = spans.withColumn("touch", touch & (F.col("start_sample") < F.col("end_sample"))).groupBy(KEY).agg(F.every("touch").alias("touching"), F.max("end_sample").alias("stop"))
     return checked.join(bounds, KEY).select(KEY, (F.col("touching") & (F.col("stop") == F.col("duration"))).alias("contiguous"))
 
 

@@ -19,8 +19,13 @@ def timestamp(samples: Column, mark: str = ",") -> Column:
 
 
 def label(speaker: Column) -> Column:
-    n = F.regexp_extract(speaker, r"^speaker_([0-9]+)$", 1)
-    return F.when(n != "", F.concat(F.lit("Speaker "), (F.expr("try_cast(regexp_extract(speaker, '^speaker_([0-9]+)$', 1) AS bigint)") + 1).cast("string"))).when(speaker == "overlap", "Overlapping speakers").otherwise("Unknown speaker")
+    """The name of a speaker without an entry in the document's speaker map."""
+    return F.when(speaker == "unassigned", "Unknown speaker").otherwise("Overlapping speakers")
+
+
+def named(passages: DataFrame, speakers: DataFrame) -> DataFrame:
+    """``passages`` with label: the name in the document's speaker map (recording_id, speaker, name), else as ``label`` says."""
+    return passages.join(speakers.select(KEY, "speaker", F.col("name").alias("label")), [KEY, "speaker"], "left").withColumn("label", F.coalesce("label", label(F.col("speaker"))))
 
 
 def cleaned(text: Column) -> Column:
@@ -43,29 +48,33 @@ def validate(passages: DataFrame, durations: DataFrame) -> DataFrame:
     return p.select(KEY, "passage_id", F.array_join(F.array_sort(F.array_compact(F.array(*rules))), ",").alias("violations"))
 
 
-def review(passages: DataFrame) -> DataFrame:
-    """The first reason for which a passage needs review, and its text with the marker."""
-    reason = F.when(F.col("speaker") == "unassigned", "Speaker not confirmed").when(F.trim("text") == "", "No words").when(F.col("end_sample") - F.col("start_sample") < RATE / 2, "Very short")
-    out = passages.select(KEY, "passage_id", "text", reason.alias("reason"))
-    return out.select(KEY, "passage_id", "reason", F.when(F.col("reason").isNull(), F.col("text")).otherwise(F.concat("text", F.lit(" [Needs review: "), "reason", F.lit("]"))).alias("marked"))
-
-
 def continuation(passages: DataFrame) -> DataFrame:
-    """Whether a passage goes on with the speaker of the one before."""
+    """Whether a passage goes on with the speaker of the one before: one known speaker, neither passage separated."""
     w = Window.partitionBy(KEY).orderBy("start_sample", "end_sample", "passage_id")
-    return passages.select(KEY, "passage_id", F.coalesce((F.lag("speaker").over(w) == F.col("speaker")) & (F.col("speaker") != "unassigned"), F.lit(False)).alias("continues"))
+    same = (F.lag("speaker").over(w) == F.col("speaker")) & ~F.col("speaker").isin("unassigned", "multiple_speakers") & ~F.col("separated") & ~F.lag("separated").over(w)
+    return passages.select(KEY, "passage_id", F.coalesce(same, F.lit(False)).alias("continues"))
 
 
 def search(passages: DataFrame, words: str) -> DataFrame:
-    """Passages whose text or speaker label holds ``words``, without regard to case."""
-    return passages.where(F.contains(F.lower(F.concat_ws(" ", "text", label(F.col("speaker")))), F.lit(words.lower()))).select(KEY, "passage_id")
+    """Passages (with label) whose text or speaker label holds ``words``, without regard to case."""
+    return passages.where(F.contains(F.lower(F.concat_ws(" ", "text", "label")), F.lit(words.lower()))).select(KEY, "passage_id")
+
+
+#: An introduction: a greeting or none, then a name of up to three words.
+WORD = r"[\p{L}\p{M}\p{Nl}]+(?:[-’'][\p{L}\p{M}\p{Nl}]+)*"
+INTRODUCTION = rf"^(?:(?i:hi|hello|hey)[,!]?\s+)?(?i:i['’]m|i am|my name is)\s+({WORD}(?:\s+{WORD}){{0,2}})"
+LEADING = r"^(\p{Lu}\S*(?:\s+\p{Lu}\S*)*)"
+
+
+def introduced_name(text: Column) -> Column:
+    """The leading capitalised words of the name with which a text introduces someone; empty without one."""
+    raw = F.regexp_extract(F.trim(text), INTRODUCTION, 1)
+    return F.regexp_replace(F.regexp_extract(raw, LEADING, 1), r"\s+", " ")
 
 
 def introductions(passages: DataFrame) -> DataFrame:
-    """The first introduced name of each speaker track: leading capitalised words, three at most."""
-    start = r"^(?:(?:Hello|Hi|Hey)[ ,]+)?(?:I'm|I am|[Mm]y name is) "
-    name = F.regexp_extract("text", start + r"((?:\p{Lu}[\p{L}'-]*)(?: \p{Lu}[\p{L}'-]*){0,2})", 1)
-    found = passages.where("speaker <> 'unassigned'").withColumn("name", name).where("name <> ''")
+    """The first introduced name of each single speaker."""
+    found = passages.where("speaker NOT IN ('unassigned', 'multiple_speakers') AND speaker NOT LIKE 'overlap%'").withColumn("name", introduced_name(F.col("text"))).where("name <> ''")
     first = F.row_number().over(Window.partitionBy(KEY, "speaker").orderBy("start_sample", "pos"))
     return found.withColumn("n", first).where("n = 1").select(KEY, "speaker", "passage_id", "name")
 
@@ -73,13 +82,25 @@ def introductions(passages: DataFrame) -> DataFrame:
 def cues(passages: DataFrame, mark: str = ",") -> DataFrame:
     """Numbered subtitle cues in canonical order."""
     n = F.row_number().over(Window.partitionBy(KEY).orderBy("start_sample", "end_sample", "passage_id"))
-    line = F.concat(label(F.col("speaker")), F.lit(": "), cleaned(F.col("text")))
+    line = F.concat("label", F.lit(": "), cleaned(F.col("text")))
     return passages.select(KEY, n.cast("long").alias("cue"), F.concat(n.cast("string"), F.lit("\n"), timestamp(F.col("start_sample"), mark), F.lit(" --> "), timestamp(F.col("end_sample"), mark), F.lit("\n"), line, F.lit("\n")).alias("body"))
 
 
 def render(passages: DataFrame) -> DataFrame:
     """A transcript per recording with its size in bytes: ``[start – end] label: text`` lines in canonical order."""
-    line = F.concat(F.lit("["), timestamp(F.col("start_sample"), "."), F.lit(" – "), timestamp(F.col("end_sample"), "."), F.lit("] "), label(F.col("speaker")), F.lit(": "), cleaned(F.col("text")))
+    line = F.concat(F.lit("["), timestamp(F.col("start_sample"), "."), F.lit(" – "), timestamp(F.col("end_sample"), "."), F.lit("] "), F.col("label"), F.lit(": "), cleaned(F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("start_sample", "end_sample", "passage_id", line.alias("line"))))
     out = passages.groupBy(KEY).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"))
     return out.withColumn("bytes", F.octet_length("body").cast("long"))
+
+
+#: Bytes that an export may have.
+LARGEST = 16 << 20
+
+
+def subtitles(passages: DataFrame, kind: str) -> DataFrame:
+    """An SRT or VTT file per recording, and whether it is within the size allowed."""
+    mark, head = (".", "WEBVTT\n\n") if kind == "vtt" else (",", "")
+    ordered = F.array_sort(F.collect_list(F.struct("cue", "body")))
+    out = cues(passages, mark).groupBy(KEY).agg(F.concat(F.lit(head), F.array_join(F.transform(ordered, lambda x: x["body"]), "\n")).alias("body"))
+    return out.withColumn("allowed", F.octet_length("body") <= LARGEST)
