@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars
-from parley.operators import changes, identity, intervals, language, library, ranges, review, speech, transcript
+from parley.operators import changes, folds, identity, intervals, language, library, ranges, review, speech, transcript
 from parley.sources.fixtures import oracle, view
 from parley.streaming import utterances
 from parley.streaming.replay import current, replay
@@ -26,9 +26,13 @@ LENGTH = f"(SELECT recording_id, max(end_sample) + 480000 AS duration FROM {P} G
 TURN_LENGTH = f"(SELECT recording_id, max(end_sample) - 20000 AS duration FROM {T} GROUP BY recording_id)"
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
+    """Registers a query with its SQL; None where an ordered pass can't be written as SQL, and tests compare with plain Python."""
+
     def register(f: Query) -> Query:
-        QUERIES[name], ORACLE[name] = f, sql
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
         return f
 
     return register
@@ -556,6 +560,57 @@ def _(s, d):
     return intervals.best_range(view(s, d, "turns"))
 
 
+# Ordered passes
+
+
+@query("w5_decode_regions", None)
+def _(s, d):
+    return folds.decode_regions(intervals.coalesce_equal(intervals.elementary(view(s, d, "turns"))))
+
+
+@query("v3_w12_chosen_clips", None)
+def _(s, d):
+    return folds.chosen_clips(ranges.clip_windows(intervals.islands(view(s, d, "turns"))))
+
+
+@query("g7_cut_plans", None)
+def _(s, d):
+    """Spans cut at silences between their speech; a gap of an even number of frames counts as verified."""
+    long, inside = long_spans(s, d).withColumn("span_id", F.col("start_sample")), view(s, d, "turns").withColumn("speaker", F.lit("any"))
+    solid = intervals.islands(inside).withColumn("speaker", F.lit("any"))
+    w = Window.partitionBy("recording_id", "span_id").orderBy("a")
+    talk = ranges.clipped(solid, long).select("recording_id", "span_id", F.col("start_sample").alias("a"), F.col("end_sample").alias("z"))
+    gap = F.struct(F.col("z").alias("a"), F.lead("a").over(w).alias("z"))
+    gaps = talk.withColumn("g", gap).where("g.z IS NOT NULL").select("recording_id", "span_id", F.struct("g.a", "g.z", (F.floor((F.col("g.z") - F.col("g.a")) / 512) % 2 == 0).alias("sure")).alias("g"))
+    grouped = gaps.groupBy("recording_id", "span_id").agg(F.array_sort(F.collect_list("g")).alias("gaps"))
+    none = F.array().cast("array<struct<a:bigint,z:bigint,sure:boolean>>")
+    return folds.cut_plans(long.join(grouped, ["recording_id", "span_id"], "left").withColumn("gaps", F.coalesce("gaps", none)))
+
+
+MATCHES = "SELECT user_id AS recording_id, event_id %% 2 AS channel, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS DOUBLE) * 8000 AS centre, floor(event_id / 640.0E0) %% 3 * 60 + floor(value) %% 2 AS delay FROM %s"
+
+
+def matches(s: SparkSession, d: str) -> DataFrame:
+    return s.sql(MATCHES % f"parquet.`{d}/events.parquet`")
+
+
+@query("w16_regime_changes", None)
+def _(s, d):
+    return folds.regime_changes(matches(s, d))
+
+
+@query("a13_drift", f"""WITH m AS ({MATCHES % 'events'}), c AS (SELECT recording_id, centre - avg(centre) OVER w AS t, delay - avg(delay) OVER w AS d, count(*) OVER w AS k FROM m WINDOW w AS (PARTITION BY recording_id, channel)),
+x AS (SELECT recording_id, sum(t * t) AS tt, sum(t * d) AS td, sum(d * d) AS dd, count(*) AS n FROM c WHERE k >= 4 GROUP BY recording_id)
+SELECT recording_id, round(td / tt, 9) AS slope, round(sqrt(greatest(0, dd - td * td / tt) / n), 6) AS error, abs(td / tt) <= 0.0005 AND sqrt(greatest(0, dd - td * td / tt) / n) < 0.6 AS accepted FROM x WHERE tt > 0""")
+def _(s, d):
+    return folds.drift(matches(s, d)).withColumns({"slope": F.round("slope", 9), "error": F.round("error", 6)})
+
+
+@query("a14_smoothing", f"SELECT recording_id, round(list_reduce(list(delay ORDER BY n), lambda s, x: s * 0.75::DOUBLE + x * 0.25::DOUBLE), 9) AS smoothed FROM ({MATCHES % 'events'}) q GROUP BY recording_id")
+def _(s, d):
+    return folds.smoothed(matches(s, d).withColumn("value", F.col("delay"))).withColumn("smoothed", F.round("smoothed", 9))
+
+
 # Changes of passages
 
 CANDIDATES = f"""(SELECT recording_id, passage_id, CASE WHEN pos % 6 = 1 THEN '' ELSE text || ' more' END AS text, CASE WHEN pos % 4 = 0 THEN 'speaker_9' ELSE speaker END AS speaker, start_sample + 160 AS start_sample, end_sample FROM {S} q WHERE pos % 5 <> 3
@@ -667,7 +722,7 @@ def _(s, d):
 
 
 @query("f11_initials", f"""SELECT DISTINCT speaker, label, CASE WHEN speaker = 'multiple_speakers' THEN '…' WHEN speaker = 'unassigned' THEN '?' WHEN regexp_matches(label, '^Speaker [0-9]+$') THEN 'S' || regexp_extract(label, '[0-9]+') WHEN label = 'Unknown speaker' THEN '?'
-ELSE upper(substr(string_split_regex(trim(label), '\s+')[1], 1, 1) || coalesce(substr(string_split_regex(trim(label), '\s+')[2], 1, 1), '')) END AS initials FROM {NAMED} q""")
+ELSE upper(substr(string_split_regex(trim(label), ' +')[1], 1, 1) || coalesce(substr(string_split_regex(trim(label), ' +')[2], 1, 1), '')) END AS initials FROM {NAMED} q""")
 def _(s, d):
     return labelled(s, d).select("speaker", "label", scalars.initials(F.col("label"), F.col("speaker")).alias("initials")).distinct()
 
