@@ -301,6 +301,8 @@ def crowd_links(texts: DataFrame, verify, words: int, similarity: float) -> Data
     so nothing is lost. ``verify`` keeps the links that hold.
     """
     rare = rarest_shingles(texts, words, similarity)
+    shared = rare.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    rare = stored(rare.join(shared, "token"))
     left = lambda t: f"({t}size - {t}place + 1) * {1 + similarity} + 1e-6"
     need = lambda a, b: f"{similarity} * ({a} + {b})"
     can = (F.col("a.token") == F.col("b.token")) & F.expr(f"{left('a.')} >= {need('a.size', 'b.size')} AND {left('b.')} >= {need('a.size', 'b.size')}")
@@ -309,11 +311,11 @@ def crowd_links(texts: DataFrame, verify, words: int, similarity: float) -> Data
     first = rare.groupBy("token").agg(F.min_by(F.struct("node", "place", "size"), F.struct("place", "node")).alias("p")).select("token", "p.*").alias("b")
     stars = verify(stored(a.join(first, can & (F.col("a.node") != F.col("b.node"))).select(src, dst).distinct()))
     known = stored(texts.select("node").join(connected_components(stars), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    alive = rare.join(known, "node")
+    alive = stored(rare.join(known, "node"))
     for _ in range(2):  # rows that can't be alike to anything in another component under their shingle
         group = alive.groupBy("token").agg(F.min("size").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
         alive = alive.join(group, "token").where(f"low < high AND {left('')} >= {need('size', 'least')}").select(*rare.columns, "component")
-    alive = stored(alive)
+        alive = stored(alive)
     a, b = alive.alias("a"), alive.alias("b")
     pairs = a.join(b, can & F.expr("a.node < b.node AND a.component <> b.component")).select(src, dst).distinct()
     return stars.unionByName(verify(stored(pairs)))
