@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.functions import scalars
-from parley.operators import changes, folds, identity, intervals, language, library, ranges, review, speech, transcript
+from parley.functions import scalars, signals
+from parley.operators import changes, checks, folds, identity, intervals, language, library, ranges, reading, recognition, review, speech, transcript, votes
 from parley.sources.fixtures import oracle, view
 from parley.streaming import utterances
 from parley.streaming.replay import current, replay
@@ -748,6 +748,321 @@ def _(s, d):
     return view(s, d, "clips").select("clip_id", F.transform(p, lambda x: F.round(x, 9)).alias("p"))
 
 
+# Reading turns
+
+#: Words of a passage with made-up times: one in eleven has none, one in seven starts before the last has ended. Regions are thirds of the passage.
+WORDS = f"""(SELECT *, CASE WHEN (pos + n) % 11 <> 0 THEN low + start_char * 1000 - CASE WHEN (pos + n) % 7 = 0 AND n > 1 THEN 3000 ELSE 0 END END AS s, CASE WHEN (pos + n) % 11 <> 0 THEN low + end_char * 1000 END AS e
+FROM (SELECT *, CAST(stop - length(ltrim(run, ' ' || chr(9) || chr(10) || chr(13))) AS INTEGER) AS start_char, stop AS end_char FROM (SELECT *, CAST(sum(length(run)) OVER (PARTITION BY recording_id, passage_id ORDER BY n) AS INTEGER) AS stop
+FROM (SELECT recording_id, pos, passage_id, speaker, text, start_sample AS low, end_sample AS high, unnest(regexp_extract_all(text, '\\s*\\S+')) AS run, unnest(generate_series(1, len(regexp_extract_all(text, '\\s*\\S+')))) AS n FROM {P} p) x) y) z)""".replace("\\\\", "\\")
+REGIONS = f"""(SELECT *, recording_id * 7 + pos * 3 AS k, low + (high - low) // 3 AS c1, low + 2 * (high - low) // 3 AS c2, CASE WHEN speaker LIKE 'speaker_%' THEN speaker ELSE '' END AS who FROM (SELECT recording_id, passage_id, pos, speaker, start_sample AS low, end_sample AS high FROM {P} p) x)"""
+TURNS = f"""(WITH RECURSIVE w AS {WORDS}, q AS {REGIONS}, r AS (SELECT recording_id, passage_id, low AS a, c1 AS z, who FROM q UNION ALL SELECT recording_id, passage_id, c1, c2, CASE WHEN k % 4 = 0 THEN 'speaker_0,speaker_1' ELSE who END FROM q UNION ALL SELECT recording_id, passage_id, c2, high, CASE WHEN k % 3 = 0 THEN '' ELSE who END FROM q),
+l AS (SELECT *, sum(CASE WHEN was = who THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id, passage_id ORDER BY a) AS i FROM (SELECT *, lag(who) OVER (PARTITION BY recording_id, passage_id ORDER BY a) AS was FROM r) x),
+m AS (SELECT recording_id, passage_id, i, min(a) AS a, max(z) AS z, who, max(max(i)) OVER (PARTITION BY recording_id, passage_id) AS parts FROM l GROUP BY recording_id, passage_id, i, who),
+f AS (SELECT recording_id, passage_id, CAST(0 AS BIGINT) AS n, low AS last, false AS fits FROM q WHERE k % 13 <> 0
+  UNION ALL SELECT w.recording_id, w.passage_id, w.n, CASE WHEN coalesce(f.last <= s AND s < e AND e <= high, false) THEN e ELSE f.last END, coalesce(f.last <= s AND s < e AND e <= high, false) FROM f JOIN w ON w.recording_id = f.recording_id AND w.passage_id = f.passage_id AND w.n = f.n + 1),
+o AS (SELECT w.*, f.fits, CASE WHEN w.pos % 5 = 0 THEN w.high END AS seen FROM w JOIN f USING (recording_id, passage_id, n)),
+h AS (SELECT o.recording_id, o.passage_id, o.n, m.who FROM o JOIN m ON o.recording_id = m.recording_id AND o.passage_id = m.passage_id AND m.a <= s AND e <= m.z AND m.who <> '' AND o.fits
+  AND CASE WHEN seen IS NOT NULL THEN least(high, e + 4000) <= seen ELSE low + 4000 <= s AND e <= high - 4000 AND m.a + CASE WHEN i = 1 THEN 0 ELSE 4000 END <= s AND e <= m.z - CASE WHEN i < parts THEN 4000 ELSE 0 END END
+  WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.recording_id = o.recording_id AND b.passage_id = o.passage_id AND b.a < least(high, e + 4000) AND greatest(low, s - 4000) < b.z AND b.who <> '' AND b.who <> m.who)),
+t AS (SELECT o.*, coalesce(h.who, '') AS who, CASE WHEN n = 1 THEN 0 ELSE start_char END AS p, coalesce(lead(start_char) OVER v, length(text)) AS nxt, lag(coalesce(h.who, '')) OVER v AS was FROM o LEFT JOIN h USING (recording_id, passage_id, n) WINDOW v AS (PARTITION BY recording_id, passage_id ORDER BY n)),
+g AS (SELECT *, sum(CASE WHEN was = who THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id, passage_id ORDER BY n) AS island FROM t)
+SELECT recording_id, passage_id, CAST(island - 1 AS INTEGER) AS n, CASE WHEN who = '' THEN 'unassigned' WHEN who LIKE '%,%' THEN 'overlap_' || replace(who, ',', '_') ELSE who END AS speaker, CASE WHEN who = '' THEN 'unknown' WHEN who LIKE '%,%' THEN 'overlap' ELSE 'single' END AS attribution,
+min(p) AS start_offset, max(nxt) AS end_offset, substr(min(text), CAST(min(p) + 1 AS INTEGER), CAST(max(nxt) - min(p) AS INTEGER)) AS text, CASE WHEN who <> '' THEN arg_min(s, g.n) END AS start_sample, CASE WHEN who <> '' THEN arg_max(e, g.n) END AS end_sample FROM g GROUP BY recording_id, passage_id, island, who)"""
+
+
+def timed_passages(s: SparkSession, d: str) -> DataFrame:
+    p = view(s, d, "passages").withColumn("units", reading.units(F.col("text")))
+    n, low = lambda i: i + 1 + F.col("pos"), F.col("start_sample")
+    early = lambda i: F.when((n(i) % 7 == 0) & (i > 0), 3000).otherwise(0)
+    word = lambda w, i: F.struct(w["start_char"].alias("start_char"), w["end_char"].alias("end_char"), F.when(n(i) % 11 != 0, low + w["start_char"] * 1000 - early(i)).alias("start_sample"), F.when(n(i) % 11 != 0, low + w["end_char"] * 1000).alias("end_sample"))
+    third = lambda k: low + F.floor(k * (F.col("end_sample") - low) / 3)
+    key, none = F.col("recording_id") * 7 + F.col("pos") * 3, F.array().cast("array<string>")
+    who = F.when(F.col("speaker").startswith("speaker_"), F.array("speaker")).otherwise(none)
+    region = lambda a, z, names: F.struct(a.alias("start_sample"), z.alias("end_sample"), names.alias("speakers"))
+    both = F.when(key % 4 == 0, F.array(F.lit("speaker_1"), F.lit("speaker_0"))).otherwise(who)
+    regions = F.array(region(low, third(1), who), region(third(1) + F.when(key % 13 == 0, 1).otherwise(0), third(2), both), region(third(2), F.col("end_sample"), F.when(key % 3 == 0, none).otherwise(who)))
+    seen = F.when(F.col("pos") % 5 == 0, F.col("end_sample"))
+    return p.select("recording_id", "passage_id", "text", "start_sample", "end_sample", low.alias("anchor_start"), F.col("end_sample").alias("anchor_end"), seen.alias("observed_end"), F.transform("units", word).alias("words"), regions.alias("regions"))
+
+
+@query("f7_units", f"SELECT recording_id, passage_id, n, start_char, end_char FROM {WORDS} q")
+def _(s, d):
+    u = view(s, d, "passages").select("recording_id", "passage_id", F.posexplode(reading.units(F.col("text"))).alias("i", "u"))
+    return u.select("recording_id", "passage_id", (F.col("i") + 1).cast("long").alias("n"), "u.start_char", "u.end_char")
+
+
+@query("w17_j2_reading_turns", TURNS[1:-1])
+def _(s, d):
+    return reading.reading_turns(timed_passages(s, d))
+
+
+@query("p29_turn_coverage", f"SELECT p.recording_id, p.passage_id, coalesce(t.most IS NOT NULL AND NOT (p.recording_id % 3 = 0 AND t.most >= 1), false) AS covered FROM {P} p LEFT JOIN (SELECT recording_id, passage_id, max(n) AS most FROM {TURNS} q GROUP BY 1, 2) t ON p.recording_id = t.recording_id AND p.passage_id = t.passage_id")
+def _(s, d):
+    """Turns of which one in the middle is missing in every third recording."""
+    turns = reading.reading_turns(timed_passages(s, d))
+    return reading.coverage(turns.where("recording_id % 3 <> 0 OR n <> 1"), view(s, d, "passages"))
+
+
+@query("f20_st15_retained_times", f"""SELECT recording_id, passage_id, canonical AND pos % 3 > 0 AND (recording_id + pos) % 5 <> 0 AND revision + 1 - 2 * (pos % 4) >= revision AND protected = '' AS retained FROM {S} q""")
+def _(s, d):
+    p = view(s, d, "states").select("*", F.when(F.col("canonical"), F.col("passage_id")).alias("utterance_id"), F.lit("system").alias("source"), F.lit(0).alias("epoch"), F.col("revision").alias("audio_revision"))
+    grown = p.withColumns({"end_sample": F.col("end_sample") + F.col("pos") % 3 * 1000, "text": F.when((F.col("recording_id") + F.col("pos")) % 5 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")), "audio_revision": F.col("revision") + 1 - 2 * (F.col("pos") % 4)})
+    return reading.retained(p, grown).withColumn("retained", F.coalesce("retained", F.lit(False)))
+
+
+# Main languages
+
+AFTER = f"(SELECT recording_id, start_sample, end_sample, CASE WHEN recording_id % 4 = 1 AND start_sample % 144000 = 0 THEN 'fr' ELSE language END AS language, speaker FROM {oracle('votes')} q WHERE NOT (recording_id % 4 = 0 AND start_sample % 96000 = 0))"
+MAIN = """(WITH RECURSIVE given AS %s, g AS (SELECT recording_id, start_sample, end_sample, min(language) AS language, min(speaker) AS speaker, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample) AS rn FROM given
+  GROUP BY recording_id, start_sample, end_sample HAVING count(DISTINCT language) = 1 AND count(DISTINCT coalesce(speaker, '-')) = 1),
+x AS (SELECT a.recording_id, a.rn, min(b.rn) AS nxt FROM g a JOIN g b ON a.recording_id = b.recording_id AND b.start_sample >= a.end_sample GROUP BY 1, 2),
+k AS (SELECT recording_id, CAST(1 AS BIGINT) AS rn FROM g GROUP BY 1 UNION ALL SELECT k.recording_id, x.nxt FROM k JOIN x ON k.recording_id = x.recording_id AND k.rn = x.rn),
+l AS (SELECT g.* FROM g JOIN k USING (recording_id, rn)), b AS (SELECT * FROM l WHERE speaker IS NOT NULL UNION ALL SELECT * REPLACE (NULL AS speaker) FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker, language ORDER BY start_sample DESC, end_sample DESC) AS place, count(*) OVER (PARTITION BY recording_id, speaker) AS every FROM b)
+SELECT recording_id, speaker, language, count(*) AS votes, string_agg(start_sample || '-' || end_sample, ',' ORDER BY place) FILTER (WHERE place <= 2) AS witnesses FROM p GROUP BY recording_id, speaker, language, every HAVING count(*) >= 2 AND count(*) * 2 > every)"""
+TARGETS = "SELECT recording_id, 'speaker_' || CAST(n AS VARCHAR) AS speaker FROM (SELECT DISTINCT recording_id FROM {0} q) r, (SELECT unnest([0, 1, 2]) AS n) t".format(oracle("votes"))
+
+
+def votes_after(s: SparkSession, d: str) -> DataFrame:
+    v = view(s, d, "votes").where("NOT (recording_id % 4 = 0 AND start_sample % 96000 = 0)")
+    return v.withColumn("language", F.expr("CASE WHEN recording_id % 4 = 1 AND start_sample % 144000 = 0 THEN 'fr' ELSE language END"))
+
+
+@query("a4_main_languages", (MAIN % oracle("votes"))[1:-1])
+def _(s, d):
+    return votes.main_language(view(s, d, "votes"))
+
+
+@query("a4_l5_contexts", f"SELECT t.recording_id, t.speaker, coalesce(a.language, b.language) AS language, CASE WHEN a.language IS NOT NULL THEN 'speaker' WHEN b.language IS NOT NULL THEN 'recording' END AS level FROM ({TARGETS}) t LEFT JOIN {MAIN % oracle('votes')} a ON t.recording_id = a.recording_id AND t.speaker = a.speaker LEFT JOIN (SELECT * FROM {MAIN % oracle('votes')} q WHERE speaker IS NULL) b ON t.recording_id = b.recording_id")
+def _(s, d):
+    v = view(s, d, "votes")
+    targets = v.select("recording_id").distinct().select("recording_id", F.explode(F.array(*(F.lit(f"speaker_{n}") for n in range(3)))).alias("speaker"))
+    return votes.context_of(targets, votes.main_language(v))
+
+
+@query("u5_vote_changes", f"SELECT *, 'removed' AS change FROM (SELECT * FROM {oracle('votes')} a EXCEPT SELECT * FROM {AFTER} b) x UNION ALL SELECT *, 'added' FROM (SELECT * FROM {AFTER} a EXCEPT SELECT * FROM {oracle('votes')} b) y")
+def _(s, d):
+    return votes.changes(view(s, d, "votes"), votes_after(s, d))
+
+
+@query("st9_kept_up_languages", (MAIN % AFTER)[1:-1])
+def _(s, d):
+    before = view(s, d, "votes")
+    return votes.kept_up(votes.main_language(before), before, votes_after(s, d))
+
+
+# Around the recognizer
+
+PARTS = f"(SELECT recording_id, start_sample // 144000 AS span_id, probe_id, start_sample, end_sample, top_code AS language, text_ok, 'words ' || CAST(probe_id AS VARCHAR) AS text FROM {L} q)"
+
+
+@query("l2_l4_probe_classes", f"""SELECT recording_id, probe_id, CASE WHEN b IS NOT NULL THEN split_part(b, ':', 1) WHEN short THEN 'insufficient_speech' WHEN m IS NOT NULL THEN 'override' WHEN detector_error THEN 'needs_language' ELSE reason END AS reason, lang AS language,
+CASE WHEN b IS NOT NULL OR short THEN true WHEN m IS NOT NULL THEN false WHEN detector_error THEN true ELSE reason <> 'detected' END AS review, CASE WHEN b IS NOT NULL THEN split_part(b, ':', 2) WHEN short THEN 'insufficient_acoustic_context' END AS audio_state,
+lang IS NOT NULL AND b IS NULL AND NOT short AND NOT (m IS NULL AND NOT detector_error AND reason = 'insufficient_speech') AS recognize FROM (SELECT *, CASE WHEN b IS NOT NULL OR short OR m IS NOT NULL THEN m WHEN NOT detector_error THEN language END AS lang
+FROM (SELECT r.*, l.detector_error, CASE r.probe_id % 10 WHEN 0 THEN 'insufficient_speech:digital_silence' WHEN 1 THEN 'speech_admission_uncertain:speech_evidence_pending' END AS b, CASE WHEN r.probe_id % 8 = 0 THEN 'fr' END AS m, r.probe_id % 6 = 0 AS short FROM {DECIDED} r JOIN {L} l ON r.probe_id = l.probe_id AND r.recording_id = l.recording_id) x) y""")
+def _(s, d):
+    p = language.decide(view(s, d, "lang_probes"))
+    blocked = F.when(F.col("probe_id") % 10 == 0, "insufficient_speech:digital_silence").when(F.col("probe_id") % 10 == 1, "speech_admission_uncertain:speech_evidence_pending")
+    end = F.when(F.col("probe_id") % 6 == 0, F.col("start_sample") + 300).otherwise(F.col("end_sample"))
+    return recognition.classify(p.withColumns({"blocked": blocked, "manual": F.when(F.col("probe_id") % 8 == 0, "fr"), "end_sample": end}))
+
+
+@query("p23_p18_output_reviews", f"""SELECT recording_id, passage_id, reason, partial_text, decoder_reason, reason IS NULL OR (reason = 'short_acoustic_context' AND NOT partial_text) AS complete FROM (SELECT *, CASE WHEN text <> '' AND samples < 3200 THEN 'short_acoustic_context' WHEN tokens >= 448 THEN 'token_limit' WHEN text = '' THEN 'empty_result' END AS reason,
+CASE WHEN text <> '' AND samples < 3200 THEN tokens >= 448 WHEN tokens >= 448 THEN true WHEN text = '' THEN false END AS partial_text, CASE WHEN text <> '' AND samples < 3200 AND tokens >= 448 THEN 'token_limit' END AS decoder_reason FROM (SELECT *, (recording_id * 37 + pos * 91) % 600 AS tokens, (recording_id * 911 + pos * 577) % 12000 AS samples FROM {S} q) x) y""")
+def _(s, d):
+    r = recognition.output_review(F.col("text"), F.expr("(recording_id * 37 + pos * 91) % 600"), F.expr("(recording_id * 911 + pos * 577) % 12000"))
+    out = view(s, d, "states").select("recording_id", "passage_id", r.alias("r"))
+    return out.select("recording_id", "passage_id", "r.reason", "r.partial_text", "r.decoder_reason", recognition.complete(F.col("r")).alias("complete"))
+
+
+@query("g14_padding", f"SELECT recording_id, probe_id, CASE WHEN start_sample = 0 THEN 3200 ELSE 0 END AS leading, CASE WHEN end_sample = max(end_sample) OVER (PARTITION BY recording_id) THEN 3200 ELSE 0 END AS trailing FROM {L} q")
+def _(s, d):
+    p = view(s, d, "lang_probes")
+    return recognition.padded(p.join(durations(p, 0).withColumnRenamed("duration", "length"), "recording_id")).select("recording_id", "probe_id", "leading", "trailing")
+
+
+def decoded_parts(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "lang_probes").select("recording_id", F.floor(F.col("start_sample") / 144000).alias("span_id"), "probe_id", "start_sample", "end_sample", F.col("top_code").alias("language"), "text_ok", F.concat(F.lit("words "), F.col("probe_id").cast("string")).alias("text"))
+
+
+@query("g13_routed_texts", f"""SELECT recording_id, span_id, string_agg(text, ' ' ORDER BY start_sample) AS text, string_agg(sha256(text), ',' ORDER BY start_sample) AS hashes FROM (SELECT * REPLACE (CASE WHEN span_id % 2 = 0 THEN 'en' ELSE language END AS language) FROM {PARTS} p) q
+GROUP BY recording_id, span_id HAVING count(*) >= 2 AND bool_and(text_ok OR span_id % 2 = 0) AND count(DISTINCT language) = 1 AND min(language) <> 'sw' AND min(start_sample) = span_id * 144000 AND max(end_sample) = (span_id + 1) * 144000""")
+def _(s, d):
+    p = decoded_parts(s, d).withColumns({"language": F.when(F.col("span_id") % 2 == 0, "en").otherwise(F.col("language")), "clean": F.col("text_ok") | (F.col("span_id") % 2 == 0)})
+    whole = p.select("recording_id", "span_id").distinct().select("*", (F.col("span_id") * 144000).alias("start_sample"), ((F.col("span_id") + 1) * 144000).alias("end_sample"))
+    return recognition.routed(p, whole)
+
+
+@query("g15_retry_candidates", f"""SELECT recording_id, span_id, coalesce(string_agg(text, ' ' ORDER BY start_sample) FILTER (WHERE trim(text) <> ''), '') AS text, bool_or(NOT text_ok) AS review, arg_min(reason, start_sample) FILTER (WHERE reason IS NOT NULL) AS reason,
+CASE WHEN count(reason) > 0 THEN bool_or(coalesce(reason IS NOT NULL AND partial, false)) OR bool_or(trim(text) = '' AND state IS NULL) END AS partial FROM (SELECT * REPLACE (CASE WHEN probe_id % 4 = 0 THEN ' ' ELSE text END AS text), CASE probe_id % 5 WHEN 0 THEN 'token_limit' WHEN 1 THEN 'empty_result' END AS reason,
+probe_id % 10 = 0 AS partial, CASE WHEN probe_id % 8 = 0 THEN 'digital_silence' END AS state FROM {PARTS} p) q GROUP BY recording_id, span_id""")
+def _(s, d):
+    i = F.col("probe_id")
+    p = decoded_parts(s, d).withColumns({"text": F.when(i % 4 == 0, " ").otherwise(F.col("text")), "review": ~F.col("text_ok"), "reason": F.when(i % 5 == 0, "token_limit").when(i % 5 == 1, "empty_result"), "partial_text": i % 10 == 0, "audio_state": F.when(i % 8 == 0, "digital_silence")})
+    return recognition.retry_candidates(p)
+
+
+@query("p17_separable", f"""WITH c AS (SELECT q.* FROM {CLIPPED} q JOIN {L} l ON q.recording_id = l.recording_id AND q.span_id = l.probe_id WHERE l.probe_id % 11 <> 0), e AS (SELECT recording_id, language_epoch, min(start_sample) AS at FROM {N} n GROUP BY 1, 2)
+SELECT recording_id, span_id FROM c GROUP BY 1, 2 HAVING count(DISTINCT speaker) = 2 AND EXISTS (SELECT 1 FROM c a JOIN c b ON a.recording_id = b.recording_id AND a.span_id = b.span_id AND a.speaker < b.speaker AND a.start_sample < b.end_sample AND b.start_sample < a.end_sample WHERE a.recording_id = c.recording_id AND a.span_id = c.span_id)
+AND NOT EXISTS (SELECT 1 FROM e JOIN {L} l ON e.recording_id = l.recording_id AND e.at > l.start_sample AND e.at < l.end_sample WHERE l.recording_id = c.recording_id AND l.probe_id = c.span_id)""")
+def _(s, d):
+    epochs = view(s, d, "audio_notices").groupBy("recording_id", "language_epoch").agg(F.min("start_sample").alias("start_sample"))
+    return recognition.separable(spans(s, d).withColumn("separated", F.col("span_id") % 11 == 0), view(s, d, "turns"), epochs)
+
+
+# Signals
+
+
+@query("s7_pcm16", f"SELECT clip_id, list_transform(embedding, lambda x: CAST(greatest(-32768, least(32767, round_even(CAST(x AS DOUBLE) * 32768, 0))) AS INTEGER)) AS pcm FROM {CLIPS} q")
+def _(s, d):
+    return view(s, d, "clips").select("clip_id", signals.pcm16(F.col("embedding")).alias("pcm"))
+
+
+@query("s8_a20_p21_levels", f"""SELECT clip_id, round(list_max(list_transform(m, lambda x: abs(x))), 9) AS peak, round(least(1.0, sqrt(list_dot_product(m, m) / len(m))), 9) AS rms, CASE WHEN list_min(m) = list_max(m) THEN CASE WHEN list_min(m) = 0 THEN 'digital_silence' ELSE 'constant' END END AS constant
+FROM (SELECT clip_id, CASE WHEN list_dot_product(mono, mono) < 0.05 * greatest(list_dot_product(a, a), list_dot_product(b, b)) THEN CASE WHEN list_dot_product(b, b) > list_dot_product(a, a) THEN b ELSE a END ELSE mono END AS m
+FROM (SELECT *, list_transform(list_zip(a, b), lambda x: (x[1] + x[2]) * 0.5) AS mono FROM (SELECT clip_id, CASE WHEN clip_id % 6 = 1 THEN list_transform(v, lambda x: clip_id % 4 / 8.0) ELSE v END AS a, CASE WHEN clip_id % 5 = 0 THEN list_transform(v, lambda x: -x) WHEN clip_id % 6 = 1 THEN list_transform(v, lambda x: clip_id % 4 / 8.0) ELSE list_reverse(v) END AS b
+FROM (SELECT clip_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM {CLIPS} q) t) u) w) z""")
+def _(s, d):
+    flat = F.transform("v", lambda x: F.col("clip_id") % 4 / F.lit(8.0))
+    left = F.when(F.col("clip_id") % 6 == 1, flat).otherwise(F.col("v"))
+    right = F.when(F.col("clip_id") % 5 == 0, F.transform("v", lambda x: -x)).when(F.col("clip_id") % 6 == 1, flat).otherwise(F.reverse("v"))
+    c = view(s, d, "clips").select("clip_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).select("clip_id", signals.downmix(left, right).alias("m"))
+    return c.select("clip_id", F.round(signals.peak(F.col("m")), 9).alias("peak"), F.round(signals.rms(F.col("m")), 9).alias("rms"), signals.constant(F.col("m")).alias("constant"))
+
+
+# Names of tracks
+
+A, K = oracle("assignments"), oracle("checks")
+TRACK_CLIPS = f"(SELECT recording_id, speaker, CASE WHEN recording_id % 6 = 1 THEN '' ELSE 'c' || CAST(recording_id % 13 AS VARCHAR) END AS clips FROM {NAMES} q)"
+PROFILES = f"(SELECT DISTINCT person_id, model_id, 'v' || CAST(length(person_id) AS VARCHAR) AS version FROM {CLIPS} q)"
+VERSIONS = f"(SELECT string_agg(person_id || ':' || version, ',' ORDER BY person_id || ':' || version) FROM {PROFILES} q WHERE model_id = 'model_a')"
+PLANNED = f"(SELECT n.recording_id, n.speaker, c.clips, {VERSIONS} AS versions FROM {NAMES} n JOIN {TRACK_CLIPS} c ON n.recording_id = c.recording_id AND n.speaker = c.speaker WHERE regexp_full_match(n.name, 'Speaker [0-9]+') AND c.clips <> '' AND NOT EXISTS (SELECT 1 FROM {A} a WHERE a.recording_id = n.recording_id AND a.speaker = n.speaker) AND NOT EXISTS (SELECT 1 FROM {K} k WHERE k.recording_id = n.recording_id AND k.speaker = n.speaker))"
+
+
+def check_plan(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
+    """Planned checks, the tracks' clips, and the versions of profiles."""
+    names = view(s, d, "doc_speakers")
+    clips = names.select("recording_id", "speaker", F.when(F.col("recording_id") % 6 == 1, "").otherwise(F.concat(F.lit("c"), (F.col("recording_id") % 13).cast("string"))).alias("clips"))
+    known = view(s, d, "clips").select("person_id", "model_id", F.concat(F.lit("v"), F.length("person_id").cast("string")).alias("version")).distinct()
+    versions = checks.scheduled_versions(known, "model_a")
+    return checks.plan(names, view(s, d, "assignments"), view(s, d, "checks"), clips, versions), clips, versions
+
+
+@query("v8_check_plan", PLANNED[1:-1])
+def _(s, d):
+    return check_plan(s, d)[0]
+
+
+@query("v9_u4_check_outcomes", f"""SELECT recording_id, speaker, status, CASE WHEN status = 'matched' THEN 'person_1' END AS person_id FROM (SELECT *, CASE WHEN recording_id % 7 = 0 OR recording_id % 11 = 0 OR recording_id % 10 = 1 THEN 'cancelled' WHEN recording_id % 5 = 2 THEN 'unavailable' WHEN recording_id % 3 = 1 THEN 'matched' ELSE 'unknown' END AS status FROM {PLANNED} q) x""")
+def _(s, d):
+    """Since the plan every seventh recording's clips have changed, every eleventh's profiles were others, and a tenth have got a name."""
+    planned, clips, versions = check_plan(s, d)
+    i = F.col("recording_id")
+    planned = planned.withColumn("versions", F.when(i % 11 == 0, "person_0:v0").otherwise(F.col("versions")))
+    clips = clips.withColumn("clips", F.when(i % 7 == 0, F.concat("clips", F.lit("+"))).otherwise(F.col("clips")))
+    names = view(s, d, "doc_speakers").withColumn("name", F.when(i % 10 == 1, "Ana").otherwise(F.col("name")))
+    results = planned.select("recording_id", "speaker", (i % 5 == 2).alias("failed"), F.when(i % 3 == 1, "person_1").alias("person_id"))
+    return checks.outcomes(planned, results, names, view(s, d, "assignments"), clips, versions)
+
+
+@query("v13_j7_j8_suggestions", f"""WITH i AS (SELECT * FROM {NAMES} q WHERE recording_id % 4 = 0 AND recording_id % 12 <> 0 AND speaker = 'speaker_0'), v AS (SELECT recording_id, speaker, CAST(recording_id % 30 + 1 AS VARCHAR) AS person_id FROM {NAMES} q WHERE recording_id % 5 <> 4 AND recording_id % 6 <> 5 AND recording_id % 8 <> 3)
+SELECT recording_id, speaker, 'introduction' AS kind, name FROM i UNION ALL SELECT v.recording_id, v.speaker, 'voice', h.name FROM v JOIN {H} h ON v.person_id = h.person_id WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.recording_id = v.recording_id AND i.speaker = v.speaker) AND NOT EXISTS (SELECT 1 FROM {A} a WHERE a.recording_id = v.recording_id AND a.speaker = v.speaker)""")
+def _(s, d):
+    """Introductions in every fourth recording, those of every twelfth dismissed; voices of old models or versions, or dismissed ones, are left out."""
+    i, names = F.col("recording_id"), view(s, d, "doc_speakers")
+    people = view(s, d, "people").select("person_id", "name", F.lit("v1").alias("version"))
+    heard = names.where((i % 4 == 0) & (F.col("speaker") == "speaker_0")).select("*", F.lit("i1").alias("id"))
+    voices = names.select("recording_id", "speaker", F.concat(F.lit("s"), "speaker").alias("id"), (i % 30 + 1).cast("string").alias("person_id"), F.when(i % 5 == 4, "v0").otherwise("v1").alias("version"), F.when(i % 6 == 5, "model_old").otherwise("model_a").alias("model_id"))
+    dismissed = heard.where(i % 12 == 0).select("recording_id", "id").unionByName(voices.where(i % 8 == 3).select("recording_id", "id"))
+    return checks.suggestions(heard, voices, people, view(s, d, "assignments"), dismissed, "model_a")
+
+
+@query("j9_v15_assignments", f"SELECT a.recording_id, a.speaker, a.name, a.person_id FROM {A} a JOIN {NAMES} n ON a.recording_id = n.recording_id AND a.speaker = n.speaker AND a.name = n.name WHERE a.recording_id % 10 <> 5")
+def _(s, d):
+    names = view(s, d, "doc_speakers")
+    return checks.kept_assignments(view(s, d, "assignments"), names, names.where("recording_id % 10 = 5").select("recording_id").distinct()).select("recording_id", "speaker", "name", "person_id")
+
+
+@query("e12_v15_settled_checks", f"SELECT recording_id, speaker, CASE WHEN status = 'checking' AND NOT manual THEN 'cancelled' ELSE status END AS off, CASE WHEN status = 'checking' THEN 'cancelled' ELSE status END AS status FROM {K} q")
+def _(s, d):
+    k = view(s, d, "checks")
+    return checks.settled_checks(k.join(checks.settled_checks(k, only_automatic=True).select("recording_id", "speaker", F.col("status").alias("off")), ["recording_id", "speaker"])).select("recording_id", "speaker", "off", "status")
+
+
+@query("e14_j16_confirmed_names", f"""WITH c AS (SELECT recording_id, 'Ana ' || CAST(recording_id AS VARCHAR) AS name, recording_id % 2 = 1 AS every FROM {NAMES} q WHERE speaker = 'speaker_0'), h AS (SELECT a.* FROM {A} a JOIN {NAMES} n ON a.recording_id = n.recording_id AND a.speaker = n.speaker AND a.name = n.name)
+SELECT recording_id, 'speaker_0' AS speaker, name FROM c WHERE NOT every UNION ALL SELECT c.recording_id, h.speaker, c.name FROM c JOIN {A} a ON c.recording_id = a.recording_id AND a.speaker = 'speaker_0' AND a.person_id <> '' JOIN h ON h.recording_id = a.recording_id AND h.person_id = a.person_id WHERE c.every""")
+def _(s, d):
+    names = view(s, d, "doc_speakers")
+    confirmed = names.where("speaker = 'speaker_0'").select("recording_id", "speaker", F.concat(F.lit("Ana "), F.col("recording_id").cast("string")).alias("name"), (F.col("recording_id") % 2 == 1).alias("all_tracks"))
+    return checks.named_everywhere(confirmed, view(s, d, "assignments"), names)
+
+
+@query("a15_visible_speakers", f"""SELECT recording_id, identity, speaker, name FROM (SELECT n.*, CASE WHEN a.name = n.name AND a.person_id <> '' THEN 'person:' || a.person_id ELSE 'track:' || n.speaker END AS identity FROM {NAMES} n LEFT JOIN {A} a ON n.recording_id = a.recording_id AND n.speaker = a.speaker) x QUALIFY row_number() OVER (PARTITION BY recording_id, identity ORDER BY speaker) = 1""")
+def _(s, d):
+    return checks.visible(view(s, d, "doc_speakers"), view(s, d, "assignments"))
+
+
+# Splits, history, issues
+
+VOICES = f"(SELECT recording_id, passage_id, 'e' || passage_id AS episode, c AS channel, CASE WHEN c = 1 AND (recording_id + pos) % 5 = 0 THEN ' ' ELSE 'voice ' || CAST(c AS VARCHAR) || ' ' || substr(text, 1, 10) END AS text, 'en' AS language, start_sample, end_sample FROM {P} p, (SELECT unnest([0, 1]) AS c) t WHERE (recording_id + pos) % 6 = 1)"
+PAIRS = f"(SELECT * FROM {VOICES} v WHERE EXISTS (SELECT 1 FROM {P} p WHERE p.recording_id = v.recording_id AND p.passage_id = v.passage_id AND (p.recording_id + p.pos) % 5 <> 0))"
+
+
+def voices_of(s: SparkSession, d: str) -> DataFrame:
+    p = view(s, d, "passages").where("(recording_id + pos) % 6 = 1").withColumn("channel", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = F.when((F.col("channel") == 1) & ((F.col("recording_id") + F.col("pos")) % 5 == 0), " ").otherwise(F.concat(F.lit("voice "), F.col("channel").cast("string"), F.lit(" "), F.substring("text", 1, 10)))
+    return p.select("recording_id", "passage_id", F.concat(F.lit("e"), "passage_id").alias("episode"), "channel", text.alias("text"), F.lit("en").alias("language"))
+
+
+@query("e10_split", f"""SELECT recording_id, passage_id, start_sample, end_sample, text, speaker, NULL AS language, NULL AS original FROM {P} p WHERE NOT EXISTS (SELECT 1 FROM {PAIRS} v WHERE v.recording_id = p.recording_id AND v.passage_id = p.passage_id)
+UNION ALL SELECT recording_id, episode || '-' || CAST(channel AS VARCHAR), start_sample, end_sample, text, 'unassigned', language, passage_id FROM {PAIRS} v""")
+def _(s, d):
+    return changes.split(view(s, d, "passages").withColumn("language", F.lit(None).cast("string")), voices_of(s, d))
+
+
+@query("e10_restored", f"SELECT DISTINCT recording_id, passage_id FROM {PAIRS} v WHERE recording_id % 4 <> 0")
+def _(s, d):
+    """In every fourth recording the second voice was edited since."""
+    rows = changes.split(view(s, d, "passages").withColumn("language", F.lit(None).cast("string")), voices_of(s, d))
+    history = rows.where("original IS NOT NULL").select("recording_id", "original", "passage_id", changes.version("text").alias("version"))
+    edited = F.when((F.col("recording_id") % 4 == 0) & F.col("passage_id").endswith("-1"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return changes.restored(rows.withColumn("text", edited).select("recording_id", "passage_id", changes.version("text").alias("version")), history)
+
+
+@query("e17_first_history", f"SELECT recording_id, passage_id, CASE WHEN (recording_id + pos) % 3 = 0 THEN 'first' ELSE text END AS text, CASE WHEN (recording_id + pos) % 3 = 0 THEN 0 ELSE 1 END AS at FROM {P} p")
+def _(s, d):
+    p = view(s, d, "passages")
+    history = p.where("(recording_id + pos) % 3 = 0").select("recording_id", "passage_id", F.lit("first").alias("text"), F.lit(0).alias("at"))
+    replaced = p.select("recording_id", "passage_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("at"))
+    return changes.first_written(history, replaced.withColumn("text", F.when(F.col("at") == 1, F.col("text")).otherwise("later")))
+
+
+@query("e18_passage_issues", f"SELECT recording_id, passage_id, CASE WHEN (recording_id + pos) % 4 = 0 THEN 'accuracy' WHEN pos % 3 <> 0 THEN issue END AS issue FROM {S} q")
+def _(s, d):
+    """New issues for every second passage, half of them for an older text; the issues of every third position are stale."""
+    p = view(s, d, "states").withColumn("version", changes.version("text"))
+    k = F.col("recording_id") + F.col("pos")
+    new = p.where(k % 2 == 0).select("recording_id", "passage_id", F.lit("accuracy").alias("kind"), F.when(k % 4 == 0, F.col("version")).otherwise("older").alias("version"))
+    return changes.with_issues(p.withColumn("issue_version", F.when(F.col("pos") % 3 != 0, F.col("version")).otherwise("older")), new)
+
+
+@query("j21_undone_windows", f"SELECT recording_id, 'plan' || CAST(recording_id % 3 AS VARCHAR) AS plan, n FROM (SELECT recording_id, start_sample // 48000 AS n FROM {L} q) x WHERE recording_id % 3 = 2 OR recording_id % 5 = 0 OR n >= 4")
+def _(s, d):
+    w = view(s, d, "lang_probes").select("recording_id", F.concat(F.lit("plan"), (F.col("recording_id") % 3).cast("string")).alias("plan"), F.expr("start_sample div 48000").alias("n"))
+    done = w.where("recording_id % 5 <> 0").select("recording_id", F.when(F.col("recording_id") % 3 == 2, "plan_old").otherwise(F.col("plan")).alias("plan"), F.lit(4).alias("cursor")).distinct()
+    return changes.undone_windows(w, done).select("recording_id", "plan", "n")
+
+
+@query("j24_unattempted", f"SELECT recording_id, passage_id, sha256(text) AS source_key FROM {S} q WHERE NOT candidate AND protected = '' AND (recording_id + pos) % 3 <> 0")
+def _(s, d):
+    """Every third passage was tried, and of the others some with an older source or by another model."""
+    p = view(s, d, "states").withColumn("source_key", F.sha2("text", 256))
+    k = F.col("recording_id") + F.col("pos")
+    tried = p.select("recording_id", "passage_id", F.when(k % 3 == 1, "older").otherwise(F.col("source_key")).alias("source_key"), F.when(k % 3 == 2, "other").otherwise("model_a").alias("model"))
+    return changes.unattempted(p, tried, "model_a")
+
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

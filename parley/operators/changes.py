@@ -98,3 +98,49 @@ def dismissed(events: DataFrame, most: int = 256) -> DataFrame:
     last = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("edit_id")))
     kept = events.withColumn("_n", last).where(F.col("_n") <= most)
     return kept.groupBy("recording_id").agg(F.array_join(F.array_sort(F.collect_list("edit_id")), ",").alias("ids"), F.count("*").alias("n"))
+
+
+def split(passages: DataFrame, voices: DataFrame) -> DataFrame:
+    """Passages of which those with an accepted pair of voices (recording_id, passage_id, episode, channel, text, language) become two rows.
+
+    The pair is called episode-0 and episode-1, unassigned, up for review,
+    without protected fields, and names its original. Both voices need words.
+    """
+    whole = voices.groupBy(*KEY, "episode").agg(F.count("*").alias("n"), F.min(F.length(F.trim("text"))).alias("least")).where("n = 2 AND least > 0")
+    pair = voices.join(whole.select(*KEY, "episode"), [*KEY, "episode"], "left_semi")
+    own = passages.select(*KEY, "start_sample", "end_sample", "text", "speaker", "language", F.lit(None).cast("string").alias("original"))
+    rows = own.select(*KEY, "start_sample", "end_sample").join(pair, KEY)
+    new = rows.select("recording_id", F.concat_ws("-", "episode", "channel").alias("passage_id"), "start_sample", "end_sample", "text", F.lit("unassigned").alias("speaker"), "language", F.col("passage_id").alias("original"))
+    return own.join(pair, KEY, "left_anti").unionByName(new)
+
+
+def restored(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """(recording_id, passage_id) of originals that can come back: both accepted rows (history: original, passage_id, version) stand unchanged in rows (version)."""
+    same = history.join(rows.select(*KEY, "version"), [*KEY, "version"], "left_semi")
+    return same.groupBy("recording_id", "original").agg(F.countDistinct("passage_id").alias("n")).where("n = 2").select("recording_id", F.col("original").alias("passage_id"))
+
+
+def first_written(history: DataFrame, replaced: DataFrame) -> DataFrame:
+    """History with the originals of replaced rows, for passages that have none so far; of several the earliest (at) is kept."""
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("at"))
+    return history.unionByName(replaced.join(history, KEY, "left_anti").withColumn("_place", place).where("_place = 1").drop("_place").select(*history.columns))
+
+
+def with_issues(passages: DataFrame, issues: DataFrame) -> DataFrame:
+    """Passages (version, issue, issue_version) with new issues (kind, version): attached while the passage has the version that failed; stale ones go."""
+    new = issues.select(*KEY, F.col("kind").alias("_kind"), F.col("version").alias("_version"))
+    hit = F.col("_version").eqNullSafe(F.col("version"))
+    stays = F.when(F.col("issue_version").eqNullSafe(F.col("version")), F.col("issue"))
+    return passages.join(new, KEY, "left").select(*KEY, F.when(hit, F.col("_kind")).otherwise(stays).alias("issue"))
+
+
+def undone_windows(windows: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Windows (recording_id, plan, n) that the checkpoint (plan, cursor) of their recording doesn't count as done; one of another plan counts for nothing."""
+    done = checkpoints.select("recording_id", "plan", "cursor")
+    return windows.join(done, ["recording_id", "plan"], "left").where("cursor IS NULL OR n >= cursor").drop("cursor")
+
+
+def unattempted(passages: DataFrame, attempts: DataFrame, model: str) -> DataFrame:
+    """Passages (source_key, protected, candidate) that this model hasn't tried with the same source, without edits or a candidate."""
+    tried = attempts.where(F.col("model") == model).select(*KEY, "source_key")
+    return passages.where("NOT candidate AND coalesce(protected, '') = ''").join(tried, [*KEY, "source_key"], "left_anti").select(*KEY, "source_key")

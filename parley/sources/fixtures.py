@@ -70,6 +70,21 @@ SELECT recording_id, concat('speaker_', CAST(n AS STRING)) AS speaker,
   CASE WHEN (recording_id + n) % 5 = 0 THEN concat('Dr. Person ', CAST(recording_id AS STRING)) ELSE concat('Speaker ', CAST(n + 1 AS STRING)) END AS name
 FROM (SELECT DISTINCT conv_id AS recording_id FROM [conversations]) c CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) two"""
 
+VIEWS["assignments"] = f"""
+SELECT recording_id, speaker, CASE WHEN recording_id % 9 = 0 THEN '' ELSE CAST(recording_id % 20 + 1 AS STRING) END AS person_id,
+  CASE WHEN recording_id % 7 = 0 THEN 'Former name' ELSE name END AS name FROM ({VIEWS["doc_speakers"]}) t
+WHERE recording_id % 3 = 0 OR (speaker = 'speaker_0' AND recording_id % 5 = 0)"""
+VIEWS["checks"] = f"""
+SELECT recording_id, speaker, CASE recording_id % 4 WHEN 0 THEN 'checking' WHEN 1 THEN 'matched' WHEN 2 THEN 'unknown' ELSE 'cancelled' END AS status,
+  recording_id % 8 = 0 AS manual FROM ({VIEWS["doc_speakers"]}) t WHERE speaker = 'speaker_1' AND recording_id % 2 = 0"""
+VIEWS["votes"] = f"""
+WITH p AS ({VIEWS["lang_probes"]}), v AS (SELECT recording_id, probe_id, start_sample, end_sample, top_code AS language, second_code,
+  CASE WHEN probe_id % 4 < 3 THEN concat('speaker_', CAST(probe_id % 4 AS STRING)) END AS speaker FROM p WHERE top_pct >= 60 AND top_code <> 'sw')
+SELECT recording_id, start_sample, end_sample, language, speaker FROM v
+UNION ALL SELECT recording_id, start_sample, end_sample, second_code, speaker FROM v WHERE probe_id % 5 = 0
+UNION ALL SELECT recording_id, start_sample + 24000, end_sample + 24000, language, speaker FROM v WHERE probe_id % 7 = 0
+UNION ALL SELECT recording_id, start_sample, end_sample, language, speaker FROM v WHERE probe_id % 3 = 0"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
