@@ -173,8 +173,18 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     return encoded.select("doc_id", decoder(pieces)(F.col("ids")).alias("text"))
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers of chunks from -1, byte plane by byte plane: frequent chunks have small numbers, so that most high bytes are 0."""
+    return zlib.compress((codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+
+
 def frequent_chunks(rows: DataFrame, pattern: str) -> DataFrame:
-    """(chunk): the FREQUENT most frequent ones of up to SHORT characters in a sample of about SAMPLED rows (text)."""
+    """(chunk, n): the FREQUENT most frequent ones of up to SHORT characters in a sample of about SAMPLED rows (text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, seen = re.compile(pattern), Counter()
@@ -189,7 +199,7 @@ def frequent_chunks(rows: DataFrame, pattern: str) -> DataFrame:
 
     share = min(1.0, SAMPLED / max(1, rows.count()))
     counted = rows.where(hashed_share(F.col("text"), share, 11)).select("text").mapInPandas(count, "chunk string, n long")
-    return counted.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(FREQUENT).select("chunk")
+    return counted.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(FREQUENT)
 
 
 def lexicon(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -217,8 +227,9 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pattern, needed = cut_pattern(pieces), stored(needed_pieces(pieces))
-    common = lexicon(frequent_chunks(rows, pattern), needed)
-    often = common.select("chunk", "ids").toPandas()  # at most FREQUENT rows of at most SHORT characters
+    counted = stored(frequent_chunks(rows, pattern))
+    common = lexicon(counted.select("chunk"), needed)
+    often = common.join(counted, "chunk").orderBy(F.desc("n"), "chunk").select("chunk", "ids").toPandas()  # at most FREQUENT rows of at most SHORT characters
     number = spark.sparkContext.broadcast({c: i for i, c in enumerate(often["chunk"])})
     sizes = np.array([*map(len, often["ids"]), 0], dtype=np.int64)  # the last is for places of other chunks
     flat = np.concatenate([np.empty(0, dtype=np.int32), *often["ids"]]).astype(np.int32)
@@ -235,8 +246,8 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                 words = chunks(split, text)
                 for part, at in enumerate(range(0, max(1, len(words)), PART)):
                     some = words[at : at + PART]
-                    codes = np.array([of(w, -1) for w in some], dtype="<i4")
-                    found.append((row, part, doc_id, source, zlib.compress(codes.tobytes(), 1), [some[i] for i in np.flatnonzero(codes < 0)]))
+                    codes = np.array([of(w, -1) for w in some], dtype=np.int64)
+                    found.append((row, part, doc_id, source, packed(codes), [some[i] for i in np.flatnonzero(codes < 0)]))
             yield pd.DataFrame(found, columns=["row", "part", "doc_id", "source", "codes", "others"])
 
     # Rows are numbered once; the table keeps the numbers. Longs beside nulls would become doubles in pandas, so some travel as text.
@@ -274,7 +285,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
         codes, fills = None, []
         for b in batches:
             out = []
-            for row, k, doc_id, source, packed, ids in zip(*(b[c].astype(object) for c in ("row", "k", "doc_id", "source", "codes", "ids")), strict=True):
+            for row, k, doc_id, source, data, ids in zip(*(b[c].astype(object) for c in ("row", "k", "doc_id", "source", "codes", "ids")), strict=True):
                 if k >= 0:
                     fills.append(np.asarray(ids, dtype=np.int32))
                     continue
@@ -285,7 +296,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                     doc.clear()
                 if not doc:
                     doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, []])
-                codes, fills = np.frombuffer(zlib.decompress(packed), dtype="<i4"), []
+                codes, fills = unpacked(data), []
             if out:
                 yield pd.DataFrame(out, columns=names)
         if codes is not None:
