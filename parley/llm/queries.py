@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, media, merkle, negatives, packing, pieces, quality, simhash, urls, vectors
+from . import chat, langid, licenses, media, merkle, negatives, packing, pieces, quality, rules, simhash, urls, vectors
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", decodes.alias("decodes"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_chat_formatting, op4_language_id, op5_near_vectors, op6_url_filter, op7_quality, op8_simhash, op9_mpeg_audio, op10_sentencepiece, op12_merkle_manifest, op13_hard_negatives, pipeline)
+    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_chat_formatting, op4_language_id, op5_near_vectors, op6_url_filter, op7_quality, op8_simhash, op9_mpeg_audio, op10_sentencepiece, op11_quality_rules, op12_merkle_manifest, op13_hard_negatives, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op6_url_filter": urls.ORACLE, "op12_merkle_manifest": merkle.oracle(), "op13_hard_negatives": negatives.ORACLE}
