@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars, signals
-from parley.operators import changes, checks, folds, identity, intervals, language, library, ranges, reading, recognition, review, speech, transcript, votes
+from parley.operators import changes, checks, exports, folds, identity, intervals, language, library, ranges, reading, recognition, review, speech, transcript, votes
 from parley.sources.fixtures import oracle, view
 from parley.streaming import utterances
 from parley.streaming.replay import current, replay
@@ -282,28 +282,6 @@ def labelled(s: SparkSession, d: str) -> DataFrame:
     return transcript.named(view(s, d, "states"), view(s, d, "doc_speakers"))
 
 
-CLEAN = r"translate(replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '-->', '→'), '<>', '‹›')"
-
-
-@query("transcript", f"""SELECT recording_id, body, CAST(octet_length(encode(body)) AS BIGINT) AS bytes FROM (SELECT recording_id, string_agg('[' || {_time('start_sample', '.')} || ' – ' || {_time('end_sample', '.')} || '] ' || {LABEL} || ': ' || {CLEAN}, chr(10) ORDER BY start_sample, end_sample, passage_id) AS body FROM {NAMED} q GROUP BY recording_id) x""")
-def _(s, d):
-    return transcript.render(labelled(s, d))
-
-
-CUES = """(SELECT recording_id, cue, CAST(cue AS VARCHAR) || chr(10) || %s || ' --> ' || %s || chr(10) || %s || ': ' || %s || chr(10) AS body
-FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, passage_id) AS cue FROM %s q) x)"""
-
-
-@query("s10_a12_vtt", f"""SELECT recording_id, body, octet_length(encode(body)) <= 16777216 AS allowed FROM (SELECT recording_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY cue) AS body FROM {CUES % (_time('start_sample', '.'), _time('end_sample', '.'), LABEL, CLEAN, NAMED)} c GROUP BY recording_id) x""")
-def _(s, d):
-    return transcript.subtitles(labelled(s, d), "vtt")
-
-
-@query("f4_w19_cues", f"SELECT * FROM {CUES % (_time('start_sample', ','), _time('end_sample', ','), LABEL, CLEAN, NAMED)} c")
-def _(s, d):
-    return transcript.cues(labelled(s, d))
-
-
 @query("p1_validation", f"""SELECT recording_id, passage_id, array_to_string(list_sort(list_filter([CASE WHEN start_sample < 0 OR start_sample >= end_sample THEN 'bad_range' END, CASE WHEN end_sample > duration + 16 THEN 'past_end' END,
 CASE WHEN count(*) OVER (PARTITION BY recording_id, passage_id) > 1 THEN 'duplicate_id' END, CASE WHEN length(text) > 20000 THEN 'long_text' END, CASE WHEN trim(text) = '' THEN 'empty_text' END], lambda x: x IS NOT NULL)), ',') AS violations
 FROM {P} p LEFT JOIN (SELECT recording_id, max(end_sample) - 4000 AS duration FROM {P} GROUP BY 1) d USING (recording_id)""")
@@ -313,13 +291,14 @@ def _(s, d):
 
 
 REASON_SQL = "CASE %s " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items()) + " END"
-REVIEWED = f"""(SELECT *, CASE WHEN separated AND resolution IS DISTINCT FROM 'words_reviewed' THEN 'Separated voice estimate; check words and speaker'
+REASON = f"""CASE WHEN separated AND resolution IS DISTINCT FROM 'words_reviewed' THEN 'Separated voice estimate; check words and speaker'
 WHEN resolution = 'words_reviewed' AND trim(text) <> '' THEN CASE WHEN speaker LIKE 'overlap%' THEN '{review.OVERLAP}' WHEN speaker = 'unassigned' THEN 'Speaker uncertain' END
 WHEN review_code IN ('token_limit', 'transcription_failed', 'insufficient_speech', 'possible_non_speech') THEN {REASON_SQL % 'review_code'}
 WHEN speaker = 'multiple_speakers' THEN '{review.MULTIPLE}' WHEN speaker LIKE 'overlap%' THEN '{review.OVERLAP}'
 WHEN detection_mode = 'auto' AND detection_reason IN ('recent_context', 'best_effort') THEN {REASON_SQL % 'detection_reason'}
 WHEN detection_mode = 'auto' AND language IS NULL THEN coalesce({REASON_SQL % 'detection_reason'}, '{review.UNCERTAIN}')
-WHEN trim(text) = '' THEN '{review.EMPTY}' WHEN speaker = 'unassigned' THEN 'Speaker uncertain' END AS reason FROM {S} q)"""
+WHEN trim(text) = '' THEN '{review.EMPTY}' WHEN speaker = 'unassigned' THEN 'Speaker uncertain' END"""
+REVIEWED = f"(SELECT *, {REASON} AS reason FROM {S} q)"
 
 
 @query("p2_p4_review", f"SELECT recording_id, passage_id, reason, CASE WHEN reason IS NULL THEN text ELSE text || CASE WHEN trim(text) = '' THEN '' ELSE ' ' END || '[Needs review: ' || reason || ']' END AS marked FROM {REVIEWED} r")
@@ -727,12 +706,16 @@ def _(s, d):
     return labelled(s, d).select("speaker", "label", scalars.initials(F.col("label"), F.col("speaker")).alias("initials")).distinct()
 
 
-NAMES_OF_FILES = "'../up/' || substr(text, 1, 24) || ' (v' || CAST(pos AS VARCHAR) || ').txt'"
+NAMES_OF_FILES = "'../up/' || substr(text, 1, 24) || chr(160) || '(v' || CAST(pos AS VARCHAR) || ').txt'"
+
 
+#: White space of any kind, for RE2.
+BLANK = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
-@query("f12_safe_file_names", f"""SELECT recording_id, passage_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract({NAMES_OF_FILES}, '([^/]*)/*$', 1), '[^A-Za-z0-9.\\s-]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s+', '_', 'g'), '^[._]+', '') AS file FROM {P} q""".replace("\\\\", "\\"))
+
+@query("f12_safe_file_names", rf"""SELECT recording_id, passage_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract({NAMES_OF_FILES}, '([^/]*)/*$', 1), '[^A-Za-z0-9.{BLANK}-]', '', 'g'), '^[{BLANK}]+|[{BLANK}]+$', '', 'g'), '[{BLANK}]+', '_', 'g'), '^[._]+', '') AS file FROM {P} q""")
 def _(s, d):
-    name = F.concat(F.lit("../up/"), F.substring("text", 1, 24), F.lit(" (v"), F.col("pos").cast("string"), F.lit(").txt"))
+    name = F.concat(F.lit("../up/"), F.substring("text", 1, 24), F.lit("\u00a0(v"), F.col("pos").cast("string"), F.lit(").txt"))
     return view(s, d, "passages").select("recording_id", "passage_id", scalars.safe_file_name(name).alias("file"))
 
 
@@ -803,6 +786,96 @@ def _(s, d):
     return reading.coverage(turns.where("recording_id % 3 <> 0 OR n <> 1"), view(s, d, "passages"))
 
 
+# Exports
+
+
+def said_states(s: SparkSession, d: str) -> DataFrame:
+    """Passage states with the columns that receipts and exports read besides."""
+    k = F.col("recording_id") + F.col("pos")
+    return view(s, d, "states").withColumns({
+        "channel": F.when(F.col("separated"), F.col("pos") % 2), "episode": F.when(F.col("separated"), F.col("passage_id")),
+        "capture_source": F.when(k % 7 == 0, "system"), "utterance_id": F.col("passage_id"), "machine_revision": F.col("revision"), "canonical_revision": F.col("revision"),
+        "audio_revision": F.lit(1), "language_epoch": F.lit(0), "anchor_start": F.col("start_sample"), "anchor_end": F.col("end_sample"), "activity": F.lit("regions")})
+
+
+def held_turns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of the texts as first recognized, as far as their receipts hold; every fifth receipt is of an older revision. And the states."""
+    turns, now = reading.reading_turns(timed_passages(s, d)), said_states(s, d)
+    first = now.drop("text").join(view(s, d, "passages").select("recording_id", "passage_id", "text"), ["recording_id", "passage_id"])
+    older = F.col("revision") - F.when((F.col("recording_id") + F.col("pos")) % 5 == 0, 1).otherwise(0)
+    return reading.held(turns, now, reading.receipts(turns, first.withColumn("machine_revision", older))), now
+
+
+#: Turns whose receipt holds: the text is as it was, nothing is protected, and the revision is the one that the turns were made from.
+HELD = f"(SELECT t.* FROM {TURNS} t JOIN {S} q ON t.recording_id = q.recording_id AND t.passage_id = q.passage_id WHERE q.protected = '' AND (q.recording_id * 7 + q.pos * 3) % 8 <> 0 AND (q.recording_id + q.pos) % 5 <> 0)"
+#: What is written of each passage, before kinds differ.
+PRINTED = """(WITH q AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, CASE WHEN (recording_id + pos) % 7 = 0 THEN 'system' ELSE '' END, CASE WHEN (recording_id + pos) % 7 = 0 THEN passage_id ELSE '' END,
+  CASE WHEN separated THEN passage_id END NULLS FIRST, CASE WHEN separated THEN pos % 2 END NULLS FIRST, pos, passage_id) AS place FROM [S]),
+h AS (SELECT *, bool_and(attribution <> 'unknown') OVER (PARTITION BY recording_id, passage_id) AS known FROM [HELD]),
+u AS (SELECT q.* REPLACE (coalesce(h.text, q.text) AS text, coalesce(h.speaker, q.speaker) AS speaker, coalesce(h.start_sample, q.start_sample) AS start_sample, coalesce(h.end_sample, q.end_sample) AS end_sample), coalesce(h.n, 0) AS n,
+  CASE WHEN h.n IS NULL THEN '' WHEN h.attribution <> 'unknown' THEN 'Coarse timing ' ELSE 'Timing unknown; parent audio ' END AS prefix
+  FROM q LEFT JOIN h ON q.recording_id = h.recording_id AND q.passage_id = h.passage_id AND ([TXT] OR h.known) WHERE NOT q.deleted AND trim(q.text) <> ''),
+w AS (SELECT u.*, [REASON] AS reason FROM u),
+r AS (SELECT u.*, CASE WHEN u.speaker IN ('unknown', 'unassigned') AND separated THEN CASE WHEN pos % 2 = 0 THEN 'Voice A' ELSE 'Voice B' END ELSE coalesce(n2.name, CASE WHEN u.speaker = 'unassigned' THEN 'Unknown speaker' ELSE 'Overlapping speakers' END) END AS label
+  FROM w u LEFT JOIN [NAMES] n2 ON u.recording_id = n2.recording_id AND u.speaker = n2.speaker)
+SELECT recording_id, place, n, label, prefix, start_sample, end_sample, CASE WHEN reason IS NULL THEN text ELSE text || ' [Needs review: ' || reason || ']' END AS marked FROM r)"""
+
+
+def printed(kind: str) -> str:
+    return PRINTED.replace("[S]", S).replace("[HELD]", HELD).replace("[NAMES]", NAMES).replace("[REASON]", REASON).replace("[TXT]", "true" if kind == "txt" else "false")
+
+
+def clean(column: str) -> str:
+    return rf"translate(replace(trim(regexp_replace({column}, '[ \t\r\n]+', ' ', 'g')), '-->', '→'), '<>', '‹›')"
+
+
+def cue_sql(mark: str) -> str:
+    return f"""(SELECT recording_id, place, n, cue, CAST(cue AS VARCHAR) || chr(10) || {_time('start_sample', mark)} || ' --> ' || {_time('end_sample', mark)} || chr(10) || {clean('label')} || ': ' || {clean('marked')} || chr(10) || chr(10) AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY place, n) AS cue FROM {printed('srt')} q) x)"""
+
+
+def body_sql(lines: str, head: str, nothing: str) -> str:
+    return f"""SELECT recording_id, coalesce({head} || body, {nothing}) AS body, CAST(octet_length(encode(coalesce({head} || body, {nothing}))) AS BIGINT) AS bytes, octet_length(encode(coalesce({head} || body, {nothing}))) <= 16777216 AS allowed
+FROM (SELECT DISTINCT recording_id FROM {NAMES} q) r LEFT JOIN (SELECT recording_id, string_agg(line, '' ORDER BY place, n) AS body FROM {lines} c GROUP BY recording_id) x USING (recording_id)"""
+
+
+def exported(s: SparkSession, d: str, kind: str) -> DataFrame:
+    turns, now = held_turns(s, d)
+    names = view(s, d, "doc_speakers")
+    return exports.export(now, names, turns, names.select("recording_id").distinct(), kind)
+
+
+@query("transcript", body_sql(f"""(SELECT recording_id, place, n, '[' || prefix || {_time('start_sample', '.')} || ' – ' || {_time('end_sample', '.')} || '] ' || label || ': ' || marked || chr(10) AS line FROM {printed('txt')} q)""", "''", "chr(10)"))
+def _(s, d):
+    return exported(s, d, "txt")
+
+
+@query("s10_a12_vtt", body_sql(cue_sql("."), "'WEBVTT' || chr(10) || chr(10)", "'WEBVTT' || chr(10) || chr(10)"))
+def _(s, d):
+    return exported(s, d, "vtt")
+
+
+@query("s10_srt", body_sql(cue_sql(","), "''", "chr(10)"))
+def _(s, d):
+    return exported(s, d, "srt")
+
+
+@query("f4_w19_cues", f"SELECT recording_id, cue, line FROM {cue_sql(',')} c")
+def _(s, d):
+    turns, now = held_turns(s, d)
+    return exports.cues(exports.rows(now, view(s, d, "doc_speakers"), turns, "srt")).select("recording_id", "cue", "line")
+
+
+@query("p30_held_turns", f"SELECT recording_id, passage_id, n, speaker, text FROM {HELD} q")
+def _(s, d):
+    return held_turns(s, d)[0].select("recording_id", "passage_id", "n", "speaker", "text")
+
+
+@query("o1_canonical_places", f"SELECT DISTINCT recording_id, passage_id, place FROM (SELECT recording_id, passage_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, CASE WHEN (recording_id + pos) % 7 = 0 THEN 'system' ELSE '' END, CASE WHEN (recording_id + pos) % 7 = 0 THEN passage_id ELSE '' END, CASE WHEN separated THEN passage_id END NULLS FIRST, pos, passage_id) AS place FROM {S} q) x")
+def _(s, d):
+    return exports.ordered(said_states(s, d)).select("recording_id", "passage_id", "place")
+
+
 @query("f20_st15_retained_times", f"""SELECT recording_id, passage_id, canonical AND pos % 3 > 0 AND (recording_id + pos) % 5 <> 0 AND revision + 1 - 2 * (pos % 4) >= revision AND protected = '' AS retained FROM {S} q""")
 def _(s, d):
     p = view(s, d, "states").select("*", F.when(F.col("canonical"), F.col("passage_id")).alias("utterance_id"), F.lit("system").alias("source"), F.lit(0).alias("epoch"), F.col("revision").alias("audio_revision"))

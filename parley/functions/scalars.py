@@ -45,10 +45,10 @@ def initials(label: Column, speaker: Column) -> Column:
 
 
 def safe_file_name(name: Column) -> Column:
-    """The last path part: ASCII letters, digits, dots and dashes; spaces between kept characters become one underscore; no leading dots or underscores."""
+    """The last path part: ASCII letters, digits, dots and dashes; white space of any kind between kept characters becomes one underscore; no leading dots or underscores."""
     base = F.regexp_extract(name, r"([^/]*)/*$", 1)
-    kept = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9.\s-]", ""), r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"\s+", "_"), r"^[._]+", "")
+    kept = F.regexp_replace(F.regexp_replace(base, r"(?U)[^A-Za-z0-9.\s-]", ""), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(kept, r"(?U)\s+", "_"), r"^[._]+", "")
 
 
 def to_samples(seconds: Column, way: str) -> Column:

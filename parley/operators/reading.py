@@ -6,7 +6,7 @@ Words and regions come as arrays in the passage's row (a passage has at most
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "recording_id"
@@ -103,3 +103,39 @@ def retained(prior: DataFrame, grown: DataFrame) -> DataFrame:
     later = (F.col("a.end_sample") < F.col("b.end_sample")) & (F.col("a.utterance_id") == F.col("b.utterance_id")) & (F.col("b.audio_revision") >= F.col("a.audio_revision"))
     free = F.coalesce(F.col("b.protected"), F.lit("")) == ""
     return b.join(a, [KEY, "passage_id"]).select(KEY, "passage_id", F.coalesce(same & later & free, F.lit(False)).alias("retained"))
+
+
+def receipts(turns: DataFrame, passages: DataFrame) -> DataFrame:
+    """A receipt for the turns of each passage: hashes of its text, activity and turns, its anchor, and the numbers of what they were made from.
+
+    passages: RECEIPT columns, text, activity (any text that stands for the
+    regions), anchor_start, anchor_end.
+    """
+    made = passages.select(KEY, "passage_id", *RECEIPT, F.sha2("text", 256).alias("text_sha256"), F.sha2("activity", 256).alias("activity_sha256"), "anchor_start", "anchor_end")
+    return made.join(hashed_turns(turns), [KEY, "passage_id"])
+
+
+#: Numbers that a receipt shares with its passage.
+RECEIPT = ("utterance_id", "machine_revision", "canonical_revision", "audio_revision", "language_epoch", "capture_source")
+
+
+def hashed_turns(turns: DataFrame) -> DataFrame:
+    fields = ("n", "start_offset", "end_offset", "text", "speaker", "attribution", "start_sample", "end_sample")
+    whole = F.to_json(F.array_sort(F.collect_list(F.struct(*fields))), {"ignoreNullFields": "false"})
+    return turns.groupBy(KEY, "passage_id").agg(F.sha2(whole, 256).alias("turns_sha256"))
+
+
+def held(turns: DataFrame, passages: DataFrame, given: DataFrame) -> DataFrame:
+    """The turns that still stand: their passage is unprotected, all that their receipt (of ``receipts``) names is unchanged, and they cover the text.
+
+    A passage with more than one receipt has none.
+    """
+    one = given.withColumn("_n", F.count("*").over(Window.partitionBy(KEY, "passage_id"))).where("_n = 1").drop("_n")
+    now = receipts(turns, passages.where("coalesce(protected, '') = ''"))
+    same = [c for c in now.columns if c not in (KEY, "passage_id")]
+    a, b = now.alias("a"), one.alias("b")
+    match = (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.passage_id") == F.col("b.passage_id"))
+    for c in same:
+        match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    valid = a.join(b, match, "left_semi").select(KEY, "passage_id")
+    return turns.join(valid, [KEY, "passage_id"], "left_semi").join(coverage(turns, passages).where("covered").select(KEY, "passage_id"), [KEY, "passage_id"], "left_semi")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = "recording_id"
+#: Reasons that are used outside the table too (fixed values).
 OVERLAP = "Overlapping speakers; voices are not separated"
 EMPTY = "No transcript text returned; audio retained"
 UNCERTAIN = "Language uncertain; audio retained"
@@ -48,7 +49,8 @@ def known(code: str | Column) -> Column:
 
 
 def blank() -> Column:
-    return F.trim("text") == ""
+    """No sign but white space of any kind."""
+    return ~F.col("text").rlike(r"(?U)\S")
 
 
 def overlaps() -> Column:
@@ -74,10 +76,13 @@ def reason() -> Column:
 
 def review(passages: DataFrame) -> DataFrame:
     """The reason for which a passage needs review, and its exported text with the marker."""
-    out = passages.select(KEY, "passage_id", "text", reason().alias("reason"))
+    return passages.select(KEY, "passage_id", reason().alias("reason"), marked().alias("marked"))
+
+
+def marked() -> Column:
+    """The text, with the reason behind it if there is one."""
     space = F.when(blank(), "").otherwise(" ")
-    marked = F.when(F.col("reason").isNull(), F.col("text")).otherwise(F.concat("text", space, F.lit("[Needs review: "), "reason", F.lit("]")))
-    return out.select(KEY, "passage_id", "reason", marked.alias("marked"))
+    return F.when(reason().isNull(), F.col("text")).otherwise(F.concat("text", space, F.lit("[Needs review: "), reason(), F.lit("]")))
 
 
 def refinable() -> Column:

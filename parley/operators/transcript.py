@@ -30,7 +30,7 @@ def named(passages: DataFrame, speakers: DataFrame) -> DataFrame:
 
 def cleaned(text: Column) -> Column:
     """One line of subtitle text: white space collapsed, arrows and angle brackets replaced."""
-    flat = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.translate(F.replace(flat, F.lit("-->"), F.lit("→")), "<>", "‹›")
 
 
@@ -60,7 +60,7 @@ def search(passages: DataFrame, words: str) -> DataFrame:
     return passages.where(F.contains(F.lower(F.concat_ws(" ", "text", "label")), F.lit(words.lower()))).select(KEY, "passage_id")
 
 
-#: An introduction: a greeting or none, then a name of up to three words.
+#: An introduction: a greeting or none, then a name of up to three words (fixed patterns).
 WORD = r"[\p{L}\p{M}\p{Nl}]+(?:[-’'][\p{L}\p{M}\p{Nl}]+)*"
 INTRODUCTION = rf"^(?:(?i:hi|hello|hey)[,!]?\s+)?(?i:i['’]m|i am|my name is)\s+({WORD}(?:\s+{WORD}){{0,2}})"
 LEADING = r"^(\p{Lu}\S*(?:\s+\p{Lu}\S*)*)"
@@ -77,30 +77,3 @@ def introductions(passages: DataFrame) -> DataFrame:
     found = passages.where("speaker NOT IN ('unassigned', 'multiple_speakers') AND speaker NOT LIKE 'overlap%'").withColumn("name", introduced_name(F.col("text"))).where("name <> ''")
     first = F.row_number().over(Window.partitionBy(KEY, "speaker").orderBy("start_sample", "pos"))
     return found.withColumn("n", first).where("n = 1").select(KEY, "speaker", "passage_id", "name")
-
-
-def cues(passages: DataFrame, mark: str = ",") -> DataFrame:
-    """Numbered subtitle cues in canonical order."""
-    n = F.row_number().over(Window.partitionBy(KEY).orderBy("start_sample", "end_sample", "passage_id"))
-    line = F.concat("label", F.lit(": "), cleaned(F.col("text")))
-    return passages.select(KEY, n.cast("long").alias("cue"), F.concat(n.cast("string"), F.lit("\n"), timestamp(F.col("start_sample"), mark), F.lit(" --> "), timestamp(F.col("end_sample"), mark), F.lit("\n"), line, F.lit("\n")).alias("body"))
-
-
-def render(passages: DataFrame) -> DataFrame:
-    """A transcript per recording with its size in bytes: ``[start – end] label: text`` lines in canonical order."""
-    line = F.concat(F.lit("["), timestamp(F.col("start_sample"), "."), F.lit(" – "), timestamp(F.col("end_sample"), "."), F.lit("] "), F.col("label"), F.lit(": "), cleaned(F.col("text")))
-    ordered = F.array_sort(F.collect_list(F.struct("start_sample", "end_sample", "passage_id", line.alias("line"))))
-    out = passages.groupBy(KEY).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"))
-    return out.withColumn("bytes", F.octet_length("body").cast("long"))
-
-
-#: Bytes that an export may have.
-LARGEST = 16 << 20
-
-
-def subtitles(passages: DataFrame, kind: str) -> DataFrame:
-    """An SRT or VTT file per recording, and whether it is within the size allowed."""
-    mark, head = (".", "WEBVTT\n\n") if kind == "vtt" else (",", "")
-    ordered = F.array_sort(F.collect_list(F.struct("cue", "body")))
-    out = cues(passages, mark).groupBy(KEY).agg(F.concat(F.lit(head), F.array_join(F.transform(ordered, lambda x: x["body"]), "\n")).alias("body"))
-    return out.withColumn("allowed", F.octet_length("body") <= LARGEST)
