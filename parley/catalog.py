@@ -634,18 +634,33 @@ def _(s, d):
     return changes.current(hashed(p.withColumn("text", F.when(F.col("pos") % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")))), hashed(p))
 
 
-@query("e6_interpretation_changed", f"""SELECT recording_id, bool_or(changed) AS changed FROM (SELECT coalesce(a.recording_id, b.recording_id) AS recording_id, a.speaker IS DISTINCT FROM b.speaker OR a.language IS DISTINCT FROM b.language OR a.passage_id IS NULL OR b.passage_id IS NULL AS changed
-FROM {S} a FULL JOIN (SELECT recording_id, passage_id, language, CASE WHEN recording_id % 4 = 0 AND pos = 1 THEN 'speaker_9' ELSE speaker END AS speaker FROM {S} q WHERE recording_id % 5 <> 0 OR pos <> 0) b ON a.recording_id = b.recording_id AND a.passage_id = b.passage_id) x GROUP BY recording_id""")
+@query("e6_interpretation_changed", f"""SELECT recording_id, bool_or(changed) AS changed FROM (SELECT coalesce(a.recording_id, b.recording_id) AS recording_id, a.passage_id IS NULL OR b.passage_id IS NULL OR a.language IS DISTINCT FROM b.language OR b.moved OR a.protected LIKE '%speaker%' <> b.guarded OR b.manual AS changed
+FROM {S} a FULL JOIN (SELECT recording_id, passage_id, CASE WHEN recording_id % 7 = 0 AND pos = 2 THEN 'fr' ELSE language END AS language, recording_id % 11 = 0 AND pos = 1 AS moved, protected LIKE '%speaker%' OR recording_id % 13 = 0 AND pos = 0 AS guarded,
+  detection_mode = 'manual' AND recording_id % 17 = 0 AS manual FROM {S} q WHERE recording_id % 5 <> 0 OR pos <> 0) b ON a.recording_id = b.recording_id AND a.passage_id = b.passage_id) x GROUP BY recording_id""")
 def _(s, d):
-    p = view(s, d, "states")
-    speaker = F.when((F.col("recording_id") % 4 == 0) & (F.col("pos") == 1), "speaker_9").otherwise(F.col("speaker"))
-    return changes.interpretation_changed(p, p.where("recording_id % 5 <> 0 OR pos <> 0").withColumn("speaker", speaker))
+    """Speaker labels and texts change everywhere, and what counts in some recordings only."""
+    p = said_states(s, d).withColumns({c: F.lit(None).cast("string") for c in ("language_mode", "stream_generation", "speaker_candidates")})
+    r, at = F.col("recording_id"), F.col("pos")
+    later = p.where("recording_id % 5 <> 0 OR pos <> 0").withColumns({
+        "speaker": F.lit("speaker_9"), "text": F.concat("text", F.lit("!")), "language": F.when((r % 7 == 0) & (at == 2), "fr").otherwise(F.col("language")), "audio_revision": F.when((r % 11 == 0) & (at == 1), 2).otherwise(1),
+        "protected": F.when((r % 13 == 0) & (at == 0), "speaker").otherwise(F.col("protected")), "detection_reason": F.when(r % 17 == 0, "other").otherwise(F.col("detection_reason"))})
+    return changes.interpretation_changed(p, later)
 
 
-@query("e16_invalidated", f"""SELECT recording_id, passage_id, CASE WHEN hit AND protected <> 'text' THEN '' ELSE text END AS text, revision + CASE WHEN hit THEN 1 ELSE 0 END AS revision, CASE WHEN NOT hit THEN audio_state END AS audio_state, hit AS review
+@query("e16_invalidated", f"""SELECT recording_id, passage_id, text, speaker, start_sample, end_sample, CASE WHEN NOT hit THEN audio_state END AS audio_state, CASE WHEN NOT hit THEN resolution END AS resolution, CASE WHEN NOT hit THEN detection_reason END AS detection_reason, CASE WHEN NOT hit THEN eligible END AS eligible,
+1 + CASE WHEN hit THEN 1 ELSE 0 END AS audio_revision, revision + CASE WHEN hit THEN 1 ELSE 0 END AS machine_revision, hit OR separated AS review, hit OR sealed AS sealed, hit OR finalized AS finalized, CASE WHEN hit THEN 'capture_audio_repaired' END AS unresolved, CASE WHEN hit AND protected = '' THEN 'unresolved' ELSE state END AS state
 FROM (SELECT q.*, coalesce(end_sample > repaired_from, false) AS hit FROM {S} q LEFT JOIN (SELECT recording_id, min(start_sample) AS repaired_from FROM {N} n WHERE late GROUP BY 1) r ON q.recording_id = r.recording_id) x""")
 def _(s, d):
-    return changes.invalidated(view(s, d, "states"), library.late_repairs(view(s, d, "audio_notices")))
+    p = said_states(s, d).withColumns({"review": F.col("separated"), "unresolved": F.lit(None).cast("string")})
+    found = changes.invalidated(p, library.late_repairs(view(s, d, "audio_notices")))
+    return found.select("recording_id", "passage_id", "text", "speaker", "start_sample", "end_sample", "audio_state", "resolution", "detection_reason", "eligible", "audio_revision", "machine_revision", "review", "sealed", "finalized", "unresolved", "state")
+
+
+@query("e16_repaired_recordings", f"""SELECT recording_id, revision + CASE WHEN place IS NULL THEN 0 ELSE 1 END AS stream_generation, CASE WHEN place IS NULL THEN 0 ELSE 1 END AS context_generation, 3 + CASE WHEN place IS NULL THEN 0 ELSE 1 END AS audio_revision, place AS repaired_from
+FROM {R} q LEFT JOIN (SELECT recording_id, min(start_sample) AS place FROM {N} n WHERE late GROUP BY 1) r USING (recording_id)""")
+def _(s, d):
+    r = view(s, d, "recordings").select("recording_id", F.col("revision").alias("stream_generation"), F.lit(None).cast("long").alias("context_generation"), F.lit(3).alias("audio_revision"), F.lit(None).cast("long").alias("repaired_from"))
+    return changes.repaired(r, library.late_repairs(view(s, d, "audio_notices")))
 
 
 @query("s11_j17_upsert", f"""SELECT recording_id, name, revision + 1 AS revision FROM {R} q WHERE recording_id % 2 = 0 UNION ALL SELECT recording_id, name, revision FROM {R} q WHERE recording_id % 3 <> 0 AND recording_id % 2 <> 0""")
@@ -660,11 +675,13 @@ def _(s, d):
     return changes.grown(r, r.where("recording_id % 2 = 0").withColumn("duration_s", F.col("duration_s") + F.col("recording_id") % 7 - 3))
 
 
-@query("s13_capped_batch", f"""WITH b AS (SELECT recording_id, kind FROM {R} q WHERE status = 'ready'), a AS (SELECT kind, count(*) AS n FROM {R} q WHERE status = 'recording' AND kind = 'meeting' GROUP BY 1)
-SELECT * FROM b WHERE (SELECT count(*) FROM b c WHERE c.kind = b.kind) + coalesce((SELECT n FROM a WHERE a.kind = b.kind), 0) <= (SELECT count(*) * 2 // 5 FROM {R} q)""")
+@query("s13_capped_batch", f"SELECT 1 AS batch, recording_id, kind FROM {R} q WHERE status = 'ready'")
 def _(s, d):
+    """The same rows as two batches: the first takes the last free place, the second finds one too few and is refused whole."""
     r = view(s, d, "recordings")
-    return changes.within_limit(r.where("status = 'recording' AND kind = 'meeting'"), r.where("status = 'ready'").select("recording_id", "kind"), r.count() * 2 // 5)
+    active, batch = r.where("status = 'recording'"), r.where("status = 'ready'").select("recording_id", "kind")
+    room = active.count() + batch.count()
+    return changes.within_limit(active, batch.select(F.lit(1).alias("batch"), "*"), room).unionByName(changes.within_limit(active, batch.select(F.lit(2).alias("batch"), "*"), room - 1))
 
 
 @query("e15_dismissed", f"SELECT recording_id, string_agg(CAST(edit_id AS VARCHAR), ',' ORDER BY edit_id) AS ids, count(*) AS n FROM (SELECT * FROM {E} q QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY edit_id DESC) <= 256) x GROUP BY recording_id")

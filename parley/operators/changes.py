@@ -55,19 +55,61 @@ def current(candidates: DataFrame, passages: DataFrame) -> DataFrame:
     return candidates.join(passages.select(*KEY, "version"), [*KEY, "version"], "left_semi")
 
 
+#: What a passage's language was judged on. Names and spelling are no part of it.
+ACOUSTIC = ("start_sample", "end_sample", "capture_source", "audio_revision", "language_epoch", "language_mode", "stream_generation", "speaker_candidates", "language")
+
+
 def interpretation_changed(prior: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Per recording: has any row another speaker, start, end or language, or has the number of rows changed?"""
-    fields = ("speaker", "start_sample", "end_sample", "language")
+    """Per recording: does a change touch what its language was judged on?
+
+    Both: the ACOUSTIC columns, protected, detection_mode and detection_reason.
+    It does if rows come or go, if one of ACOUSTIC differs, if the speaker
+    becomes protected or free, or if a detection set by hand differs. A changed
+    speaker label or text alone doesn't count.
+    """
+    fields = (*ACOUSTIC, "protected", "detection_mode", "detection_reason")
     a, b = prior.select(*KEY, F.struct(*fields).alias("a")), incoming.select(*KEY, F.struct(*fields).alias("b"))
-    return a.join(b, KEY, "full").groupBy("recording_id").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+    differs = detected = F.lit(False)
+    for c in ACOUSTIC:
+        differs = differs | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    guarded = protected("speaker", "a.protected") != protected("speaker", "b.protected")
+    for c in ("detection_mode", "detection_reason"):
+        detected = detected | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    manual = F.coalesce(F.col("b.detection_mode") == "manual", F.lit(False)) & detected
+    changed = F.col("a").isNull() | F.col("b").isNull() | differs | guarded | manual
+    return a.join(b, KEY, "full").groupBy("recording_id").agg(F.bool_or(changed).alias("changed"))
+
+
+#: What was derived from a passage's samples, and goes when they are repaired.
+EVIDENCE = ("detection_mode", "detection_reason", "acoustic_evidence", "activity", "alignment", "turns", "turn_receipt", "candidate_text", "separation_candidate", "resolution", "anchor", "eligible", "audio_state")
 
 
 def invalidated(passages: DataFrame, repairs: DataFrame) -> DataFrame:
-    """Passages after late audio (recording_id, repaired_from): those ending after it get a new revision, lose their audio state and need review; protected words stay."""
-    joined = passages.join(repairs, "recording_id", "left")
-    hit = F.coalesce(F.col("end_sample") > F.col("repaired_from"), F.lit(False))
-    text = F.when(hit & ~protected("text", "protected"), "").otherwise(F.col("text"))
-    return joined.select(*KEY, text.alias("text"), (F.col("revision") + hit.cast("int")).cast("long").alias("revision"), F.when(~hit, F.col("audio_state")).alias("audio_state"), hit.alias("review"))
+    """``passages`` after late audio (recording_id, repaired_from).
+
+    Words, times, speakers and protection stay as they are. A passage that
+    ends after the repaired place gets the next audio and machine revision,
+    loses the columns of EVIDENCE that the table has, is sealed and final with
+    the reason capture_audio_repaired, and is up for review; without protected
+    fields it counts as unresolved. Of several repairs of a recording the
+    earliest place counts.
+    """
+    first = repairs.groupBy("recording_id").agg(F.min("repaired_from").alias("_from"))
+    joined = passages.join(first, "recording_id", "left")
+    hit = F.coalesce(F.col("end_sample") > F.col("_from"), F.lit(False))
+    free = F.coalesce(F.col("protected"), F.lit("")) == ""
+    new = {c: F.when(~hit, F.col(c)) for c in EVIDENCE if c in passages.columns}
+    new |= {c: F.coalesce(F.col(c), F.lit(0)).cast("long") + hit.cast("long") for c in ("audio_revision", "machine_revision")}
+    new |= {"review": hit | F.col("review"), "sealed": hit | F.col("sealed"), "finalized": hit | F.col("finalized"), "unresolved": F.when(hit, "capture_audio_repaired").otherwise(F.col("unresolved")), "state": F.when(hit & free, "unresolved").otherwise(F.col("state"))}
+    return joined.withColumns(new).drop("_from")
+
+
+def repaired(recordings: DataFrame, repairs: DataFrame) -> DataFrame:
+    """``recordings`` (stream_generation, context_generation, audio_revision, repaired_from) after late audio: the next generations and revision, and the place."""
+    first = repairs.groupBy("recording_id").agg(F.min("repaired_from").alias("_from"))
+    hit = F.col("_from").isNotNull()
+    new = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") + hit.cast("long") for c in ("stream_generation", "context_generation", "audio_revision")}
+    return recordings.join(first, "recording_id", "left").withColumns(new | {"repaired_from": F.coalesce("_from", "repaired_from")}).drop("_from")
 
 
 def absent(rows: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,11 +128,9 @@ def grown(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def within_limit(active: DataFrame, batch: DataFrame, most: int) -> DataFrame:
-    """The whole batch of each kind if it and the active rows stay within the limit, else none of it."""
-    now = active.groupBy("kind").agg(F.count("*").alias("now"))
-    more = batch.groupBy("kind").agg(F.count("*").alias("more"))
-    fits = more.join(now, "kind", "left").where(F.col("more") + F.coalesce("now", F.lit(0)) <= most)
-    return batch.join(fits.select("kind"), "kind", "left_semi")
+    """The whole batch if it and the active rows, of whatever kind, stay within the limit, else none of it."""
+    room = active.agg(F.count("*").alias("now")).crossJoin(batch.agg(F.count("*").alias("more"))).where(F.col("now") + F.col("more") <= most)
+    return batch.join(F.broadcast(room.select(F.lit(True).alias("_fits"))), F.lit(True), "left_semi")
 
 
 def dismissed(events: DataFrame, most: int = 256) -> DataFrame:
