@@ -187,16 +187,17 @@ def decode(data: bytes) -> dict:
     at, end, body = 0, len(data), []
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at = _tags(data, at, end, out["tags"])
-    if data[end - 128 : end - 125] == b"TAG" and end - 128 >= at:
-        end -= 128
-        out["tags"]["TAG"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    # An ID3v1 tag is the last 128 bytes, where a frame has ended or none is left: frames may hold the same letters.
+    last = end - 128 if data[end - 128 : end - 125] == b"TAG" and end - 128 >= at else end
     first = True
-    while at < end:
+    while at < end and at != last:
         h = header(data, at)
-        if h is None or at + h[0] > end or (at + h[0] < end and header(data, at + h[0]) is None):
+        ends = at + h[0] if h else 0
+        if h is None or ends > end or (ends not in (last, end) and header(data, ends) is None):
             nxt = data.find(b"\xff", at + 1, end)
-            out["skipped"] += (nxt if nxt >= 0 else end) - at
-            at = nxt if nxt >= 0 else end
+            stop = nxt if nxt >= 0 else last if at < last else end
+            out["skipped"] += stop - at
+            at = stop
             continue
         size, version, layer, kbit, rate, side, protected, mode, extension = h
         begin = at + 4 + 2 * protected
@@ -217,6 +218,8 @@ def decode(data: bytes) -> dict:
             body.append(data[begin + side : at + size])
         first = False
         at += size
+    if at == last < end:
+        out["tags"]["TAG"] = data[last + 3 : last + 33].rstrip(b"\0 ").decode("latin-1")
     payload = b"".join(body)
     told = out["tags"].get("TXXX:payload", "")
     return out | {"payload": payload[: int(told)] if told.isascii() and told.isdigit() else payload}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import by_text, connected_components, hashed_share, stored
+from .common import by_text, connected_components, free_name, hashed_share, stored
 
 #: Seed of the shingle hash (fixed value).
 SEED = 42
@@ -242,13 +242,14 @@ def verified(links: DataFrame, ids: DataFrame, prints: DataFrame, docs: DataFram
 
 
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, but of those that share an id the first by the text's hash, then the text. Rows with a null id all stay."""
+    """The rows of ``docs``, but of those that share an id the first by the text's hash, the text, and the other columns (maps and variants aside). Rows with a null id all stay."""
     repeated = stored(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     if not repeated.limit(1).count():
         return docs
     others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and not kind.startswith(("map", "variant"))]
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col, *others)
-    first = docs.join(repeated, id_col, "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    row = free_name(docs, "row")
+    first = docs.join(repeated, id_col, "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(*docs.columns)
     return docs.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(first)
 
 

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 
 from parley.llm import negatives, queries
 
@@ -17,7 +18,7 @@ def plain(rows):
     for a, (i, label, v) in enumerate(good):
         if i is None or i % 100:
             continue
-        scored = [(-sum(x * y for x, y in zip(v, w, strict=True)), j is None, j or 0, other, j) for b, (j, other, w) in enumerate(good) if b != a and len(w) == len(v)]
+        scored = [(-max(-negatives.LONG, min(negatives.LONG, sum(x * y for x, y in zip(v, w, strict=True)))), j is None, j or 0, other, j) for b, (j, other, w) in enumerate(good) if b != a and len(w) == len(v)]
         scored.sort(key=lambda x: x[:3])
         for p in [x for x in scored if x[3] == label][:5]:
             fits = [x for x in scored if x[3] != label and 30 * -p[0] <= 100 * -x[0] <= 90 * -p[0]][:10]
@@ -50,9 +51,11 @@ def test_awkward_rows(spark):
     assert negatives.from_embeddings(table(spark, rows).limit(0)).count() == 0
 
 
-def test_large_components(spark):
+@pytest.mark.parametrize("size", [1e6, 1e7])
+def test_large_components(spark, size):
+    """Inner products up to 1e17 and 1e19: beyond exact doubles, and at last beyond longs."""
     r = random.Random(4)
-    assert check(spark, [(i * 50, [r.choice([-1, 1]) * r.random() * 1e6 for _ in range(4)], r.randrange(3)) for i in range(60)])
+    assert check(spark, [(i * 50, [float(np.float32(r.choice([-1, 1]) * r.random() * size)) for _ in range(4)], r.randrange(3)) for i in range(60)])
 
 
 def test_many_shards_and_a_hot_copy(spark, monkeypatch):
