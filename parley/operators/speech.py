@@ -30,6 +30,28 @@ def utterances(frames: DataFrame, silence: int = SILENCE, lead: int = LEAD) -> D
     return u.select(KEY, F.col("n").cast("long").alias("n"), F.greatest(F.lit(0), F.col("first") - lead).cast("long").alias("start_sample"), F.least("observed", F.col("last") + lead).cast("long").alias("end_sample"))
 
 
+def utterances_by_epoch(frames: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(recording_id, source_id, n, epoch, start_sample, end_sample): utterances of each source that a language boundary (recording_id, epoch from 1, start_sample) ends.
+
+    A boundary within a frame cuts it. An utterance starts after its epoch's
+    start and ends before its epoch's end. Hysteresis goes on over boundaries.
+    """
+    keys = [KEY, "source_id"]
+    spans = boundaries.select(KEY, "epoch", F.col("start_sample").alias("epoch_start")).unionByName(frames.select(KEY, F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("epoch_start")).distinct())
+    spans = spans.withColumn("epoch_end", F.lead("epoch_start").over(Window.partitionBy(KEY).orderBy("epoch")))
+    inside = (F.col("epoch_start") < F.col("end_sample")) & (F.col("epoch_end").isNull() | (F.col("start_sample") < F.col("epoch_end")))
+    cut = frames.join(spans, KEY).where(inside)
+    cut = cut.withColumns({"start_sample": F.greatest("start_sample", "epoch_start"), "end_sample": F.least("end_sample", "epoch_end")})
+    signal = F.when(F.col("constant_block"), None).when(F.col("p100") >= ON, True).when(F.col("p100") < OFF, False)
+    w = Window.partitionBy(*keys).orderBy("start_sample")
+    state = F.coalesce(F.last(signal, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    talk = cut.withColumns({"speaking": state & ~F.col("constant_block"), "observed": F.max("end_sample").over(Window.partitionBy(*keys))}).where("speaking")
+    goes_on = (F.col("start_sample") - F.lag("end_sample").over(w) < SILENCE) & (F.lag("epoch").over(w) == F.col("epoch"))
+    numbered = talk.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("n", F.sum("new").over(w))
+    own = numbered.groupBy(*keys, "n", "epoch").agg(F.min("start_sample").alias("first"), F.max("end_sample").alias("last"), F.first("epoch_start").alias("low"), F.first(F.least("observed", "epoch_end")).alias("high"))
+    return own.select(*keys, F.col("n").cast("long").alias("n"), "epoch", F.greatest("low", F.col("first") - LEAD).alias("start_sample"), F.least("high", F.col("last") + LEAD).alias("end_sample"))
+
+
 def inspection(frames: DataFrame) -> DataFrame:
     """Samples by kind and the decision for each recording: speech, else uncertain, else no speech.
 
