@@ -11,8 +11,8 @@ no wanted label or can't beat the k-th best, and scores the leaves exactly.
 The top level of the tree is fitted on a bounded sample; its nodes are cells,
 cut into shards of bounded size, and each shard is a tree of its own. A query
 first descends the shards with the highest bounds, and then all others that may
-still beat its k-th best. Every pair of query and shard meets in a task with a
-bounded number of queries; nothing but the shards' centres, radii and labels is
+still beat its k-th best. All windows of a query share a descent. Every pair of query
+and shard meets in a task with a bounded number of queries; nothing but the shards' centres, radii and labels is
 broadcast, and their number is bounded.
 """
 
@@ -22,6 +22,7 @@ import heapq
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -161,26 +162,29 @@ class Searcher:
         self.centres = self.f[t.centre]
         self.most = float(np.abs(self.f).max(initial=0.0)) * self.f.shape[1]
 
-    def wanted(self, nodes: slice, q: np.ndarray, label: int, same: bool, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the nodes may hold candidates in the window with such a label, and how high they reach in it."""
+    def wanted(self, nodes: slice, q: np.ndarray, label: int, same: bool, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes may hold candidates in one of the windows with such a label, and how high they reach in the highest."""
         lo, hi = bounds(q, self.centres[nodes], self.t.radius[nodes], self.largest)
         only = self.t.only[nodes]
-        can = (hi >= low) & (lo <= high) & ((only < 0) | (only == label) if same else only != label)
-        return can, np.minimum(hi, high)
+        can = ((hi >= low[:, None]) & (lo <= high[:, None])).any(axis=0) & ((only < 0) | (only == label) if same else only != label)
+        return can, np.minimum(hi, high.max())
 
-    def descend(self, q: np.ndarray, label: int, same: bool, low: int, high: int, k: int, own: int) -> list[tuple[int, int, int]]:
-        """The best k of (-score, rank, place) with low <= score <= high and a label that is the same, or another; without node ``own``."""
+    def descend(self, q: np.ndarray, label: int, same: bool, low: np.ndarray, high: np.ndarray, k: int, own: int) -> list[list[tuple[int, int, int]]]:
+        """For each window the best k of (-score, rank, place) with low <= score <= high and a label that is the same, or another; without node ``own``.
+
+        All windows of a query share one descent, so that a leaf is scored once.
+        """
         t, f = self.t, q.astype(float)
         exact = self.most * float(np.abs(f).max(initial=0.0)) < 2**53  # in doubles
-        best: list[tuple[int, int, int]] = []
-        can, reach = self.wanted(slice(0, 1), f, label, same, low, high)
+        best: list[list[tuple[int, int, int]]] = [[] for _ in low]
+        # what can't beat a window's k-th best is outside of the window from then on; an equal score may, by its id
+        least = low.copy()
+        can, reach = self.wanted(slice(0, 1), f, label, same, least, high)
         heap = [(-float(reach[0]), 0)] if can[0] else []
         while heap:
             bound, i = heapq.heappop(heap)
-            if len(best) == k and bound > best[-1][0]:
+            if (np.minimum(-bound, high) < least).all():
                 break
-            # what can't beat the k-th best is outside of the window from now on; an equal score may, by its id
-            least = max(low, -best[-1][0]) if len(best) == k else low
             if t.child[i] >= 0:
                 c = slice(t.child[i], t.child[i] + t.children[i])
                 can, reach = self.wanted(c, f, label, same, least, high)
@@ -189,10 +193,17 @@ class Searcher:
                 continue
             a, b = t.start[i], t.stop[i]
             score = self.f[a:b] @ f if exact else long_products(q, t.v[a:b])
-            fits = np.flatnonzero((score >= least) & (score <= high))
-            if len(fits):
-                fits = fits[((t.label[a + fits] == label) == same) & (t.node[a + fits] != own)]
-                best = heapq.nsmallest(k, [*best, *((-int(score[j]), int(t.rank[a + j]), int(a + j)) for j in fits)])
+            near = np.flatnonzero(score >= least.min())
+            if not len(near):
+                continue
+            near = near[((t.label[a + near] == label) == same) & (t.node[a + near] != own)]
+            found = score[near]
+            for w in range(len(low)):
+                fits = near[(found >= least[w]) & (found <= high[w])]
+                if len(fits):
+                    best[w] = heapq.nsmallest(k, [*best[w], *((-int(score[j]), int(t.rank[a + j]), int(a + j)) for j in fits)])
+                    if len(best[w]) == k:
+                        least[w] = max(int(least[w]), -best[w][-1][0])
         return best
 
 
@@ -282,11 +293,12 @@ def routes(index: Index, queries: DataFrame, seen: bool) -> DataFrame:
         for b in batches:
             rows, to = [], []
             for k, (v, label, same, low, high) in enumerate(zip(b["v"], b["label"], b["same"], b["low"], b["high"], strict=True)):
+                low, high = np.asarray(low), np.asarray(high)
                 lo, hi = bounds(np.asarray(v, dtype=float), centres, radius, largest)
                 can = [x is None or (label in x if same else x != {label}) for x in labels]
-                order = np.argsort(-np.minimum(hi, float(high)), kind="stable")
+                order = np.argsort(-np.minimum(hi, float(high.max())), kind="stable")
                 order = order[np.array(can)[order]]
-                fits = (hi[order] >= low) & (lo[order] <= high)
+                fits = ((hi[order] >= low[:, None]) & (lo[order] <= high[:, None])).any(axis=0)
                 # the first ones are chosen without looking at low, which rises between the two calls
                 ahead = np.arange(len(order)) < FIRST
                 chosen = order[fits & (~ahead if seen else ahead)]
@@ -304,17 +316,17 @@ def routes(index: Index, queries: DataFrame, seen: bool) -> DataFrame:
     return mine.unionByName(rare.select(*columns, "shard"))
 
 
-FOUND = "query long, node long, id decimal(20,0), score long"
+FOUND = "query long, window int, node long, id decimal(20,0), score long"
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query, node, id, score) of the k best candidates of each query, with place from 1.
+    """(query, window, node, id, score) of the k best candidates in each window of a query, with place from 1.
 
     queries: query (a number of its own), v, dim, label, same (candidates of
-    the same label, or of others), low, high (the window of scores), own (a
-    node that isn't returned).
+    the same label, or of others), low, high (arrays: its windows of scores,
+    by their number from 0), own (a node that isn't returned).
     """
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "node")
+    order = Window.partitionBy("query", "window").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "node")
 
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
@@ -327,28 +339,24 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
         def run(key: tuple, tree: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
             if not len(tree) or not len(own):
-                return pd.DataFrame({"query": [], "node": [], "id": [], "score": []})
+                return pd.DataFrame({"query": [], "window": [], "node": [], "id": [], "score": []})
             one = tree.iloc[0]
             tree, code = Searcher(Tree.load(one["tree"])), {x: i for i, x in enumerate(one["names"])}
             ids, known = np.frombuffer(one["ids"], dtype=np.int64), np.frombuffer(one["known"], dtype=bool)
             out = []
             for q in own.itertuples(index=False):
-                for score, _, place in tree.descend(np.asarray(q.v, dtype=np.int64), code.get(q.label, -2), q.same, q.low, q.high, k, q.own):
-                    out.append((q.query, tree.t.node[place], _decimal(ids[place]) if known[place] else None, -score))
-            return pd.DataFrame(out, columns=["query", "node", "id", "score"])
+                windows = tree.descend(np.asarray(q.v, dtype=np.int64), code.get(q.label, -2), q.same, np.asarray(q.low), np.asarray(q.high), k, q.own)
+                out += [(q.query, w, tree.t.node[place], Decimal(int(ids[place])) if known[place] else None, -score) for w, best in enumerate(windows) for score, _, place in best]
+            return pd.DataFrame(out, columns=["query", "window", "node", "id", "score"])
 
         return trees.select("shard", "chunk", "tree", "ids", "known", "names").groupBy("shard", "chunk").cogroup(asked.groupBy("shard", "chunk")).applyInPandas(run, FOUND)
 
     first = stored(visit(queries, False))
-    floor = best(first).where(F.col("place") == k).select("query", F.col("score").alias("floor"))
-    raised = stored(queries.join(floor, "query", "left").withColumn("low", F.coalesce(F.greatest("low", "floor"), "low")).drop("floor"))
-    return best(first.unionByName(visit(raised, True)))
-
-
-def _decimal(x):
-    from decimal import Decimal
-
-    return Decimal(int(x))
+    # what a window's k-th best has reached by now is its new lower end
+    reached = best(first).where(F.col("place") == k).groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("reached"))
+    raised = F.transform("low", lambda x, w: F.greatest(x, F.coalesce(F.col("reached")[w], x)))
+    again = stored(queries.join(reached, "query", "left").withColumn("low", F.when(F.col("reached").isNull(), F.col("low")).otherwise(raised)).drop("reached"))
+    return best(first.unionByName(visit(again, True)))
 
 
 def mine(rows: DataFrame, anchors: F.Column, positives: int = 5, negatives: int = 10, low_percent: int = 30, high_percent: int = 90) -> DataFrame:
@@ -364,13 +372,16 @@ def mine(rows: DataFrame, anchors: F.Column, positives: int = 5, negatives: int
     """
     rows = candidates(rows)
     index = build(rows, max(positives, negatives))
-    base = stored(rows.where(anchors).select(F.col("node").alias("query"), F.col("id").alias("anchor_id"), "v", "dim", "label", F.lit(True).alias("same"), F.lit(-LONG - 1).alias("low"), F.lit(LONG).alias("high"), F.col("node").alias("own")))
+    base = stored(rows.where(anchors).select(F.col("node").alias("query"), F.col("id").alias("anchor_id"), "v", "dim", "label", F.lit(True).alias("same"), F.array(F.lit(-LONG - 1)).alias("low"), F.array(F.lit(LONG)).alias("high"), F.col("node").alias("own")))
     of = stored(search(index, base.drop("anchor_id"), positives).select(F.col("query").alias("anchor"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), "place"))
     ends = [f"CAST({f}(CAST(positive_score AS DECIMAL(20, 0)) * {p} / 100) AS BIGINT)" for f, p in (("ceil", low_percent), ("floor", high_percent))]
+    # an anchor's distinct windows, at most as many as positives, are asked for in one query
     windows = of.select("anchor", "positive_score").distinct().withColumns({"low": F.expr(ends[0]), "high": F.expr(ends[1])}).where("low <= high")
-    asked = stored(windows.join(base.select(F.col("query").alias("anchor"), "v", "dim", "label", "own"), "anchor").withColumns({"query": F.monotonically_increasing_id(), "same": F.lit(False)}))
-    found = search(index, asked.drop("anchor", "positive_score"), negatives).select("query", F.col("place").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
-    pairs = of.join(asked.select("query", "anchor", "positive_score"), ["anchor", "positive_score"]).join(found, "query")
+    listed = windows.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("positive_score", "low", "high"))).alias("w"))
+    asked = stored(listed.select("anchor", F.col("w.low").alias("low"), F.col("w.high").alias("high"), F.col("w.positive_score").alias("scores")).join(base.select(F.col("query").alias("anchor"), "v", "dim", "label", "own"), "anchor").withColumns({"query": F.col("anchor"), "same": F.lit(False)}))
+    found = search(index, asked.drop("anchor", "scores"), negatives).select("query", "window", F.col("place").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
+    whose = asked.select("query", "anchor", F.posexplode("scores").alias("window", "positive_score"))
+    pairs = of.join(whose, ["anchor", "positive_score"]).join(found, ["query", "window"])
     named = pairs.join(base.select(F.col("query").alias("anchor"), "anchor_id"), "anchor")
     return named.select("anchor_id", F.col("positive_id").cast("long").alias("positive_id"), "rank", F.col("negative_id").cast("long").alias("negative_id"), "positive_score", "negative_score")
 

@@ -102,19 +102,21 @@ NOTHING = Model(np.zeros(FEATURES + 1), np.zeros(2), False)
 
 
 def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Logistic regression with a ridge penalty by Newton steps, each solved by conjugate gradients."""
+    """Logistic regression with a ridge penalty by Newton steps, each solved by conjugate gradients; x in single precision, rows of weight 0 don't count."""
+    forth = lambda v: (x @ v.astype(np.float32)).astype(float)  # noqa: E731  with doubles numpy would copy x
+    back = lambda v: (x.T @ v.astype(np.float32)).astype(float)
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        gap, curve = weight * (p - y), weight * p * (1 - p) + 1e-9
-        g = np.append(x.T @ gap + ridge * w, gap.sum())
+        p = 1 / (1 + np.exp(-np.clip(forth(w) + b, -30, 30)))
+        gap, curve = weight * (p - y), weight * (p * (1 - p) + 1e-9)
+        g = np.append(back(gap) + ridge * w, gap.sum())
         step, r = np.zeros_like(g), -g
         d, old = r.copy(), r @ r
         for _ in range(25):
             if old <= 1e-12 * (g @ g):
                 break
-            z = curve * (x @ d[:-1] + d[-1])
-            hd = np.append(x.T @ z + ridge * d[:-1], z.sum() + 1e-6 * d[-1])
+            z = curve * (forth(d[:-1]) + d[-1])
+            hd = np.append(back(z) + ridge * d[:-1], z.sum() + 1e-6 * d[-1])
             a = old / (d @ hd)
             step, r = step + a * d, r - a * hd
             new = r @ r
@@ -158,8 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED) -> Model:
     judge = ~learn
     if not all((part & (y == c)).any() for part in (learn, judge) for c in (0, 1)):
         learn = judge = np.ones(len(y), dtype=bool)
-    w = regression(x[learn], y[learn].astype(float), balance(y[learn]))
-    z = x[judge] @ w[:-1] + w[-1]
+    weight = np.zeros(len(y))
+    weight[learn] = balance(y[learn])
+    w = regression(x, y.astype(float), weight)
+    z = (x @ w[:-1].astype(np.float32)).astype(float)[judge] + w[-1]
     return Model(w, logistic(z[:, None], y[judge].astype(float), balance(y[judge]), ridge=0.1))
 
 
