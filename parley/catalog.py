@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars, signals
-from parley.operators import changes, checks, exports, folds, identity, intervals, language, library, ranges, reading, recognition, review, speech, transcript, votes
+from parley.operators import changes, checks, exports, folds, identity, intervals, language, library, publishing, ranges, reading, recognition, review, speech, transcript, votes
 from parley.sources.fixtures import oracle, view
-from parley.streaming import utterances
-from parley.streaming.replay import current, replay
+from parley.streaming import activity, capture, sources, utterances
+from parley.streaming.publish import Store, published
+from parley.streaming.replay import current, replay, replay_all, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,6 +178,85 @@ def _(s, d):
 TWO_THIRDS = f"(SELECT f.* FROM {V} f JOIN (SELECT recording_id, max(end_sample) AS observed FROM {V} g GROUP BY 1) o ON f.recording_id = o.recording_id WHERE f.start_sample * 3 < 2 * o.observed)"
 
 
+#: Frames of both sources (the system hears the microphone's frames 29 percent louder, modulo 100) and two language boundaries a recording, one of them within a frame.
+BOTH = f"(SELECT *, 'microphone_clean' AS source_id FROM {V} q UNION ALL SELECT * REPLACE ((p100 + 29) % 100 AS p100), 'system' FROM {V} q)"
+EPOCHS = f"(SELECT recording_id, CAST(1 AS BIGINT) AS epoch, m // 3 // 512 * 512 AS start_sample FROM (SELECT recording_id, max(end_sample) AS m FROM {V} q GROUP BY 1) x WHERE m > 30000 UNION ALL SELECT recording_id, 2, m // 2 + 100 FROM (SELECT recording_id, max(end_sample) AS m FROM {V} q GROUP BY 1) x WHERE m > 30000)"
+EPOCH_UTTERANCES = f"""WITH f AS {BOTH}, o AS (SELECT recording_id, max(end_sample) AS observed FROM f GROUP BY 1), b AS (SELECT * FROM {EPOCHS} q UNION ALL SELECT recording_id, 0, 0 FROM o),
+s AS (SELECT *, lead(start_sample) OVER (PARTITION BY recording_id ORDER BY epoch) AS stop FROM b),
+c AS (SELECT f.recording_id, f.source_id, s.epoch, greatest(f.start_sample, s.start_sample) AS a, least(f.end_sample, coalesce(s.stop, f.end_sample)) AS z, s.start_sample AS low, least(o.observed, coalesce(s.stop, o.observed)) AS high, constant_block,
+  CASE WHEN constant_block THEN NULL WHEN p100 >= 50 THEN 1 WHEN p100 < 35 THEN 0 END AS signal FROM f JOIN s ON f.recording_id = s.recording_id AND s.start_sample < f.end_sample AND (s.stop IS NULL OR f.start_sample < s.stop) JOIN o ON o.recording_id = f.recording_id),
+h AS (SELECT *, last_value(signal IGNORE NULLS) OVER (PARTITION BY recording_id, source_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM c),
+t AS (SELECT *, CASE WHEN a - lag(z) OVER w < 8000 AND lag(epoch) OVER w = epoch THEN 0 ELSE 1 END AS new FROM h WHERE state = 1 AND NOT constant_block WINDOW w AS (PARTITION BY recording_id, source_id ORDER BY a)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY recording_id, source_id ORDER BY a) AS n FROM t)
+SELECT recording_id, source_id, CAST(n AS BIGINT) AS n, epoch, greatest(min(low), min(a) - 3200) AS start_sample, least(min(high), max(z) + 3200) AS end_sample FROM n GROUP BY recording_id, source_id, n, epoch"""
+
+
+def both(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of both sources, and the language boundaries."""
+    v = view(s, d, "vad_frames")
+    frames = v.withColumn("source_id", F.lit("microphone_clean")).unionByName(v.withColumns({"p100": (F.col("p100") + 29) % 100, "source_id": F.lit("system")}))
+    m = v.groupBy("recording_id").agg(F.max("end_sample").alias("m")).where("m > 30000")
+    places = F.array(F.struct(F.lit(1).cast("long").alias("epoch"), F.expr("m div 3 div 512 * 512").alias("start_sample")), F.struct(F.lit(2).cast("long").alias("epoch"), F.expr("m div 2 + 100").alias("start_sample")))
+    return frames, m.select("recording_id", F.explode(places).alias("b")).select("recording_id", "b.epoch", "b.start_sample")
+
+
+@query("w2_epoch_utterances", EPOCH_UTTERANCES)
+def _(s, d):
+    return speech.utterances_by_epoch(*both(s, d))
+
+
+@query("st13_u2_live_sources", EPOCH_UTTERANCES)
+def _(s, d):
+    """Two inputs in two steps: boundaries come first, every eleventh frame a step late, and what the speakers were observed to holds back the rest until the end."""
+    sources.use_rocksdb(s)
+    frames, bounds = both(s, d)
+    seen = frames.groupBy("recording_id").agg(F.max("end_sample").alias("m"))
+    none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in sources.ROWS.split(", ")}
+    row = lambda df, kind, **own: df.select(*(own.get(c, F.lit(kind) if c == "kind" else df[c] if c in df.columns and c not in own else none[c]).alias(c) for c in none))
+    half = F.expr("m div 2 div 512 * 512")
+    step = F.when((F.col("start_sample") >= half) | (F.col("start_sample") % 11 == 0), 1).otherwise(0)
+    placed = frames.join(seen, "recording_id").withColumn("step", step)
+    parts = lambda i: row(placed.where(F.col("step") == i), "frame")
+    said = [sources.for_both(row(bounds, "boundary")).unionByName(sources.for_both(row(seen, "heard", end_sample=half))), sources.for_both(row(seen, "end", start_sample=F.col("m")))]
+    names = [c.split()[0] for c in sources.ROWS.split(", ")]
+    steps = []
+    for i in range(2):
+        rows = parts(i).unionByName(said[i]).withColumn("at", F.timestamp_millis(F.lit(1_700_000_000_000 + 1000 * i)))
+        steps.append([rows.where(F.col("source_id") == x) for x in sources.SOURCES])
+    run = lambda a, b: sources.live(sources.both_sources(*(x.drop("source_id").withWatermark("at", "1 second") for x in (a, b))).select(*names))
+    return replay_all(steps, run).where("kind = 'sealed'").select("recording_id", "source_id", "n", "epoch", "start_sample", "end_sample")
+
+
+#: Who speaks between 0 and the last start of a turn, which is how far speakers were observed.
+OBSERVED = f"(SELECT recording_id, max(start_sample) AS upto FROM {T} q GROUP BY 1 HAVING max(start_sample) > 0)"
+ACTIVITY = f"""WITH t AS (SELECT q.recording_id, speaker, greatest(0, start_sample) AS a, least(end_sample, upto) AS z, upto FROM {T} q JOIN {OBSERVED} o ON q.recording_id = o.recording_id WHERE greatest(0, start_sample) < least(end_sample, upto)),
+b AS (SELECT recording_id, a AS edge FROM t UNION SELECT recording_id, z FROM t UNION SELECT recording_id, 0 FROM {OBSERVED} o UNION SELECT recording_id, upto FROM {OBSERVED} o),
+c AS (SELECT recording_id, edge AS a, lead(edge) OVER (PARTITION BY recording_id ORDER BY edge) AS z FROM b),
+w AS (SELECT c.recording_id, c.a, c.z, coalesce(string_agg(DISTINCT t.speaker, ',' ORDER BY t.speaker), '') AS owners FROM c LEFT JOIN t ON t.recording_id = c.recording_id AND t.a <= c.a AND c.z <= t.z WHERE c.z IS NOT NULL GROUP BY 1, 2, 3),
+i AS (SELECT *, sum(CASE WHEN was = owners THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY a) AS n FROM (SELECT *, lag(owners) OVER (PARTITION BY recording_id ORDER BY a) AS was FROM w) x)
+SELECT recording_id, min(a) AS start_sample, max(z) AS end_sample, any_value(owners) AS owners FROM i GROUP BY recording_id, n"""
+
+
+@query("st16_activity", ACTIVITY)
+def _(s, d):
+    t = view(s, d, "turns")
+    return activity.activity_regions(t, t.groupBy("recording_id").agg(F.max("start_sample").alias("end_sample")))
+
+
+@query("st16_live_activity", ACTIVITY)
+def _(s, d):
+    """The turns in two steps, with a mark at the middle in the first: each final region is put out once."""
+    sources.use_rocksdb(s)
+    t = view(s, d, "turns").where("start_sample < end_sample")
+    seen = t.groupBy("recording_id").agg(F.max("start_sample").alias("m")).where("m > 0")
+    turns = t.join(seen, "recording_id").select("recording_id", F.lit("system").alias("source_id"), F.lit("turn").alias("kind"), "speaker", "start_sample", "end_sample", "m")
+    mark = lambda kind, at: seen.select("recording_id", F.lit("system").alias("source_id"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("long").alias("start_sample"), at.cast("long").alias("end_sample"))
+    early = F.col("start_sample") < F.col("m") / 2
+    steps = [turns.where(early).drop("m").unionByName(mark("observed", F.expr("m div 2"))), turns.where(~early).drop("m").unionByName(mark("end", F.col("m")))]
+    found = replay([x.withColumn("at", F.timestamp_millis(F.lit(1_700_000_000_000 + 1000 * i))) for i, x in enumerate(steps)], lambda x: activity.live(x.withWatermark("at", "1 second")))
+    return activity.closed_regions(found).drop("source_id")
+
+
 @query("st8_current_utterances", f"""SELECT u.*, CASE WHEN end_sample < observed AND observed - (end_sample - 3200) >= 8000 THEN 'sealed' ELSE 'open' END AS kind FROM ({UTTERANCES.replace(V, TWO_THIRDS)}) u
 JOIN (SELECT recording_id, max(end_sample) AS observed FROM {TWO_THIRDS} v GROUP BY 1) o USING (recording_id)""".replace("SELECT u.*,", "SELECT u.recording_id, n, start_sample, end_sample,"))
 def _(s, d):
@@ -394,9 +474,38 @@ def _(s, d):
     return library.coalesced_notices(view(s, d, "audio_notices"))
 
 
-@query("st7_late_repairs", f"SELECT recording_id, count(*) AS late, min(start_sample) AS repaired_from FROM {N} q WHERE late GROUP BY recording_id")
+#: Audio packets with the recording's clock when they came; what lies before the tiles written half a second behind it is late.
+PACKETS = f"(SELECT *, (seq + 1) * 250 AS clock_ms, least(frames, greatest(0, greatest(0, (seq + 1) * 250 - 500) * 16 // 4000 * 4000 - start_sample)) AS behind FROM {N} q)"
+
+
+def packets(s: SparkSession, d: str) -> DataFrame:
+    n = view(s, d, "audio_notices").withColumn("clock_ms", (F.col("seq") + 1) * 250)
+    return n.select("recording_id", "source_id", "start_sample", "frames", "clock_ms", F.lit(False).alias("ended"), F.timestamp_millis("clock_ms").alias("at"))
+
+
+REPAIRS = f"SELECT recording_id, count(*) AS late, min(start_sample // 4000 * 4000) AS repaired_from FROM {PACKETS} q WHERE behind > 0 GROUP BY recording_id"
+
+
+@query("st7_late_repairs", REPAIRS)
 def _(s, d):
-    return library.late_repairs(view(s, d, "audio_notices"))
+    return capture.repairs(packets(s, d))
+
+
+@query("st7_silent_tiles", f"""WITH e AS (SELECT recording_id, max(clock_ms) * 16 + 8000 AS upto FROM {PACKETS} q GROUP BY 1), g AS (SELECT recording_id, upto, t * 4000 AS tile, source_id FROM e, LATERAL (SELECT unnest(generate_series(0, (upto - 1) // 4000)) AS t) x, (SELECT unnest(['microphone_clean', 'system']) AS source_id) y),
+c AS (SELECT DISTINCT q.recording_id, q.source_id, q.start_sample AS tile FROM {PACKETS} q WHERE behind = 0)
+SELECT g.recording_id, g.source_id, tile AS start_sample, least(4000, upto - tile) - CASE WHEN c.tile IS NULL THEN 0 ELSE least(4000, upto - tile) END AS samples FROM g LEFT JOIN c USING (recording_id, source_id, tile)""")
+def _(s, d):
+    p = packets(s, d)
+    return capture.tiles(p, p.groupBy("recording_id").agg((F.max("clock_ms") + 500).alias("clock_ms")))
+
+
+@query("st7_live_repairs", REPAIRS)
+def _(s, d):
+    """The packets as a stream in two steps: late ones go to the side output, and the repair point is where it was moved last."""
+    sources.use_rocksdb(s)
+    p = packets(s, d)
+    found = replay([p.where("clock_ms <= 5000"), p.where("clock_ms > 5000")], lambda x: capture.live(x.withWatermark("at", "500 milliseconds")))
+    return found.groupBy("recording_id").agg(F.count(F.when(F.col("kind") == "late", True)).alias("late"), F.min(F.when(F.col("kind") == "repair", F.col("start_sample"))).alias("repaired_from")).where("late > 0")
 
 
 # Voices
@@ -652,7 +761,7 @@ def _(s, d):
 FROM (SELECT q.*, coalesce(end_sample > repaired_from, false) AS hit FROM {S} q LEFT JOIN (SELECT recording_id, min(start_sample) AS repaired_from FROM {N} n WHERE late GROUP BY 1) r ON q.recording_id = r.recording_id) x""")
 def _(s, d):
     p = said_states(s, d).withColumns({"review": F.col("separated"), "unresolved": F.lit(None).cast("string")})
-    found = changes.invalidated(p, library.late_repairs(view(s, d, "audio_notices")))
+    found = changes.invalidated(p, capture.repairs(packets(s, d)))
     return found.select("recording_id", "passage_id", "text", "speaker", "start_sample", "end_sample", "audio_state", "resolution", "detection_reason", "eligible", "audio_revision", "machine_revision", "review", "sealed", "finalized", "unresolved", "state")
 
 
@@ -660,7 +769,63 @@ def _(s, d):
 FROM {R} q LEFT JOIN (SELECT recording_id, min(start_sample) AS place FROM {N} n WHERE late GROUP BY 1) r USING (recording_id)""")
 def _(s, d):
     r = view(s, d, "recordings").select("recording_id", F.col("revision").alias("stream_generation"), F.lit(None).cast("long").alias("context_generation"), F.lit(3).alias("audio_revision"), F.lit(None).cast("long").alias("repaired_from"))
-    return changes.repaired(r, library.late_repairs(view(s, d, "audio_notices")))
+    return changes.repaired(r, capture.repairs(packets(s, d)))
+
+
+#: Refined candidates of every third passage: some of an older text, some protected, some with a wrong revision, and some whose witness (the passage itself in an older version) is gone.
+REFINED = f"""SELECT recording_id, passage_id, CASE WHEN k % 5 = 0 THEN 'context' WHEN protected <> '' THEN 'protected' WHEN k % 7 = 0 THEN 'stale' WHEN NOT sealed OR k % 11 = 0 OR trim(text) = '' THEN 'invalid' ELSE 'published' END AS outcome
+FROM (SELECT *, recording_id + pos AS k FROM {S} q) x WHERE pos % 3 = 0"""
+
+
+def documents_to_refine(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = said_states(s, d).withColumns({"language_generation": F.lit(0), "language_mode": F.lit("auto"), "canonical_state": F.when(F.col("sealed"), "sealed").otherwise("open"), "refinement_state": F.col("state"), "machine_revision": F.col("revision"), "canonical_revision": F.col("revision")})
+    k = F.col("recording_id") + F.col("pos")
+    own = publishing.passage_version()
+    none = F.expr("CAST(array() AS array<struct<passage_id: string, version: string>>)")
+    gone = F.when(k % 5 == 0, F.array(F.struct("passage_id", F.lit("older").alias("version")))).otherwise(none)
+    made = rows.where("pos % 3 = 0").withColumns({"of_version": F.when(k % 7 == 0, "older").otherwise(own), "witnesses": gone})
+    made = made.withColumns({"machine_revision": F.col("machine_revision") + F.when(k % 11 == 0, 2).otherwise(1), "canonical_revision": F.col("canonical_revision") + 1, "text": F.when(F.trim("text") == "", "").otherwise(F.concat("text", F.lit(" (refined)"))), "review_code": F.lit(None).cast("string")})
+    return rows, made.select("recording_id", "passage_id", *publishing.IDENTITY, "text", "machine_revision", "canonical_revision", "review_code", "of_version", "witnesses")
+
+
+@query("e7_j12_refinements", REFINED)
+def _(s, d):
+    return publishing.refinements(*documents_to_refine(s, d))
+
+
+@query("e7_published", f"SELECT q.recording_id, q.passage_id, CASE WHEN outcome = 'published' THEN text || ' (refined)' ELSE text END AS text, revision + CASE WHEN outcome = 'published' THEN 1 ELSE 0 END AS machine_revision FROM {S} q LEFT JOIN ({REFINED}) r ON q.recording_id = r.recording_id AND q.passage_id = r.passage_id")
+def _(s, d):
+    """As a stream in two steps, each row twice: the second time it is stale."""
+    rows, made = documents_to_refine(s, d)
+    home = shared_folder(s)
+    store = Store(s, f"{home}/store")
+    store.begin(rows)
+    for i in range(2):
+        made.where(F.col("recording_id") % 2 <= i).write.mode("append").parquet(f"{home}/candidates")
+        published(s.readStream.schema(made.schema).parquet(f"{home}/candidates"), store, f"{home}/state").awaitTermination()
+    return store.rows().select("recording_id", "passage_id", "text", F.col("machine_revision").cast("long").alias("machine_revision"))
+
+
+@query("e19_imports", f"""SELECT recording_id, passage_id, CASE WHEN recording_id % 4 = 0 THEN 'superseded' WHEN recording_id % 6 = 1 AND max(CASE WHEN pos % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id) = 1 THEN 'context' WHEN pos % 2 = 0 THEN 'kept' ELSE 'inserted' END AS outcome FROM {S} q""")
+def _(s, d):
+    """Rows at even positions are there; every fourth recording has a later checkpoint, and new rows of every sixth borrow from a passage that is gone."""
+    rows, _ = documents_to_refine(s, d)
+    none = F.expr("CAST(array() AS array<struct<passage_id: string, version: string>>)")
+    borrowed = F.when((F.col("recording_id") % 6 == 1) & (F.col("pos") % 2 == 1), F.array(F.struct(F.lit("gone").alias("passage_id"), F.lit("v").alias("version")))).otherwise(none)
+    step = rows.withColumns({"source_sha256": F.lit("s"), "plan_sha256": F.lit("p"), "next_work": F.lit(3), "witnesses": borrowed})
+    at = rows.select("recording_id").distinct().select("recording_id", F.lit("s").alias("source_sha256"), F.lit("p").alias("plan_sha256"), F.when(F.col("recording_id") % 4 == 0, 9).otherwise(2).alias("next_work"))
+    return publishing.imports(rows.where("pos % 2 = 0"), at, step).select("recording_id", "passage_id", "outcome")
+
+
+@query("e22_live_outcomes", f"""SELECT recording_id, passage_id, CASE WHEN recording_id % 5 = 0 THEN 'superseded' WHEN recording_id % 5 = 1 THEN CASE WHEN protected <> '' OR (recording_id + pos) % 4 = 0 THEN 'lost' ELSE 'retry' END WHEN pos % 6 = 5 THEN 'split' WHEN protected <> '' THEN 'sealed' ELSE 'published' END AS outcome FROM {S} q""")
+def _(s, d):
+    """Every fifth recording has another stream generation and the next one another context; passages at every sixth position were split, and candidates are half a second longer."""
+    rows, _ = documents_to_refine(s, d)
+    k = F.col("recording_id") + F.col("pos")
+    made = rows.withColumns({"stream_generation": F.lit(1), "context_generation": F.when(F.col("recording_id") % 2 < 2, 3), "end_sample": F.col("end_sample") + 8000, "capture_source": F.when(k % 4 == 0, "other").otherwise(F.col("capture_source"))})
+    r = rows.select("recording_id").distinct().select("recording_id", F.when(F.col("recording_id") % 5 == 0, 2).otherwise(1).alias("stream_generation"), F.when(F.col("recording_id") % 5 == 1, 4).otherwise(3).alias("context_generation"))
+    voices = rows.where("pos % 6 = 5").withColumn("original", F.col("passage_id")).withColumn("passage_id", F.concat("passage_id", F.lit("-0")))
+    return publishing.live_outcomes(r, rows.withColumn("original", F.lit(None).cast("string")).unionByName(voices), made)
 
 
 @query("s11_j17_upsert", f"""SELECT recording_id, name, revision + 1 AS revision FROM {R} q WHERE recording_id % 2 = 0 UNION ALL SELECT recording_id, name, revision FROM {R} q WHERE recording_id % 3 <> 0 AND recording_id % 2 <> 0""")

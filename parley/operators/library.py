@@ -53,8 +53,3 @@ def coalesced_notices(notices: DataFrame) -> DataFrame:
     goes_on = (F.lag(F.col("start_sample") + F.col("frames")).over(w) == F.col("start_sample")) & (F.lag("language_epoch").over(w) == F.col("language_epoch"))
     part = on_time.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("part", F.sum("new").over(w))
     return part.groupBy("recording_id", "language_epoch", "part").agg(F.min("start_sample").alias("start_sample"), F.max(F.col("start_sample") + F.col("frames")).alias("end_sample"), F.count("*").alias("notices")).drop("part")
-
-
-def late_repairs(notices: DataFrame) -> DataFrame:
-    """Per recording: late notices and the tile from which derived data must be rebuilt."""
-    return notices.where("late").groupBy("recording_id").agg(F.count("*").alias("late"), F.min("start_sample").alias("repaired_from"))
