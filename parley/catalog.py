@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars, signals
-from parley.operators import changes, checks, exports, folds, identity, intervals, language, library, publishing, ranges, reading, recognition, review, speech, transcript, votes
+from parley.operators import changes, checks, exports, folds, identity, intervals, language, library, preparing, publishing, ranges, reading, recognition, review, speech, stitching, transcript, votes
 from parley.sources.fixtures import oracle, view
 from parley.streaming import activity, capture, sources, utterances
 from parley.streaming.publish import Store, published
@@ -968,6 +968,61 @@ def _(s, d):
     return reading.coverage(turns.where("recording_id % 3 <> 0 OR n <> 1"), view(s, d, "passages"))
 
 
+#: A tail of other scripts behind every text; its five units stand at these places behind the text's end.
+TAIL = " 東京、タワー5"
+
+
+@query("f7_mixed_units", f"""SELECT recording_id, passage_id, start_char, end_char, 'whitespace_run' AS unit_kind FROM {WORDS} q
+UNION ALL SELECT recording_id, passage_id, CAST(length(text) + t.a AS INTEGER), CAST(length(text) + t.z AS INTEGER), t.kind FROM {P} p, (SELECT unnest([1, 2, 4, 5, 7]) AS a, unnest([2, 4, 5, 7, 8]) AS z, unnest(['ctc_character', 'ctc_character', 'ctc_character', 'ctc_character', 'whitespace_run']) AS kind) t""")
+def _(s, d):
+    u = view(s, d, "passages").select("recording_id", "passage_id", F.explode(preparing.units(F.concat("text", F.lit(TAIL)))).alias("u"))
+    return u.select("recording_id", "passage_id", "u.start_char", "u.end_char", "u.unit_kind")
+
+
+@query("f8_prepared", r"""WITH p AS (SELECT recording_id, passage_id, CASE WHEN length(text) > 4096 THEN NULL ELSE text END AS t, recording_id % 10 = 0 AS other FROM [P] q),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '\p{P}', '', 'g'), '[^A-Za-z\s]', '', 'g'), '\s+', ' ', 'g') AS said FROM p)
+SELECT recording_id, passage_id, CASE WHEN t IS NULL OR other THEN 'unsupported' WHEN length(said) > 1024 THEN 'too_many' END AS error, CASE WHEN NOT other AND length(said) <= 1024 THEN trim(lower(said)) END AS said,
+CASE WHEN NOT other AND length(said) <= 1024 THEN length(regexp_replace(t, '[\p{P}\sA-Za-z]', '', 'g')) END AS unsupported, CASE WHEN NOT other AND length(said) <= 1024 THEN length(regexp_replace(t, '[^A-Z]', '', 'g')) END AS aliases FROM k""".replace("[P]", P))
+def _(s, d):
+    """Against a vocabulary of a to z; every tenth recording is of a language that isn't supported."""
+    vocabulary = ["<s>", "<pad>", " ", *"abcdefghijklmnopqrstuvwxyz"]
+    language = F.when(F.col("recording_id") % 10 == 0, "sw").otherwise("en")
+    p = view(s, d, "passages").select("recording_id", "passage_id", preparing.preparer(s, vocabulary)(F.col("text"), language).alias("p"))
+    count = lambda c: F.when(F.col("p.error").isNull(), F.size(f"p.{c}"))
+    said = F.array_join(F.transform("p.targets", lambda t: t["text"]), "")
+    return p.select("recording_id", "passage_id", "p.error", said.alias("said"), count("unsupported").alias("unsupported"), count("aliases").alias("aliases"))
+
+
+#: Windows of twelve words, four of them shared. A word takes 10,000 samples of every 12,000; odd windows hear all of it later by up to 5,400 samples.
+STITCHED = rf"""(SELECT recording_id, passage_id, trim(text) AS text, m, greatest(1, (m + 3) // 8) AS n, recording_id % 7 * 900 AS shift FROM (SELECT *, len(regexp_extract_all(text, '\S+')) AS m FROM {P} q) x WHERE m > 0)"""
+
+
+def heard_windows(s: SparkSession, d: str) -> DataFrame:
+    p = view(s, d, "passages").withColumn("units", reading.units(F.col("text"))).withColumn("m", F.size("units")).where("m > 0")
+    each = p.withColumn("n", F.explode(F.sequence(F.lit(0), F.expr("greatest(1, (m + 3) div 8) - 1"))))
+    low, later = F.col("n") * 8, F.when(F.col("n") % 2 == 1, F.col("recording_id") % 7 * 900).otherwise(0)
+    heard = each.withColumns({"later": later, "own": F.slice("units", low + 1, F.lit(12))}).withColumn("begin", F.col("own")[0]["start_char"])
+    start = lambda i: ((F.col("n") * 8 + i) * 12_000 + F.col("later")).cast("long")
+    heard = heard.withColumn("raw", F.expr("substring(text, begin + 1, element_at(own, -1).end_char - begin)"))
+    cells = F.transform("own", lambda u, i: F.struct(F.substring(F.col("text"), u["start_char"] + 1, u["end_char"] - u["start_char"]).alias("token"), start(i).alias("start_sample"), (start(i) + 10_000).alias("end_sample")))
+    words = F.transform("own", lambda u, i: F.struct((u["start_char"] - F.col("begin")).alias("start_char"), (u["end_char"] - F.col("begin")).alias("end_char"), start(i).alias("start_sample"), (start(i) + 10_000).alias("end_sample"), i.alias("first_cell"), (i + 1).alias("end_cell")))
+    return heard.select("recording_id", F.col("passage_id").alias("utterance_id"), "n", (start(F.lit(0)) - 12_000).alias("start_sample"), (start(F.size("own") - 1) + 16_000).alias("end_sample"), start(F.lit(10)).alias("core_end"), F.lit("en").alias("language"), F.lit("d").alias("descriptor"), "raw", cells.alias("cells"), words.alias("words"))
+
+
+@query("j14_seams", f"SELECT recording_id, passage_id AS utterance_id, CAST(k AS INTEGER) AS n, CASE WHEN shift > 4000 THEN 'boundary_mapping_absent' END AS reason FROM {STITCHED} q, LATERAL (SELECT unnest(generate_series(0, n - 2)) AS k) x")
+def _(s, d):
+    return stitching.seams(heard_windows(s, d)).select("recording_id", "utterance_id", "n", "reason")
+
+
+@query("g12_stitched", f"""SELECT recording_id, passage_id AS utterance_id, n = 1 OR shift <= 4000 AS complete, CASE WHEN n = 1 OR shift <= 4000 THEN text END AS text, CASE WHEN n = 1 OR shift <= 4000 THEN m END AS words,
+CASE WHEN n = 1 OR shift <= 4000 THEN m - CASE WHEN shift > 2000 THEN 2 * ((n - 1) // 2) ELSE 0 END END AS timed FROM {STITCHED} q""")
+def _(s, d):
+    """Where an odd window is left by more than 2,000 samples, the words at the seam overlap and lose their times."""
+    found = stitching.stitched(heard_windows(s, d))
+    good = lambda x: F.when(F.col("complete"), x)
+    return found.select("recording_id", "utterance_id", "complete", "text", good(F.size("words")).cast("long").alias("words"), good(F.size(F.filter("words", lambda w: w["start_sample"].isNotNull()))).cast("long").alias("timed"))
+
+
 # Exports
 
 
