@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars, signals
-from parley.operators import changes, checks, exports, folds, identity, intervals, language, library, preparing, publishing, ranges, reading, recognition, review, speech, stitching, transcript, votes
+from parley.operators import changes, checks, documents, exports, folds, identity, intervals, language, library, preparing, publishing, ranges, reading, recognition, review, speech, stitching, transcript, votes
 from parley.sources.fixtures import oracle, view
 from parley.streaming import activity, capture, sources, utterances
 from parley.streaming.publish import Store, published
@@ -1103,6 +1103,61 @@ def _(s, d):
     return exports.cues(exports.rows(now, view(s, d, "doc_speakers"), turns, "srt")).select("recording_id", "cue", "line")
 
 
+#: Passages as the segments of stored documents, with their places; every fifth has no id. Recordings by whether their payload can be taken.
+SEGMENTS = f"(SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY pos) - 1 AS INTEGER) AS k, start_sample / 16000.0 AS a, end_sample / 16000.0 AS z FROM {S} q)"
+TAKEN = "recording_id % 13 <> 0 AND recording_id % 17 <> 1"
+
+
+def stored_documents(s: SparkSession, d: str) -> DataFrame:
+    """A payload a recording: every thirteenth is cut off, and every seventeenth says another id."""
+    second = lambda c: (F.col(c) / F.lit(16000.0)).alias(c.split("_")[0])
+    segment = F.struct("pos", F.when(F.col("pos") % 5 != 4, F.col("passage_id")).alias("id"), second("start_sample"), second("end_sample"), "speaker", "text", F.when(F.col("deleted"), True).alias("deleted"), "revision")
+    rows = view(s, d, "states").groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x.dropFields("pos")).alias("segments"))
+    names = view(s, d, "doc_speakers").groupBy("recording_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", "name")))).alias("speakers"))
+    whole = F.to_json(F.struct(F.when(F.col("recording_id") % 17 == 1, "-1").alias("id"), "speakers", "segments"))
+    return rows.join(names, "recording_id").select("recording_id", F.when(F.col("recording_id") % 13 == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("payload"))
+
+
+@query("s4_rejected_payloads", f"SELECT DISTINCT recording_id, CASE WHEN recording_id % 13 = 0 THEN 'bad_json' ELSE 'other_id' END AS reject FROM {S} q WHERE NOT ({TAKEN})")
+def _(s, d):
+    return documents.rejected(documents.parsed(stored_documents(s, d)))
+
+
+@query("s3_passages", f"SELECT recording_id, k AS pos, CASE WHEN pos % 5 = 4 THEN 'seg-' || CAST(k AS VARCHAR) ELSE passage_id END AS passage_id, a AS start, z AS \"end\", speaker, text, revision FROM {SEGMENTS} q WHERE {TAKEN}")
+def _(s, d):
+    p = documents.passages(documents.accepted(documents.parsed(stored_documents(s, d))))
+    return p.select("recording_id", "pos", "passage_id", "start", "end", "speaker", "text", F.try_variant_get("segment", "$.revision", "long").alias("revision"))
+
+
+@query("s3_speakers", f"SELECT recording_id, speaker, name FROM {NAMES} q WHERE {TAKEN}")
+def _(s, d):
+    return documents.speakers(documents.accepted(documents.parsed(stored_documents(s, d))))
+
+
+@query("p1_document_rules", f"""WITH x AS (SELECT recording_id, k, CASE WHEN a >= z OR z > most - 1 + 0.001 THEN 'segment_bounds' WHEN speaker NOT IN ('speaker_0', 'speaker_1') THEN 'speaker_or_text' END AS rule FROM (SELECT *, max(z) OVER (PARTITION BY recording_id) AS most FROM {SEGMENTS} q WHERE {TAKEN}) y)
+SELECT recording_id, arg_min(rule, k) FILTER (WHERE rule IS NOT NULL) AS rule, min(k) FILTER (WHERE rule IS NOT NULL) AS pos FROM x GROUP BY recording_id""")
+def _(s, d):
+    """Recordings are taken to end a second before their last passage does."""
+    docs = documents.accepted(documents.parsed(stored_documents(s, d)))
+    ends = view(s, d, "states").groupBy("recording_id").agg((F.max("end_sample") / F.lit(16000.0) - 1).alias("duration"))
+    return documents.violations(docs, ends)
+
+
+@query("s10_json", rf"""WITH g AS (SELECT *, '    {{' || chr(10) || concat_ws(',' || chr(10), '      "id": ' || to_json(CASE WHEN pos % 5 = 4 THEN 'seg-' || CAST(k AS VARCHAR) ELSE passage_id END), '      "start": ' || CAST(a AS VARCHAR), '      "end": ' || CAST(z AS VARCHAR), '      "speaker": ' || to_json(speaker), '      "text": ' || to_json(text), '      "revision": ' || CAST(revision AS VARCHAR)) || chr(10) || '    }}' AS body FROM {SEGMENTS} q WHERE {TAKEN}),
+l AS (SELECT recording_id, string_agg(body, ',' || chr(10) ORDER BY a, z, k) FILTER (WHERE NOT deleted) AS body FROM g GROUP BY recording_id), n AS (SELECT recording_id, string_agg('    ' || to_json(speaker) || ': ' || to_json(name), ',' || chr(10) ORDER BY speaker) AS body FROM {NAMES} q GROUP BY recording_id)
+SELECT recording_id, '{{' || chr(10) || '  "speakers": {{' || chr(10) || n.body || chr(10) || '  }},' || chr(10) || '  "segments": [' || CASE WHEN l.body IS NULL THEN '' ELSE chr(10) || l.body || chr(10) || '  ' END || '],' || chr(10) || '  "schema_version": 1' || chr(10) || '}}' || chr(10) AS body, true AS allowed FROM l JOIN n USING (recording_id)""")
+def _(s, d):
+    p = stored_documents(s, d)
+    good = documents.accepted(documents.parsed(p)).select("recording_id")
+    return documents.as_json(p.join(good, "recording_id", "left_semi"))
+
+
+@query("s2_metadata", f"SELECT recording_id, 'Recording ' || CAST(recording_id AS VARCHAR) AS name, 'ready' AS status, bool_or(trim(text) <> '') AS refinable FROM {S} q WHERE {TAKEN} AND recording_id IN (3, 7, 11, 26) GROUP BY recording_id")
+def _(s, d):
+    docs = documents.accepted(documents.parsed(stored_documents(s, d))).select("recording_id", F.concat(F.lit("Recording "), F.col("recording_id").cast("string")).alias("name"), F.lit("ready").alias("status"), "document", F.lit("private").alias("extra"))
+    return documents.lookup(docs, [3, 7, 11, 26], metadata=True).where("document IS NULL AND extra IS NULL").select("recording_id", "name", "status", "refinable")
+
+
 @query("p30_held_turns", f"SELECT recording_id, passage_id, n, speaker, text FROM {HELD} q")
 def _(s, d):
     return held_turns(s, d)[0].select("recording_id", "passage_id", "n", "speaker", "text")
