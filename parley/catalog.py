@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars, signals
-from parley.operators import changes, checks, documents, exports, folds, identity, intervals, language, library, preparing, publishing, ranges, reading, recognition, review, speech, stitching, transcript, votes
+from parley.operators import admissions, changes, checks, documents, exports, folds, identity, intervals, language, library, preparing, publishing, ranges, reading, recognition, review, speech, stitching, transcript, voices, votes
 from parley.sources.fixtures import oracle, view
 from parley.streaming import activity, capture, sources, utterances
 from parley.streaming.publish import Store, published
@@ -257,6 +257,20 @@ def _(s, d):
     return activity.closed_regions(found).drop("source_id")
 
 
+@query("a3_merged_evidence", f"""WITH s AS (SELECT q.recording_id, q.start_sample, q.start_sample + 512 AS stop, q.p100, CASE WHEN speaking THEN 'speech' WHEN f.observed THEN 'negative' ELSE 'uncertain' END AS kind, f.observed FROM {STATE} q JOIN {V} f ON q.recording_id = f.recording_id AND q.start_sample = f.start_sample),
+i AS (SELECT *, sum(CASE WHEN was = kind THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY start_sample) AS n FROM (SELECT *, lag(kind) OVER (PARTITION BY recording_id ORDER BY start_sample) AS was FROM s) x),
+r AS (SELECT recording_id, kind, min(start_sample) AS a, max(stop) AS z FROM i GROUP BY recording_id, kind, n)
+SELECT h.*, t.speech, t.regions FROM (SELECT recording_id, min(start_sample) AS start_sample, max(stop) AS end_sample, max(p100) AS maximum, max(CASE WHEN observed THEN p100 END) AS model_maximum FROM s GROUP BY 1) h
+JOIN (SELECT recording_id, coalesce(string_agg(CASE WHEN kind = 'speech' THEN CAST(a AS VARCHAR) || '-' || CAST(z AS VARCHAR) END, ',' ORDER BY a), '') AS speech, count(*) AS regions FROM r GROUP BY 1) t USING (recording_id)""")
+def _(s, d):
+    """Parts of 7,000 samples, merged in two levels."""
+    small = admissions.parts(view(s, d, "vad_frames").withColumn("policy", F.lit("a")), 7_000)
+    found = admissions.merge(admissions.merge(small.withColumn("branch", F.floor(F.col("start_sample") / 50_000)), ["branch"]))
+    spans = F.array_join(F.transform("speech", lambda x: F.concat_ws("-", x["low"], x["high"])), ",")
+    regions = (F.size("speech") + F.size("negative") + F.size("uncertain")).cast("long")
+    return found.where("complete").select("recording_id", "start_sample", "end_sample", "maximum", "model_maximum", spans.alias("speech"), regions.alias("regions"))
+
+
 @query("st8_current_utterances", f"""SELECT u.*, CASE WHEN end_sample < observed AND observed - (end_sample - 3200) >= 8000 THEN 'sealed' ELSE 'open' END AS kind FROM ({UTTERANCES.replace(V, TWO_THIRDS)}) u
 JOIN (SELECT recording_id, max(end_sample) AS observed FROM {TWO_THIRDS} v GROUP BY 1) o USING (recording_id)""".replace("SELECT u.*,", "SELECT u.recording_id, n, start_sample, end_sample,"))
 def _(s, d):
@@ -1023,6 +1037,48 @@ def _(s, d):
     return found.select("recording_id", "utterance_id", "complete", "text", good(F.size("words")).cast("long").alias("words"), good(F.size(F.filter("words", lambda w: w["start_sample"].isNotNull()))).cast("long").alias("timed"))
 
 
+#: Thirds of a passage as regions of activity: nobody is heard in the middle one of every second passage, and somebody else in the last one of every seventh.
+SOLO = f"""(WITH q AS (SELECT *, recording_id * 7 + pos * 3 AS k, start_sample + (end_sample - start_sample) // 3 AS c1, start_sample + 2 * (end_sample - start_sample) // 3 AS c2 FROM {S} z),
+g AS (SELECT * FROM q WHERE NOT separated AND audio_state IS NULL AND sealed AND finalized AND speaker IN ('speaker_0', 'unassigned') AND protected <> 'speaker,start' AND k % 7 <> 0)
+SELECT recording_id, passage_id, start_sample, CASE WHEN k % 2 = 0 THEN c1 ELSE end_sample END AS end_sample FROM g UNION ALL SELECT recording_id, passage_id, c2, end_sample FROM g WHERE k % 2 = 0)"""
+
+
+def observed_passages(s: SparkSession, d: str) -> DataFrame:
+    k, low, size = F.col("recording_id") * 7 + F.col("pos") * 3, F.col("start_sample"), F.col("end_sample") - F.col("start_sample")
+    third = lambda n: low + F.floor(n * size / 3)
+    own, none = F.array(F.lit("speaker_0")), F.array().cast("array<string>")
+    part = lambda a, z, who: F.struct(a.alias("start_sample"), z.alias("end_sample"), who.alias("speakers"))
+    regions = F.array(part(low, third(1), own), part(third(1), third(2), F.when(k % 2 == 0, none).otherwise(own)), part(third(2), F.col("end_sample"), F.when(k % 7 == 0, F.array(F.lit("speaker_1"))).otherwise(own)))
+    return said_states(s, d).withColumns({"track": F.lit("speaker_0"), "canonical_state": F.when(F.col("sealed"), "sealed").otherwise("open"), "unresolved": F.lit(None).cast("string"), "candidates": own, "source_candidates": own, "activity_revision": F.lit(1), "observed_end": F.col("end_sample"), "regions": regions})
+
+
+@query("g9_solo_ranges", f"SELECT recording_id, passage_id, start_sample, end_sample FROM {SOLO} q")
+def _(s, d):
+    return voices.solo_ranges(observed_passages(s, d)).select("recording_id", "passage_id", "start_sample", "end_sample")
+
+
+@query("v2_clip_choices", f"""SELECT recording_id, passage_id, CASE WHEN a = low AND z = high THEN passage_id ELSE passage_id || '@' || CAST(a AS VARCHAR) || ':' || CAST(z AS VARCHAR) END AS clip_id, a AS start_sample, z AS end_sample FROM
+(SELECT q.*, p.start_sample AS low, p.end_sample AS high, q.start_sample + n * 96000 AS a, CASE WHEN q.end_sample - q.start_sample > 160000 THEN least(q.end_sample, q.start_sample + n * 96000 + 96000) ELSE q.end_sample END AS z
+FROM {SOLO} q JOIN {S} p ON q.recording_id = p.recording_id AND q.passage_id = p.passage_id, LATERAL (SELECT unnest(generate_series(0, CASE WHEN q.end_sample - q.start_sample > 160000 THEN (q.end_sample - q.start_sample - 32000) // 96000 ELSE 0 END)) AS n) x WHERE q.end_sample - q.start_sample >= 32000) y""")
+def _(s, d):
+    p = observed_passages(s, d)
+    return voices.clip_choices(voices.solo_ranges(p), p).drop("track")
+
+
+@query("v11_v16_channel_matches", f"""WITH c AS (SELECT clip_id // 50 AS recording_id, CAST(clip_id // 2 % 25 AS VARCHAR) AS episode, CAST(clip_id % 2 AS INTEGER) AS channel, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM {CLIPS} q),
+r AS (SELECT clip_id // 50 AS recording_id, CAST(clip_id AS VARCHAR) AS target, CASE WHEN clip_id % 3 = 0 THEN 'p:' || person_id ELSE 't:' || CAST(clip_id AS VARCHAR) END AS identity, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM {CLIPS} q WHERE clip_id % 5 = 0),
+s AS (SELECT c.recording_id, episode, channel, target, identity, greatest(-1.0, least(1.0, list_dot_product(c.v, r.v) / sqrt(list_dot_product(c.v, c.v)) / sqrt(list_dot_product(r.v, r.v)))) AS score FROM c JOIN r ON c.recording_id = r.recording_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY recording_id, episode, channel ORDER BY score DESC, target) AS n, first_value(identity) OVER (PARTITION BY recording_id, episode, channel ORDER BY score DESC, target) AS best FROM s),
+t AS (SELECT recording_id, episode, channel, max(CASE WHEN n = 1 THEN target END) AS target, max(best) AS identity, max(CASE WHEN n = 1 THEN score END) AS score, max(CASE WHEN n = 1 THEN score END) - coalesce(max(CASE WHEN identity <> best THEN score END), 0.0) AS margin FROM k GROUP BY 1, 2, 3)
+SELECT recording_id, episode, channel, target, round(score, 6) AS score, round(margin, 6) AS margin FROM (SELECT *, count(*) OVER (PARTITION BY recording_id, episode, identity) AS same FROM t WHERE score >= 0.3 AND margin >= 0.02) x WHERE same = 1""")
+def _(s, d):
+    """Fifty clips a recording: neighbours are the two channels of an episode, and every fifth is a reference too."""
+    clips = view(s, d, "clips").withColumn("recording_id", F.expr("clip_id div 50"))
+    channels = clips.select("recording_id", F.expr("clip_id div 2 % 25").cast("string").alias("episode"), (F.col("clip_id") % 2).cast("int").alias("channel"), F.col("embedding").alias("vector"))
+    known = clips.where("clip_id % 5 = 0").select("recording_id", F.col("clip_id").cast("string").alias("target"), F.when(F.col("clip_id") % 3 == 0, F.col("person_id")).alias("person_id"), F.col("embedding").alias("centroid"))
+    return voices.channel_matches(channels, known, 0.3, 0.02).withColumns({c: F.round(c, 6) for c in ("score", "margin")})
+
+
 # Exports
 
 
