@@ -453,7 +453,7 @@ def _(s, d):
     return library.status_counts(view(s, d, "recordings"))
 
 
-@query("w18_day_groups", f"SELECT recording_id, CAST(created AS DATE) AS day, NOT coalesce(lag(CAST(created AS DATE)) OVER (PARTITION BY date_trunc('month', created) ORDER BY CAST(created AS DATE) DESC, recording_id DESC) = CAST(created AS DATE), false) AS heading FROM {R} q")
+@query("w18_day_groups", f"SELECT recording_id, CAST(created AS DATE) AS day, NOT coalesce(lag(CAST(created AS DATE)) OVER (ORDER BY CAST(created AS DATE) DESC, recording_id DESC) = CAST(created AS DATE), false) AS heading FROM {R} q")
 def _(s, d):
     return library.day_groups(view(s, d, "recordings"))
 

@@ -16,10 +16,10 @@ def status_counts(recordings: DataFrame) -> DataFrame:
 
 
 def day_groups(recordings: DataFrame) -> DataFrame:
-    """Whether a recording starts a new day in the list, newest first."""
-    day = F.to_date("created")
-    w = Window.partitionBy(F.date_trunc("month", F.col("created").cast("timestamp"))).orderBy(F.desc("day"), F.desc("recording_id"))
-    return recordings.select("recording_id", "created", day.alias("day")).withColumn("heading", ~F.coalesce(F.lag("day").over(w) == F.col("day"), F.lit(False))).select("recording_id", "day", "heading")
+    """Whether a recording starts a new day in the list, newest first: it is the last one of its day."""
+    dated = recordings.select("recording_id", F.to_date("created").alias("day"))
+    last = dated.groupBy("day").agg(F.max("recording_id").alias("_last"))
+    return dated.join(last, dated["day"].eqNullSafe(last["day"])).select("recording_id", dated["day"], (F.col("recording_id") == F.col("_last")).alias("heading"))
 
 
 def name_search(recordings: DataFrame, words: str) -> DataFrame:

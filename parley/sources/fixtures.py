@@ -33,7 +33,7 @@ SELECT recording_id, doc_id AS probe_id, CAST(ROW_NUMBER() OVER (PARTITION BY re
 SELECT vec_id AS clip_id, concat('person_', CAST(label AS STRING)) AS person_id, concat('t', CAST(label AS STRING), '_', CAST(vec_id % 3 AS STRING)) AS track_id,
   vec_id % 4 = 0 AS enrolled, CASE WHEN label % 7 = 0 THEN 'model_old' ELSE 'model_a' END AS model_id, embedding FROM [embeddings]""",
     "edits": """
-SELECT event_id AS edit_id, user_id % 100 AS recording_id, event_id % 8 AS pos,
+SELECT event_id AS edit_id, user_id AS recording_id, event_id % 8 AS pos,
   CASE event_type WHEN 'click' THEN 'text' WHEN 'view' THEN 'speaker' WHEN 'purchase' THEN 'start' WHEN 'signup' THEN 'end' ELSE 'machine' END AS field,
   CAST(event_id % 4 AS BIGINT) AS given_revision FROM [events]""",
     "recordings": """
