@@ -1,12 +1,13 @@
 """Near-duplicate vectors with a robust-pruned flat graph built on overlapping shards.
 
-Distinct vectors go to their two nearest of a bounded number of centres; a
+Distinct vectors go to their two nearest of a bounded number of centres (to
+more, if too few links are found); a
 centre's vectors are cut into blocks of bounded size. Each block builds a
 pruned neighbour graph; adjacency lists of all blocks are united. Then pairs
 of blocks of one centre are searched: a greedy beam search from the medoid
 finds a query's surroundings, and while hits are in range their neighbours are
-expanded. Hits are exact cosines in double precision. A pair seen under both
-its centres counts at the smaller one, so links are summed without ever
+expanded. Hits are exact cosines in double precision. A pair seen under several
+centres counts at the smallest one, so links are summed without ever
 writing pairs out; for components a block pair emits a star per local group.
 """
 
@@ -26,6 +27,8 @@ THRESHOLD = 0.9
 SAMPLE, PER_CENTRE, FEWEST, MOST = 20_000, 1_000, 4, 1024
 #: Vectors in a block (bound of a task's work: two blocks).
 BLOCK = 2_000
+#: Centres that a vector goes to at first.
+NEAR = 2
 #: Out-edges, pruning factor, candidates for pruning, beam of the search.
 DEGREE, ALPHA, CANDIDATES, BEAM = 24, 1.2, 64, 32
 RECALL = 0.9
@@ -154,34 +157,42 @@ def _local_components(links: np.ndarray) -> np.ndarray:
     return label
 
 
-def _assign(vectors: DataFrame, c: np.ndarray) -> DataFrame:
-    """(node, dim, embedding, c0, c1): the nearest and second nearest centre; other lengths get centre 0 only."""
+def _assign(vectors: DataFrame, c: np.ndarray, near: int) -> DataFrame:
+    """(node, dim, embedding, cs): the ``near`` nearest centres; other lengths get centre 0 only."""
     sent = vectors.sparkSession.sparkContext.broadcast(c)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = sent.value
         for b in batches:
-            first, second = np.zeros(len(b), np.int64), np.full(len(b), -1, np.int64)
+            cs = [[0]] * len(b)
             fits = np.flatnonzero((b["dim"] == c.shape[1]).to_numpy())
             if len(fits):
-                s = _unit(b["embedding"].iloc[fits]) @ c.T
-                order = np.argsort(-s, axis=1, kind="stable")
-                first[fits] = order[:, 0]
-                if c.shape[0] > 1:
-                    second[fits] = order[:, 1]
-            yield b.assign(c0=first, c1=second)
+                order = np.argsort(-(_unit(b["embedding"].iloc[fits]) @ c.T), axis=1, kind="stable")[:, :near]
+                for i, own in zip(fits, order.tolist(), strict=True):
+                    cs[i] = own
+            yield b.assign(cs=cs)
 
     kinds = ", ".join(f"{n} {k}" for n, k in vectors.dtypes)
-    return vectors.mapInPandas(run, f"{kinds}, c0 long, c1 long")
+    return vectors.mapInPandas(run, f"{kinds}, cs array<long>")
 
 
-def search(vectors: DataFrame, threshold: float, beam: int, c: np.ndarray) -> DataFrame:
+def met_before(cs, centre: int) -> np.ndarray:
+    """Which pairs share a centre with a smaller number than this one."""
+    before = [[x for x in own if x < centre] for own in cs]
+    names = {x: i for i, x in enumerate(sorted({x for own in before for x in own}))}
+    belongs = np.zeros((len(before), max(1, len(names))), dtype=np.float32)
+    for i, own in enumerate(before):
+        belongs[i, [names[x] for x in own]] = 1
+    return belongs @ belongs.T > 0
+
+
+def search(vectors: DataFrame, threshold: float, beam: int, c: np.ndarray, near: int = 2) -> DataFrame:
     """(node, links, root) rows, several for a node: links to sum up and local component roots to connect.
 
     ``vectors``: node, copies, dim, embedding; each embedding once.
     """
-    assigned = stored(_assign(vectors, c))
-    member = assigned.withColumn("centre", F.explode(F.array_distinct(F.filter(F.array("c0", "c1"), lambda x: x >= 0))))
+    assigned = stored(_assign(vectors, c, near))
+    member = assigned.withColumn("centre", F.explode("cs"))
     # Blocks of bounded size: the number of a centre's blocks follows its count; at most MOST + rare lengths rows.
     size = member.groupBy("dim", "centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     member = stored(member.join(size, ["dim", "centre"]).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "node"), "blocks")))
@@ -194,7 +205,7 @@ def search(vectors: DataFrame, threshold: float, beam: int, c: np.ndarray) -> Da
     lists = member.select("dim", "centre", "block", "node", "embedding").groupBy("dim", "centre", "block").applyInPandas(build, "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
-    tasks = member.join(united, "node").withColumn("pair", F.explode(pairs)).select("node", "copies", "embedding", "c0", "c1", "near", "block", "dim", "centre", "pair.low", "pair.high")
+    tasks = member.join(united, "node").withColumn("pair", F.explode(pairs)).select("node", "copies", "embedding", "cs", "near", "block", "dim", "centre", "pair.low", "pair.high")
 
     def find(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("node", kind="stable")
@@ -213,15 +224,11 @@ def search(vectors: DataFrame, threshold: float, beam: int, c: np.ndarray) -> Da
         hits = np.concatenate([range_search(v, adjacency, v[at : at + 512], threshold, beam) for at in range(0, len(v), 512)])
         hits |= hits.T
         np.fill_diagonal(hits, False)
-        # A pair of blocks counts pairs between them; a block with itself those inside. A pair with two common
-        # centres counts at the smaller one.
+        # A pair of blocks counts pairs between them; a block with itself those inside. A pair with several common
+        # centres counts at the smallest one.
         if key[2] != key[3]:
             hits &= block[:, None] != block[None, :]
-        c0, c1 = b["c0"].to_numpy(), b["c1"].to_numpy()
-        low = np.where(c1 >= 0, np.minimum(c0, c1), c0)
-        other = key[1] != low
-        earlier = (low[:, None] == low[None, :]) & other[:, None] & other[None, :]
-        hits &= ~earlier
+        hits &= ~met_before(b["cs"], key[1])
         root = _local_components(hits)
         return pd.DataFrame({"node": nodes, "links": hits @ copies, "root": nodes[root]}).query("links > 0")
 
@@ -229,9 +236,8 @@ def search(vectors: DataFrame, threshold: float, beam: int, c: np.ndarray) -> Da
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> float:
-    """Links found over links there are, for the nodes whose smallest id (or number, for other ids) is divisible by 100, compared with all rows in blocks."""
-    number = F.coalesce(F.expr("try_cast(low_id AS bigint)"), F.col("node"))
-    picked = stored(vectors.where(F.pmod(number, F.lit(100)) == 0).select(F.col("node").alias("q"), F.col("dim").alias("qdim"), F.col("embedding").alias("qv")))
+    """Links found over links there are, for the nodes that hold an id divisible by 100 (``asked``), compared with all rows in blocks."""
+    picked = stored(vectors.where("asked").select(F.col("node").alias("q"), F.col("dim").alias("qdim"), F.col("embedding").alias("qv")))
     # The stated query set against all rows: each chunk of queries meets each block of rows once; both are bounded.
     chunks, parts = (max(1, -(-n // size)) for n, size in ((picked.count(), QUERIES), (vectors.count(), ROWS)))
     rows = vectors.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -259,21 +265,24 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, id_col: st
     null, empty, zero or hold null or non-finite components link with nothing,
     nor do vectors of different lengths. recall is the audited share of links
     found (a constant column); below RECALL the search runs again with a beam
-    four times as wide, twice at most, and then an error is raised. Repeated
+    four times as wide and four times as many centres a vector, twice at most,
+    and then an error is raised. Repeated
     ids and rows without an id count as rows of their own; the component_id of
     a component without any id is null. An empty table gives an empty result.
     """
     rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"))
     good = rows.where(usable(F.col("embedding")))
-    distinct = good.groupBy("embedding").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("copies"))
+    # Ids that are no numbers can't be divisible: then a hash of the id decides.
+    number = F.coalesce(F.col("vec_id").cast("string").try_cast("bigint"), F.xxhash64("vec_id"))
+    distinct = good.groupBy("embedding").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("copies"), F.bool_or(F.pmod(number, F.lit(100)) == 0).alias("asked"))
     nodes = stored(distinct.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("embedding")}))
     common = nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     alone = lambda x: x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if common is None:
         return alone(rows).select("vec_id", "n_links", "component_id", F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     c = centres(nodes.where(F.col("dim") == common["dim"]), int(min(MOST, max(FEWEST, common["n"] // PER_CENTRE))))
-    for beam in (BEAM, 4 * BEAM, 16 * BEAM):
-        found = stored(search(nodes.select("node", "copies", "dim", "embedding"), threshold, beam, c))
+    for wider in (1, 4, 16):
+        found = stored(search(nodes.select("node", "copies", "dim", "embedding"), threshold, wider * BEAM, c, wider * NEAR))
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         recall = audit(nodes, links, threshold)
         if recall >= RECALL:

@@ -41,3 +41,16 @@ def test_every_row_comes_back(spark):
     assert vectors.near_vectors(d.limit(0)).count() == 0
     named = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.1])], "vec_id string, embedding array<double>")
     assert {(x.vec_id, x.component_id) for x in vectors.near_vectors(named).collect()} == {("a", "a"), ("b", "a")}
+
+
+def test_every_row_with_such_an_id_is_asked(spark):
+    """Each id divisible by 100 has a copy with a smaller id and a neighbour: the audit must miss their links when none was found."""
+    rows = []
+    for k in range(1, 10):
+        v = [float(k), 1.0, -1.0]
+        rows += [(k * 100, v), (k * 100 - 50, v), (k * 100 + 1, [float(k), 1.01, -1.0])]
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert all(r.n_links >= 2 for r in found.collect())
+    nodes = spark.createDataFrame([(i, len(v), v, 1, i % 2 == 0) for i, (_, v) in enumerate(rows[::3])], "node long, dim int, embedding array<float>, copies long, asked boolean")
+    assert vectors.audit(nodes, nodes.limit(0).select("node", vectors.F.lit(0).alias("links"))) == 0.0
+    assert vectors.audit(nodes.withColumn("asked", vectors.F.lit(False)), nodes.limit(0).select("node", vectors.F.lit(0).alias("links"))) == 1.0
