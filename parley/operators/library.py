@@ -18,8 +18,8 @@ def status_counts(recordings: DataFrame) -> DataFrame:
 def day_groups(recordings: DataFrame) -> DataFrame:
     """Whether a recording starts a new day in the list, newest first: it is the last one of its day."""
     dated = recordings.select("recording_id", F.to_date("created").alias("day"))
-    last = dated.groupBy("day").agg(F.max("recording_id").alias("_last"))
-    return dated.join(last, dated["day"].eqNullSafe(last["day"])).select("recording_id", dated["day"], (F.col("recording_id") == F.col("_last")).alias("heading"))
+    last = dated.groupBy(F.col("day").alias("_day")).agg(F.max("recording_id").alias("_last"))
+    return dated.join(last, F.col("day").eqNullSafe(F.col("_day"))).select("recording_id", "day", (F.col("recording_id") == F.col("_last")).alias("heading"))
 
 
 def name_search(recordings: DataFrame, words: str) -> DataFrame:
