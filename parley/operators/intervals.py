@@ -59,7 +59,8 @@ def islands(spans: DataFrame, gap: int = 0) -> DataFrame:
     """Unions of spans that overlap or lie at most ``gap`` samples apart."""
     w = Window.partitionBy(KEY).orderBy("start_sample", "end_sample")
     reach = F.max("end_sample").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # by range: equal spans get one number, in whatever order they come
+    island = F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     marked = spans.withColumn("new", F.when(F.col("start_sample") <= reach + gap, 0).otherwise(1)).withColumn("island", island)
     return marked.groupBy(KEY, "island").agg(F.min("start_sample").alias("start_sample"), F.max("end_sample").alias("end_sample")).drop("island")
 

@@ -17,6 +17,13 @@ def test_crops_reach_half_way_to_neighbours_and_bounds(spark):
     assert got == {(1, 1600): (800, 19520), (1, 64000): (60480, 83520), (2, 2000): (1000, 13520), (3, 2000): (1000, 19500)}
 
 
+def test_equal_spans_make_one_island(spark):
+    """Both copies of a span belong to the island that the first of them begins, never to the one before."""
+    rows = [(r, *x) for r in range(50) for x in [(0, 100), (200, 300), (200, 300), (200, 300), (250, 400)]]
+    got = sorted(tuple(x) for x in intervals.islands(spark.createDataFrame(rows, SPAN).repartition(7)).collect())
+    assert got == [(r, *x) for r in range(50) for x in [(0, 100), (200, 400)]]
+
+
 def test_ids_of_uncovered_audio_count_all_ids(spark):
     p = spark.createDataFrame([(1, "a", 16000, 32000), (1, "unassigned-3", 32000, 40000), (1, "unassigned-3-gap", 40000, 48000)], "recording_id long, passage_id string, start_sample long, end_sample long")
     d = spark.createDataFrame([(1, 64000)], "recording_id long, duration long")
