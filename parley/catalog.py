@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -854,13 +855,21 @@ def _(s, d):
     return changes.grown(r, r.where("recording_id % 2 = 0").withColumn("duration_s", F.col("duration_s") + F.col("recording_id") % 7 - 3))
 
 
-@query("s13_capped_batch", f"SELECT 1 AS batch, recording_id, kind FROM {R} q WHERE status = 'ready'")
+@query("s13_capped_batch", f"""WITH r AS {R}, b AS (SELECT recording_id, kind FROM r WHERE status = 'ready'),
+a AS (SELECT count(*) FILTER (WHERE status = 'recording') AS busy, count(*) FILTER (WHERE status = 'recording' AND kind = 'meeting') AS meetings, count(*) FILTER (WHERE status = 'ready') AS more, count(*) * 2 // 5 AS most FROM r),
+k AS (SELECT 1 AS batch, * FROM b UNION ALL SELECT 2, * FROM b UNION ALL SELECT CASE kind WHEN 'meeting' THEN 3 ELSE 4 END, * FROM b),
+g AS (SELECT batch, count(*) AS n FROM k GROUP BY batch)
+SELECT batch, recording_id, kind FROM k JOIN g USING (batch) CROSS JOIN a WHERE n + CASE WHEN batch <= 2 THEN busy ELSE meetings END <= CASE batch WHEN 1 THEN busy + more WHEN 2 THEN busy + more - 1 ELSE most END""")
 def _(s, d):
-    """The same rows as two batches: the first takes the last free place, the second finds one too few and is refused whole."""
+    """All ready rows as two batches: the first takes the last free place, the second finds one too few and is refused whole. And one batch a kind, against the meetings under way and two fifths of all."""
     r = view(s, d, "recordings")
-    active, batch = r.where("status = 'recording'"), r.where("status = 'ready'").select("recording_id", "kind")
-    room = active.count() + batch.count()
-    return changes.within_limit(active, batch.select(F.lit(1).alias("batch"), "*"), room).unionByName(changes.within_limit(active, batch.select(F.lit(2).alias("batch"), "*"), room - 1))
+    active, ready = r.where("status = 'recording'"), r.where("status = 'ready'").select("recording_id", "kind")
+    room = active.count() + ready.count()
+    meetings, most = active.where("kind = 'meeting'"), r.count() * 2 // 5
+    batch = lambda n, rows: rows.select(F.lit(n).alias("batch"), "*")
+    taken = [changes.within_limit(active, batch(1, ready), room), changes.within_limit(active, batch(2, ready), room - 1)]
+    taken += [changes.within_limit(meetings, batch(n, ready.where(own)), most) for n, own in ((3, "kind = 'meeting'"), (4, "kind <> 'meeting'"))]
+    return reduce(DataFrame.unionByName, taken)
 
 
 @query("e15_dismissed", f"SELECT recording_id, string_agg(CAST(edit_id AS VARCHAR), ',' ORDER BY edit_id) AS ids, count(*) AS n FROM (SELECT * FROM {E} q QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY edit_id DESC) <= 256) x GROUP BY recording_id")

@@ -1,5 +1,10 @@
 """Changes of passages with literal rows."""
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from parley import catalog
 from parley.operators import changes
 
 ROW = "recording_id long, passage_id string, start_sample long, end_sample long, capture_source string, audio_revision int, language_epoch int, language_mode string, stream_generation int, speaker_candidates string, language string, protected string, detection_mode string, detection_reason string, speaker string, text string"
@@ -33,3 +38,17 @@ def test_batches_are_whole(spark):
     jobs = lambda n: spark.createDataFrame([(i, "ab"[i % 2]) for i in range(n)], "recording_id long, kind string")
     for now, more, most, taken in ((3, 2, 5, 2), (3, 3, 5, 0), (0, 6, 5, 0), (5, 1, 5, 0), (5, 0, 5, 0), (0, 5, 5, 5)):
         assert changes.within_limit(jobs(now), jobs(more), most).count() == taken
+
+
+@pytest.mark.parametrize(("busy", "taken"), [(2, [1, 3, 4]), (3, [1, 4])])
+def test_the_query_and_its_sql_judge_each_batch(spark, tmp_path, busy, taken):
+    """Ten recordings, so four places: two ready meetings beside two under way still fit, beside three they don't; one import does. The second of the whole batches never fits."""
+    states = ["O"] * busy + ["F"] * 2 + ["P"] * (7 - busy)
+    rows = [(2 * i, s) for i, s in enumerate(states)] + [(21, "F")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string").withColumns({"o_orderdate": F.lit(None).cast("timestamp"), "o_totalprice": F.lit(100.0)})
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["s13_capped_batch"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted({r[0] for r in got}) == taken
+    assert got == sorted(con.execute(catalog.oracle_sql()["s13_capped_batch"]).fetchall())
