@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,13 @@ def test_a_missing_window(spark):
     u = next(x for x in (heard(r, 1, 0) for _ in range(50)) if len(x) > 2)
     got = stitching.stitched(spark.createDataFrame(u[:1] + u[2:], SCHEMA)).collect()[0]
     assert (got.complete, got.reason, got.text) == (False, "missing_context", None)
+
+
+def test_results_are_made_in_bounded_parts():
+    """A batch of many texts is turned into results a part at a time, in order and without loss; null texts count nothing."""
+    texts = pd.Series(["x" * 1000, None] * 500 + ["y" * (2 * preparing.AT_ONCE)])
+    parts = list(preparing.in_parts(texts, pd.Series(range(1001))))
+    assert len(parts) > 7
+    assert [i for _, n in parts for i in n] == list(range(1001))
+    assert all(t.str.len().sum() <= preparing.AT_ONCE + 1000 for t, _ in parts[:-1])
+    assert sum(len(t) for (t,) in preparing.in_parts(pd.Series([None, None], dtype=object))) == 2
