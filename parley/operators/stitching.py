@@ -26,7 +26,8 @@ def places(run: str, cells: str) -> Column:
     """Where in ``cells`` (from 0) a run of cells is found."""
     b = f"slice({cells}, i + 1, size({run}))"
     inner = ALIKE.format(a=run, b=b, both=f"zip_with({run}, {b}, (x, y) -> named_struct('a', x, 'b', y))")
-    return F.expr(f"CASE WHEN size({cells}) >= size({run}) THEN filter(sequence(0, size({cells}) - size({run})), i -> {inner}) ELSE array() END")
+    # the first token rules out most places before anything is cut out
+    return F.expr(f"CASE WHEN size({cells}) >= size({run}) THEN filter(sequence(0, size({cells}) - size({run})), i -> get({cells}, i).token = get({run}, 0).token AND {inner}) ELSE array() END")
 
 
 def seams(windows: DataFrame) -> DataFrame:
