@@ -6,21 +6,35 @@ Words and regions come as arrays in the passage's row (a passage has at most
 
 from __future__ import annotations
 
+import re
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = "recording_id"
 #: No other speaker may be heard this close to a word (0.25 s), in samples.
 MARGIN = 4_000
+#: A run of characters that aren't white space by Unicode; Python's \s takes in four separators that are none.
+RUN = re.compile(r"[\S\x1c-\x1f]+")
+
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])))
+def units(text: pa.Array) -> pa.Array:
+    """The runs of a text between white space as an array of (start_char, end_char), from 0, in code points; null for a null text.
 
-def units(text: Column) -> Column:
-    """The runs of a text between white space as an array of (start_char, end_char), from 0, in code points."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?U)\s*\S+"), F.lit(0))
-    start = lambda s, r: s["at"] + F.length(r) - F.length(F.regexp_replace(r, r"(?U)^\s+", ""))
-    step = lambda s, r: F.struct((s["at"] + F.length(r)).alias("at"), F.concat(s["found"], F.array(F.struct(start(s, r).alias("start_char"), (s["at"] + F.length(r)).alias("end_char")))).alias("found"))
-    nothing = F.array().cast("array<struct<start_char:int,end_char:int>>")
-    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step, lambda s: s["found"])
+    Linear in the text. Spark's lambdas on arrays copy what they have found for every word, and are repeated wherever the column is used.
+    """
+    starts, ends, offsets = array("i"), array("i"), []
+    for t in text:
+        offsets.append(len(starts) if t.is_valid else None)
+        for m in RUN.finditer(t.as_py() or ""):
+            starts.append(m.start())
+            ends.append(m.end())
+    found = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start_char", "end_char"])
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(starts)], pa.int32()), found)
 
 
 #: Regions in order as one ledger from the passage's start to its end, or to where it was observed; equal neighbours are merged. Null if it has a break.
@@ -30,11 +44,6 @@ LEDGER = """aggregate(regions, named_struct('at', start_sample, 'whole', true, '
       THEN concat(slice(s.found, 1, size(s.found) - 1), array(named_struct('a', try_element_at(s.found, -1).a, 'z', r.end_sample, 'who', try_element_at(s.found, -1).who)))
       ELSE concat(s.found, array(named_struct('a', r.start_sample, 'z', r.end_sample, 'who', array_sort(r.speakers)))) END),
   s -> CASE WHEN s.whole AND s.at = upto THEN s.found END)"""
-#: For each word, whether its times count: they come in order and end within the anchor. A word that doesn't count sets no bound for the next.
-IN_ORDER = """aggregate(words, named_struct('last', start_sample, 'fits', CAST(array() AS array<boolean>)),
-  (s, w) -> CASE WHEN coalesce(s.last <= w.start_sample AND w.start_sample < w.end_sample AND w.end_sample <= anchor_end, false)
-    THEN named_struct('last', w.end_sample, 'fits', concat(s.fits, array(true))) ELSE named_struct('last', s.last, 'fits', concat(s.fits, array(false))) END,
-  s -> s.fits)"""
 #: The speakers of the region that holds a word safely: nobody else within the margin, and far enough from what wasn't observed.
 OWNER = f"""get(filter(transform(ledger, (r, i) -> named_struct('r', r, 'i', i)), x -> x.r.a <= w.start_sample AND w.end_sample <= x.r.z AND size(x.r.who) > 0
   AND CASE WHEN observed_end IS NOT NULL THEN least(end_sample, w.end_sample + {MARGIN}) <= observed_end
@@ -43,7 +52,7 @@ OWNER = f"""get(filter(transform(ledger, (r, i) -> named_struct('r', r, 'i', i))
   AND forall(x.r.who, n -> n RLIKE '^speaker_[0-9]+$')
   AND NOT exists(ledger, o -> o.a < least(end_sample, w.end_sample + {MARGIN}) AND greatest(start_sample, w.start_sample - {MARGIN}) < o.z AND size(o.who) > 0 AND o.who <> x.r.who)), 0).r.who"""
 #: Words as parts of the text, from the end of the last to the start of the next, with their owner.
-PARTS = f"""transform(words, (w, i) -> named_struct('who', CASE WHEN element_at(fits, i + 1) THEN {OWNER} END,
+PARTS = f"""transform(zip_with(words, fits, (w, f) -> named_struct('start_char', w.start_char, 'start_sample', w.start_sample, 'end_sample', w.end_sample, 'fits', f)), (w, i) -> named_struct('who', CASE WHEN w.fits THEN {OWNER} END,
   'start_offset', CASE WHEN i = 0 THEN 0 ELSE w.start_char END, 'end_offset', CASE WHEN i + 1 < size(words) THEN try_element_at(words, i + 2).start_char ELSE length(text) END,
   'start_sample', w.start_sample, 'end_sample', w.end_sample))"""
 #: Neighbouring parts of one owner as a turn: first start, last end.
@@ -52,6 +61,20 @@ MERGED = """aggregate(parts, slice(parts, 1, 0), (t, p) -> CASE WHEN size(t) > 0
   ELSE concat(t, array(p)) END)"""
 
 
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def in_order(starts: pa.Array, ends: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+    """For each word, whether its times count: they come in order and end within the anchor. A word that doesn't count sets no bound for the next."""
+    found = []
+    for a, z, at, stop in zip(*(x.to_pylist() for x in (starts, ends, first, last)), strict=True):
+        fits = []
+        for start, end in zip(a, z, strict=True):
+            good = start is not None and end is not None and at <= start < end <= stop
+            at = end if good else at
+            fits.append(good)
+        found.append(fits)
+    return pa.array(found, pa.list_(pa.bool_()))
+
+
 def reading_turns(passages: DataFrame) -> DataFrame:
     """(recording_id, passage_id, n, speaker, attribution, start_offset, end_offset, text, start_sample, end_sample).
 
@@ -67,7 +90,9 @@ def reading_turns(passages: DataFrame) -> DataFrame:
     observed = F.col("observed_end").isNull() | F.col("observed_end").between(F.col("start_sample"), F.col("end_sample"))
     fit = passages.where(anchored & observed & (F.size("words") > 0)).where(said == units(F.col("text")))
     fit = fit.withColumn("upto", F.coalesce("observed_end", "end_sample")).withColumn("ledger", F.expr(LEDGER)).where("ledger IS NOT NULL")
-    turns = fit.withColumn("fits", F.expr(IN_ORDER)).withColumn("parts", F.expr(PARTS)).select(KEY, "passage_id", "text", F.posexplode(F.expr(MERGED)).alias("n", "t"))
+    of = lambda c: F.transform("words", lambda w: w[c])
+    owned = fit.withColumn("fits", in_order(of("start_sample"), of("end_sample"), F.col("start_sample"), F.col("anchor_end"))).withColumn("parts", F.expr(PARTS))
+    turns = owned.select(KEY, "passage_id", "text", F.posexplode(F.expr(MERGED)).alias("n", "t"))
     known, who = F.col("t.who").isNotNull(), F.col("t.who")
     speaker = F.when(~known, "unassigned").when(F.size(who) == 1, who[0]).otherwise(F.concat(F.lit("overlap_"), F.array_join(who, "_")))
     attribution = F.when(~known, "unknown").when(F.size(who) == 1, "single").otherwise("overlap")
@@ -78,14 +103,31 @@ def reading_turns(passages: DataFrame) -> DataFrame:
 
 def coverage(turns: DataFrame, passages: DataFrame) -> DataFrame:
     """(recording_id, passage_id, covered): do a passage's turns, in order of n, give its text without a break, with names and times that fit?"""
-    ordered = F.array_sort(F.collect_list(F.struct("n", "start_offset", "end_offset", "text", "speaker", "attribution", "start_sample", "end_sample")))
-    grouped = turns.groupBy(KEY, "passage_id").agg(ordered.alias("turns"))
-    whole = passages.select(KEY, "passage_id", F.col("text").alias("whole"), F.col("start_sample").alias("low"), F.col("end_sample").alias("high"))
+    return covered(gathered(turns), passages)
+
+
+#: What a turn consists of, beside its passage.
+FIELDS = ("n", "start_offset", "end_offset", "text", "speaker", "attribution", "start_sample", "end_sample")
+
+
+def gathered(turns: DataFrame) -> DataFrame:
+    """(recording_id, passage_id, turns): all turns of a passage in order."""
+    return turns.groupBy(KEY, "passage_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("turns"))
+
+
+def complete() -> Column:
+    """Whether ``turns`` give the text ``whole`` of a passage from ``low`` to ``high``; false for no turns."""
     named = r"CASE t.attribution WHEN 'single' THEN t.speaker RLIKE '^speaker_[0-9]+$' WHEN 'overlap' THEN t.speaker RLIKE '^overlap_speaker_[0-9]+(_speaker_[0-9]+)+$' ELSE false END"
     timed = f"CASE WHEN t.attribution = 'unknown' THEN t.speaker = 'unassigned' AND t.start_sample IS NULL AND t.end_sample IS NULL ELSE {named} AND low <= t.start_sample AND t.start_sample < t.end_sample AND t.end_sample <= high END"
     valid = f"t.start_offset = s.at AND t.end_offset > s.at AND t.end_offset <= length(whole) AND t.text = substring(whole, s.at + 1, t.end_offset - s.at) AND {timed}"
     ok = F.expr(f"aggregate(turns, named_struct('at', 0, 'ok', true), (s, t) -> named_struct('at', t.end_offset, 'ok', s.ok AND coalesce({valid}, false)), s -> s.ok AND s.at = length(whole))")
-    return whole.join(grouped, [KEY, "passage_id"], "left").select(KEY, "passage_id", F.coalesce(ok, F.lit(False)).alias("covered"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def covered(grouped: DataFrame, passages: DataFrame) -> DataFrame:
+    """``coverage`` of ``gathered`` turns."""
+    whole = passages.select(KEY, "passage_id", F.col("text").alias("whole"), F.col("start_sample").alias("low"), F.col("end_sample").alias("high"))
+    return whole.join(grouped, [KEY, "passage_id"], "left").select(KEY, "passage_id", complete().alias("covered"))
 
 
 def retained(prior: DataFrame, grown: DataFrame) -> DataFrame:
@@ -111,31 +153,38 @@ def receipts(turns: DataFrame, passages: DataFrame) -> DataFrame:
     passages: RECEIPT columns, text, activity (any text that stands for the
     regions), anchor_start, anchor_end.
     """
-    made = passages.select(KEY, "passage_id", *RECEIPT, F.sha2("text", 256).alias("text_sha256"), F.sha2("activity", 256).alias("activity_sha256"), "anchor_start", "anchor_end")
-    return made.join(hashed_turns(turns), [KEY, "passage_id"])
+    return made(passages).join(hashed_turns(turns), [KEY, "passage_id"])
+
+
+def made(passages: DataFrame, *more: Column) -> DataFrame:
+    """What a receipt says of the passage itself."""
+    return passages.select(KEY, "passage_id", *RECEIPT, F.sha2("text", 256).alias("text_sha256"), F.sha2("activity", 256).alias("activity_sha256"), "anchor_start", "anchor_end", *more)
 
 
 #: Numbers that a receipt shares with its passage.
 RECEIPT = ("utterance_id", "machine_revision", "canonical_revision", "audio_revision", "language_epoch", "capture_source")
 
 
+def hashed(turns: Column) -> Column:
+    return F.sha2(F.to_json(turns, {"ignoreNullFields": "false"}), 256)
+
+
 def hashed_turns(turns: DataFrame) -> DataFrame:
-    fields = ("n", "start_offset", "end_offset", "text", "speaker", "attribution", "start_sample", "end_sample")
-    whole = F.to_json(F.array_sort(F.collect_list(F.struct(*fields))), {"ignoreNullFields": "false"})
-    return turns.groupBy(KEY, "passage_id").agg(F.sha2(whole, 256).alias("turns_sha256"))
+    return gathered(turns).select(KEY, "passage_id", hashed(F.col("turns")).alias("turns_sha256"))
 
 
 def held(turns: DataFrame, passages: DataFrame, given: DataFrame) -> DataFrame:
     """The turns that still stand: their passage is unprotected, all that their receipt (of ``receipts``) names is unchanged, and they cover the text.
 
-    A passage with more than one receipt has none.
+    A passage with more than one receipt has none. Turns are gathered once a passage, and judged and hashed there.
     """
     one = given.withColumn("_n", F.count("*").over(Window.partitionBy(KEY, "passage_id"))).where("_n = 1").drop("_n")
-    now = receipts(turns, passages.where("coalesce(protected, '') = ''"))
-    same = [c for c in now.columns if c not in (KEY, "passage_id")]
+    own = gathered(turns)
+    free = made(passages.where("coalesce(protected, '') = ''"), F.col("text").alias("whole"), F.col("start_sample").alias("low"), F.col("end_sample").alias("high"))
+    now = own.join(free, [KEY, "passage_id"]).withColumn("turns_sha256", hashed(F.col("turns"))).where(complete())
     a, b = now.alias("a"), one.alias("b")
     match = (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.passage_id") == F.col("b.passage_id"))
-    for c in same:
+    for c in (*RECEIPT, "text_sha256", "activity_sha256", "anchor_start", "anchor_end", "turns_sha256"):
         match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    valid = a.join(b, match, "left_semi").select(KEY, "passage_id")
-    return turns.join(valid, [KEY, "passage_id"], "left_semi").join(coverage(turns, passages).where("covered").select(KEY, "passage_id"), [KEY, "passage_id"], "left_semi")
+    valid = a.join(b, match, "left_semi").select(KEY, "passage_id", F.explode("turns").alias("t"))
+    return valid.select(KEY, "passage_id", *(f"t.{c}" for c in FIELDS))
