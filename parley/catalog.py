@@ -13,7 +13,7 @@ from parley.operators import admissions, changes, checks, documents, exports, fo
 from parley.sources.fixtures import oracle, view
 from parley.streaming import activity, capture, sources, utterances
 from parley.streaming.publish import Store, published
-from parley.streaming.replay import current, replay, replay_all, shared_folder
+from parley.streaming.replay import current, replay, replay_all, shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,9 +192,8 @@ n AS (SELECT *, sum(new) OVER (PARTITION BY recording_id, source_id ORDER BY a)
 SELECT recording_id, source_id, CAST(n AS BIGINT) AS n, epoch, greatest(min(low), min(a) - 3200) AS start_sample, least(min(high), max(z) + 3200) AS end_sample FROM n GROUP BY recording_id, source_id, n, epoch"""
 
 
-def both(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def both(v: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frames of both sources, and the language boundaries."""
-    v = view(s, d, "vad_frames")
     frames = v.withColumn("source_id", F.lit("microphone_clean")).unionByName(v.withColumns({"p100": (F.col("p100") + 29) % 100, "source_id": F.lit("system")}))
     m = v.groupBy("recording_id").agg(F.max("end_sample").alias("m")).where("m > 30000")
     places = F.array(F.struct(F.lit(1).cast("long").alias("epoch"), F.expr("m div 3 div 512 * 512").alias("start_sample")), F.struct(F.lit(2).cast("long").alias("epoch"), F.expr("m div 2 + 100").alias("start_sample")))
@@ -203,20 +202,21 @@ def both(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("w2_epoch_utterances", EPOCH_UTTERANCES)
 def _(s, d):
-    return speech.utterances_by_epoch(*both(s, d))
+    return speech.utterances_by_epoch(*both(view(s, d, "vad_frames")))
 
 
 @query("st13_u2_live_sources", EPOCH_UTTERANCES)
 def _(s, d):
     """Two inputs in two steps: boundaries come first, every eleventh frame a step late, and what the speakers were observed to holds back the rest until the end."""
     sources.use_rocksdb(s)
-    frames, bounds = both(s, d)
-    seen = frames.groupBy("recording_id").agg(F.max("end_sample").alias("m"))
+    v = stored(view(s, d, "vad_frames").withColumn("m", F.max("end_sample").over(Window.partitionBy("recording_id"))))
+    frames, bounds = both(v)
+    seen = v.groupBy("recording_id").agg(F.max("m").alias("m"))
     none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in sources.ROWS.split(", ")}
     row = lambda df, kind, **own: df.select(*(own.get(c, F.lit(kind) if c == "kind" else df[c] if c in df.columns and c not in own else none[c]).alias(c) for c in none))
     half = F.expr("m div 2 div 512 * 512")
     step = F.when((F.col("start_sample") >= half) | (F.col("start_sample") % 11 == 0), 1).otherwise(0)
-    placed = frames.join(seen, "recording_id").withColumn("step", step)
+    placed = frames.withColumn("step", step)
     parts = lambda i: row(placed.where(F.col("step") == i), "frame")
     said = [sources.for_both(row(bounds, "boundary")).unionByName(sources.for_both(row(seen, "heard", end_sample=half))), sources.for_both(row(seen, "end", start_sample=F.col("m")))]
     names = [c.split()[0] for c in sources.ROWS.split(", ")]

@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows``, worked out once and read from the shared folder from then on: for steps that are cut from the same rows."""
+    at = f"{shared_folder(rows.sparkSession)}/rows"
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def replay_all(steps: list[list[DataFrame]], stream: Callable[..., DataFrame], mode: str = "update") -> DataFrame:
     """Append each step to the source folders of the stream's inputs and let it take what is new; returns all rows that it put out, with ``batch``.
 

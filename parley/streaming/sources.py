@@ -11,14 +11,17 @@ Batch twin: ``operators.speech.utterances_by_epoch``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from math import inf
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.operators.speech import KEY, LEAD, OFF, ON, SILENCE
+from parley.streaming.gather import gathered, spread
 
 #: kind: frame, heard, boundary or end. heard has end_sample, boundary start_sample and epoch, end its start_sample; ``at`` is when a row came.
 ROWS = f"{KEY} long, source_id string, kind string, start_sample long, end_sample long, p100 long, constant_block boolean, epoch long, at timestamp"
@@ -29,6 +32,25 @@ SOURCES = ("microphone_clean", "system")
 LONGEST, FIRST_LENGTH, ADVANCE = 512, 96_000, 32_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BOOK = ("cursor", "speaking", "n", "first", "last", "epoch", "epoch_start", "heard", "end", "closed", "shown")
+#: What is taken of a row, and a row of OUT.
+TAKEN = ("start_sample", "end_sample", "p100", "kind", "constant_block", "epoch")
+FOUND = Row(*(c.split()[0] for c in OUT.split(", ")))
+
+
+def by_place(row: tuple) -> list[float]:
+    """Start, end and probability, nulls last."""
+    return [inf if x is None else x for x in row[:3]]
+
+
+def packed(rows: Iterable[tuple]) -> bytes:
+    """Rows of whole numbers (or booleans) as longs, one after the other."""
+    return array("q", chain.from_iterable(rows)).tobytes()
+
+
+def unpacked(value: bytes, width: int) -> Iterator[tuple]:
+    """The rows that were ``packed``."""
+    longs = iter(array("q", bytes(value)))
+    return zip(*[longs] * width, strict=True)
 
 
 class Book:
@@ -104,63 +126,53 @@ class Book:
 
 
 class Runtime(StatefulProcessor):
-    """State per recording and source: the book's values, frames that wait by their start, and boundaries to come by their epoch."""
+    """State per recording and source, as one value: the book's values, frames that wait by their start, and boundaries to come by their epoch.
+
+    Each call of a state variable asks the JVM, so state is read and written
+    once a micro-batch, with the waiting frames and boundaries as packed longs.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getValueState("book", "cursor long, speaking boolean, n long, first long, last long, epoch long, epoch_start long, heard long, end long, closed boolean, shown long")
-        self.waiting = handle.getMapState("waiting", "start_sample long", "end_sample long, p100 long, constant_block boolean")
-        self.boundaries = handle.getMapState("boundaries", "epoch long", "start_sample long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        book = Book(tuple(self.book.get()) if self.book.exists() else None)
-        waited = {k[0]: tuple(v) for k, v in self.waiting.iterator()}
-        planned = {k[0]: v[0] for k, v in self.boundaries.iterator()}
-        waiting, boundaries = dict(waited), dict(planned)
-        for r in (r for batch in rows for r in batch.sort_values(["start_sample", "end_sample", "p100"], kind="stable").itertuples(index=False)):
-            self.take(book, waiting, boundaries, r)
+        self.kept = handle.getValueState("kept", "cursor long, speaking boolean, n long, first long, last long, epoch long, epoch_start long, heard long, end long, closed boolean, shown long, waiting binary, boundaries binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.kept.get()
+        book = Book(tuple(kept[: len(BOOK)]) if kept else None)
+        waiting = {start: (end, p, bool(constant)) for start, end, p, constant in unpacked(kept[-2], 4)} if kept else {}
+        boundaries = dict(unpacked(kept[-1], 2)) if kept else {}
+        for r in sorted(spread(rows, *TAKEN), key=by_place):
+            self.take(book, waiting, boundaries, *r)
         book.advance(waiting, boundaries)
         book.provisional()
-        for state, old, new in ((self.waiting, waited, waiting), (self.boundaries, planned, boundaries)):
-            for k in old.keys() - new.keys():
-                state.removeKey((k,))
-            for k, v in new.items():
-                if old.get(k) != v:
-                    state.updateValue((k,), v if isinstance(v, tuple) else (v,))
-        self.book.update(tuple(bool(x) if isinstance(x, bool) else int(x) for x in book.values()))
-        found = pd.DataFrame(book.out, columns=["kind", "n", "epoch", "start_sample", "end_sample", "processed", "reason"])
-        found.insert(0, "source_id", key[1])
-        found.insert(0, KEY, key[0])
-        whole = dict.fromkeys(("n", "epoch", "start_sample", "end_sample", "processed"), "Int64")
-        yield found.astype(whole | {"kind": object, "reason": object, "source_id": object})
+        self.kept.update((*book.values(), packed((k, *v) for k, v in waiting.items()), packed(boundaries.items())))
+        return iter([FOUND(*key, *found) for found in book.out])
 
     @staticmethod
-    def take(book: Book, waiting: dict[int, tuple], boundaries: dict[int, int], r) -> None:
+    def take(book: Book, waiting: dict[int, tuple], boundaries: dict[int, int], start: int | None, end: int | None, p: int | None, kind: str, constant: bool | None, epoch: int | None) -> None:
         """Adds a row to what waits, or rejects it with a reason: closed, invalid, late, repeated, boundary or endpoint."""
-        start, end = (None if pd.isna(x) else int(x) for x in (r.start_sample, r.end_sample))
         reason = None
         if book.closed:
             reason = "closed"
-        elif r.kind == "heard":
+        elif kind == "heard":
             book.heard = max(book.heard, end or 0)
-        elif r.kind == "boundary":
-            epoch = None if pd.isna(r.epoch) else int(r.epoch)
+        elif kind == "boundary":
             if start is None or epoch is None or epoch <= book.epoch or start < book.cursor or epoch in boundaries:
                 reason = "boundary"
             else:
                 boundaries[epoch] = start
-        elif r.kind == "end":
+        elif kind == "end":
             if start is None or start < book.cursor or book.end >= 0:
                 reason = "endpoint"
             else:
                 book.end = start
-        elif r.kind != "frame" or start is None or end is None or pd.isna(r.p100) or not 0 <= r.p100 <= 100 or not 0 < end - start <= LONGEST:
+        elif kind != "frame" or start is None or end is None or p is None or not 0 <= p <= 100 or not 0 < end - start <= LONGEST:
             reason = "invalid"
         elif start < book.cursor:
             reason = "late"
         elif start in waiting:
             reason = "repeated"
         else:
-            waiting[start] = (end, int(r.p100), bool(r.constant_block) if not pd.isna(r.constant_block) else False)
+            waiting[start] = (end, p, bool(constant))
         if reason:
             book.put("rejected", None, start, end, reason)
 
@@ -184,7 +196,7 @@ def live(rows: DataFrame) -> DataFrame:
 
     Needs the RocksDB state store (``use_rocksdb``). ``n`` counts a source's utterances.
     """
-    return rows.groupBy(KEY, "source_id").transformWithStateInPandas(Runtime(), OUT, "Update", "None")
+    return gathered(rows.select(KEY, "source_id", *TAKEN), KEY, "source_id").groupBy(KEY, "source_id").transformWithState(Runtime(), OUT, "Update", "None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
