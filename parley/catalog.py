@@ -518,7 +518,7 @@ def _(s, d):
 def _(s, d):
     """The packets as a stream in two steps: late ones go to the side output, and the repair point is where it was moved last."""
     sources.use_rocksdb(s)
-    p = packets(s, d)
+    p = stored(packets(s, d))
     found = replay([p.where("clock_ms <= 5000"), p.where("clock_ms > 5000")], lambda x: capture.live(x.withWatermark("at", "500 milliseconds")))
     return found.groupBy("recording_id").agg(F.count(F.when(F.col("kind") == "late", True)).alias("late"), F.min(F.when(F.col("kind") == "repair", F.col("start_sample"))).alias("repaired_from")).where("late > 0")
 

@@ -11,18 +11,23 @@ everything derived from its tile on must be made anew. Batch twins: ``late``,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import inf
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from parley.streaming.gather import gathered, packed, spread, unpacked
+
 KEY = "recording_id"
 TILE, DELAY_MS, SAMPLES_PER_MS = 4_000, 500, 16
 #: ``at`` is the packet's clock as event time; an end row (ended) has neither source nor samples.
 PACKETS = f"{KEY} long, source_id string, start_sample long, frames long, clock_ms long, ended boolean, at timestamp"
 #: kind: tile (samples: those that are silence), late (samples: those that came too late) or repair (start_sample: the point now).
 OUT = f"{KEY} long, kind string, source_id string, start_sample long, samples long"
+#: What is taken of a packet, and a row of OUT.
+TAKEN = ("clock_ms", "ended", "start_sample", "source_id", "frames")
+FOUND = Row(*(c.split()[0] for c in OUT.split(", ")))
 #: The sources that a tile holds (fixed values).
 SOURCES = ("microphone_clean", "system")
 
@@ -37,16 +42,17 @@ def missing(parts: list[tuple[int, int]], start: int, end: int) -> int:
 
 
 class Writer(StatefulProcessor):
-    """State per recording: what is written, the clock, the repair point, and the parts of each tile that isn't written yet."""
+    """State per recording, as one value: what is written, the clock, the repair point, and the parts (source, tile, start, end) of tiles that aren't written yet."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "written long, clock long, repair long, ended boolean")
-        self.parts = handle.getMapState("parts", "source string, tile long", "starts array<long>, ends array<long>")
+        self.kept = handle.getValueState("kept", "written long, clock long, repair long, ended boolean, parts binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        written, clock, repair, ended = self.at.get() if self.at.exists() else (0, 0, -1, False)
-        kept = {tuple(k): list(zip(*v, strict=True)) for k, v in self.parts.iterator()}
-        old, out = dict(kept), []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        written, clock, repair, ended, parts = self.kept.get() or (0, 0, -1, False, b"")
+        kept: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for s, tile, a, z in unpacked(parts, 4):
+            kept.setdefault((SOURCES[s], tile), []).append((a, z))
+        out = []
 
         def write(upto: int, final: bool) -> int:
             at = written
@@ -57,18 +63,18 @@ class Writer(StatefulProcessor):
             return at
 
         # in the order of the clock, so that a micro-batch doesn't decide what is late
-        packets = pd.concat(list(rows)).sort_values(["clock_ms", "ended", "start_sample", "source_id"], kind="stable")
-        for source, start, n, ms, last in packets[["source_id", "start_sample", "frames", "clock_ms", "ended"]].itertuples(index=False):
-            if ended or pd.isna(ms):
+        packets = sorted(spread(rows, *TAKEN), key=lambda r: (inf if r[0] is None else r[0], bool(r[1]), inf if r[2] is None else r[2], r[3] is None, r[3] or ""))
+        for ms, last, start, source, n in packets:
+            if ended or ms is None:
                 continue
-            clock = max(clock, int(ms))
+            clock = max(clock, ms)
             if last:
                 written, ended = write(clock * SAMPLES_PER_MS, True), True
                 continue
             written = write(max(0, clock - DELAY_MS) * SAMPLES_PER_MS // TILE * TILE, False)
-            if pd.isna(start) or pd.isna(n) or n <= 0 or source not in SOURCES:
+            if start is None or n is None or n <= 0 or source not in SOURCES:
                 continue
-            start, end = int(start), int(start + n)
+            end = start + n
             late = min(end, max(start, written)) - start
             if late > 0:
                 out.append((key[0], "late", source, start, late))
@@ -79,15 +85,10 @@ class Writer(StatefulProcessor):
             for tile in range((start + late) // TILE, -(-end // TILE)):
                 a, z = max(start + late, tile * TILE), min(end, (tile + 1) * TILE)
                 if a < z:
-                    kept.setdefault((source, tile), [])
-                    kept[source, tile] = [*kept[source, tile], (a, z)]
-        for k in old.keys() - kept.keys():
-            self.parts.removeKey(k)
-        for k, v in kept.items():
-            if old.get(k) != v:
-                self.parts.updateValue(k, tuple(list(map(int, x)) for x in zip(*v, strict=True)))
-        self.at.update((int(written), int(clock), int(repair), bool(ended)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"kind": object, "source_id": object, KEY: "int64", "start_sample": "int64", "samples": "int64"})
+                    kept.setdefault((source, tile), []).append((a, z))
+        left = packed((SOURCES.index(s), tile, a, z) for (s, tile), spans in kept.items() for a, z in spans)
+        self.kept.update((written, clock, repair, ended, left))
+        return iter([FOUND(*found) for found in out])
 
     def close(self) -> None:
         pass
@@ -99,7 +100,7 @@ def live(packets: DataFrame) -> DataFrame:
     The watermark is half a second behind the packets' clock, as the tiles
     are; what Spark itself drops behind it would have been late here too.
     """
-    return packets.where(F.col(KEY).isNotNull()).groupBy(KEY).transformWithStateInPandas(Writer(), OUT, "Update", "None")
+    return gathered(packets.where(F.col(KEY).isNotNull()).select(KEY, *TAKEN), KEY).groupBy(KEY).transformWithState(Writer(), OUT, "Update", "None")
 
 
 def written(clock: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Rows of a stream by key, before they reach an operator with state.
+"""Rows of a stream by key, before they reach an operator with state, and what waits there as one value.
 
 Such an operator gets its rows one by one from the JVM, which costs more than
 what it does with most of them. As arrays, neighbours of one key are one row.
@@ -6,7 +6,9 @@ what it does with most of them. As arrays, neighbours of one key are one row.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from operator import itemgetter
 
 import pyarrow as pa
@@ -33,3 +35,14 @@ def spread(rows: Iterable[Row], *columns: str) -> list[tuple]:
     for r in rows:
         found.extend(zip(*itemgetter(*map(r.__fields__.index, columns))(r), strict=True))
     return found
+
+
+def packed(rows: Iterable[tuple]) -> bytes:
+    """Rows of whole numbers (or booleans) as longs, one after the other."""
+    return array("q", chain.from_iterable(rows)).tobytes()
+
+
+def unpacked(value: bytes, width: int) -> Iterator[tuple]:
+    """The rows that were ``packed``."""
+    longs = iter(array("q", bytes(value)))
+    return zip(*[longs] * width, strict=True)

@@ -11,9 +11,7 @@ Batch twin: ``operators.speech.utterances_by_epoch``.
 
 from __future__ import annotations
 
-from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 from math import inf
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.operators.speech import KEY, LEAD, OFF, ON, SILENCE
-from parley.streaming.gather import gathered, spread
+from parley.streaming.gather import gathered, packed, spread, unpacked
 
 #: kind: frame, heard, boundary or end. heard has end_sample, boundary start_sample and epoch, end its start_sample; ``at`` is when a row came.
 ROWS = f"{KEY} long, source_id string, kind string, start_sample long, end_sample long, p100 long, constant_block boolean, epoch long, at timestamp"
@@ -42,17 +40,6 @@ def by_place(row: tuple) -> list[float]:
     return [inf if x is None else x for x in row[:3]]
 
 
-def packed(rows: Iterable[tuple]) -> bytes:
-    """Rows of whole numbers (or booleans) as longs, one after the other."""
-    return array("q", chain.from_iterable(rows)).tobytes()
-
-
-def unpacked(value: bytes, width: int) -> Iterator[tuple]:
-    """The rows that were ``packed``."""
-    longs = iter(array("q", bytes(value)))
-    return zip(*[longs] * width, strict=True)
-
-
 class Book:
     """One source's utterances: ``cursor`` is what was processed; an utterance is open while first >= 0."""
 

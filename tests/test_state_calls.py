@@ -3,7 +3,7 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from parley.streaming import sources
+from parley.streaming import capture, sources
 
 
 class State:
@@ -63,3 +63,17 @@ def test_gathered_rows_keep_all_values_in_order(spark):
     assert found.where("k = 1").count() < 10
     assert [r for r in spread(found.where("k = 1").collect(), "a", "b")] == [(i, None if i % 4 else "x") for i in range(500) if i % 3 == 1]
     assert found.agg(F.sum(F.size("a"))).first()[0] == 501
+
+
+def test_late_audio_reads_and_writes_state_once_a_micro_batch():
+    """Tiles that aren't written yet are no calls of their own."""
+    columns = Row("recording_id", *capture.TAKEN)
+    for many in (3, 300):
+        handle, writer = Handle(), capture.Writer()
+        writer.init(handle)
+        ahead = [(100, False, i * 4000, "system", 4000) for i in range(many)]
+        assert not list(writer.handleInputRows((1,), iter([columns(1, *zip(*ahead, strict=True))]), None))
+        found = list(writer.handleInputRows((1,), iter([columns(1, *zip(*[(many * 250, True, None, None, None)], strict=True))]), None))
+        assert [x.samples for x in found if x.source_id == "system"] == [0] * many
+        assert [x.samples for x in found if x.source_id == "microphone_clean"] == [4000] * many
+        assert handle.calls() == 4
