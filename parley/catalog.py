@@ -163,8 +163,8 @@ def _(s, d):
 def thirds(s: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
     """All frames, and the first, second and last third of each recording as stream rows."""
     frames = view(s, d, "vad_frames").withColumn("p100", F.col("p100").cast("long"))
-    third = F.floor(F.col("start_sample") * 3 / F.col("until"))
-    cut = frames.join(frames.groupBy("recording_id").agg(F.max("end_sample").alias("until")), "recording_id").withColumn("third", third)
+    frames = stored(frames.withColumn("until", F.max("end_sample").over(Window.partitionBy("recording_id"))))
+    cut = frames.withColumn("third", F.floor(F.col("start_sample") * 3 / F.col("until")))
     return frames, [cut.where(F.col("third") == k).select("recording_id", "start_sample", "end_sample", "p100", "constant_block", F.lit(False).alias("ended")) for k in range(3)]
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from parley.streaming import capture, sources
+from parley.streaming import capture, sources, utterances
 
 
 class State:
@@ -77,3 +77,12 @@ def test_late_audio_reads_and_writes_state_once_a_micro_batch():
         assert [x.samples for x in found if x.source_id == "system"] == [0] * many
         assert [x.samples for x in found if x.source_id == "microphone_clean"] == [4000] * many
         assert handle.calls() == 4
+
+
+def test_utterances_read_and_write_state_once_a_micro_batch():
+    columns = Row("recording_id", *utterances.TAKEN)
+    handle, live = Handle(), utterances.Utterances()
+    live.init(handle)
+    frames = [(i * 512, i * 512 + 512, 90, False, False) for i in range(300)]
+    found = list(live.handleInputRows((1,), iter([columns(1, *zip(*frames[:150], strict=True)), columns(1, *zip(*frames[150:], strict=True))]), None))
+    assert [(x.kind, x.start_sample, x.end_sample) for x in found] == [("open", 0, 300 * 512)] and handle.calls() == 2
