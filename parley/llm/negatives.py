@@ -35,8 +35,10 @@ from .common import bounded_batches, stored
 SAMPLE, SHARD, MOST_CELLS = 20_000, 4_096, 8_192
 #: Children of a node, and candidates that a leaf holds unless they are equal.
 FAN, LEAF = 32, 128
-#: Shards that a query descends first; queries of one task.
-FIRST, QUERIES = 2, 20_000
+#: Shards that a query descends first; queries of one task, and of one descent.
+FIRST, QUERIES, TOGETHER = 2, 20_000, 512
+#: Results of a descent that wait until the best are taken of them.
+WAITING = 1_000_000
 #: Shards with few labels carry them in their summary.
 FEW_LABELS = 32
 LONG = 2**63 - 1
@@ -147,9 +149,9 @@ def cover_tree(v: np.ndarray, label: np.ndarray, node: np.ndarray, rank: np.ndar
 
 
 def bounds(q: np.ndarray, centres: np.ndarray, radius: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest inner product with what lies within ``radius`` of the centres (all as doubles), wider by what rounding may take."""
-    top = float(q @ q) + largest
-    d = np.sqrt(np.maximum(0.0, top - 2 * (centres @ q)))
+    """Lowest and highest inner product of one query (or each row of several) with what lies within ``radius`` of the centres (all as doubles), wider by what rounding may take."""
+    top = (q * q).sum(axis=-1, keepdims=True) + largest
+    d = np.sqrt(np.maximum(0.0, top - 2 * (q @ centres.T)))
     slack = 1e-9 * top + 1e-6
     return (top - (d + radius) ** 2) / 2 - slack, (top - np.maximum(0.0, d - radius) ** 2) / 2 + slack
 
@@ -206,6 +208,91 @@ class Searcher:
                         least[w] = max(int(least[w]), -best[w][-1][0])
         return best
 
+    def exact(self, q: np.ndarray) -> np.ndarray:
+        """Which queries (rows) have only inner products that doubles hold exactly."""
+        return self.most * np.abs(q).max(axis=1, initial=0.0) < 2**53
+
+    def leaves(self, q: np.ndarray, label: np.ndarray, same: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves that some query may want, and how high each reaches for each query (-inf where it isn't wanted)."""
+        t, found = self.t, []
+
+        def wanted(nodes: slice, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            lo, hi = bounds(q[some], self.centres[nodes], t.radius[nodes], self.largest)
+            only, can = t.only[nodes], np.zeros(hi.shape, dtype=bool)
+            for w in range(low.shape[1]):
+                can |= (hi >= low[some, w, None]) & (lo <= high[some, w, None])
+            is_own = only == label[some, None]
+            return can & np.where(same[some, None], (only < 0) | is_own, ~is_own), hi
+
+        stack = [(slice(0, 1), np.arange(len(q)))]
+        while stack:
+            nodes, some = stack.pop()
+            can, hi = wanted(nodes, some)
+            for j in np.flatnonzero(can.any(axis=0)).tolist():
+                i, who = nodes.start + j, some[can[:, j]]
+                if t.child[i] >= 0:
+                    stack.append((slice(t.child[i], t.child[i] + t.children[i]), who))
+                else:
+                    found.append((i, who, hi[can[:, j], j]))
+        reach = np.full((len(q), len(found)), -np.inf)
+        for j, (_, who, hi) in enumerate(found):
+            reach[who, j] = hi
+        return np.array([i for i, _, _ in found], dtype=np.int64), reach
+
+    def descend_all(self, q: np.ndarray, label: np.ndarray, same: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, window, place, score) as ``descend`` finds them, for many queries (rows) that are ``exact``; unused windows have low > high.
+
+        Each query goes to its highest leaf first; then every leaf is scored at
+        once for all queries of which it may still beat a window's k-th best.
+        """
+        t = self.t
+        leaf, reach = self.leaves(q, label, same, low, high)
+        least = low.astype(float)
+        top = np.full((*low.shape, k), -np.inf)
+        kept: list[tuple[np.ndarray, ...]] = []
+
+        def best() -> tuple[np.ndarray, ...]:
+            n, w, place, score = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.empty(0, dtype=np.int64),) * 4
+            still = score >= least[n, w]
+            n, w, place, score = n[still], w[still], place[still], score[still]
+            order = np.lexsort((t.rank[place], -score, w, n))
+            n, w, place, score = n[order], w[order], place[order], score[order]
+            new = np.ones(len(n), dtype=bool)
+            new[1:] = (n[1:] != n[:-1]) | (w[1:] != w[:-1])
+            first = np.flatnonzero(new)
+            good = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n)))) < k
+            return n[good], w[good], place[good], score[good]
+
+        def visit(i: int, who: np.ndarray) -> None:
+            a, b = t.start[i], t.stop[i]
+            score = q[who] @ self.f[a:b].T
+            fine = ((t.label[a:b] == label[who, None]) == same[who, None]) & (t.node[a:b] != own[who, None])
+            for w in range(low.shape[1]):
+                fits = fine & (score >= least[who, w, None]) & (score <= high[who, w, None])
+                some = np.flatnonzero(fits.any(axis=1))
+                if not len(some):
+                    continue
+                row, column = np.nonzero(fits[some])
+                kept.append((who[some[row]], np.full(len(row), w), a + column, score[some[row], column]))
+                both = np.concatenate((top[who[some], w], np.where(fits[some], score[some], -np.inf)), axis=1)
+                both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                top[who[some], w] = both
+                least[who[some], w] = np.maximum(least[who[some], w], both[:, 0])
+            if sum(len(x[0]) for x in kept) > WAITING:
+                kept[:] = [best()]
+
+        if len(leaf):
+            highest = reach.argmax(axis=1)
+            asks = reach[np.arange(len(q)), highest] > -np.inf
+            for j in np.unique(highest[asks]).tolist():
+                visit(leaf[j], np.flatnonzero(asks & (highest == j)))
+            reach[np.arange(len(q)), highest] = -np.inf
+            for j in np.argsort(-reach.max(axis=0), kind="stable").tolist():
+                who = np.flatnonzero(((reach[:, j, None] >= least) & (high >= least)).any(axis=1))
+                if len(who):
+                    visit(leaf[j], who)
+        return best()
+
 
 @dataclass
 class Index:
@@ -292,12 +379,14 @@ def routes(index: Index, queries: DataFrame, seen: bool) -> DataFrame:
         names, centres, radius, labels, largest = sent.value
         for b in batches:
             rows, to = [], []
+            allowed: dict = {}
             for k, (v, label, same, low, high) in enumerate(zip(b["v"], b["label"], b["same"], b["low"], b["high"], strict=True)):
                 low, high = np.asarray(low), np.asarray(high)
                 lo, hi = bounds(np.asarray(v, dtype=float), centres, radius, largest)
-                can = [x is None or (label in x if same else x != {label}) for x in labels]
+                if (label, same) not in allowed:
+                    allowed[label, same] = np.array([x is None or (label in x if same else x != {label}) for x in labels])
                 order = np.argsort(-np.minimum(hi, float(high.max())), kind="stable")
-                order = order[np.array(can)[order]]
+                order = order[allowed[label, same][order]]
                 fits = ((hi[order] >= low[:, None]) & (lo[order] <= high[:, None])).any(axis=0)
                 # the first ones are chosen without looking at low, which rises between the two calls
                 ahead = np.arange(len(order)) < FIRST
@@ -343,11 +432,23 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
             one = tree.iloc[0]
             tree, code = Searcher(Tree.load(one["tree"])), {x: i for i, x in enumerate(one["names"])}
             ids, known = np.frombuffer(one["ids"], dtype=np.int64), np.frombuffer(one["known"], dtype=bool)
+            q = np.stack(own["v"].to_list()).reshape(len(own), -1)
+            most = max(map(len, own["low"]))
+            low, high = (np.array([[*x, *[end] * (most - len(x))] for x in own[c]], dtype=np.int64) for c, end in (("low", LONG), ("high", -LONG)))
+            label, same, node = np.array([code.get(x, -2) for x in own["label"]], dtype=np.int64), own["same"].to_numpy(dtype=bool), own["own"].to_numpy()
+            exact = tree.exact(q.astype(float))
             out = []
-            for q in own.itertuples(index=False):
-                windows = tree.descend(np.asarray(q.v, dtype=np.int64), code.get(q.label, -2), q.same, np.asarray(q.low), np.asarray(q.high), k, q.own)
-                out += [(q.query, w, tree.t.node[place], Decimal(int(ids[place])) if known[place] else None, -score) for w, best in enumerate(windows) for score, _, place in best]
-            return pd.DataFrame(out, columns=["query", "window", "node", "id", "score"])
+            for at in range(0, len(rows := np.flatnonzero(exact)), TOGETHER):
+                some = rows[at : at + TOGETHER]
+                n, w, place, score = tree.descend_all(q[some].astype(float), label[some], same[some], low[some], high[some], k, node[some])
+                out.append((some[n], w, place, score.astype(np.int64)))
+            for i in np.flatnonzero(~exact).tolist():
+                windows = tree.descend(q[i], label[i], same[i], low[i], high[i], k, node[i])
+                found = np.array([(i, w, place, -score) for w, best in enumerate(windows) for score, _, place in best], dtype=np.int64).reshape(-1, 4)
+                out.append(tuple(found.T))
+            n, w, place, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            named = [Decimal(i) if is_known else None for i, is_known in zip(ids[place].tolist(), known[place].tolist(), strict=True)]
+            return pd.DataFrame({"query": own["query"].to_numpy()[n], "window": w.astype(np.int32), "node": tree.t.node[place], "id": pd.Series(named, dtype=object), "score": score})
 
         return trees.select("shard", "chunk", "tree", "ids", "known", "names").groupBy("shard", "chunk").cogroup(asked.groupBy("shard", "chunk")).applyInPandas(run, FOUND)
 

@@ -87,3 +87,20 @@ def test_bounds_hold():
                 assert t.start[c].min() == t.start[i] and t.stop[c].max() == t.stop[i] and (t.stop - t.start)[c].sum() == t.stop[i] - t.start[i]
             if t.only[i] >= 0:
                 assert set(t.label[t.start[i] : t.stop[i]]) == {t.only[i]}
+
+
+def test_many_queries_share_a_descent(monkeypatch):
+    """The same results, in the same order, as one descent a query."""
+    monkeypatch.setattr(negatives, "WAITING", 500)
+    rng = np.random.default_rng(7)
+    v = rng.integers(-20, 20, (1500, 6))
+    label, largest = rng.integers(0, 4, 1500), float((v.astype(float) ** 2).sum(axis=1).max())
+    s = negatives.Searcher(negatives.cover_tree(v, label, np.arange(1500), np.arange(1500)[::-1].copy(), largest))
+    q, own, same = v[:200].astype(float), np.arange(200), np.arange(200) % 2 == 0
+    low, high = rng.integers(-500, 200, (200, 3)), rng.integers(0, 900, (200, 3))
+    low[::5], high[::5] = -negatives.LONG - 1, negatives.LONG
+    low[1::5, 2], high[1::5, 2] = negatives.LONG, -negatives.LONG
+    plain = [(i, w, place, -score) for i in range(200) for w, best in enumerate(s.descend(v[i], label[i], same[i], low[i], high[i], 4, own[i])) for score, _, place in best]
+    got = s.descend_all(q, label[:200], same, low, high, 4, own)
+    assert s.exact(q).all() and len(plain) > 1000
+    assert list(zip(*(x.astype(int).tolist() for x in got), strict=True)) == plain
