@@ -47,6 +47,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """``stored``, dealt by the hash of a column, so that grouping and joining by it need no shuffle of the table."""
+    spark, name = df.sparkSession, f"stored_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    written = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/tables/{name}")
+    written.bucketBy(parts, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def by_text(docs: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``columns`` from batches of (doc_id, text). Ids travel as text, so that longs beside nulls don't become doubles."""
     bounded_batches(docs.sparkSession)

@@ -10,8 +10,9 @@ characters, are exploded and equi-joined to the piece table, the edges are
 grouped by chunk, and an ordered fold finds the path with the highest sum of
 scores (Viterbi). A character without a piece costs the lowest score less 10
 and is written as byte pieces. Documents are put together from the lexicon: places
-of frequent chunks by a broadcast table of bounded size, those of others by a
-join, in order under a number of the row.
+of frequent chunks by a broadcast table of bounded size. Others are listed once
+for a run of documents, encoded by a join of these lists, and come back to the
+run as packed numbers; its documents follow in order under a number of the row.
 
 A piece whose own characters have a better path without it is on no best path;
 the lattice of the pieces themselves finds these, and they are left out of the
@@ -30,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashed_share, stored
+from .common import bounded_batches, hashed_share, stored, stored_by
 
 SPACE = "▁"
 #: Chunks whose encoding is sent to every executor: the most frequent ones up to some length in a sample of documents
@@ -44,6 +47,10 @@ COUNTED = 500_000
 UNKNOWN_PENALTY = 10.0
 #: Chunks of a document that are handled at once; a longer document is cut into such parts.
 PART = 8192
+#: Distinct chunks, besides the frequent ones, of the run of documents that shares a list of them.
+LISTED = 100_000
+#: Chunks of such a run, unless one document has more.
+RUN = 2_000_000
 #: Chunks in a partition of the lattice: their edges are grouped in memory, some 20 for each chunk.
 CHUNKS_PER_PARTITION = 15_000
 GROUPS_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -116,25 +123,71 @@ def encode_chunks(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.coalesce("longest", F.lit(1)), F.col("n") - F.col("start") + 1))).alias("len")
     spans = starts.select("chunk", "start", lengths).withColumn("piece", F.expr("substring(chunk, start, len)"))
     edges = spans.join(table, "piece", "left").where("id IS NOT NULL OR len = 1")
-    edge = F.struct((F.col("start") + F.col("len") - 1).alias("stop"), (F.col("start") - 1).alias("begin"), F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    grouped = edges.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # State: the best way to each place so far; edges come by their stop, then begin.
-    fold = """aggregate(edges,
-      array(named_struct('score', 0.0D, 'begin', -1, 'id', -1)),
-      (best, e) -> CASE
-        WHEN size(best) <= e.stop THEN concat(best, array(named_struct('score', best[e.begin].score + e.score, 'begin', e.begin, 'id', e.id)))
-        WHEN best[e.begin].score + e.score > best[e.stop].score THEN concat(slice(best, 1, e.stop), array(named_struct('score', best[e.begin].score + e.score, 'begin', e.begin, 'id', e.id)))
-        ELSE best END)"""
-    path = """aggregate(sequence(size(best) - 1, 1, -1),
-      named_struct('at', size(best) - 1, 'path', CAST(array() AS array<struct<begin:int,id:int>>)),
-      (s, i) -> CASE WHEN i = s.at THEN named_struct('at', best[i].begin, 'path', concat(array(named_struct('begin', best[i].begin, 'id', best[i].id)), s.path)) ELSE s END).path"""
-    found = grouped.select("chunk", F.expr(fold).alias("best")).select("chunk", F.expr("best[size(best) - 1].score").alias("score"), F.expr(path).alias("path"))
+    # An edge in one long: where it stops, and its id from 1 (0: no piece), by which its length and score are known.
+    edge = F.shiftleft((F.col("start") + F.col("len") - 1).cast("long"), 32) + F.coalesce("id", F.lit(-1)) + 1
+    grouped = edges.groupBy("chunk").agg(F.collect_list(edge).alias("edges"))
+    found = grouped.select("chunk", best_path(pieces, unknown)("chunk", "edges").alias("best"))
+    return found.select("chunk", F.col("best.ids").alias("ids"), F.col("best.score").alias("score"))
+
+
+def best_path(pieces: DataFrame, unknown: float):
+    """A column function: a chunk and its edges -> ids and score of the best path, by an ordered fold over the places where edges stop.
+
+    All chunks of a batch take a step at once.
+    """
+    rows = pieces.collect()  # a vocabulary
+    size = max((r.id for r in rows), default=-1) + 2
+    lengths, scores = np.ones(size, dtype=np.int64), np.full(size, unknown)
+    for r in rows:
+        if r.kind == "piece":
+            lengths[r.id + 1], scores[r.id + 1] = len(r.piece), r.score
     # An unknown character becomes the ids of its UTF-8 bytes, which are consecutive in the vocabulary.
-    byte = pieces.where("kind = 'byte'").agg(F.min("id")).first()[0]
-    base = -1 if byte is None else int(byte)
-    octets = f"transform(sequence(1, octet_length(substring(chunk, p.begin + 1, 1))), k -> {base} + CAST(conv(substring(hex(encode(substring(chunk, p.begin + 1, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS INT))"
-    ids = F.expr(f"flatten(transform(path, p -> CASE WHEN p.id >= 0 THEN array(p.id) ELSE {octets} END))" if base >= 0 else "transform(path, p -> p.id)")
-    return found.select("chunk", ids.alias("ids"), "score")
+    base = min((r.id for r in rows if r.kind == "byte"), default=-1)
+    sent = pieces.sparkSession.sparkContext.broadcast((lengths, scores))
+
+    @F.arrow_udf("ids array<int>, score double")
+    def fold(chunk: pa.Array, edges: pa.Array) -> pa.Array:
+        lengths, scores = sent.value
+        count = pa.compute.list_value_length(edges).to_numpy(zero_copy_only=False)
+        code = edges.flatten().to_numpy(zero_copy_only=False)
+        row, stop, entry = np.repeat(np.arange(len(count)), count), code >> 32, code & 0xFFFFFFFF
+        begin = stop - lengths[entry]
+        order = np.lexsort((begin, row, stop))
+        row, stop, begin, entry = row[order], stop[order], begin[order], entry[order]
+        n = np.zeros(len(count), dtype=np.int64)
+        np.maximum.at(n, row, stop)
+        at = np.cumsum(n + 1) - (n + 1)  # where a chunk's places begin
+        best, chosen = np.zeros(int((n + 1).sum())), np.full(int((n + 1).sum()), -1)
+        cuts = np.flatnonzero(np.diff(stop, prepend=-1, append=-1)) if len(stop) else np.zeros(1, dtype=np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            way = best[at[row[a:b]] + begin[a:b]] + scores[entry[a:b]]
+            first = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+            most = np.maximum.reduceat(way, first)
+            # on equal sums the edge that begins earlier
+            ties = np.flatnonzero(way == np.repeat(most, np.diff(np.append(first, b - a))))
+            ties = ties[np.flatnonzero(np.diff(row[a:b][ties], prepend=-1))]
+            place = at[row[a:b][ties]] + stop[a]
+            best[place], chosen[place] = most, a + ties
+        taken, who, place = [np.empty(0, dtype=np.int64)], np.flatnonzero(n), n[n > 0]
+        while len(who):
+            edge = chosen[at[who] + place]
+            taken.append(edge)
+            place = begin[edge]
+            who, place = who[place > 0], place[place > 0]
+        taken = np.concatenate(taken)
+        taken = taken[np.lexsort((stop[taken], row[taken]))]
+        ids, own = entry[taken] - 1, np.ones(len(taken), dtype=np.int64)
+        if base >= 0:
+            unknown = np.flatnonzero(ids < 0).tolist()
+            octets = [chunk[int(row[taken[i]])].as_py()[begin[taken[i]]].encode("utf-8") for i in unknown]
+            own[unknown] = [len(x) for x in octets]
+            ids = np.repeat(ids, own)
+            ids[ids < 0] = [base + x for o in octets for x in o]
+        ends = np.cumsum(np.bincount(row[taken], weights=own, minlength=len(n)).astype(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(best[at + n])], names=["ids", "score"])
+
+    return fold
 
 
 def decode_chunks(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -214,6 +267,49 @@ def lexicon(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
         spark.conf.set(GROUPS_IN_MEMORY, before)
 
 
+def by_group(placed: DataFrame, n: int, pieces: DataFrame) -> DataFrame:
+    """(group, places, sizes, ids) of ``placed`` (group, place, chunk; n rows): packed numbers of a group's chunks from one partition of the lattice.
+
+    Chunks are dealt once, with their places; encoding and joining need no other shuffle, and what goes back to the groups
+    is a few bytes a chunk.
+    """
+    spark, parts = placed.sparkSession, n // CHUNKS_PER_PARTITION + 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def packed_rows() -> pa.RecordBatch:
+            t = pa.Table.from_batches(waiting).combine_chunks().sort_by([("group", "ascending"), ("place", "ascending")])
+            group, place = t["group"].to_numpy(), t["place"].to_numpy().astype(np.int64)
+            lists = t["ids"].combine_chunks()
+            ends = np.cumsum(np.append(0, pa.compute.list_value_length(lists).to_numpy()))
+            ids = lists.flatten().to_numpy().astype(np.int64)
+            cuts = np.append(np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1), len(group))
+            runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            rows = [(packed(place[a:b]), packed(np.diff(ends[a : b + 1])), packed(ids[ends[a] : ends[b]])) for a, b in runs]
+            return pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["group", "places", "sizes", "ids"])
+
+        for b in batches:
+            if b.num_rows:
+                waiting.append(b)
+            if sum(x.num_rows for x in waiting) > COUNTED:
+                yield packed_rows()
+                waiting.clear()
+        if waiting:
+            yield packed_rows()
+
+    dealt = placed.where("chunk IS NOT NULL").repartition(parts, "chunk")
+    # the condition holds for all; it keeps the columns, so that both sides read the same shuffle
+    distinct = dealt.groupBy("chunk").agg(F.min(F.struct("group", "place")).alias("first")).where("first.group >= 0 AND first.place >= 0").select("chunk")
+    found = dealt.join(encode_chunks(distinct, pieces).select("chunk", "ids"), "chunk").select("group", "place", "ids")
+    before = spark.conf.get(GROUPS_IN_MEMORY)
+    spark.conf.set(GROUPS_IN_MEMORY, str(4 * CHUNKS_PER_PARTITION))
+    try:
+        return stored(found.mapInArrow(pack, "group long, places binary, sizes binary, ids binary"))
+    finally:
+        spark.conf.set(GROUPS_IN_MEMORY, before)
+
+
 def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, lexicon) for whole texts; ids of any type.
 
@@ -238,74 +334,87 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each part of a document: the numbers of its frequent chunks, -1 for others, and those others."""
+        """A row for each part of a document: the numbers of its frequent chunks, -1 for others, and those others by their place in their group's list.
+
+        A group is a run of documents; its list of distinct other chunks follows in rows of its own (row is -1), PART chunks in each.
+        """
         of, split = number.value.get, re.compile(pattern)
+        columns = ["group", "row", "part", "doc_id", "source", "codes", "others", "chunks"]
+        group, listed, n = None, {}, 0
+
+        def lists() -> list[tuple]:
+            names = list(listed)
+            return [(group, -1, part, None, None, None, None, names[at : at + PART]) for part, at in enumerate(range(0, len(names), PART))]
+
         for b in batches:
             found = []
             for row, doc_id, source, text in zip(b["row"], b["doc_id"], b["source"], b["text"], strict=True):
+                if group is None:
+                    group = row
                 words = chunks(split, text)
+                n += len(words)
                 for part, at in enumerate(range(0, max(1, len(words)), PART)):
                     some = words[at : at + PART]
                     codes = np.array([of(w, -1) for w in some], dtype=np.int64)
-                    found.append((row, part, doc_id, source, packed(codes), [some[i] for i in np.flatnonzero(codes < 0)]))
-            yield pd.DataFrame(found, columns=["row", "part", "doc_id", "source", "codes", "others"])
+                    others = np.array([listed.setdefault(some[i], len(listed)) for i in np.flatnonzero(codes < 0).tolist()], dtype=np.int64)
+                    found.append((group, row, part, doc_id, source, packed(codes), packed(others), None))
+                if len(listed) >= LISTED or n >= RUN:
+                    found += lists()
+                    group, listed, n = None, {}, 0
+            yield pd.DataFrame(found, columns=columns)
+        if listed:
+            yield pd.DataFrame(lists(), columns=columns)
 
     # Rows are numbered once; the table keeps the numbers. Longs beside nulls would become doubles in pandas, so some travel as text.
     whole = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string").alias("source"), "text")
-    whole = stored(whole.mapInPandas(cut, "row long, part int, doc_id string, source string, codes binary, others array<string>"))
-    best = lexicon(whole.select(F.explode("others").alias("chunk")).distinct(), needed)
-    none = lambda t: F.lit(None).cast(t)
-    others = whole.select("row", "part", F.posexplode("others").alias("k", "chunk")).join(best.select("chunk", "ids"), "chunk")
-    others = others.select("row", "part", "k", none("string").alias("doc_id"), none("string").alias("source"), none("binary").alias("codes"), "ids")
-    parts_of = whole.select("row", "part", F.lit(-1).alias("k"), "doc_id", "source", "codes", none("array<int>").alias("ids"))
-
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come by document, part and place: a part first, then the ids of its other chunks in order."""
-        flat, starts, sizes, costs = known.value
-        doc: list = []  # row, doc_id, source, n_chunks, arrays of ids
-
-        def close_part(codes, fills: list) -> None:
-            own = sizes[codes]  # -1 takes the last
-            at_others = np.flatnonzero(codes < 0)
-            assert len(at_others) == len(fills), "a chunk is missing in the lexicon"
-            place = np.repeat(starts[codes] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            ids = flat[place]
-            if fills:
-                before = (np.cumsum(own) - own)[at_others]
-                ids = np.insert(ids, np.repeat(before, [len(x) for x in fills]), np.concatenate(fills)).astype(np.int32)
-            doc[3] += len(codes)
-            doc[4].append(ids)
+    whole = stored_by(whole.mapInPandas(cut, "group long, row long, part int, doc_id string, source string, codes binary, others binary, chunks array<string>"), "group")
+    lists = whole.where("row < 0").select("group", (F.col("part") * PART).alias("base"), "chunks")
+    placed = lists.select("group", "base", F.posexplode("chunks").alias("at", "chunk")).select("group", (F.col("base") + F.col("at")).alias("place"), "chunk")
+    best = by_group(placed, int(lists.agg(F.sum(F.size("chunks"))).first()[0] or 0), needed)
 
-        def finished() -> tuple:
+    def put_together(docs: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        """The documents of a group, from their numbers and what the group's list encodes to."""
+        flat, starts, sizes, costs = known.value
+        places, lengths, ids = (np.concatenate([np.empty(0, dtype=np.int64), *map(unpacked, lists[c])]) for c in ("places", "sizes", "ids"))
+        begin, count = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
+        begin[places], count[places] = np.cumsum(lengths) - lengths, lengths
+        ids = ids.astype(np.int32)
+
+        def of_part(codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+            rare = codes < 0
+            assert rare.sum() == len(others), "a chunk is missing in the lexicon"
+            first, own = starts[codes], sizes[codes]  # -1 takes the last
+            first[rare], own[rare] = begin[others], count[others]
+            at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first, own)
+            of_list = np.repeat(rare, own)
+            out = np.empty(len(at), dtype=np.int32)
+            out[of_list], out[~of_list] = ids[at[of_list]], flat[at[~of_list]]
+            return out
+
+        out, doc = [], []  # doc: row, doc_id, source, n_chunks, arrays of ids
+
+        def finish() -> None:
             _, doc_id, source, n, arrays = doc
             ids = np.concatenate(arrays)
-            return doc_id, n, len(ids), float(costs[ids].sum()), ids, zlib.crc32(ids.astype("<i4").tobytes()), source
-
-        names = ["doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", "source"]
-        codes, fills = None, []
-        for b in batches:
-            out = []
-            for row, k, doc_id, source, data, ids in zip(*(b[c].astype(object) for c in ("row", "k", "doc_id", "source", "codes", "ids")), strict=True):
-                if k >= 0:
-                    fills.append(np.asarray(ids, dtype=np.int32))
-                    continue
-                if codes is not None:
-                    close_part(codes, fills)
-                if doc and doc[0] != row:
-                    out.append(finished())
-                    doc.clear()
-                if not doc:
-                    doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, []])
-                codes, fills = unpacked(data), []
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if codes is not None:
-            close_part(codes, fills)
-            yield pd.DataFrame([finished()], columns=names)
-
-    ordered = parts_of.unionByName(others).repartition("row").sortWithinPartitions("row", "part", "k")
-    found = ordered.mapInPandas(put_together, "doc_id string, n_chunks long, n_pieces long, score double, ids array<int>, ids_crc32 long, source string")
-    return found.withColumns({"doc_id": F.col("doc_id").cast(kind), "source": F.col("source").cast("long")}), common.unionByName(best)
+            out.append((doc_id, n, len(ids), float(costs[ids].sum()), ids, zlib.crc32(ids.astype("<i4").tobytes()), source))
+            doc.clear()
+
+        for row, doc_id, source, codes, others in docs.sort_values(["row", "part"])[["row", "doc_id", "source", "codes", "others"]].itertuples(index=False):
+            if doc and doc[0] != row:
+                finish()
+            if not doc:
+                doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, []])
+            codes = unpacked(codes)
+            doc[3] += len(codes)
+            doc[4].append(of_part(codes, unpacked(others)))
+        if doc:
+            finish()
+        return pd.DataFrame(out, columns=["doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", "source"])
+
+    parts_of = whole.where("row >= 0").select("group", "row", "part", "doc_id", "source", "codes", "others")
+    found = parts_of.groupBy("group").cogroup(best.groupBy("group")).applyInPandas(put_together, "doc_id string, n_chunks long, n_pieces long, score double, ids array<int>, ids_crc32 long, source string")
+    rare = encode_chunks(placed.select("chunk").distinct(), needed)
+    return found.withColumns({"doc_id": F.col("doc_id").cast(kind), "source": F.col("source").cast("long")}), common.unionByName(rare)
 
 
 def _costs(pieces: DataFrame) -> np.ndarray:

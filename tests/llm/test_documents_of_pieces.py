@@ -73,3 +73,21 @@ def test_documents_against_plain_dynamic_programming(spark):
                 cache[c] = best(c)
             want += cache[c]
         assert list(got[i]) == want
+
+
+def test_chunks_of_a_run_are_listed_once(spark, monkeypatch):
+    """A rare chunk goes through the join once a run of documents, not once a place, whatever the length of its list."""
+    monkeypatch.setattr(pieces, "FREQUENT", 3)
+    monkeypatch.setattr(pieces, "PART", 5)
+    monkeypatch.setattr(pieces, "LISTED", 40)
+    monkeypatch.setattr(pieces, "CHUNKS_PER_PARTITION", 9)
+    monkeypatch.setattr(pieces, "COUNTED", 4)
+    table, joined, plain = pieces.piece_table(spark, queries.tokenizer_path("piece_bpe_32k.model")), [], pieces.by_group
+    monkeypatch.setattr(pieces, "by_group", lambda placed, n, own: (joined.append((placed.count(), n, placed.dropDuplicates(["group", "chunk"]).count())), plain(placed, n, own))[1])
+    texts = [" ".join(f"w{(7 * i + k) % 60}x" for k in range(i % 30)) for i in range(120)]
+    found, lexicon = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2), table)
+    assert {x.doc_id: x.text for x in pieces.decode(found, table).collect()} == dict(enumerate(texts))
+    ids, pattern = {x.chunk: x.ids for x in lexicon.collect()}, re.compile(pieces.cut_pattern(table))
+    assert {x.doc_id: x.ids for x in found.collect()} == {i: [p for c in pieces.chunks(pattern, t) for p in ids[c]] for i, t in enumerate(texts)}
+    places = sum(len(pieces.chunks(pattern, t)) for t in texts)
+    assert len(joined) == 1 and joined[0][0] == joined[0][1] == joined[0][2] < places / 2
