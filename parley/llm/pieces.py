@@ -28,6 +28,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ COUNTED = 500_000
 UNKNOWN_PENALTY = 10.0
 #: Chunks of a document that are handled at once; a longer document is cut into such parts.
 PART = 8192
+#: Parts that are put together at once.
+TOGETHER = 100
 #: Distinct chunks, besides the frequent ones, of the run of documents that shares a list of them.
 LISTED = 100_000
 #: Chunks of such a run, unless one document has more.
@@ -213,9 +216,11 @@ def decoder(pieces: DataFrame):
         table[r.id] = bytes([int(r.piece[3:5], 16)]) if r.kind == "byte" else r.piece.encode("utf-8")
     sent = pieces.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("string")
-    def decode_ids(ids: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(sent.value[np.asarray(x, dtype=np.int64)]).decode("utf-8", "replace").replace(SPACE, " ")[1:] for x in ids], dtype=object)
+    @F.arrow_udf("string")
+    def decode_ids(ids: pa.Array) -> pa.Array:
+        ends = np.append(0, np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))).tolist()
+        table, codes = sent.value, ids.flatten().to_numpy(zero_copy_only=False)
+        return pa.array([b"".join(table[codes[a:b]]).decode("utf-8", "replace").replace(SPACE, " ")[1:] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
     return decode_ids
 
@@ -228,11 +233,13 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def packed(codes: np.ndarray) -> bytes:
     """Numbers of chunks from -1, byte plane by byte plane: frequent chunks have small numbers, so that most high bytes are 0."""
-    return zlib.compress((codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    planes = (codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(codes).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd") if n else b"", dtype=np.uint8).reshape(4, n)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
 
 
@@ -355,7 +362,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                 n += len(words)
                 for part, at in enumerate(range(0, max(1, len(words)), PART)):
                     some = words[at : at + PART]
-                    codes = np.array([of(w, -1) for w in some], dtype=np.int64)
+                    codes = np.fromiter(map(of, some, repeat(-1)), dtype=np.int64, count=len(some))
                     others = np.array([listed.setdefault(some[i], len(listed)) for i in np.flatnonzero(codes < 0).tolist()], dtype=np.int64)
                     found.append((group, row, part, doc_id, source, packed(codes), packed(others), None))
                 if len(listed) >= LISTED or n >= RUN:
@@ -380,33 +387,37 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
         begin[places], count[places] = np.cumsum(lengths) - lengths, lengths
         ids = ids.astype(np.int32)
 
-        def of_part(codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        def of_codes(codes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The ids of places, and how many each has."""
             rare = codes < 0
             assert rare.sum() == len(others), "a chunk is missing in the lexicon"
             first, own = starts[codes], sizes[codes]  # -1 takes the last
-            first[rare], own[rare] = begin[others], count[others]
-            at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first, own)
-            of_list = np.repeat(rare, own)
-            out = np.empty(len(at), dtype=np.int32)
-            out[of_list], out[~of_list] = ids[at[of_list]], flat[at[~of_list]]
-            return out
+            first[rare], own[rare] = begin[others] + len(flat), count[others]
+            return both[np.arange(own.sum()) + np.repeat(first - (np.cumsum(own) - own), own)], own
 
+        both = np.concatenate((flat, ids))
         out, doc = [], []  # doc: row, doc_id, source, n_chunks, arrays of ids
 
         def finish() -> None:
             _, doc_id, source, n, arrays = doc
-            ids = np.concatenate(arrays)
-            out.append((doc_id, n, len(ids), float(costs[ids].sum()), ids, zlib.crc32(ids.astype("<i4").tobytes()), source))
+            ids = np.concatenate(arrays) if len(arrays) > 1 else arrays[0]
+            out.append((doc_id, n, len(ids), float(costs[ids].sum()), ids, zlib.crc32(ids.astype("<i4", copy=False).tobytes()), source))
             doc.clear()
 
-        for row, doc_id, source, codes, others in docs.sort_values(["row", "part"])[["row", "doc_id", "source", "codes", "others"]].itertuples(index=False):
-            if doc and doc[0] != row:
-                finish()
-            if not doc:
-                doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, []])
-            codes = unpacked(codes)
-            doc[3] += len(codes)
-            doc[4].append(of_part(codes, unpacked(others)))
+        docs = docs.sort_values(["row", "part"])
+        for at in range(0, len(docs), TOGETHER):
+            some = docs.iloc[at : at + TOGETHER]
+            codes = [unpacked(x) for x in some["codes"]]
+            found, own = of_codes(np.concatenate(codes), np.concatenate([unpacked(x) for x in some["others"]]))
+            sizes_of = np.cumsum([0, *map(len, codes)])
+            ends = np.append(0, np.cumsum(own))[sizes_of].tolist()
+            for row, doc_id, source, n, a, b in zip(some["row"], some["doc_id"], some["source"], map(len, codes), ends[:-1], ends[1:], strict=True):
+                if doc and doc[0] != row:
+                    finish()
+                if not doc:
+                    doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, []])
+                doc[3] += n
+                doc[4].append(found[a:b])
         if doc:
             finish()
         return pd.DataFrame(out, columns=["doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", "source"])
