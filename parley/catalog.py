@@ -1101,11 +1101,11 @@ def said_states(s: SparkSession, d: str) -> DataFrame:
 
 
 def held_turns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Turns of the texts as first recognized, as far as their receipts hold; every fifth receipt is of an older revision. And the states."""
-    turns, now = reading.reading_turns(timed_passages(s, d)), said_states(s, d)
+    """Turns of the texts as first recognized, gathered, as far as their receipts hold; every fifth receipt is of an older revision. And the states."""
+    turns, now = reading.told(timed_passages(s, d)), said_states(s, d)
     first = now.drop("text").join(view(s, d, "passages").select("recording_id", "passage_id", "text"), ["recording_id", "passage_id"])
     older = F.col("revision") - F.when((F.col("recording_id") + F.col("pos")) % 5 == 0, 1).otherwise(0)
-    return reading.held(turns, now, reading.receipts(turns, first.withColumn("machine_revision", older))), now
+    return reading.standing(turns, now, reading.receipts(turns, first.withColumn("machine_revision", older))), now
 
 
 #: Turns whose receipt holds: the text is as it was, nothing is protected, and the revision is the one that the turns were made from.
@@ -1225,7 +1225,7 @@ def _(s, d):
 
 @query("p30_held_turns", f"SELECT recording_id, passage_id, n, speaker, text FROM {HELD} q")
 def _(s, d):
-    return held_turns(s, d)[0].select("recording_id", "passage_id", "n", "speaker", "text")
+    return held_turns(s, d)[0].select("recording_id", "passage_id", F.explode("turns").alias("t")).select("recording_id", "passage_id", "t.n", "t.speaker", "t.text")
 
 
 @query("o1_canonical_places", f"SELECT DISTINCT recording_id, passage_id, place FROM (SELECT recording_id, passage_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_sample, end_sample, CASE WHEN (recording_id + pos) % 7 = 0 THEN 'system' ELSE '' END, CASE WHEN (recording_id + pos) % 7 = 0 THEN passage_id ELSE '' END, CASE WHEN separated THEN passage_id END NULLS FIRST, pos, passage_id) AS place FROM {S} q) x")

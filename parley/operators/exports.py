@@ -51,9 +51,13 @@ def rows(passages: DataFrame, speakers: DataFrame, turns: DataFrame, kind: str)
 
     A passage with turns is written as its turns: in a TXT always, in subtitles
     if each of them is attributed. Turns without times take the passage's.
+    ``turns`` are rows, or gathered as ``reading.standing`` gives them.
     """
-    whole = F.array_sort(F.collect_list(F.struct("n", "text", "speaker", "attribution", "start_sample", "end_sample")))
-    per = turns.groupBy(KEY, "passage_id").agg(F.bool_and(F.col("attribution") != "unknown").alias("_known"), whole.alias("_turns"))
+    if "turns" in turns.columns:
+        per = turns.select(KEY, "passage_id", F.forall("turns", lambda t: t["attribution"] != "unknown").alias("_known"), F.col("turns").alias("_turns"))
+    else:
+        whole = F.array_sort(F.collect_list(F.struct("n", "text", "speaker", "attribution", "start_sample", "end_sample")))
+        per = turns.groupBy(KEY, "passage_id").agg(F.bool_and(F.col("attribution") != "unknown").alias("_known"), whole.alias("_turns"))
     joined = ordered(passages).where(written()).join(per, [KEY, "passage_id"], "left")
     used = F.col("_turns") if kind == "txt" else F.when(F.col("_known"), F.col("_turns"))
     each = joined.withColumn("_t", F.explode_outer(used))

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,58 +25,177 @@ MARGIN = 4_000
 RUN = re.compile(r"[\S\x1c-\x1f]+")
 
 
+def _units(text: pa.Array) -> pa.Array:
+    spans, offsets = array("i"), []
+    for t in text.to_pylist():
+        offsets.append(None if t is None else len(spans) // 2)
+        spans.extend(chain.from_iterable(map(re.Match.span, RUN.finditer(t or ""))))
+    both = np.frombuffer(spans, dtype=np.int32).reshape(-1, 2)
+    found = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start_char", "end_char"])
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(both)], pa.int32()), found)
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])))
 def units(text: pa.Array) -> pa.Array:
     """The runs of a text between white space as an array of (start_char, end_char), from 0, in code points; null for a null text.
 
     Linear in the text. Spark's lambdas on arrays copy what they have found for every word, and are repeated wherever the column is used.
     """
-    starts, ends, offsets = array("i"), array("i"), []
-    for t in text:
-        offsets.append(len(starts) if t.is_valid else None)
-        for m in RUN.finditer(t.as_py() or ""):
-            starts.append(m.start())
-            ends.append(m.end())
-    found = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start_char", "end_char"])
-    return pa.ListArray.from_arrays(pa.array([*offsets, len(starts)], pa.int32()), found)
-
-
-#: Regions in order as one ledger from the passage's start to its end, or to where it was observed; equal neighbours are merged. Null if it has a break.
-LEDGER = """aggregate(regions, named_struct('at', start_sample, 'whole', true, 'found', CAST(array() AS array<struct<a:bigint,z:bigint,who:array<string>>>)),
-  (s, r) -> named_struct('at', r.end_sample, 'whole', s.whole AND s.at = r.start_sample AND r.start_sample < r.end_sample AND r.end_sample <= upto,
-    'found', CASE WHEN size(s.found) > 0 AND try_element_at(s.found, -1).who = array_sort(r.speakers)
-      THEN concat(slice(s.found, 1, size(s.found) - 1), array(named_struct('a', try_element_at(s.found, -1).a, 'z', r.end_sample, 'who', try_element_at(s.found, -1).who)))
-      ELSE concat(s.found, array(named_struct('a', r.start_sample, 'z', r.end_sample, 'who', array_sort(r.speakers)))) END),
-  s -> CASE WHEN s.whole AND s.at = upto THEN s.found END)"""
-#: The speakers of the region that holds a word safely: nobody else within the margin, and far enough from what wasn't observed.
-OWNER = f"""get(filter(transform(ledger, (r, i) -> named_struct('r', r, 'i', i)), x -> x.r.a <= w.start_sample AND w.end_sample <= x.r.z AND size(x.r.who) > 0
-  AND CASE WHEN observed_end IS NOT NULL THEN least(end_sample, w.end_sample + {MARGIN}) <= observed_end
-    ELSE anchor_start + {MARGIN} <= w.start_sample AND w.end_sample <= anchor_end - {MARGIN}
-      AND x.r.a + CASE WHEN x.i = 0 THEN 0 ELSE {MARGIN} END <= w.start_sample AND w.end_sample <= x.r.z - CASE WHEN x.i + 1 < size(ledger) THEN {MARGIN} ELSE 0 END END
-  AND forall(x.r.who, n -> n RLIKE '^speaker_[0-9]+$')
-  AND NOT exists(ledger, o -> o.a < least(end_sample, w.end_sample + {MARGIN}) AND greatest(start_sample, w.start_sample - {MARGIN}) < o.z AND size(o.who) > 0 AND o.who <> x.r.who)), 0).r.who"""
-#: Words as parts of the text, from the end of the last to the start of the next, with their owner.
-PARTS = f"""transform(zip_with(words, fits, (w, f) -> named_struct('start_char', w.start_char, 'start_sample', w.start_sample, 'end_sample', w.end_sample, 'fits', f)), (w, i) -> named_struct('who', CASE WHEN w.fits THEN {OWNER} END,
-  'start_offset', CASE WHEN i = 0 THEN 0 ELSE w.start_char END, 'end_offset', CASE WHEN i + 1 < size(words) THEN try_element_at(words, i + 2).start_char ELSE length(text) END,
-  'start_sample', w.start_sample, 'end_sample', w.end_sample))"""
-#: Neighbouring parts of one owner as a turn: first start, last end.
-MERGED = """aggregate(parts, slice(parts, 1, 0), (t, p) -> CASE WHEN size(t) > 0 AND try_element_at(t, -1).who <=> p.who
-  THEN concat(slice(t, 1, size(t) - 1), array(named_struct('who', p.who, 'start_offset', try_element_at(t, -1).start_offset, 'end_offset', p.end_offset, 'start_sample', try_element_at(t, -1).start_sample, 'end_sample', p.end_sample)))
-  ELSE concat(t, array(p)) END)"""
-
-
-@F.arrow_udf(T.ArrayType(T.BooleanType()))
-def in_order(starts: pa.Array, ends: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
-    """For each word, whether its times count: they come in order and end within the anchor. A word that doesn't count sets no bound for the next."""
+    return _units(text)
+
+
+#: A speaker's name, as Java's ``^speaker_[0-9]+$`` finds it: a line end may follow.
+SPEAKER = re.compile(r"speaker_[0-9]+(?:\r\n|[\n\r\u0085\u2028\u2029])?")
+#: Words that are judged at once.
+AT_ONCE = 65_536
+#: What a turn consists of, beside its passage.
+TURN = T.StructType([T.StructField(c, kind) for c, kind in (
+    ("n", T.IntegerType()), ("start_offset", T.IntegerType()), ("end_offset", T.IntegerType()), ("text", T.StringType()), ("speaker", T.StringType()), ("attribution", T.StringType()),
+    ("start_sample", T.LongType()), ("end_sample", T.LongType()))])
+FIELDS = tuple(TURN.names)
+Region = tuple[int, int, tuple | None]
+
+
+def ledger(regions: list | None, start: int, upto: int) -> list[Region] | None:
+    """Regions in order as one ledger from the passage's start to its end, or to where it was observed; equal neighbours are merged. None if it has a break."""
+    if regions is None:
+        return None
+    at, found = start, []
+    for r in regions:
+        if r is None or r["start_sample"] is None or r["end_sample"] is None or not at == r["start_sample"] < r["end_sample"] <= upto:
+            return None
+        at, who = r["end_sample"], None if r["speakers"] is None else tuple(sorted(r["speakers"], key=lambda n: (n is None, n or "")))
+        if found and who is not None and found[-1][2] == who:
+            found[-1] = (found[-1][0], at, who)
+        else:
+            found.append((r["start_sample"], at, who))
+    return found if at == upto else None
+
+
+def others(regions: Iterable[Region], edge: int) -> list[int | None]:
+    """For each region the edge of the nearest one before it in which others speak. Whose speakers aren't known is another's."""
+    found, last = [], None
+    for r in regions:
+        near = last and (last[2] if r[2] is not None and last[0] == r[2] else last[1])
+        found.append(near)
+        if r[2] is None or r[2]:
+            last = (r[2], r[edge], near)
+    return found
+
+
+def safe(regions: list[Region], end: int, anchor_start: int, anchor_end: int, observed: int | None) -> list[tuple[int, int]]:
+    """For each region of a ledger from where to where a word in it is safe: nobody else within the margin, and far enough from what wasn't observed."""
     found = []
-    for a, z, at, stop in zip(*(x.to_pylist() for x in (starts, ends, first, last)), strict=True):
-        fits = []
-        for start, end in zip(a, z, strict=True):
-            good = start is not None and end is not None and at <= start < end <= stop
-            at = end if good else at
-            fits.append(good)
-        found.append(fits)
-    return pa.array(found, pa.list_(pa.bool_()))
+    for i, ((a, z, _), before, after) in enumerate(zip(regions, others(regions, 1), others(regions[::-1], 0)[::-1], strict=True)):
+        low, high = [a], [z]
+        if before is not None:
+            low.append(before + MARGIN)
+        if after is not None:
+            high.append(after - MARGIN)
+        if observed is None:
+            low += [anchor_start + MARGIN, a + (MARGIN if i else 0)]
+            high += [anchor_end - MARGIN, z - (MARGIN if i + 1 < len(regions) else 0)]
+        elif end > observed:
+            high.append(observed - MARGIN)
+        found.append((max(low), min(high)))
+    return found
+
+
+def owners(starts: list[int], ends: list[int], first: int, last: int, regions: list[Region], bounds: list[tuple[int, int]], numbers: list[int]) -> list[int]:
+    """For each word the number of the speakers that own it, -1 for nobody.
+
+    Times count if they come in order and end within the anchor; a word whose
+    times don't count sets no bound for the next. So the region only moves on.
+    """
+    stops = [z for _, z, _ in regions]
+    found, at, k = [], first, 0
+    for start, end in zip(starts, ends, strict=True):
+        own = -1
+        if at <= start < end <= last:
+            at = end
+            while k < len(stops) and stops[k] <= start:
+                k += 1
+            if k < len(stops) and bounds[k][0] <= start and end <= bounds[k][1]:
+                own = numbers[k]
+        found.append(own)
+    return found
+
+
+def _column(items: pa.Array, name: str, missing: int) -> np.ndarray:
+    return pa.compute.fill_null(pa.compute.struct_field(items, name), missing).to_numpy(zero_copy_only=False)
+
+
+def _turns(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The passages of ``rows`` that have turns, with these; work is linear in words and regions."""
+    texts, said = rows["text"].combine_chunks(), rows["words"].combine_chunks()
+    count, found = pa.compute.list_value_length(said).to_numpy(zero_copy_only=False), _units(texts)
+    same = count == pa.compute.fill_null(pa.compute.list_value_length(found), -1).to_numpy(zero_copy_only=False)
+    items, real = said.filter(pa.array(same)).flatten(), found.filter(pa.array(same)).flatten()
+    differs = np.zeros(len(items), dtype=bool)
+    for c in ("start_char", "end_char"):
+        differs |= _column(items, c, -1) != _column(real, c, -1)
+    same[np.flatnonzero(same)[np.repeat(np.arange(same.sum()), count[same])[differs]]] = False
+
+    def of(c: str) -> list:
+        return rows[c].to_pylist()
+
+    spans = list(zip(of("start_sample"), of("end_sample"), of("anchor_start"), of("anchor_end"), of("observed_end"), strict=True))
+    ledgers = [ledger(r, s[0], s[1] if s[4] is None else s[4]) if good else None for r, s, good in zip(of("regions"), spans, same.tolist(), strict=True)]
+    kept = [i for i, x in enumerate(ledgers) if x is not None]
+    if not kept:
+        return
+    rows, said, count = rows.take(pa.array(kept, pa.int64())), said.take(pa.array(kept, pa.int64())), count[kept].astype(np.int64)
+    items, cuts = said.flatten(), np.append(0, np.cumsum(count))
+    timed = np.ones(len(items), dtype=bool)
+    for c in ("start_sample", "end_sample"):
+        timed &= pa.compute.is_valid(pa.compute.struct_field(items, c)).to_numpy(zero_copy_only=False)
+    starts, ends = np.where(timed, _column(items, "start_sample", 1), 1), np.where(timed, _column(items, "end_sample", 0), 0)
+    numbers: dict[tuple, int] = {}
+    own: list[int] = []
+    some, others_ = starts.tolist(), ends.tolist()
+    for i, a, z in zip(kept, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        first, end, anchor_start, anchor_end, observed = spans[i]
+        named = [numbers.setdefault(who, len(numbers)) if who and all(n is not None and SPEAKER.fullmatch(n) for n in who) else -1 for _, _, who in ledgers[i]]
+        own += owners(some[a:z], others_[a:z], first, anchor_end, ledgers[i], safe(ledgers[i], end, anchor_start, anchor_end, observed), named)
+    # neighbours of one owner are a turn: first start, last end
+    owner, chars = np.array(own, dtype=np.int64), _column(items, "start_char", 0).astype(np.int64)
+    new = np.diff(owner, prepend=-2) != 0
+    new[cuts[:-1]] = True
+    at = np.flatnonzero(new)
+    size = np.add.reduceat(new, cuts[:-1], dtype=np.int64)
+    head, tail = np.cumsum(size) - size, np.cumsum(size) - 1
+    left = chars[at]
+    left[head] = 0
+    right, whole = np.append(left[1:], 0), rows["text"].to_pylist()
+    right[tail] = list(map(len, whole))
+    who = owner[at]
+    nobody, last = who < 0, np.append(at[1:], len(owner)) - 1
+    names = pa.array([*("overlap_" * (len(x) > 1) + "_".join(x) for x in numbers), "unassigned"], pa.string())
+    kinds = pa.array([*("overlap" if len(x) > 1 else "single" for x in numbers), "unknown"], pa.string())
+    taken = pa.array(np.where(nobody, len(numbers), who))
+    of_turn = np.repeat(np.arange(len(kept)), size)
+    parts = pa.array([whole[i][a:z] for i, a, z in zip(of_turn.tolist(), left.tolist(), right.tolist(), strict=True)], pa.string())
+    values = [pa.array((np.arange(len(at)) - head[of_turn]).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), parts, names.take(taken), kinds.take(taken),
+              pa.array(starts[at].astype(np.int64), mask=nobody), pa.array(ends[last].astype(np.int64), mask=nobody)]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.StructArray.from_arrays(values, list(FIELDS)))
+    yield pa.RecordBatch.from_arrays([rows[KEY].combine_chunks(), rows["passage_id"].combine_chunks(), lists], names=[KEY, "passage_id", "turns"])
+
+
+def _told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = pa.compute.fill_null(pa.compute.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False)
+        b, words = b.filter(pa.array(words > 0)), words[words > 0]
+        cuts = [*np.flatnonzero(np.diff(np.cumsum(words) // AT_ONCE, prepend=-1)).tolist(), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from _turns(pa.Table.from_batches([b.slice(a, z - a)]))
+
+
+def told(passages: DataFrame) -> DataFrame:
+    """(recording_id, passage_id, turns): ``reading_turns`` as one row for each row of ``passages`` that has turns; nothing is shuffled."""
+    anchored = (F.col("anchor_start") == F.col("start_sample")) & (F.col("start_sample") < F.col("anchor_end")) & (F.col("anchor_end") <= F.col("end_sample"))
+    observed = F.col("observed_end").isNull() | F.col("observed_end").between(F.col("start_sample"), F.col("end_sample"))
+    fit = passages.where(anchored & observed).select(KEY, "passage_id", "text", "start_sample", "end_sample", "anchor_start", "anchor_end", "observed_end", "words", "regions")
+    return fit.mapInArrow(_told, T.StructType([fit.schema[KEY], fit.schema["passage_id"], T.StructField("turns", T.ArrayType(TURN))]))
 
 
 def reading_turns(passages: DataFrame) -> DataFrame:
@@ -85,20 +208,8 @@ def reading_turns(passages: DataFrame) -> DataFrame:
     its regions leave a break. attribution: single, overlap, or unknown for
     words that nobody surely owns, which carry no time.
     """
-    said = F.transform("words", lambda w: F.struct(w["start_char"].cast("int").alias("start_char"), w["end_char"].cast("int").alias("end_char")))
-    anchored = (F.col("anchor_start") == F.col("start_sample")) & (F.col("start_sample") < F.col("anchor_end")) & (F.col("anchor_end") <= F.col("end_sample"))
-    observed = F.col("observed_end").isNull() | F.col("observed_end").between(F.col("start_sample"), F.col("end_sample"))
-    fit = passages.where(anchored & observed & (F.size("words") > 0)).where(said == units(F.col("text")))
-    fit = fit.withColumn("upto", F.coalesce("observed_end", "end_sample")).withColumn("ledger", F.expr(LEDGER)).where("ledger IS NOT NULL")
-    of = lambda c: F.transform("words", lambda w: w[c])
-    owned = fit.withColumn("fits", in_order(of("start_sample"), of("end_sample"), F.col("start_sample"), F.col("anchor_end"))).withColumn("parts", F.expr(PARTS))
-    turns = owned.select(KEY, "passage_id", "text", F.posexplode(F.expr(MERGED)).alias("n", "t"))
-    known, who = F.col("t.who").isNotNull(), F.col("t.who")
-    speaker = F.when(~known, "unassigned").when(F.size(who) == 1, who[0]).otherwise(F.concat(F.lit("overlap_"), F.array_join(who, "_")))
-    attribution = F.when(~known, "unknown").when(F.size(who) == 1, "single").otherwise("overlap")
-    words = F.expr("substring(text, t.start_offset + 1, t.end_offset - t.start_offset)")
-    times = (F.when(known, F.col(f"t.{c}")).alias(c) for c in ("start_sample", "end_sample"))
-    return turns.select(KEY, "passage_id", "n", speaker.alias("speaker"), attribution.alias("attribution"), "t.start_offset", "t.end_offset", words.alias("text"), *times)
+    turns = told(passages).select(KEY, "passage_id", F.explode("turns").alias("t"))
+    return turns.select(KEY, "passage_id", *(f"t.{c}" for c in ("n", "speaker", "attribution", "start_offset", "end_offset", "text", "start_sample", "end_sample")))
 
 
 def coverage(turns: DataFrame, passages: DataFrame) -> DataFrame:
@@ -106,13 +217,12 @@ def coverage(turns: DataFrame, passages: DataFrame) -> DataFrame:
     return covered(gathered(turns), passages)
 
 
-#: What a turn consists of, beside its passage.
-FIELDS = ("n", "start_offset", "end_offset", "text", "speaker", "attribution", "start_sample", "end_sample")
-
-
 def gathered(turns: DataFrame) -> DataFrame:
-    """(recording_id, passage_id, turns): all turns of a passage in order."""
-    return turns.groupBy(KEY, "passage_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("turns"))
+    """(recording_id, passage_id, turns): all turns of a passage in order; ``turns`` are rows of them, or what ``told`` gives."""
+    if "turns" not in turns.columns:
+        return turns.groupBy(KEY, "passage_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("turns"))
+    own = turns.groupBy(KEY, "passage_id").agg(F.collect_list("turns").alias("own"))
+    return own.select(KEY, "passage_id", F.when(F.size("own") == 1, F.col("own")[0]).otherwise(F.array_sort(F.flatten("own"))).alias("turns"))
 
 
 def complete() -> Column:
@@ -174,7 +284,12 @@ def hashed_turns(turns: DataFrame) -> DataFrame:
 
 
 def held(turns: DataFrame, passages: DataFrame, given: DataFrame) -> DataFrame:
-    """The turns that still stand: their passage is unprotected, all that their receipt (of ``receipts``) names is unchanged, and they cover the text.
+    """The turns that still stand, as rows; see ``standing``."""
+    return standing(turns, passages, given).select(KEY, "passage_id", F.explode("turns").alias("t")).select(KEY, "passage_id", *(f"t.{c}" for c in FIELDS))
+
+
+def standing(turns: DataFrame, passages: DataFrame, given: DataFrame) -> DataFrame:
+    """The ``gathered`` turns that still stand: their passage is unprotected, all that their receipt (of ``receipts``) names is unchanged, and they cover the text.
 
     A passage with more than one receipt has none. Turns are gathered once a passage, and judged and hashed there.
     """
@@ -186,5 +301,4 @@ def held(turns: DataFrame, passages: DataFrame, given: DataFrame) -> DataFrame:
     match = (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.passage_id") == F.col("b.passage_id"))
     for c in (*RECEIPT, "text_sha256", "activity_sha256", "anchor_start", "anchor_end", "turns_sha256"):
         match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    valid = a.join(b, match, "left_semi").select(KEY, "passage_id", F.explode("turns").alias("t"))
-    return valid.select(KEY, "passage_id", *(f"t.{c}" for c in FIELDS))
+    return a.join(b, match, "left_semi").select(KEY, "passage_id", "turns")

@@ -131,3 +131,77 @@ def test_a_pair_comes_back_only_unchanged(spark):
     rows = spark.createDataFrame([(1, "e-0", "x"), (1, "e-1", "y"), (2, "e-0", "x"), (2, "e-1", "z")], "recording_id long, passage_id string, version string")
     history = spark.createDataFrame([(k, "a", f"e-{i}", v) for k in (1, 2) for i, v in enumerate("xy")], "recording_id long, original string, passage_id string, version string")
     assert [tuple(x) for x in changes.restored(rows, history).collect()] == [(1, "a")]
+
+
+def plain_turns(text, start, end, anchor_start, anchor_end, observed, words, regions):
+    """The turns of one passage, every word against every region."""
+    import re
+
+    upto = end if observed is None else observed
+    if anchor_start != start or not start < anchor_end <= end or not start <= upto <= end or not words or regions is None or [tuple(w[:2]) for w in words] != [m.span() for m in re.finditer(r"\S+", text)]:
+        return []
+    merged, at = [], start
+    for a, z, who in regions:
+        if a is None or z is None or not at == a < z <= upto:
+            return []
+        at, who = z, who if who is None else sorted(who)
+        if merged and who is not None and merged[-1][2] == who:
+            merged[-1] = (merged[-1][0], z, who)
+        else:
+            merged.append((a, z, who))
+    if at != upto:
+        return []
+    found, last, margin = [], start, reading.MARGIN
+    for i, (first, _, s, e) in enumerate(words):
+        owner = None
+        if s is not None and e is not None and last <= s < e <= anchor_end:
+            last = e
+            for k, (a, z, who) in enumerate(merged):
+                far = min(end, e + margin) <= observed if observed is not None else anchor_start + margin <= s and e <= anchor_end - margin and a + (margin if k else 0) <= s and e <= z - (margin if k + 1 < len(merged) else 0)
+                alone = not any(b < min(end, e + margin) and max(start, s - margin) < y and (o is None or o and o != who) for b, y, o in merged if (b, y) != (a, z))
+                if a <= s and e <= z and who and far and alone and all(re.fullmatch("speaker_[0-9]+", n) for n in who):
+                    owner = who
+        offset = first if i else 0
+        if found and found[-1][0] == owner:
+            found[-1] = (owner, found[-1][1], found[-1][2], e)
+        else:
+            found.append((owner, offset, s, e))
+    stops = [f[1] for f in found[1:]] + [len(text)]
+    name = lambda w: "unassigned" if w is None else w[0] if len(w) == 1 else "overlap_" + "_".join(w)
+    return [(n, a, z, text[a:z], name(w), "unknown" if w is None else "single" if len(w) == 1 else "overlap", s if w else None, e if w else None) for n, ((w, a, s, e), z) in enumerate(zip(found, stops, strict=True))]
+
+
+def test_turns_equal_a_plain_search_for_each_word(spark):
+    """Random passages, some of them broken; ``told`` gives one row for each with turns, and cuts batches into runs of words."""
+    import random
+    import re
+
+    r, rows = random.Random(11), []
+    for k in range(400):
+        text = "".join(r.choice(["é", "ab", "𝒳c", " ", "  "]) for _ in range(r.randrange(1, 40)))
+        start = r.choice([0, 7000])
+        at, words = start, []
+        for a, z in ((m.start(), m.end()) for m in re.finditer(r"\S+", text)):
+            s = at + r.choice([0, 100, 3000, 9000, -50])
+            e = s + r.choice([500, 2500, 0])
+            words.append((a, z, *r.choice([(s, e)] * 6 + [(None, e), (s, None)])))
+            at = max(at, e)
+        end, at, regions = at + 5000, start, []
+        observed = r.choice([None, end, end, end - 3000])
+        upto = end if observed is None else observed
+        while at < upto:
+            z = min(upto, at + r.choice([500, 4000, 12000]))
+            regions.append((at + (r.random() < 0.01), z, r.choice([["speaker_0"]] * 3 + [["speaker_1"], ["speaker_1", "speaker_0"], [], [], ["noise"], None])))
+            at = z
+        rows.append((k, "a", text, start, end, start + (r.random() < 0.03), end - r.choice([0, 1000]), observed, words[: -1 if r.random() < 0.03 else None], r.choice([regions] * 20 + [None])))
+    want = {row[0]: plain_turns(*row[2:]) for row in rows}
+    before, reading.AT_ONCE = reading.AT_ONCE, 50
+    try:
+        found = reading._told(spark.createDataFrame(rows, PASSAGE).toArrow().to_batches())
+        small = [(x["recording_id"], [tuple(t.values()) for t in x["turns"]]) for b in found for x in b.to_pylist()]
+    finally:
+        reading.AT_ONCE = before
+    whole = [(x.recording_id, [tuple(t) for t in x.turns]) for x in reading.told(spark.createDataFrame(rows, PASSAGE)).collect()]
+    assert dict(whole) == {k: t for k, t in want.items() if t} and len(whole) == len(dict(whole)) > 200
+    kept = {row[0] for row in rows if row[3] == row[5]}
+    assert {k: t for k, t in small if k in kept} == dict(whole)
