@@ -8,18 +8,22 @@ twin: ``activity_regions``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.operators.intervals import KEY, coalesce_equal, elementary
+from parley.streaming.gather import gathered, spread
 
 #: kind: turn, observed or end. observed and end have end_sample; ``at`` is when a row came.
 ROWS = f"{KEY} long, source_id string, kind string, speaker string, start_sample long, end_sample long, at timestamp"
 OUT = f"{KEY} long, source_id string, start_sample long, end_sample long, owners string, final boolean"
+FOUND = Row(*(c.split()[0] for c in OUT.split(", ")))
+#: What the operator reads of a row; ``at`` in milliseconds.
+TAKEN = ("kind", "speaker", "start_sample", "end_sample", "at")
 #: A source without rows for so long (event time) is taken to have ended, in milliseconds.
 IDLE = 60_000
 
@@ -37,73 +41,74 @@ def sweep(turns: list[tuple[str, int, int]], start: int, end: int) -> list[tuple
     before = start
     for at in sorted(events):
         if before < at:
-            owners = ",".join(sorted(s for s, n in active.items() if n))
+            owners = ",".join(sorted(active))
             if found and found[-1][2] == owners:
                 found[-1] = (found[-1][0], at, owners)
             else:
                 found.append((before, at, owners))
         for speaker, n in events[at]:
             active[speaker] = active.get(speaker, 0) + n
+            if not active[speaker]:
+                del active[speaker]
         before = at
     return found
 
 
 class Activity(StatefulProcessor):
-    """State per recording and source: the mark, the open region, and the turns that reach beyond the mark."""
+    """State per recording and source, read and written once a micro-batch: the mark, the open region, the timer, and the turns that reach beyond the mark (as JSON)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.mark = handle.getValueState("mark", "observed long, first long, last long, owners string, closed boolean")
-        self.turns = handle.getListState("turns", "speaker string, start_sample long, end_sample long")
+        self.kept = handle.getValueState("kept", "observed long, first long, last long, owners string, closed boolean, timer long, turns string")
 
-    def read(self) -> tuple[int, list, bool]:
-        observed, first, last, owners, closed = self.mark.get() if self.mark.exists() else (0, 0, 0, "", False)
-        return observed, [(first, last, owners)] if last > first else [], closed
+    def read(self) -> tuple[int, list, bool, int, list]:
+        kept = self.kept.get()
+        observed, first, last, owners, closed, timer, turns = kept if kept is not None else (0, 0, 0, "", False, -1, "[]")
+        return observed, [(first, last, owners)] if last > first else [], closed, timer, json.loads(turns)
 
-    def rows(self, key, regions: list, final: bool, tail: bool) -> pd.DataFrame:
+    def write(self, mark: int, regions: list, closed: bool, timer: int, turns: list) -> None:
+        self.kept.update((mark, *(regions[-1] if regions else (0, 0, "")), closed, timer, json.dumps(turns)))
+
+    def rows(self, key, regions: list, final: bool, tail: bool) -> Iterator[Row]:
         """The regions as rows; the last one is open unless ``final``."""
-        out = [(key[0], key[1], a, z, owners, final or k + 1 < len(regions)) for k, (a, z, owners) in enumerate(regions)]
-        return pd.DataFrame(out if tail else [r for r in out if r[-1]], columns=[c.split()[0] for c in OUT.split(", ")]).astype({"owners": object, "source_id": object, KEY: "int64", "start_sample": "int64", "end_sample": "int64", "final": bool})
+        for k, (a, z, owners) in enumerate(regions):
+            known = final or k + 1 < len(regions)
+            if tail or known:
+                yield FOUND(key[0], key[1], a, z, owners, known)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        observed, regions, closed = self.read()
-        turns = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
-        mark, ended, latest = observed, False, 0
-        for batch in rows:
-            latest = max(latest, int(batch["at"].max().timestamp() * 1000))
-            for kind, speaker, a, z in batch[["kind", "speaker", "start_sample", "end_sample"]].itertuples(index=False):
-                if pd.isna(z):
-                    continue
-                if kind == "turn" and not pd.isna(a) and isinstance(speaker, str):
-                    turns.append((speaker, int(a), int(z)))
-                elif kind in ("observed", "end"):
-                    mark, ended = max(mark, int(z)), ended or kind == "end"
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        observed, regions, closed, timer, turns = self.read()
         if closed:
-            return
+            return iter(())
+        mark, ended, latest = observed, False, 0
+        for kind, speaker, a, z, at in spread(rows, *TAKEN):
+            latest = max(latest, at or 0)
+            if z is None:
+                continue
+            if kind == "turn" and a is not None and speaker is not None:
+                turns.append((speaker, a, z))
+            elif kind in ("observed", "end"):
+                mark, ended = max(mark, z), ended or kind == "end"
         for region in sweep(turns, observed, mark):
             if regions and regions[-1][2] == region[2]:
                 regions[-1] = (regions[-1][0], region[1], region[2])
             else:
                 regions.append(region)
-        ahead = [t for t in turns if t[2] > mark]
-        if ahead:
-            self.turns.put(ahead)
-        else:
-            self.turns.clear()
-        last = regions[-1] if regions else (0, 0, "")
-        self.mark.update((mark, *last, ended))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        if not ended:
-            self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + IDLE)
-        yield self.rows(key, regions, ended, mark > observed or ended)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        observed, regions, closed = self.read()
-        if not closed:
-            self.mark.update((observed, *(regions[-1] if regions else (0, 0, "")), True))
-            self.turns.clear()
-            yield self.rows(key, regions, True, True)
+        due = -1 if ended else max(latest, timerValues.getCurrentWatermarkInMs()) + IDLE
+        if due != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            if due >= 0:
+                self.handle.registerTimer(due)
+        self.write(mark, regions, ended, due, [x for x in turns if x[2] > mark])
+        return self.rows(key, regions, ended, mark > observed or ended)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        observed, regions, closed, _, _ = self.read()
+        if closed:
+            return iter(())
+        self.write(observed, regions, True, -1, [])
+        return self.rows(key, regions, True, True)
 
     def close(self) -> None:
         pass
@@ -112,9 +117,11 @@ class Activity(StatefulProcessor):
 def live(rows: DataFrame) -> DataFrame:
     """Streaming ``rows`` (ROWS, with a watermark on ``at``) to OUT, in update mode: each final region once, and the open one as it stands.
 
-    Needs the RocksDB state store (``sources.use_rocksdb``).
+    Needs the RocksDB state store (``sources.use_rocksdb``). Rows come gathered by recording and source. The watermark sets
+    the timers; a row behind it isn't dropped, it counts beyond the mark as any other, unless its source has ended.
     """
-    return rows.where(F.col(KEY).isNotNull()).groupBy(KEY, "source_id").transformWithStateInPandas(Activity(), OUT, "Update", "EventTime")
+    taken = rows.where(F.col(KEY).isNotNull()).withColumn("at", F.unix_millis("at"))
+    return gathered(taken.select(KEY, "source_id", *TAKEN), KEY, "source_id").groupBy(KEY, "source_id").transformWithState(Activity(), OUT, "Update", "EventTime")
 
 
 def activity_regions(turns: DataFrame, observed: DataFrame) -> DataFrame:

@@ -86,3 +86,30 @@ def test_utterances_read_and_write_state_once_a_micro_batch():
     frames = [(i * 512, i * 512 + 512, 90, False, False) for i in range(300)]
     found = list(live.handleInputRows((1,), iter([columns(1, *zip(*frames[:150], strict=True)), columns(1, *zip(*frames[150:], strict=True))]), None))
     assert [(x.kind, x.start_sample, x.end_sample) for x in found] == [("open", 0, 300 * 512)] and handle.calls() == 2
+
+
+def test_activity_reads_and_writes_state_once_a_micro_batch():
+    """Turns that reach beyond the mark are no calls of their own, and neither are their rows."""
+    from types import SimpleNamespace
+
+    from parley.streaming import activity
+
+    class Timers(Handle):
+        def registerTimer(self, at):  # noqa: N802
+            self.timers += 1
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers -= 1
+
+    now, columns = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0), Row("recording_id", "source_id", *activity.TAKEN)
+    for many in (3, 300):
+        handle, operator = Timers(), activity.Activity()
+        operator.init(handle)
+        turns = [("turn", "speaker_0", i * 100, i * 100 + 150, 5) for i in range(many)]
+        first = columns(1, "system", *zip(*turns, ("observed", None, None, 50, 5), strict=True))
+        assert [tuple(x) for x in operator.handleInputRows((1, "system"), iter([first]), now)] == [(1, "system", 0, 50, "speaker_0", False)]
+        assert handle.timers == 1
+        rest = columns(1, "system", *zip(("turn", None, 0, 10, 6), ("end", None, None, many * 100 + 100, 6), strict=True))
+        found = [tuple(x) for x in operator.handleInputRows((1, "system"), iter([rest]), now)]
+        assert found == [(1, "system", 0, many * 100 + 50, "speaker_0", True), (1, "system", many * 100 + 50, many * 100 + 100, "", True)]
+        assert handle.timers == 0 and handle.calls() == 4
