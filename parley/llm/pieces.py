@@ -117,6 +117,12 @@ def encode_chunks(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
 
     On equal sums the path whose last piece starts earlier wins at each place.
     """
+    grouped, path = lattice(distinct, pieces)
+    return grouped.select("chunk", path("chunk", "edges").alias("best")).select("chunk", F.col("best.ids").alias("ids"), F.col("best.score").alias("score"))
+
+
+def lattice(distinct: DataFrame, pieces: DataFrame):
+    """(chunk, edges) for each distinct chunk, dealt as ``distinct`` is if that is by chunk, and the column function ``best_path``."""
     own = pieces.where("kind = 'piece'")
     unknown = (own.agg(F.min("score")).first()[0] or 0.0) - UNKNOWN_PENALTY
     table = F.broadcast(own.select("piece", "id", "score"))
@@ -128,9 +134,7 @@ def encode_chunks(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
     edges = spans.join(table, "piece", "left").where("id IS NOT NULL OR len = 1")
     # An edge in one long: where it stops, and its id from 1 (0: no piece), by which its length and score are known.
     edge = F.shiftleft((F.col("start") + F.col("len") - 1).cast("long"), 32) + F.coalesce("id", F.lit(-1)) + 1
-    grouped = edges.groupBy("chunk").agg(F.collect_list(edge).alias("edges"))
-    found = grouped.select("chunk", best_path(pieces, unknown)("chunk", "edges").alias("best"))
-    return found.select("chunk", F.col("best.ids").alias("ids"), F.col("best.score").alias("score"))
+    return edges.groupBy("chunk").agg(F.collect_list(edge).alias("edges")), best_path(pieces, unknown)
 
 
 def best_path(pieces: DataFrame, unknown: float):
@@ -231,16 +235,30 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     return encoded.select("doc_id", decoder(pieces)(F.col("ids")).alias("text"))
 
 
-def packed(codes: np.ndarray) -> bytes:
+#: The columns of a document's numbers of frequent chunks, a byte of each number in one: the stored table packs like with like.
+PLANES = ["codes0", "codes1", "codes2", "codes3"]
+
+
+def planes(codes: np.ndarray) -> list[bytes]:
     """Numbers of chunks from -1, byte plane by byte plane: frequent chunks have small numbers, so that most high bytes are 0."""
-    planes = (codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(codes).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+    return [x.tobytes() for x in (codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T]
+
+
+def of_planes(found: list[list[bytes]]) -> np.ndarray:
+    """The numbers of several ``planes``, one after the other; given is a list for each of PLANES."""
+    return np.stack([np.frombuffer(b"".join(x), dtype=np.uint8) for x in found], axis=1).view("<u4").ravel().astype(np.int64) - 1
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """``planes`` as one value, compressed."""
+    whole = b"".join(planes(codes))
+    return len(codes).to_bytes(4, "little") + (pa.compress(whole, codec="zstd", asbytes=True) if whole else b"")
 
 
 def unpacked(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd") if n else b"", dtype=np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+    found = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd") if n else b"", dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(found.T).view("<u4").ravel().astype(np.int64) - 1
 
 
 def frequent_chunks(rows: DataFrame, pattern: str) -> DataFrame:
@@ -277,8 +295,9 @@ def lexicon(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
 def by_group(placed: DataFrame, n: int, pieces: DataFrame) -> DataFrame:
     """(group, places, sizes, ids) of ``placed`` (group, place, chunk; n rows): packed numbers of a group's chunks from one partition of the lattice.
 
-    Chunks are dealt once, with their places; encoding and joining need no other shuffle, and what goes back to the groups
-    is a few bytes a chunk.
+    Chunks are dealt once, with their places, which join the edges before the path is found: rows that come from Python
+    count as dealt by nothing, so a later join would shuffle them. What goes back to the groups is a few bytes a chunk,
+    places as the steps between them.
     """
     spark, parts = placed.sparkSession, n // CHUNKS_PER_PARTITION + 1
 
@@ -293,7 +312,7 @@ def by_group(placed: DataFrame, n: int, pieces: DataFrame) -> DataFrame:
             ids = lists.flatten().to_numpy().astype(np.int64)
             cuts = np.append(np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1), len(group))
             runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            rows = [(packed(place[a:b]), packed(np.diff(ends[a : b + 1])), packed(ids[ends[a] : ends[b]])) for a, b in runs]
+            rows = [(packed(np.diff(place[a:b], prepend=0)), packed(np.diff(ends[a : b + 1])), packed(ids[ends[a] : ends[b]])) for a, b in runs]
             return pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["group", "places", "sizes", "ids"])
 
         for b in batches:
@@ -307,8 +326,11 @@ def by_group(placed: DataFrame, n: int, pieces: DataFrame) -> DataFrame:
 
     dealt = placed.where("chunk IS NOT NULL").repartition(parts, "chunk")
     # the condition holds for all; it keeps the columns, so that both sides read the same shuffle
-    distinct = dealt.groupBy("chunk").agg(F.min(F.struct("group", "place")).alias("first")).where("first.group >= 0 AND first.place >= 0").select("chunk")
-    found = dealt.join(encode_chunks(distinct, pieces).select("chunk", "ids"), "chunk").select("group", "place", "ids")
+    distinct = dealt.groupBy("chunk").agg(F.min("group").alias("_g"), F.min("place").alias("_p")).where("_g >= 0 AND _p >= 0").select("chunk")
+    at = dealt.groupBy("chunk").agg(F.collect_list(F.struct("group", "place")).alias("at"))
+    grouped, path = lattice(distinct, pieces)
+    found = grouped.join(at.hint("shuffle_hash"), "chunk").select("at", path("chunk", "edges").alias("best"))
+    found = found.select(F.explode("at").alias("at"), F.col("best.ids").alias("ids")).select("at.group", "at.place", "ids")
     before = spark.conf.get(GROUPS_IN_MEMORY)
     spark.conf.set(GROUPS_IN_MEMORY, str(4 * CHUNKS_PER_PARTITION))
     try:
@@ -346,12 +368,12 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
         A group is a run of documents; its list of distinct other chunks follows in rows of its own (row is -1), PART chunks in each.
         """
         of, split = number.value.get, re.compile(pattern)
-        columns = ["group", "row", "part", "doc_id", "source", "codes", "others", "chunks"]
+        columns = ["group", "row", "part", "doc_id", "source", *PLANES, "others", "chunks"]
         group, listed, n = None, {}, 0
 
         def lists() -> list[tuple]:
             names = list(listed)
-            return [(group, -1, part, None, None, None, None, names[at : at + PART]) for part, at in enumerate(range(0, len(names), PART))]
+            return [(group, -1, part, None, None, *[None] * len(PLANES), None, names[at : at + PART]) for part, at in enumerate(range(0, len(names), PART))]
 
         for b in batches:
             found = []
@@ -364,7 +386,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                     some = words[at : at + PART]
                     codes = np.fromiter(map(of, some, repeat(-1)), dtype=np.int64, count=len(some))
                     others = np.array([listed.setdefault(some[i], len(listed)) for i in np.flatnonzero(codes < 0).tolist()], dtype=np.int64)
-                    found.append((group, row, part, doc_id, source, packed(codes), packed(others), None))
+                    found.append((group, row, part, doc_id, source, *planes(codes), packed(others), None))
                 if len(listed) >= LISTED or n >= RUN:
                     found += lists()
                     group, listed, n = None, {}, 0
@@ -374,18 +396,19 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
 
     # Rows are numbered once; the table keeps the numbers. Longs beside nulls would become doubles in pandas, so some travel as text.
     whole = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string").alias("source"), "text")
-    whole = stored_by(whole.mapInPandas(cut, "group long, row long, part int, doc_id string, source string, codes binary, others binary, chunks array<string>"), "group")
+    whole = stored_by(whole.mapInPandas(cut, f"group long, row long, part int, doc_id string, source string, {', '.join(f'{c} binary' for c in PLANES)}, others binary, chunks array<string>"), "group")
     lists = whole.where("row < 0").select("group", (F.col("part") * PART).alias("base"), "chunks")
     placed = lists.select("group", "base", F.posexplode("chunks").alias("at", "chunk")).select("group", (F.col("base") + F.col("at")).alias("place"), "chunk")
     best = by_group(placed, int(lists.agg(F.sum(F.size("chunks"))).first()[0] or 0), needed)
 
-    def put_together(docs: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    def put_together(docs: pa.Table, lists: pa.Table) -> pa.Table:
         """The documents of a group, from their numbers and what the group's list encodes to."""
         flat, starts, sizes, costs = known.value
-        places, lengths, ids = (np.concatenate([np.empty(0, dtype=np.int64), *map(unpacked, lists[c])]) for c in ("places", "sizes", "ids"))
+        places, lengths, ids = ([*map(unpacked, lists[c].to_pylist())] for c in ("places", "sizes", "ids"))
+        places, lengths, ids = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (map(np.cumsum, places), lengths, ids))
         begin, count = np.zeros(len(places), dtype=np.int64), np.zeros(len(places), dtype=np.int64)
         begin[places], count[places] = np.cumsum(lengths) - lengths, lengths
-        ids = ids.astype(np.int32)
+        both = np.concatenate((flat, ids.astype(np.int32)))
 
         def of_codes(codes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """The ids of places, and how many each has."""
@@ -395,35 +418,28 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
             first[rare], own[rare] = begin[others] + len(flat), count[others]
             return both[np.arange(own.sum()) + np.repeat(first - (np.cumsum(own) - own), own)], own
 
-        both = np.concatenate((flat, ids))
-        out, doc = [], []  # doc: row, doc_id, source, n_chunks, arrays of ids
-
-        def finish() -> None:
-            _, doc_id, source, n, arrays = doc
-            ids = np.concatenate(arrays) if len(arrays) > 1 else arrays[0]
-            out.append((doc_id, n, len(ids), float(costs[ids].sum()), ids, zlib.crc32(ids.astype("<i4", copy=False).tobytes()), source))
-            doc.clear()
-
-        docs = docs.sort_values(["row", "part"])
+        docs = docs.sort_by([("row", "ascending"), ("part", "ascending")])
+        arrays, chunks_of, ids_of = [np.empty(0, dtype=np.int32)], [], []
         for at in range(0, len(docs), TOGETHER):
-            some = docs.iloc[at : at + TOGETHER]
-            codes = [unpacked(x) for x in some["codes"]]
-            found, own = of_codes(np.concatenate(codes), np.concatenate([unpacked(x) for x in some["others"]]))
-            sizes_of = np.cumsum([0, *map(len, codes)])
-            ends = np.append(0, np.cumsum(own))[sizes_of].tolist()
-            for row, doc_id, source, n, a, b in zip(some["row"], some["doc_id"], some["source"], map(len, codes), ends[:-1], ends[1:], strict=True):
-                if doc and doc[0] != row:
-                    finish()
-                if not doc:
-                    doc.extend([row, None if pd.isna(doc_id) else doc_id, source, 0, []])
-                doc[3] += n
-                doc[4].append(found[a:b])
-        if doc:
-            finish()
-        return pd.DataFrame(out, columns=["doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", "source"])
-
-    parts_of = whole.where("row >= 0").select("group", "row", "part", "doc_id", "source", "codes", "others")
-    found = parts_of.groupBy("group").cogroup(best.groupBy("group")).applyInPandas(put_together, "doc_id string, n_chunks long, n_pieces long, score double, ids array<int>, ids_crc32 long, source string")
+            some = docs.slice(at, TOGETHER)
+            n = pa.compute.binary_length(some[PLANES[0]]).to_numpy()
+            codes = of_planes([some[c].to_pylist() for c in PLANES])
+            found, own = of_codes(codes, np.concatenate([unpacked(x) for x in some["others"].to_pylist()]))
+            arrays.append(found)
+            chunks_of.append(n)
+            ids_of.append(np.diff(np.append(0, np.cumsum(own))[np.append(0, np.cumsum(n))]))
+        found, row = np.concatenate(arrays), docs["row"].to_numpy()
+        first = np.flatnonzero(np.diff(row, prepend=-1))  # the first part of each document
+        n_chunks, n_pieces = (np.add.reduceat(np.concatenate(x), first).astype(np.int64) if len(first) else np.empty(0, dtype=np.int64) for x in (chunks_of, ids_of))
+        ends = np.append(0, np.cumsum(n_pieces))
+        each = [found[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        crcs = [zlib.crc32(x.astype("<i4", copy=False).tobytes()) for x in each]
+        head = docs.select(["doc_id", "source"]).take(pa.array(first))
+        columns = [head["doc_id"], pa.array(n_chunks), pa.array(n_pieces), pa.array([float(costs[x].sum()) for x in each], pa.float64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found)), pa.array(crcs, pa.int64()), head["source"]]
+        return pa.table(columns, names=["doc_id", "n_chunks", "n_pieces", "score", "ids", "ids_crc32", "source"])
+
+    parts_of = whole.where("row >= 0").select("group", "row", "part", "doc_id", "source", *PLANES, "others")
+    found = parts_of.groupBy("group").cogroup(best.groupBy("group")).applyInArrow(put_together, "doc_id string, n_chunks long, n_pieces long, score double, ids array<int>, ids_crc32 long, source string")
     rare = encode_chunks(placed.select("chunk").distinct(), needed)
     return found.withColumns({"doc_id": F.col("doc_id").cast(kind), "source": F.col("source").cast("long")}), common.unionByName(rare)
 

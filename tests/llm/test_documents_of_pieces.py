@@ -91,3 +91,32 @@ def test_chunks_of_a_run_are_listed_once(spark, monkeypatch):
     assert {x.doc_id: x.ids for x in found.collect()} == {i: [p for c in pieces.chunks(pattern, t) for p in ids[c]] for i, t in enumerate(texts)}
     places = sum(len(pieces.chunks(pattern, t)) for t in texts)
     assert len(joined) == 1 and joined[0][0] == joined[0][1] == joined[0][2] < places / 2
+
+
+def test_places_are_dealt_by_chunk_once(spark, monkeypatch):
+    """What comes from Python isn't shuffled to find its places, and these come back in order with the pieces of their chunks."""
+    table, seen, plain = pieces.piece_table(spark, queries.tokenizer_path("piece_bpe_32k.model")), [], pieces.stored
+    words = ["▁ab", "▁abc", "▁b", "▁ab"]
+    placed = spark.createDataFrame([(i // 2, 300 * i, w) for i, w in enumerate(words)], "group long, place long, chunk string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(pieces, "CHUNKS_PER_PARTITION", 1)
+    monkeypatch.setattr(pieces, "stored", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+    try:
+        found = pieces.by_group(placed, len(words), table).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [x for x in seen[0].splitlines() if "Exchange hashpartitioning(chunk" in x]
+    assert shuffles and all("REPARTITION_BY_NUM" in x for x in shuffles)
+    best = {x.chunk: x.ids for x in pieces.encode_chunks(placed.select("chunk").distinct(), table).collect()}
+    got = {}
+    for x in found:
+        steps, sizes, ids = (pieces.unpacked(v) for v in (x.places, x.sizes, x.ids))
+        ends = sizes.cumsum()
+        got |= {(x.group, place): ids[z - n : z].tolist() for place, n, z in zip(steps.cumsum().tolist(), sizes.tolist(), ends.tolist(), strict=True)}
+    assert got == {(i // 2, 300 * i): best[w] for i, w in enumerate(words)}
+
+
+def test_planes_round_trip():
+    parts = [np.array(x, dtype=np.int64) for x in ([], [-1], [0, -1, 255, 256, 65535, 299_999])]
+    assert pieces.of_planes([list(x) for x in zip(*map(pieces.planes, parts), strict=True)]).tolist() == [int(n) for p in parts for n in p]
