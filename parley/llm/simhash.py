@@ -115,6 +115,10 @@ def with_keys(prints: DataFrame, families: list[tuple[list[int], list[int]]]) ->
     return prints.select("node", *names).mapInPandas(run, "node long, f0 long, key long")
 
 
+#: Hint for the side of a join that Spark takes for far smaller than it is, as rows of a Python step (a hundred keys
+#: a fingerprint) or of packed files: it is shuffled, never broadcast through the driver.
+SHUFFLED = "merge"
+
 #: Bits in which two joined fingerprints differ among their first 64.
 DIFFERING = "bit_count(a.f0 ^ b.f0)"
 
@@ -129,12 +133,12 @@ def near_fingerprints(prints: DataFrame, families=None, distance: int = 3, crowd
     families = families or exact_families()
     few = prints if crowded is None else prints.join(crowded, "node", "left_anti")
     keyed = with_keys(few, families)
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = keyed.alias("a"), keyed.hint(SHUFFLED).alias("b")
     close = (F.col("a.key") == F.col("b.key")) & F.expr(f"{DIFFERING} <= {distance}")
     found = a.join(b, close & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
     if crowded is None:
         return found
-    c = with_keys(prints.join(crowded, "node", "left_semi"), families).alias("b")
+    c = with_keys(prints.join(crowded, "node", "left_semi"), families).hint(SHUFFLED).alias("b")
     return found.unionByName(a.join(c, close).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")))
 
 
@@ -200,12 +204,13 @@ def plausible(links: DataFrame, sketches: DataFrame, similarity: float) -> DataF
     sure = (F.size("a") < SKETCH) & (F.size("b") < SKETCH)
     low = F.slice(F.array_sort(F.array_union("a", "b")), 1, F.when(sure, 2 * SKETCH).otherwise(SKETCH))
     share = F.size(F.array_intersect(F.array_intersect(low, "a"), F.col("b"))) / F.greatest(F.size(low), F.lit(1))
-    return links.join(a, "src").join(b, "dst").where(share >= F.when(sure, similarity).otherwise(CLEAR_MISS)).select("src", "dst", sure.alias("sure"))
+    return links.join(a.hint(SHUFFLED), "src").join(b.hint(SHUFFLED), "dst").where(share >= F.when(sure, similarity).otherwise(CLEAR_MISS)).select("src", "dst", sure.alias("sure"))
 
 
 def alike(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links whose whole shingle sets have a Jaccard similarity of ``similarity`` or more; texts has (node, text)."""
-    pairs = links.join(texts.select(F.col("node").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst")
+    a, b = (texts.select(F.col("node").alias(end), F.col("text").alias(name)).hint(SHUFFLED) for end, name in (("src", "a"), ("dst", "b")))
+    pairs = links.join(a, "src").join(b, "dst")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, np.ndarray] = {}  # a node with many links comes many times in a row
@@ -275,9 +280,9 @@ def rarest_shingles(texts: DataFrame, words: int, similarity: float) -> DataFram
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"bits": at, "n": seen[at]})
 
-    counted = texts.select("text").mapInPandas(count, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.select("text").mapInPandas(count, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).toArrow()  # at most 2^COMMON rows
     often = np.zeros(1 << COMMON, dtype=np.int64)
-    often[counted["bits"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
+    often[counted["bits"].to_numpy()] = counted["n"].to_numpy()
     sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,21 +308,21 @@ def crowd_links(texts: DataFrame, verify, words: int, similarity: float) -> Data
     """
     rare = rarest_shingles(texts, words, similarity)
     shared = rare.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    rare = stored(rare.join(shared, "token"))
+    rare = stored(rare.join(shared.hint(SHUFFLED), "token"))
     left = lambda t: f"({t}size - {t}place + 1) * {1 + similarity} + 1e-6"
     need = lambda a, b: f"{similarity} * ({a} + {b})"
     can = (F.col("a.token") == F.col("b.token")) & F.expr(f"{left('a.')} >= {need('a.size', 'b.size')} AND {left('b.')} >= {need('a.size', 'b.size')}")
     src, dst = F.greatest("a.node", "b.node").alias("src"), F.least("a.node", "b.node").alias("dst")
     a = rare.alias("a")
-    first = rare.groupBy("token").agg(F.min_by(F.struct("node", "place", "size"), F.struct("place", "node")).alias("p")).select("token", "p.*").alias("b")
+    first = rare.groupBy("token").agg(F.min_by(F.struct("node", "place", "size"), F.struct("place", "node")).alias("p")).select("token", "p.*").hint(SHUFFLED).alias("b")
     stars = verify(stored(a.join(first, can & (F.col("a.node") != F.col("b.node"))).select(src, dst).distinct()))
     known = stored(texts.select("node").join(connected_components(stars), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     alive = stored(rare.join(known, "node"))
     for _ in range(2):  # rows that can't be alike to anything in another component under their shingle
         group = alive.groupBy("token").agg(F.min("size").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
-        alive = alive.join(group, "token").where(f"low < high AND {left('')} >= {need('size', 'least')}").select(*rare.columns, "component")
+        alive = alive.join(group.hint(SHUFFLED), "token").where(f"low < high AND {left('')} >= {need('size', 'least')}").select(*rare.columns, "component")
         alive = stored(alive)
-    a, b = alive.alias("a"), alive.alias("b")
+    a, b = alive.alias("a"), alive.hint(SHUFFLED).alias("b")
     pairs = a.join(b, can & F.expr("a.node < b.node AND a.component <> b.component")).select(src, dst).distinct()
     return stars.unionByName(verify(stored(pairs)))
 
