@@ -132,7 +132,8 @@ def near_fingerprints(prints: DataFrame, families=None, distance: int = 3, crowd
     """
     families = families or exact_families()
     few = prints if crowded is None else prints.join(crowded, "node", "left_anti")
-    keyed = with_keys(few, families)
+    # The conditions that Spark would add to one join only, so that it sees the same rows in both and shuffles them once.
+    keyed = with_keys(few, families).where("node IS NOT NULL AND f0 IS NOT NULL AND key IS NOT NULL")
     a, b = keyed.alias("a"), keyed.hint(SHUFFLED).alias("b")
     close = (F.col("a.key") == F.col("b.key")) & F.expr(f"{DIFFERING} <= {distance}")
     found = a.join(b, close & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))

@@ -1,4 +1,4 @@
-"""What near duplicates broadcast: nothing that Spark sizes too low, as keys behind a Python step or packed sketches and texts."""
+"""What near duplicates broadcast and shuffle: nothing through the driver that Spark sizes too low, as keys behind a Python step or packed sketches and texts."""
 
 import re
 
@@ -27,6 +27,15 @@ def test_keys_of_fingerprints_are_shuffled(spark):
     assert found == ["SortMergeJoin"] * 2
 
 
+def test_keys_are_made_and_shuffled_once(spark):
+    own, families = nodes(spark, 300), simhash.wide_families(256)
+    found = simhash.near_fingerprints(own, families, simhash.WIDE_DISTANCE, stored(own.where("node % 3 = 0").select("node")))
+    plan = found._jdf.queryExecution()
+    found.collect()
+    final = plan.executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"MapInPandas", final)) == 2  # those of crowded nodes and all others
+
+
 def test_sketches_and_texts_are_shuffled(spark):
     links = stored(spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     sketches = stored(spark.range(60).select(F.col("id").alias("node"), F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long")).alias("sketch")))
